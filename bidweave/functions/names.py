@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -15,8 +16,7 @@ def normalize_project_name(c: Column | str, suffixes: Sequence[str] = tuple(rule
     """Strip announcement endings in list order, then bracketed parts, then blanks."""
     name = F.coalesce(col(c), F.lit(""))
     for suffix in suffixes:
-        name = F.when(F.endswith(name, F.lit(suffix)),
-                      F.left(name, F.length(name) - len(suffix))).otherwise(name)
+        name = F.regexp_replace(name, re.escape(suffix) + r"\z", "")
     return trim_blanks(F.regexp_replace(name, r"（.*?）|\(.*?\)", ""))
 
 

@@ -18,6 +18,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once per row, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def text_truthy(c: Column | str) -> Column:
     """Present and not the empty string."""
     return F.coalesce(col(c) != "", F.lit(False))
@@ -143,12 +148,10 @@ def strip_markers(c: Column | str, after: Sequence[str] = tuple(rules.THOUGHT_MA
     """Text after the last `after` marker and before the first `before` marker."""
     text = F.coalesce(col(c), F.lit(""))
     for marker in after:
-        text = F.when(F.contains(text, F.lit(marker)),
-                      trim_blanks(F.substring_index(text, marker, -1))).otherwise(text)
+        text = F.substring_index(text, marker, -1)
     for marker in before:
-        text = F.when(F.contains(text, F.lit(marker)),
-                      trim_blanks(F.substring_index(text, marker, 1))).otherwise(text)
-    return text
+        text = F.substring_index(text, marker, 1)
+    return trim_blanks(text)
 
 
 def labelled(parts: Sequence[tuple[str, Column]], sep: str = " | ") -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from bidweave import rules
 from bidweave.functions.html import drop_scripts, segment_intent, strip_tags
 from bidweave.functions.text import (blank_to_null, clean_text, col, contained_words, contains_any, count_contained,
-                                     first_contained, text_truthy, trim_blanks)
+                                     first_contained, let, text_truthy, trim_blanks)
 from bidweave.functions.names import has_budget_between
 from bidweave.operators.keys import top_k
 from bidweave.operators.tables import add_matches
@@ -88,9 +88,8 @@ def rough_match(df: DataFrame, html: str = "html", terms: dict[str, Sequence[str
     title = F.trim(F.regexp_extract(html, r"<title>([^<]+)</title>", 1))
     # \s leaves the full-width blank alone, it divides the parts
     text = F.trim(F.regexp_replace(strip_tags(drop_scripts(html)), r"\s+", " "))
-    body = text
-    for m in reversed(list(markers)):
-        body = F.when(F.contains(text, F.lit(m)), F.substring(text, F.instr(text, F.lit(m)), F.length(text))).otherwise(body)
+    body = let(text, lambda t: F.substring(t, F.coalesce(*[F.when(F.contains(t, F.lit(m)), F.instr(t, F.lit(m)))
+                                                           for m in markers], F.lit(1)), F.length(t)))
     every = list(dict.fromkeys(t for ts in terms.values() for t in ts))
     parts = F.filter(F.split(body, "　"), lambda line: ~(contains_any(line, address) & contains_any(line, every)))
     body = F.array_join(F.transform(parts, trim_blanks), " ")

@@ -53,16 +53,15 @@ def profile_values(structured: DataFrame, buyer: str = "buyer_name_std",
     """Distinct (customer, field, value) rows. Arrays and JSON-array texts are unfolded."""
     fields = fields or VALUE_FIELDS
     types = dict(structured.dtypes)
-    items = []
+    kinds = []
     for field, (source, is_list) in fields.items():
         if source not in types:
             continue
-        value = F.col(source) if types[source].startswith("array") else (
+        values = F.col(source) if types[source].startswith("array") else (
             as_array(source) if is_list else F.array(F.col(source)))
-        items.append(F.transform(value, lambda v, f=field: F.struct(F.lit(f).alias("field"), v.alias("value"))))
-    pairs = F.flatten(F.array(*[F.coalesce(i, F.array().cast("array<struct<field:string,value:string>>"))
-                                for i in items]))
-    return (_rows(structured, buyer).select("customer_name", F.inline(pairs))
+        kinds.append(F.struct(F.lit(field).alias("field"), values.alias("_values")))
+    rows = _rows(structured, buyer).select("customer_name", F.inline(F.array(*kinds)))
+    return (rows.select("customer_name", "field", F.explode("_values").alias("value"))
             .filter(text_truthy("value")).distinct())
 
 
