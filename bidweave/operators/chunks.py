@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from bidweave import rules
 from bidweave.functions.jsonx import metadata_json
 from bidweave.functions.text import text_truthy
-from bidweave.operators.keys import salted_join
 
 CHUNK_KIND = "attachment_content"
 _EMPTY = "array<struct<type:string,text:string>>"
@@ -22,7 +21,7 @@ def field_chunks(structured: DataFrame, names: DataFrame | None = None, key: str
     attachment summary 99. `names` (key, project_name) supplies the titles."""
     df = structured
     if names is not None:
-        df = salted_join(df.drop("project_name"), names.select(key, "project_name"), [key], "left")
+        df = df.drop("project_name").join(names.select(key, "project_name"), [key], "left")
     place = metadata_json(announce_type="announce_type", buyer_name_std="buyer_name_std", province="province", city="city")
     who = metadata_json(announce_type="announce_type", buyer_name_std="buyer_name_std")
     contacts = metadata_json(**{c: F.coalesce(F.to_json(c), F.lit("[]"))

@@ -9,7 +9,7 @@ from bidweave import rules
 from bidweave.functions.names import budget_display
 from bidweave.functions.text import first_text, preview
 from bidweave.operators.filters import post_filter
-from bidweave.operators.keys import keep_last, salted_join, top_k
+from bidweave.operators.keys import keep_last, top_k
 from bidweave.operators.search import BM25Index, bm25_scores, vector_search
 
 RRF_K = 60
@@ -151,7 +151,7 @@ def hits_to_projects(hits: DataFrame, notices: DataFrame, events: DataFrame) ->
     """Hits with the project of their notice: notices (doc_id, url) meet project events by URL.
     Where a URL occurs in several projects the last one (by key) stands."""
     owner = keep_last(events.select("url", "project_name_std", "buyer_name"), "url", ["project_name_std", "buyer_name"])
-    return salted_join(hits.join(notices.select("doc_id", "url"), "doc_id"), owner, ["url"])
+    return hits.join(notices.select("doc_id", "url"), "doc_id").join(owner, ["url"])
 
 
 def client_boost(avg: Column, weight: float) -> Column:
@@ -221,7 +221,7 @@ def result_cards(found: DataFrame, min_score: float = 0.0) -> DataFrame:
 
 def with_detail_url(hits: DataFrame, notices: DataFrame) -> DataFrame:
     """Hits with the page of their notice."""
-    return salted_join(hits, notices.select("doc_id", F.col("url").alias("detail_url")), ["doc_id"], "left")
+    return hits.join(notices.select("doc_id", F.col("url").alias("detail_url")), ["doc_id"], "left")
 
 
 def serialise_hits(hits: DataFrame) -> DataFrame:

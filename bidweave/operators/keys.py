@@ -2,7 +2,8 @@
 
 - keep_first / keep_last / top_k rank with row_number and a bound, so Spark keeps at
   most k rows per key and task *before* the shuffle.
-- salted_join splits the hot keys of one side over several tasks.
+- salted_join splits hot keys with known counts over several tasks; other joins rely on
+  the adaptive skew join, which splits a hot side by measured size.
 - scan_groups numbers rows and carries running values through a group that is spread
   over many range partitions; no task ever holds a whole group.
 """
@@ -60,23 +61,20 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if is_small(df, max_rows) else df
 
 
-def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner",
+def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], counts: DataFrame, how: str = "inner",
                 rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
-    """Equi-join (inner or left) whose left side may have hot keys.
+    """Equi-join (inner or left) whose left side has hot keys that are already counted.
 
-    Keys above `rows_per_salt` rows are counted first (pre-aggregated before the shuffle);
-    there are at most rows / rows_per_salt of them. Their left rows get a salt computed
-    from the row, their right rows are repeated once per salt. Other keys keep salt 0.
+    counts(on..., count) holds the left rows per key. Keys above `rows_per_salt` rows get a
+    salt computed from the row, and their right rows are repeated once per salt; other keys
+    keep salt 0. There are at most rows / rows_per_salt hot keys, so their list is broadcast.
+    Joins without such counts at hand are left to the adaptive skew join (see session.tune).
     """
     on = _list(on)
-    hot = (left.groupBy(*on).count().filter(F.col("count") > rows_per_salt)
-           .select(*on, F.ceil(F.col("count") / rows_per_salt).cast("int").alias("_salts")))
-    if hot.isEmpty():
-        return left.join(right, on, how)
-    hot = F.broadcast(cut(hot))
+    hot = F.broadcast(counts.filter(F.col("count") > rows_per_salt)
+                      .select(*on, F.ceil(F.col("count") / rows_per_salt).cast("int").alias("_salts")))
     salts = F.coalesce(F.col("_salts"), F.lit(1))
-    plain = [c for c, t in left.dtypes if "map<" not in t and "variant" not in t]
-    l2 = left.join(hot, on, "left").withColumn("_salt", F.pmod(F.xxhash64(*plain), salts).cast("int")).drop("_salts")
+    l2 = left.join(hot, on, "left").withColumn("_salt", F.pmod(F.xxhash64(*left.columns), salts).cast("int")).drop("_salts")
     r2 = right.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
     return l2.join(r2, [*on, "_salt"], how).drop("_salt")
 

@@ -13,7 +13,7 @@ from bidweave.functions.names import row_key
 from bidweave.functions.text import blank_to_null, clean_text, col, contains_any, first_group, first_text, trim_blanks
 from bidweave.functions.urls import (canonical_url, channel_url, drop_fragment, is_attachment, is_skipped_href,
                                      on_site, resolve_url, url_path, url_uuid)
-from bidweave.operators.keys import keep_first, salted_join, top_k
+from bidweave.operators.keys import keep_first, top_k
 
 ANCHOR = r"(?is)<a\b[^>]*href=[\"'][^\"']+[\"'][^>]*>.*?</a>"
 HREF = r"(?is)<a\b[^>]*href=[\"']([^\"']+)[\"']"
@@ -130,7 +130,7 @@ def bind_list_detail(lists: DataFrame, details: DataFrame, url: str = "list_url"
     names = [c for c in details.columns if c not in (url, "error")]
     side = details.select(F.col(url), *[F.col(c).alias(f"detail_{c}") for c in names],
                           *([F.col("error").alias("detail_error")] if "error" in details.columns else []))
-    joined = salted_join(lists, side, [url], "left")
+    joined = lists.join(side, [url], "left")
     return joined.select(*lists.columns, *[F.coalesce(F.col(f"detail_{c}").cast("string"), F.lit("")).alias(f"detail_{c}")
                                            for c in names + (["error"] if "error" in details.columns else [])])
 
@@ -172,7 +172,7 @@ def stop_at_repeat(rows: DataFrame, keyword: str = "keyword", page: str = "page"
     same = here.join(before, [keyword, page, url], "full").groupBy(keyword, page).agg(
         F.bool_and(F.col("n").eqNullSafe(F.col("n_before"))).alias("same"))
     stop = same.filter("same").groupBy(keyword).agg(F.min(page).alias("_stop"))
-    return salted_join(rows, stop, [keyword], "left").filter(
+    return rows.join(stop, [keyword], "left").filter(
         F.col("_stop").isNull() | (F.col(page) < F.col("_stop"))).drop("_stop")
 
 

@@ -17,7 +17,7 @@ from bidweave import rules
 from bidweave.functions.jsonx import as_array
 from bidweave.functions.names import customer_type_label, filled_name, tier
 from bidweave.functions.text import (array_truthy, first_text, not_nan, number_truthy, text_truthy)
-from bidweave.operators.keys import collect_parts, keep_first, keep_last, salted_join, top_k, union_all
+from bidweave.operators.keys import collect_parts, keep_first, keep_last, top_k, union_all
 from bidweave.operators.textjoin import contains_pairs
 
 # Value kinds of a profile: field name -> (source column, is it text that may hold a JSON array)
@@ -121,7 +121,7 @@ def win_rates(structured: DataFrame, buyer: str = "buyer_name_std", winner: str
     wins = (_rows(structured, buyer).select("customer_name", F.explode(F.array_distinct(value)).alias("winner"))
             .filter(text_truthy("winner")).groupBy("customer_name", "winner").agg(F.count("*").alias("wins")))
     totals = wins.groupBy("customer_name").agg(F.sum("wins").alias("_all"))
-    return salted_join(wins, totals, ["customer_name"]).select(
+    return wins.join(totals, ["customer_name"]).select(
         "customer_name", "winner", "wins", F.round(F.col("wins") / F.col("_all"), 4).alias("win_rate"))
 
 
@@ -271,10 +271,10 @@ def crm_history(opps: DataFrame, leads: DataFrame) -> DataFrame:
 def code_by_name(profiles: DataFrame, crm: DataFrame, name: str = "customer_name", crm_name: str = "customer_name",
                  code: str = "credit_code") -> DataFrame:
     """Code of the first CRM customer (lowest code) whose name contains the given name."""
-    pairs = contains_pairs(profiles.select(F.col(name).alias("pattern")),
-                           crm.select(F.col(crm_name).alias("text"), F.col(code).alias("_code")))
+    known = crm.groupBy(F.col(crm_name).alias("text")).agg(F.min(code).alias("_code"))
+    pairs = contains_pairs(profiles.select(F.col(name).alias("pattern")), known)
     found = pairs.groupBy("pattern").agg(F.min("_code").alias("found_code"))
-    return salted_join(profiles, found.withColumnRenamed("pattern", name), [name], "left")
+    return profiles.join(found.withColumnRenamed("pattern", name), [name], "left")
 
 
 def find_customer(names: DataFrame, profiles: DataFrame, name: str = "name", customer: str = "customer_name") -> DataFrame:
@@ -307,7 +307,7 @@ def unify_profiles(tender: DataFrame, crm: DataFrame, fields: Sequence[str] = ("
         "credit_code", payload.alias("_by_code"))
     by_name = keep_last(crm.filter(text_truthy("customer_name")), "customer_name", order).select(
         "customer_name", payload.alias("_by_name"))
-    matched = salted_join(salted_join(tender, by_code, ["credit_code"], "left"), by_name, ["customer_name"], "left")
+    matched = tender.join(by_code, ["credit_code"], "left").join(by_name, ["customer_name"], "left")
     hit = F.coalesce(F.col("_by_code"), F.col("_by_name"))
     rest = [c for c in tender.columns if c not in ("customer_name", "credit_code", "customer_type")]
     merged = matched.select(
@@ -338,7 +338,7 @@ def enhance_profiles(profiles: DataFrame, crm: DataFrame) -> DataFrame:
     side = crm.select("credit_code", F.struct(*[c for c in crm.columns if c not in ("credit_code", "customer_name")]
                                               ).alias("crm_profile"),
                       F.col("customer_name").alias("_name"))
-    known = salted_join(profiles, side, ["credit_code"], "left").withColumn(
+    known = profiles.join(side, ["credit_code"], "left").withColumn(
         "has_crm_data", F.col("crm_profile").isNotNull()).withColumn(
         "source", F.when(F.col("has_crm_data"), F.lit("tender+crm")).otherwise(F.lit("tender"))).withColumn(
         "has_tender_data", F.lit(True)).drop("_name")

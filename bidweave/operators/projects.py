@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from bidweave import rules
 from bidweave.functions.names import normalize_project_name
 from bidweave.functions.text import number_truthy, text_truthy
-from bidweave.operators.keys import collect_parts, keep_last, salted_join, scan_groups
+from bidweave.operators.keys import collect_parts, keep_last, scan_groups
 
 PROJECT_KEY = ["project_name_std", "buyer_name"]
 
@@ -29,7 +29,7 @@ def with_publish_date(structured: DataFrame, details: DataFrame, url: str = "sou
     dated = details.filter(text_truthy("url") & F.col("publish_date").isNotNull())
     last = keep_last(dated, "url", ["crawl_time", "publish_date"]).select(
         F.col("url").alias(url), F.col("publish_date").alias("_date"))
-    joined = salted_join(structured, last, [url], "left")
+    joined = structured.join(last, [url], "left")
     old = F.col("publish_date") if "publish_date" in structured.columns else F.lit(None)
     return joined.withColumn("publish_date", F.coalesce(F.col("_date"), old)).drop("_date")
 
@@ -85,7 +85,7 @@ def with_buyer_summary(projects: DataFrame, profiles: DataFrame) -> DataFrame:
     """Projects with count and average score of their buyer (null when the buyer is unknown)."""
     side = profiles.select(F.col("customer_name").alias("buyer_name"), F.struct(
         "tender_count", F.col("avg_opportunity_score").alias("avg_score")).alias("buyer_profile_summary"))
-    return salted_join(projects, side, ["buyer_name"], "left")
+    return projects.join(side, ["buyer_name"], "left")
 
 
 def project_timeline(events: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from bidweave.functions.text import col
 from bidweave.operators.filters import valid_vectors
-from bidweave.operators.keys import BROADCAST_ROWS, ROWS_PER_SALT, is_small, salted_join, top_k
+from bidweave.operators.keys import BROADCAST_ROWS, ROWS_PER_SALT, is_small, top_k
 
 # Okapi constants: term saturation, length weight, and the floor for terms in most documents
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -30,6 +30,11 @@ WORDS = rf"[{_HAN}]|[\p{{L}}\p{{N}}&&[^{_HAN}]]+"
 HAN_PAIRS = rf"(?=([{_HAN}]{{2}}))"
 
 
+def settle(score: Column) -> Column:
+    """Score on a grid of 1e-9, so that the order of summation cannot decide between equals."""
+    return F.rint(score * 1e9) / F.lit(1e9)
+
+
 def tokens(c: Column | str, mode: str = "words") -> Column:
     """Array of tokens. words: letter/digit runs, single Han characters and Han pairs;
     chars: every lower-case character. For a real word segmenter pass its Arrow UDF instead."""
@@ -84,7 +89,7 @@ def bm25_index(df: DataFrame, key: str, text: str = "text", mode: str = "words",
 def query_weights(index: BM25Index, queries: DataFrame, qid: str, text: str, mode: str = "words") -> DataFrame:
     """(qid, term, weight): idf times how often the query names the term."""
     terms = tokenize(queries.select(F.col(qid).alias("qid"), F.col(text).alias("text")), "qid", "text", mode)
-    return salted_join(terms, index.terms.select("term", "idf", "salts"), ["term"]).select(
+    return terms.join(index.terms.select("term", "idf", "salts"), ["term"]).select(
         "qid", "term", (F.col("tf") * F.col("idf")).alias("weight"), "salts")
 
 
@@ -110,7 +115,7 @@ def bm25_scores(index: BM25Index, queries: DataFrame, qid: str, text: str = "tex
             "_salt", F.pmod(F.xxhash64("doc_id"), salts).cast("int")).drop("salts")
         spread = weights.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
         scored = rows.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one").join(spread, ["term", "_salt"])
-    return scored.groupBy("doc_id", *keep, "qid").agg(F.sum(part).alias("score"))
+    return scored.groupBy("doc_id", *keep, "qid").agg(settle(F.sum(part)).alias("score"))
 
 
 def bm25_search(index: BM25Index, queries: DataFrame, qid: str, text: str = "text", k: int = 10,
@@ -166,6 +171,11 @@ def vector_search(vectors: DataFrame, queries: DataFrame, dim: int, k: int = 10,
     return top_k(local, k, [F.col("score").desc(), F.col("doc_id")], ["qid"], "rank")
 
 
+def _products(questions: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    # the same grid as `settle`: results must not depend on how rows fall into batches
+    return np.rint((questions @ docs.T) * 1e9) / 1e9
+
+
 def _search_copied(base: DataFrame, asked: DataFrame, dim: int, k: int, types: str) -> DataFrame:
     table = asked.toArrow()  # size checked by the caller
     block = base.sparkSession.sparkContext.broadcast(
@@ -181,7 +191,7 @@ def _search_copied(base: DataFrame, asked: DataFrame, dim: int, k: int, types: s
             if not batch.num_rows:
                 continue
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            scores = matrix @ _matrix(batch.column(1), dim).T
+            scores = _products(matrix, _matrix(batch.column(1), dim))
             for i, at in enumerate(_best(scores, ids, k)):
                 new_ids, new_scores = ids[at], scores[i][at]
                 if best_ids[i] is not None:
@@ -212,7 +222,7 @@ def _search_grid(base: DataFrame, asked: DataFrame, dim: int, k: int, types: str
         if not len(docs) or not len(questions):
             return pd.DataFrame({"qid": [], "doc_id": [], "score": []})
         ids = docs["doc_id"].to_numpy()
-        scores = np.stack(questions["q"].to_list()) @ np.stack(docs["v"].to_list()).T
+        scores = _products(np.stack(questions["q"].to_list()), np.stack(docs["v"].to_list()))
         rows = [(q, ids[at], scores[i][at]) for i, (q, at) in enumerate(zip(questions["qid"], _best(scores, ids, k)))]
         return pd.DataFrame({"qid": np.concatenate([[q] * len(d) for q, d, _ in rows]),
                              "doc_id": np.concatenate([d for _, d, _ in rows]),

@@ -46,7 +46,8 @@ def lookup(df: DataFrame, key: str, value, fallback_key: str | None = None, orde
     """The row whose key equals the value; with a fallback key, a match on it counts second."""
     hit = F.when(F.col(key) == value, 0)
     if fallback_key:
-        hit = hit.when(F.col(fallback_key) == value, 1)
+        # keys of different types are compared as text
+        hit = hit.when(F.col(fallback_key).cast("string") == str(value), 1)
     ranked = df.withColumn("_hit", hit).filter(F.col("_hit").isNotNull())
     return ranked.orderBy("_hit", *order).limit(1).drop("_hit")
 

@@ -27,20 +27,20 @@ def contains_pairs(patterns: DataFrame, texts: DataFrame, n: int = GRAM) -> Data
     distinct_texts = texts.select("text").distinct()
 
     index = distinct_texts.select("text", F.explode(grams(F.col("text"), n)).alias("gram"))
-    counts = index.groupBy("gram").agg(F.count("*").alias("_texts"))
+    counts = index.groupBy("gram").count()
     long = wanted.filter(F.length("pattern") >= n)
     routed = (long.select("pattern", F.explode(grams(F.col("pattern"), n)).alias("gram"))
               .join(counts, "gram", "left")
-              .groupBy("pattern").agg(F.min(F.struct(F.coalesce("_texts", F.lit(0)).alias("k"), "gram")).alias("best"))
+              .groupBy("pattern").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("k"), "gram")).alias("best"))
               .filter(F.col("best.k") > 0).select("pattern", F.col("best.gram").alias("gram")))
-    pairs = salted_join(index, routed, ["gram"]).filter(F.contains("text", F.col("pattern"))).select("pattern", "text")
+    pairs = salted_join(index, routed, ["gram"], counts).filter(F.contains("text", F.col("pattern"))).select("pattern", "text")
 
     short = wanted.filter(F.length("pattern") < n)
     sizes = F.flatten(F.array(*[F.coalesce(grams(F.col("text"), i), F.array().cast("array<string>"))
                                 for i in range(1, n)]))
     small_index = distinct_texts.select("text", F.explode(sizes).alias("pattern"))
-    pairs = pairs.unionByName(salted_join(small_index, short, ["pattern"]).select("pattern", "text"))
-    return salted_join(pairs, texts, ["text"])
+    pairs = pairs.unionByName(small_index.join(short, ["pattern"]).select("pattern", "text"))
+    return pairs.join(texts, ["text"])
 
 
 def infer_region(orgs: DataFrame, gazetteer: DataFrame, org: str = "org", name: str = "name",
@@ -51,4 +51,4 @@ def infer_region(orgs: DataFrame, gazetteer: DataFrame, org: str = "org", name:
         F.min(F.struct((-F.length("pattern")).alias("len"), "pattern")).alias("best")).select(
         F.col("text").alias(org), F.col("best.pattern").alias("matched_name"))
     place = longest.join(gazetteer.select(F.col(name).alias("matched_name"), *fields), "matched_name", "left")
-    return salted_join(orgs, place, [org], "left")
+    return orgs.join(place, [org], "left")

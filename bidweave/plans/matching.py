@@ -25,15 +25,15 @@ def _any(col, words):
 
 
 def _hits(col, words):
-    return "list_filter([" + ", ".join(f"'{w}'" for w in words) + f"], w -> contains({col}, w))"
+    return "list_filter([" + ", ".join(f"'{w}'" for w in words) + f"], lambda w: contains({col}, w))"
 
 
 def _cats():
     out = []
     for i, (name, rule) in enumerate(CATEGORIES.items()):
         hits = _hits("body", rule["keywords"])
-        out.append(f"SELECT doc_id, '{name}' AS category, {i} AS at, len({hits}) AS score, "
-                   f"list_aggregate(list_transform({hits}, w -> '命中:' || w), 'string_agg', '; ') AS reason "
+        out.append(f"SELECT doc_id, '{name}' AS category, {i} AS pos, len({hits}) AS score, "
+                   f"list_aggregate(list_transform({hits}, lambda w: '命中:' || w), 'string_agg', '; ') AS reason "
                    f"FROM d WHERE len({hits}) > 0 AND NOT {_any('body', rule['exclude'])}")
     return " UNION ALL ".join(out)
 
@@ -42,8 +42,8 @@ DOCS = "d AS (SELECT doc_id, source, text, coalesce(source, '') || ' ' || coales
 CATS = f"{DOCS}, cats AS ({_cats()})"
 _FIRST = "CASE " + " ".join(f"WHEN contains(body, '{w}') THEN '{w}'" for w in EXCLUDE) + " END"
 CASCADE = f"""{CATS}, best AS (
-  SELECT doc_id, string_agg(category || '(' || score || '分:' || reason || ')', '; ' ORDER BY score DESC, at) AS reason,
-    string_agg(category, ',' ORDER BY score DESC, at) AS categories FROM cats GROUP BY 1),
+  SELECT doc_id, string_agg(category || '(' || score || '分:' || reason || ')', '; ' ORDER BY score DESC, pos) AS reason,
+    string_agg(category, ',' ORDER BY score DESC, pos) AS categories FROM cats GROUP BY 1),
 verdict AS (SELECT doc_id, CASE
     WHEN length(text) < 100 OR (contains(text, '招标公告') AND NOT contains(text, '采购')) THEN '正文无实质采购需求内容'
     WHEN {_any('source', TITLE_SERVICE)} OR {_any('text', CONTENT_SERVICE)} THEN '服务类采购(非产品)'
@@ -83,9 +83,9 @@ ROUGH = rf"""p AS (SELECT page_id, trim(regexp_extract(html, '<title>([^<]+)</ti
     trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', '', 'g'), '<[^>]+>', ' ', 'g'), '[\s\x0B]+', ' ', 'g')) AS body FROM pages)"""
 
 
-@query("rough_match", f"""WITH {ROUGH}, h AS (SELECT page_id, list_filter([{', '.join(f"'{w}'" for w in _TERM)}], w -> contains(title, w) OR contains(body, w)) AS terms FROM p)
+@query("rough_match", f"""WITH {ROUGH}, h AS (SELECT page_id, list_filter([{', '.join(f"'{w}'" for w in _TERM)}], lambda w: contains(title, w) OR contains(body, w)) AS terms FROM p)
   SELECT page_id, len(terms) > 0 AS matched, array_to_string(terms, '|') AS terms,
-    array_to_string(list_filter([{', '.join("CASE WHEN " + " OR ".join(f"list_contains(terms, '{w}')" for w in ws) + f" THEN '{n}' END" for n, ws in TERMS.items())}], c -> c IS NOT NULL), '|') AS categories FROM h""")
+    array_to_string(list_filter([{', '.join("CASE WHEN " + " OR ".join(f"list_contains(terms, '{w}')" for w in ws) + f" THEN '{n}' END" for n, ws in TERMS.items())}], lambda c: c IS NOT NULL), '|') AS categories FROM h""")
 def rough_match(t):
     return L.rough_match(t.pages, "html", TERMS, address=["#street#"], footer=["#hotline#"]).select(
         "page_id", "matched", F.array_join("matched_terms", "|").alias("terms"), F.array_join("matched_categories", "|").alias("categories"))
@@ -94,7 +94,7 @@ def rough_match(t):
 INTENT = r"""b AS (SELECT doc_id, source,
     trim(regexp_replace(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '&[a-zA-Z]+;', ' ', 'g'), '[\s\x0B\x{0085}\x{00A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{3000}]+', ' ', 'g')) AS body FROM documents),
 """ + f"""i AS (SELECT doc_id, length(body) < 50 AS short, {_any("(source || ' ' || body)", [w for ws in LINES.values() for w in ws])} AND NOT ({_any('source', [])} OR {_any('body', ['车辆维修'])}) AS product,
-    list_filter([{', '.join("CASE WHEN " + _any("(source || ' ' || body)", ws) + f" THEN '{n}' END" for n, ws in LINES.items())}], x -> x IS NOT NULL) AS hits FROM b),
+    list_filter([{', '.join("CASE WHEN " + _any("(source || ' ' || body)", ws) + f" THEN '{n}' END" for n, ws in LINES.items())}], lambda x: x IS NOT NULL) AS hits FROM b),
 v AS (SELECT doc_id, CASE WHEN short THEN '正文缺失' WHEN product THEN '具体产品' ELSE '非具体产品' END AS intent_verdict,
     CASE WHEN product AND NOT short THEN hits ELSE [] END AS matched_products FROM i)"""
 

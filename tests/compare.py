@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 from pathlib import Path
@@ -57,8 +58,9 @@ def main() -> None:
     from bidweave.session import build_session
     args = sys.argv[1:]
     folder = args[0] if args else "/root/testdata/sf0.01"
+    extra = {"spark.driver.extraJavaOptions": os.environ["COMPARE_JAVA"]} if "COMPARE_JAVA" in os.environ else {}
     spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
-                                               "spark.driver.memory": "12g"})
+                                               "spark.driver.memory": "12g", **extra})
     spark.sparkContext.setLogLevel("ERROR")
     con, sqls, failed = connect(folder), oracle_sql(), []
     for name, fn in queries().items():
