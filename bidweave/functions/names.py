@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from bidweave import rules
-from bidweave.functions.text import col, contains_any, number_truthy, text_truthy, trim_blanks
+from bidweave.functions.text import col, contains_any, let, number_truthy, text_truthy, trim_blanks
 
 
 def normalize_project_name(c: Column | str, suffixes: Sequence[str] = tuple(rules.NAME_SUFFIXES)) -> Column:
@@ -39,8 +39,23 @@ def to_wan(c: Column | str) -> Column:
     return F.coalesce(col(c), F.lit(0.0)) / F.lit(10000.0)
 
 
+def two_digits(c: Column) -> Column:
+    """Fixed two-digit text of a double. Exact as C's printf: Java rounds the shortest decimal
+    form half up, so a value like 13.565 needs the sign of its binary remainder."""
+    def exact(x: Column) -> Column:
+        m = F.rint(x * 1000.0)
+        near_tie = (m / 1000.0 == x) & (F.abs(m % 10) == 5)
+        high = F.rint(x * 65536.0) / 65536.0
+        rest = (high * 1000.0 - m) + (x - high) * 1000.0
+        down, up = (m - 5.0) / 10.0, (m + 5.0) / 10.0
+        even = F.when(down % 2 == 0, down).otherwise(up)
+        tie = F.when(rest > 0, up).when(rest < 0, down).otherwise(even) / 100.0
+        return F.format_string("%.2f", F.when(near_tie, tie).otherwise(x))
+    return let(c, exact)
+
+
 def budget_display(c: Column | str) -> Column:
-    return F.when(number_truthy(c), F.format_string("%.2f万元", col(c) / F.lit(10000.0))).otherwise(F.lit("未知"))
+    return F.when(number_truthy(c), F.concat(two_digits(col(c) / F.lit(10000.0)), F.lit("万元"))).otherwise(F.lit("未知"))
 
 
 def tier(c: Column, bounds: Sequence[tuple], rest) -> Column:

@@ -14,12 +14,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bidweave.functions.text import col
 from bidweave.operators.filters import valid_vectors
 from bidweave.operators.keys import BROADCAST_ROWS, ROWS_PER_SALT, is_small, top_k
+from bidweave.session import cut
 
 # Okapi constants: term saturation, length weight, and the floor for terms in most documents
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -47,74 +48,111 @@ def tokens(c: Column | str, mode: str = "words") -> Column:
 
 def tokenize(df: DataFrame, key: str, text: str = "text", mode: str = "words") -> DataFrame:
     """(key, term, tf) rows."""
-    return df.select(key, F.explode(tokens(text, mode)).alias("term")).groupBy(key, "term").agg(
-        F.count("*").alias("tf"))
+    return df.select(key, F.explode_outer(tokens(text, mode)).alias("term")).filter(
+        F.col("term").isNotNull()).groupBy(key, "term").agg(F.count("*").alias("tf"))
+
+
+# Stands for "every document" among the terms; no token can be empty.
+EVERY = ""
 
 
 @dataclass
 class BM25Index:
-    """docs(doc_id, dl, tokens, flag columns), terms(term, df, idf, salts) and stats(docs, avgdl)."""
+    """docs(doc_id, tokens, dl, flag columns), counts(term, df, length), and three numbers:
+    documents, mean length, mean raw idf."""
 
     docs: DataFrame
-    terms: DataFrame
-    stats: DataFrame
+    counts: DataFrame
+    n_docs: int
+    avgdl: float
+    mean_idf: float
+
+    @property
+    def terms(self) -> DataFrame:
+        """(term, df, idf). A negative idf (term in more than half of the documents) is replaced
+        by EPSILON x mean idf."""
+        raw = _raw_idf(self.n_docs)
+        idf = F.when(raw < 0, F.lit(EPSILON * self.mean_idf)).otherwise(raw)
+        return self.counts.filter(F.col("term") != EVERY).select("term", "df", idf.alias("idf"))
+
 
+def _raw_idf(n_docs: int) -> Column:
+    return F.log(F.lit(float(n_docs)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
 
-def corpus_stats(docs: DataFrame) -> DataFrame:
+
+def document_counts(docs: DataFrame) -> DataFrame:
+    """(term, df, length) in one pass: every document lists each of its terms once, and the
+    empty term that stands for all documents carries the lengths. Counts combine in each task
+    before the shuffle, so frequent terms are cheap."""
+    listed = F.concat(F.array_distinct("tokens"), F.array(F.lit(EVERY)))
+    # outer: an inner explode would add a filter that tokenises every text a second time
+    rows = docs.select(F.explode_outer(listed).alias("term"), "dl")
+    return rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("length"))
+
+
+def corpus_stats(counts: DataFrame) -> DataFrame:
     """Number of documents and mean length, one row."""
-    return docs.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-
-
-def term_stats(docs: DataFrame) -> DataFrame:
-    """Document frequency and idf per term. A negative idf (term in more than half of the
-    documents) is replaced by EPSILON x mean idf. A document lists each term once before the
-    shuffle, and counts combine in each task, so frequent terms are cheap."""
-    df = docs.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    one = docs.agg(F.count("*").alias("n")).select(F.lit(1).alias("_one"), "n")
-    raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    with_idf = df.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one").withColumn("raw_idf", raw)
-    mean = with_idf.groupBy("_one").agg(F.avg("raw_idf").alias("mean_idf"))
-    return with_idf.join(F.broadcast(mean), "_one").select(
-        "term", "df", F.when(F.col("raw_idf") < 0, F.lit(EPSILON) * F.col("mean_idf")).otherwise(F.col("raw_idf")).alias("idf"),
-        F.ceil(F.col("df") / ROWS_PER_SALT).cast("int").alias("salts"))
+    return counts.filter(F.col("term") == EVERY).select(
+        F.col("df").alias("n_docs"), (F.col("length") / F.col("df")).alias("avgdl"))
+
+
+def _index(docs: DataFrame, counts: DataFrame) -> BM25Index:
+    whole = corpus_stats(counts).first()
+    n, avgdl = (whole["n_docs"], whole["avgdl"]) if whole else (0, 0.0)
+    mean = counts.filter(F.col("term") != EVERY).agg(F.avg(_raw_idf(n))).first()[0]
+    return BM25Index(docs, counts, n, avgdl, mean or 0.0)
 
 
 def bm25_index(df: DataFrame, key: str, text: str = "text", mode: str = "words", keep: tuple[str, ...] = ()) -> BM25Index:
-    """Index tables of a corpus; write them out to search a corpus many times."""
+    """Index of a corpus. The term counts are stored; use write_index to keep the tokens too."""
     docs = df.select(F.col(key).alias("doc_id"), tokens(text, mode).alias("tokens"), *keep)
     docs = docs.withColumn("dl", F.size("tokens"))
-    return BM25Index(docs, term_stats(docs), corpus_stats(docs))
+    return _index(docs, cut(document_counts(docs)))
+
+
+def write_index(index: BM25Index, path: str) -> None:
+    """Store the index tables; read_index searches them any number of times."""
+    index.docs.write.mode("overwrite").parquet(f"{path}/docs")
+    index.counts.write.mode("overwrite").parquet(f"{path}/counts")
+
+
+def read_index(spark: SparkSession, path: str) -> BM25Index:
+    return _index(spark.read.parquet(f"{path}/docs"), spark.read.parquet(f"{path}/counts"))
 
 
 def query_weights(index: BM25Index, queries: DataFrame, qid: str, text: str, mode: str = "words") -> DataFrame:
-    """(qid, term, weight): idf times how often the query names the term."""
+    """(qid, term, weight, salts): idf times how often the query names the term; salts tells
+    over how many cells the documents of a frequent term are spread."""
     terms = tokenize(queries.select(F.col(qid).alias("qid"), F.col(text).alias("text")), "qid", "text", mode)
-    return terms.join(index.terms.select("term", "idf", "salts"), ["term"]).select(
-        "qid", "term", (F.col("tf") * F.col("idf")).alias("weight"), "salts")
+    return terms.join(index.terms, "term").select(
+        "qid", "term", (F.col("tf") * F.col("idf")).alias("weight"),
+        F.ceil(F.col("df") / ROWS_PER_SALT).cast("int").alias("salts"))
 
 
 def bm25_scores(index: BM25Index, queries: DataFrame, qid: str, text: str = "text", mode: str = "words",
                 keep: tuple[str, ...] = (), broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(qid, doc_id, score) of every document that shares a term with the query."""
-    weights = query_weights(index, queries, qid, text, mode)
+    # one row per query term; stored, because it is used twice and its size decides the plan
+    weights = cut(query_weights(index, queries, qid, text, mode))
     tf = F.col("tf")
-    one = index.stats.select(F.lit(1).alias("_one"), "avgdl")
-    part = F.col("weight") * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))
+    norm = tf + K1 * (1 - B + B * F.col("dl") / F.lit(float(index.avgdl)))
+    part = F.col("weight") * (tf * (K1 + 1) / norm)
     head = ["doc_id", "dl", *keep]
     if is_small(weights, broadcast_rows):
         vocabulary = F.broadcast(weights.select("term").distinct())
         # one shuffle, by document; the groupings below are already partitioned by it
-        rows = index.docs.select(*head, "tokens").repartition("doc_id").select(*head, F.explode("tokens").alias("term"))
+        rows = index.docs.select(*head, "tokens").repartition("doc_id").select(*head, F.explode_outer("tokens").alias("term"))
         postings = rows.join(vocabulary, "term", "left_semi").groupBy(*head, "term").agg(F.count("*").alias("tf"))
-        scored = postings.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one").join(F.broadcast(weights), "term")
+        scored = postings.join(F.broadcast(weights), "term")
     else:
         # too many query terms to copy to every task: join by term, frequent terms spread over salts
-        rows = index.docs.select(*head, F.explode("tokens").alias("term")).groupBy(*head, "term").agg(F.count("*").alias("tf"))
-        salts = F.coalesce(F.col("salts"), F.lit(1))
-        rows = rows.join(index.terms.select("term", "salts"), "term").withColumn(
-            "_salt", F.pmod(F.xxhash64("doc_id"), salts).cast("int")).drop("salts")
-        spread = weights.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
-        scored = rows.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one").join(spread, ["term", "_salt"])
+        rows = index.docs.select(*head, F.explode_outer("tokens").alias("term")).groupBy(*head, "term").agg(F.count("*").alias("tf"))
+        spread_over = index.counts.select("term", F.ceil(F.col("df") / ROWS_PER_SALT).cast("int").alias("_salts"))
+        hot = F.broadcast(spread_over.filter(F.col("_salts") > 1))  # at most postings / ROWS_PER_SALT terms
+        rows = rows.join(hot, "term", "left").withColumn(
+            "_salt", F.pmod(F.xxhash64("doc_id"), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
+        spread = weights.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+        scored = rows.join(spread, ["term", "_salt"])
     return scored.groupBy("doc_id", *keep, "qid").agg(settle(F.sum(part)).alias("score"))
 
 

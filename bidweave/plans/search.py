@@ -59,7 +59,7 @@ def term_stats(t):
 
 @query("corpus_stats", f"WITH {BM25} SELECT n AS n_docs, round(avgdl, 6) AS avgdl FROM st")
 def corpus_stats(t):
-    return index(t).stats.select("n_docs", F.round("avgdl", 6).alias("avgdl"))
+    return SE.corpus_stats(index(t).counts).select("n_docs", F.round("avgdl", 6).alias("avgdl"))
 
 
 @query("tokenize", f"WITH {BM25} SELECT doc_id, term, tf FROM tf")
@@ -146,7 +146,7 @@ def products_for_tenders(t):
     return found.select("qid", "doc_id", F.col("rank").cast("long").alias("rank"), "score")
 
 
-PROJECT_HITS = f"""{LIFECYCLE.replace('WITH ', '', 1)}, {fused_sql(500)}, {{boost}}
+PROJECT_HITS = f"""{LIFECYCLE.replace('WITH ', '', 1)}, {fused_sql(500)},
   rolled AS (SELECT qid, n.project_name_std, n.buyer_name_std AS buyer_name, avg(rrf) AS rrf, avg(vector_score) AS vector_score, avg(bm25_score) AS bm25_score,
     avg(bm25_norm) AS bm25_norm, count(*) AS match_count FROM fused JOIN notices n ON n.tender_id = doc_id GROUP BY 1, 2, 3)"""
 
@@ -157,7 +157,7 @@ def project_hits(t, k):
     return hits, where, project_events(t.notices)
 
 
-@query("project_search", f"""WITH {PROJECT_HITS.format(boost='')},
+@query("project_search", f"""WITH {PROJECT_HITS},
   s AS (SELECT r.*, p.status, p.total_budget, round(r.rrf * 1000 * b, 4) AS score, round(b, 4) AS client_boost FROM rolled r JOIN projects p USING (project_name_std, buyer_name),
     LATERAL (SELECT CASE WHEN p.opportunity_score <> 0 THEN 1.0::DOUBLE + (0.8::DOUBLE + p.opportunity_score / 100.0::DOUBLE * 0.4::DOUBLE - 1.0::DOUBLE) * 0.5::DOUBLE ELSE 1.0::DOUBLE END AS b)
     WHERE p.status <> '已中标')
@@ -169,7 +169,7 @@ def project_search(t):
                         F.col("rank").cast("long").alias("rank"))
 
 
-@query("project_search_by_date", f"""WITH {PROJECT_HITS.format(boost='')},
+@query("project_search_by_date", f"""WITH {PROJECT_HITS},
   s AS (SELECT r.*, p.latest_publish_date, round(r.rrf * 1000, 4) AS score FROM rolled r JOIN projects p USING (project_name_std, buyer_name)),
   k AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, project_name_std, buyer_name) <= 10)
   SELECT qid, project_name_std, buyer_name, latest_publish_date, score,
@@ -179,7 +179,7 @@ def project_search_by_date(t):
     return found.select("qid", "project_name_std", "buyer_name", "latest_publish_date", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@query("direct_search", f"""WITH {PROJECT_HITS.format(boost='').replace('<= 500', '<= 1500')},
+@query("direct_search", f"""WITH {PROJECT_HITS.replace('<= 500', '<= 1500')},
   s AS (SELECT r.*, p.total_budget, p.status, p.event_count, p.latest_publish_date, round(r.rrf * 1000, 4) AS score FROM rolled r JOIN projects p USING (project_name_std, buyer_name)),
   k AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, project_name_std, buyer_name) <= 30)
   SELECT qid, project_name_std || '@' || buyer_name AS tender_id, score, CASE WHEN total_budget <> 0 THEN printf('%.2f万元', total_budget / 10000) ELSE '未知' END AS budget_display,

@@ -33,11 +33,16 @@ def notice_stream(spark: SparkSession, path: str, schema: StructType, fmt: str =
     return reader.load(path)
 
 
+def _timed(df: DataFrame, ts: str, delay: str) -> DataFrame:
+    """Watermark for a stream (times without a zone are read in the session zone); batches pass."""
+    return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay) if df.isStreaming else df
+
+
 def dedup_stream(df: DataFrame, ts: str, delay: str, url: str | None = None, key: Sequence[str] = ()) -> DataFrame:
     """First arrival per key (canonical URL by default) within the delay."""
     if url:
         df, key = df.withColumn("canonical", canonical_url(url)), ["canonical"]
-    return df.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(key))
+    return _timed(df, ts, delay).dropDuplicatesWithinWatermark(list(key))
 
 
 def upsert_batch(table: str, key: str, order: Sequence[str], category_rules: dict = rules.CATEGORY_RULES, **filter_options):
@@ -77,7 +82,7 @@ def project_state(df: DataFrame, ts: str = "publish_date") -> DataFrame:
 def windowed_counts(df: DataFrame, ts: str, category: str, size: str, slide: str | None = None, delay: str = "1 day") -> DataFrame:
     """Counts per category and time bucket (tumbling, or sliding when `slide` is given)."""
     span = F.window(ts, size, slide) if slide else F.window(ts, size)
-    marked = df.withWatermark(ts, delay) if df.isStreaming else df
+    marked = _timed(df, ts, delay)
     return marked.groupBy(span.alias("w"), category).agg(F.count("*").alias("n")).select(
         F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), category, "n")
 
@@ -91,7 +96,7 @@ def enrich_stream(df: DataFrame, profiles: DataFrame, buyer: str = "buyer_name_s
 def blocked_counts(df: DataFrame, blocked: Column, ts: str, keyword: str = "keyword", size: str = "1 hour",
                    delay: str = "10 minutes") -> DataFrame:
     """Blocked pages per keyword and window of a running crawl."""
-    marked = df.withWatermark(ts, delay) if df.isStreaming else df
+    marked = _timed(df, ts, delay)
     return marked.groupBy(F.window(ts, size).alias("w"), keyword).agg(F.count_if(blocked).alias("blocked"),
                                                                     F.count("*").alias("attempts"))
 

@@ -48,7 +48,8 @@ def check(spark, con, fn, sql: str | None, folder: str) -> tuple[bool, str]:
              if str(got.schema.field(n).type).replace("large_", "").split("[")[0] != str(want.schema.field(n).type).split("[")[0]]
     a, b = rows(got), rows(want)
     if a != b:
-        only_a, only_b = [r for r in a if r not in set(b)], [r for r in b if r not in set(a)]
+        in_a, in_b = set(a), set(b)
+        only_a, only_b = [r for r in a if r not in in_b], [r for r in b if r not in in_a]
         return False, f"rows {len(a)}/{len(b)} spark-only {only_a[:3]} sql-only {only_b[:3]}"
     return got.num_rows > 0, f"rows={got.num_rows} {'types ' + str(types) if types else ''}"
 
