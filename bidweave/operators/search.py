@@ -201,11 +201,10 @@ def vector_search(vectors: DataFrame, queries: DataFrame, dim: int, k: int = 10,
     base = vector_table(vectors, dim, key, vector).select(F.col(key).alias("doc_id"), F.col(vector).alias("v"))
     asked = vector_table(queries, dim, qid, vector).select(F.col(qid).alias("qid"), F.col(vector).alias("q"))
     types = f"qid {asked.schema['qid'].dataType.simpleString()}, doc_id {base.schema['doc_id'].dataType.simpleString()}, score double"
-    n_queries = asked.count()
-    if n_queries * dim * 8 <= broadcast_bytes:
-        local = _search_copied(base, asked, dim, k, types)
-    else:
-        local = _search_grid(base, asked, dim, k, types, max(1, broadcast_bytes // (dim * 8)), n_queries)
+    block = max(1, broadcast_bytes // (dim * 8))
+    table = asked.limit(block + 1).toArrow()  # never more than one block comes to the driver
+    local = (_search_copied(base, table, dim, k, types) if table.num_rows <= block
+             else _search_grid(base, asked, k, types, block))
     return top_k(local, k, [F.col("score").desc(), F.col("doc_id")], ["qid"], "rank")
 
 
@@ -214,8 +213,7 @@ def _products(questions: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return np.rint((questions @ docs.T) * 1e9) / 1e9
 
 
-def _search_copied(base: DataFrame, asked: DataFrame, dim: int, k: int, types: str) -> DataFrame:
-    table = asked.toArrow()  # size checked by the caller
+def _search_copied(base: DataFrame, table: pa.Table, dim: int, k: int, types: str) -> DataFrame:
     block = base.sparkSession.sparkContext.broadcast(
         (table.column("qid").to_numpy(), _matrix(table.column("q").combine_chunks(), dim) if table.num_rows else None))
 
@@ -247,9 +245,8 @@ def _search_copied(base: DataFrame, asked: DataFrame, dim: int, k: int, types: s
     return base.mapInArrow(scan, types)
 
 
-def _search_grid(base: DataFrame, asked: DataFrame, dim: int, k: int, types: str, block_rows: int,
-                 n_queries: int) -> DataFrame:
-    q_blocks = -(-n_queries // block_rows)
+def _search_grid(base: DataFrame, asked: DataFrame, k: int, types: str, block_rows: int) -> DataFrame:
+    q_blocks = -(-asked.count() // block_rows)
     v_blocks = max(1, -(-base.count() // block_rows))
     left = base.withColumn("vb", F.pmod(F.xxhash64("doc_id"), F.lit(v_blocks)).cast("int")).withColumn(
         "qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
