@@ -14,9 +14,9 @@ from bidweave.functions.text import col, contains_any, let, number_truthy, text_
 
 def normalize_project_name(c: Column | str, suffixes: Sequence[str] = tuple(rules.NAME_SUFFIXES)) -> Column:
     """Strip announcement endings in list order, then bracketed parts, then blanks."""
-    name = F.coalesce(col(c), F.lit(""))
-    for suffix in suffixes:
-        name = F.regexp_replace(name, re.escape(suffix) + r"\z", "")
+    # one after another from the end: the first listed ending is the outermost
+    endings = "".join(f"(?:{re.escape(s)})?" for s in reversed(list(suffixes))) + r"\z"
+    name = F.regexp_replace(F.coalesce(col(c), F.lit("")), endings, "")
     return trim_blanks(F.regexp_replace(name, r"（.*?）|\(.*?\)", ""))
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidweave.functions.text import col
+from bidweave.functions.text import col, let
 from bidweave.operators.filters import valid_vectors
 from bidweave.operators.keys import BROADCAST_ROWS, ROWS_PER_SALT, is_small, top_k
 from bidweave.session import cut
@@ -42,8 +42,12 @@ def tokens(c: Column | str, mode: str = "words") -> Column:
     text = F.lower(F.coalesce(col(c), F.lit("")))
     if mode == "chars":
         return F.filter(F.split(text, ""), lambda t: t != "")
-    return F.concat(F.regexp_extract_all(text, F.lit(WORDS), F.lit(0)),
-                    F.regexp_extract_all(text, F.lit(HAN_PAIRS), F.lit(1)))
+
+    def words(t: Column) -> Column:
+        pairs = F.when(F.rlike(t, F.lit(f"[{_HAN}]")), F.regexp_extract_all(t, F.lit(HAN_PAIRS), F.lit(1)))
+        return F.concat(F.regexp_extract_all(t, F.lit(WORDS), F.lit(0)),
+                        F.coalesce(pairs, F.array().cast("array<string>")))
+    return let(text, words)
 
 
 def tokenize(df: DataFrame, key: str, text: str = "text", mode: str = "words") -> DataFrame:
@@ -58,7 +62,7 @@ EVERY = ""
 
 @dataclass
 class BM25Index:
-    """docs(doc_id, tokens, dl, flag columns), counts(term, df, length), and three numbers:
+    """docs(doc_id, flag columns, tokens, dl) partitioned by doc_id, counts(term, df, length), and three numbers:
     documents, mean length, mean raw idf."""
 
     docs: DataFrame
@@ -104,10 +108,14 @@ def _index(docs: DataFrame, counts: DataFrame) -> BM25Index:
 
 
 def bm25_index(df: DataFrame, key: str, text: str = "text", mode: str = "words", keep: tuple[str, ...] = ()) -> BM25Index:
-    """Index of a corpus. The term counts are stored; use write_index to keep the tokens too."""
-    docs = df.select(F.col(key).alias("doc_id"), tokens(text, mode).alias("tokens"), *keep)
-    docs = docs.withColumn("dl", F.size("tokens"))
-    return _index(docs, cut(document_counts(docs)))
+    """Index of a corpus. The term counts are stored, the documents stay a plan: texts move to
+    the partition of their document once, and become tokens there. Use write_index to store
+    the tokens too."""
+    def tokenized(rows: DataFrame) -> DataFrame:
+        return rows.select("doc_id", *keep, tokens("_text", mode).alias("tokens")).withColumn("dl", F.size("tokens"))
+
+    rows = df.select(F.col(key).alias("doc_id"), F.col(text).alias("_text"), *keep)
+    return _index(tokenized(rows.repartition("doc_id")), cut(document_counts(tokenized(rows))))
 
 
 def write_index(index: BM25Index, path: str) -> None:
@@ -117,7 +125,7 @@ def write_index(index: BM25Index, path: str) -> None:
 
 
 def read_index(spark: SparkSession, path: str) -> BM25Index:
-    return _index(spark.read.parquet(f"{path}/docs"), spark.read.parquet(f"{path}/counts"))
+    return _index(spark.read.parquet(f"{path}/docs").repartition("doc_id"), spark.read.parquet(f"{path}/counts"))
 
 
 def query_weights(index: BM25Index, queries: DataFrame, qid: str, text: str, mode: str = "words") -> DataFrame:
@@ -138,15 +146,15 @@ def bm25_scores(index: BM25Index, queries: DataFrame, qid: str, text: str = "tex
     norm = tf + K1 * (1 - B + B * F.col("dl") / F.lit(float(index.avgdl)))
     part = F.col("weight") * (tf * (K1 + 1) / norm)
     head = ["doc_id", "dl", *keep]
+    rows = index.docs.select(*head, F.explode_outer("tokens").alias("term"))
     if is_small(weights, broadcast_rows):
         vocabulary = F.broadcast(weights.select("term").distinct())
-        # one shuffle, by document; the groupings below are already partitioned by it
-        rows = index.docs.select(*head, "tokens").repartition("doc_id").select(*head, F.explode_outer("tokens").alias("term"))
+        # the groupings below are already partitioned by document: no further shuffle
         postings = rows.join(vocabulary, "term", "left_semi").groupBy(*head, "term").agg(F.count("*").alias("tf"))
         scored = postings.join(F.broadcast(weights), "term")
     else:
         # too many query terms to copy to every task: join by term, frequent terms spread over salts
-        rows = index.docs.select(*head, F.explode_outer("tokens").alias("term")).groupBy(*head, "term").agg(F.count("*").alias("tf"))
+        rows = rows.groupBy(*head, "term").agg(F.count("*").alias("tf"))
         spread_over = index.counts.select("term", F.ceil(F.col("df") / ROWS_PER_SALT).cast("int").alias("_salts"))
         hot = F.broadcast(spread_over.filter(F.col("_salts") > 1))  # at most postings / ROWS_PER_SALT terms
         rows = rows.join(hot, "term", "left").withColumn(

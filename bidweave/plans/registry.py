@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bidweave.sources.files import read_texts
+
 Query = Callable[["Tables"], DataFrame]
+TEXTS = {"documents": "doc_id", "pages": "page_id"}  # tables of long texts and their keys
 QUERIES: dict[str, tuple[Query, str | None]] = {}
 
 
@@ -30,7 +33,8 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        path = f"{self.folder}/{name}.parquet"
+        return read_texts(self.spark, path, TEXTS[name]) if name in TEXTS else self.spark.read.parquet(path)
 
     @property
     def notices(self) -> DataFrame:

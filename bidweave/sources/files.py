@@ -33,6 +33,15 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType, on_bad: str =
         return spark.createDataFrame([], schema if on_bad == "drop" else wide)
 
 
+def read_texts(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """A Parquet table of long texts. When its files give fewer splits than there are cores (one
+    big row group, say), rows are spread by key so that text work uses all cores; a table
+    with enough splits is read as it is."""
+    table, cores = spark.read.parquet(path), spark.sparkContext.defaultParallelism
+    # a bare scan: asking for its partitions runs nothing
+    return table.repartition(cores, key) if table.rdd.getNumPartitions() < cores else table
+
+
 def read_json_any(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """A .jsonl file by lines; any other file as a JSON array, or by lines when it is none."""
     if path.lower().endswith(".jsonl"):
