@@ -11,6 +11,7 @@ from bidweave.functions.text import first_text, preview
 from bidweave.operators.filters import post_filter
 from bidweave.operators.keys import keep_last, top_k
 from bidweave.operators.search import BM25Index, bm25_scores, vector_search
+from bidweave.session import cut
 
 RRF_K = 60
 WIDE, NARROW = 50, 5
@@ -150,8 +151,10 @@ def _no_evidence(index: BM25Index, queries: DataFrame, rows: DataFrame, k: int)
 def hits_to_projects(hits: DataFrame, notices: DataFrame, events: DataFrame) -> DataFrame:
     """Hits with the project of their notice: notices (doc_id, url) meet project events by URL.
     Where a URL occurs in several projects the last one (by key) stands."""
-    owner = keep_last(events.select("url", "project_name_std", "buyer_name"), "url", ["project_name_std", "buyer_name"])
-    return hits.join(notices.select("doc_id", "url"), "doc_id").join(owner, ["url"])
+    # hits are few (queries x candidates): stored once, they thin out the events before the sort
+    located = cut(hits.join(notices.select("doc_id", "url"), "doc_id"))
+    wanted = events.select("url", "project_name_std", "buyer_name").join(located.select("url").distinct(), "url", "left_semi")
+    return located.join(keep_last(wanted, "url", ["project_name_std", "buyer_name"]), ["url"])
 
 
 def client_boost(avg: Column, weight: float) -> Column:
