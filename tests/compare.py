@@ -37,7 +37,7 @@ def rows(table) -> list[tuple]:
     return sorted((tuple(value(v) for v in r) for r in zip(*cols)), key=lambda r: tuple((x is None, x or "") for x in r))
 
 
-def check(spark, con, fn, sql: str | None, folder: str) -> tuple[bool, str]:
+def check(spark, con, fn, sql: str | None, folder: str, need_rows: bool = True) -> tuple[bool, str]:
     got = fn(spark, folder).toArrow()
     if sql is None:
         return got.num_rows > 0, f"rows={got.num_rows} (no SQL)"
