@@ -44,6 +44,17 @@ def attachment_count(c: Column | str) -> Column:
     return F.coalesce(F.json_array_length(col(c)), F.lit(0))
 
 
+def nested_count(c: Column | str) -> Column:
+    return F.coalesce(F.array_size(col(c)), F.lit(0))
+
+
+def nested_sum(c: Column | str, field: str) -> Column:
+    """Sum of a field over nested rows; values that are no number count as 0."""
+    items = F.coalesce(F.transform(col(c), lambda x: F.coalesce(x[field].try_cast("double"), F.lit(0.0))),
+                       F.array().cast("array<double>"))
+    return F.aggregate(items, F.lit(0.0), lambda a, x: a + x)
+
+
 def metadata_json(**fields: Column | str) -> Column:
     return F.to_json(F.struct(*[col(c).alias(name) for name, c in fields.items()]), {"ignoreNullFields": "false"})
 

@@ -222,6 +222,21 @@ def result_cards(found: DataFrame, min_score: float = 0.0) -> DataFrame:
         preview(text("content_summary")).alias("summary"))
 
 
+def notice_cards(found: DataFrame, notices: DataFrame, min_score: float = 0.0) -> DataFrame:
+    """Display rows of single notices: hits with the fields of their notice."""
+    def text(name: str, missing: str = "") -> Column:
+        return F.coalesce(F.nullif(F.col(name).cast("string"), F.lit("")), F.lit(missing))
+
+    rows = found.filter(F.col("score") >= min_score).join(notices, "doc_id")
+    return rows.select(
+        "qid", "rank", F.col("doc_id").cast("string").alias("tender_id"), "score", "vector_score", "bm25_score", "bm25_norm_score",
+        "rrf_raw_score", text("buyer_name_std", "未知单位").alias("buyer_name_std"), "project_name",
+        F.concat(F.lit("采购项目: "), text("project_name"), F.lit(" | 需求: "), text("application_scenario", "暂无")).alias("document_preview"),
+        text("source_url", "#").alias("detail_url"), F.coalesce(F.date_format("publish_date", "yyyy-MM-dd"), F.lit("未知时间")).alias("publish_date"),
+        text("province").alias("province"), text("city").alias("city"), "budget_amount", budget_display("budget_amount").alias("budget_display"),
+        preview(text("content_summary")).alias("summary"))
+
+
 def with_detail_url(hits: DataFrame, notices: DataFrame) -> DataFrame:
     """Hits with the page of their notice."""
     return hits.join(notices.select("doc_id", F.col("url").alias("detail_url")), ["doc_id"], "left")

@@ -94,6 +94,24 @@ def rule_extract(details: DataFrame, name: str = "title", content: str = "conten
         N.opportunity_score(amount, buyer, method, F.lit(0)).alias("opportunity_score"), F.lit("rules").alias("llm_model"))
 
 
+def ask_intent(records: DataFrame, key: str, model: Callable[[], Model], title: str = "list_title",
+               body: str = "detail_body_preview", min_chars: int = 50) -> DataFrame:
+    """Model form of the intent check: intent_verdict, matched_products and reason per record.
+    Too short texts are not asked; a failed call and an unreadable reply are verdicts of their own."""
+    rows = records.withColumn("_body", H.segment_intent(body)).withColumn("_short", F.length("_body") < min_chars)
+    prompt = F.concat(F.lit("标题："), F.coalesce(F.col(title), F.lit("")), F.lit("\n需求："), F.col("_body"))
+    replies = ask(rows.filter(~F.col("_short")).withColumn("_prompt", prompt), key, "_prompt", model)
+    reply = J.reply_to_struct("reply", "struct<intent_verdict:string,matched_products:array<string>,reason:string>")
+    told = replies.select(key, F.col("reply").isNull().alias("_failed"), reply.alias("r"))
+    verdict = (F.when(F.col("_short"), rules.VERDICT_MISSING).when(F.col("_failed"), rules.VERDICT_FAILED)
+               .when(F.col("r").isNull() | F.col("r.intent_verdict").isNull(), rules.VERDICT_UNREADABLE)
+               .otherwise(F.col("r.intent_verdict")))
+    empty = F.array().cast("array<string>")
+    return rows.join(told, key, "left").select(
+        *records.columns, verdict.alias("intent_verdict"), F.coalesce("r.matched_products", empty).alias("matched_products"),
+        F.coalesce("r.reason", F.lit("")).alias("reason"))
+
+
 EXTRACT_FIELDS = ("buyer_name_std string, agency_name_std string, province string, city string, budget_raw string, "
                   "budget_amount double, winning_bidder array<string>, winning_amount double, product_keywords array<string>, "
                   "application_scenario string, technical_requirements_summary string, content_summary string, "

@@ -256,9 +256,9 @@ def _search_copied(base: DataFrame, table: pa.Table, dim: int, k: int, types: st
 def _search_grid(base: DataFrame, asked: DataFrame, k: int, types: str, block_rows: int) -> DataFrame:
     q_blocks = -(-asked.count() // block_rows)
     v_blocks = max(1, -(-base.count() // block_rows))
-    left = base.withColumn("vb", F.pmod(F.xxhash64("doc_id"), F.lit(v_blocks)).cast("int")).withColumn(
+    left = base.withColumn("vb", F.pmod(F.xxhash64("doc_id", "v"), F.lit(v_blocks)).cast("int")).withColumn(
         "qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    right = asked.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(q_blocks)).cast("int")).withColumn(
+    right = asked.withColumn("qb", F.pmod(F.xxhash64("qid", "q"), F.lit(q_blocks)).cast("int")).withColumn(
         "vb", F.explode(F.sequence(F.lit(0), F.lit(v_blocks - 1))))
 
     def cell(docs: pd.DataFrame, questions: pd.DataFrame) -> pd.DataFrame:

@@ -12,6 +12,7 @@ from bidweave.functions.jsonx import meta
 from bidweave.functions.names import tier
 from bidweave.functions.text import text_truthy
 from bidweave.functions.urls import canonical_url
+from bidweave.operators.keys import collect_parts
 from bidweave.operators.tables import STATUS_NEW
 
 
@@ -135,9 +136,12 @@ def winning_rollup(packages: DataFrame, key: str = "tender_id") -> DataFrame:
 
 
 def winning_parties(packages: DataFrame, key: str = "tender_id") -> DataFrame:
-    """Winners and products per notice as sorted arrays. A notice has few packages by nature;
-    the distinct step runs first and is combined before the shuffle."""
-    def side(column: str) -> DataFrame:
-        rows = packages.select(key, column).filter(text_truthy(column)).distinct()
-        return rows.groupBy(key).agg(F.sort_array(F.collect_list(column)).alias(column))
-    return side("winning_bidder").join(side("winning_product"), key, "full")
+    """Distinct (notice, field, value) rows: all winning bidders and all winning products."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in ("winning_bidder", "winning_product")])
+    return packages.select(key, F.inline(pairs)).filter(text_truthy("value")).distinct()
+
+
+def winning_parties_nested(packages: DataFrame, key: str = "tender_id", part_rows: int = 1000) -> DataFrame:
+    """The same values as sorted arrays, in numbered parts of bounded size."""
+    parts = collect_parts(winning_parties(packages, key), [key, "field"], ["value"], ["value"], part_rows)
+    return parts.withColumn("items", F.transform("items", lambda i: i["value"]))

@@ -123,6 +123,30 @@ def link_structured(structured: DataFrame, tenders: DataFrame, url: str = "sourc
     return with_row_key(structured.join(side, url, "left"), url)
 
 
+def with_structured(tenders: DataFrame, structured: DataFrame, key: str = "id", nested: bool = False) -> DataFrame:
+    """Notices with their structured record, as columns or as one struct; notices without a
+    record stay. structured carries the notice key as tender_id."""
+    side = structured.withColumnRenamed("tender_id", key)
+    fields = [c for c in side.columns if c != key]
+    if nested:
+        side = side.select(key, F.struct(*fields).alias("structured"))
+    else:
+        side = side.select(key, *[c for c in fields if c not in tenders.columns])
+    return tenders.join(side, key, "left")
+
+
+def latest_structured(tenders: DataFrame, structured: DataFrame, n: int, order: Sequence[str], key: str = "id") -> DataFrame:
+    """The n newest notices that have a structured record."""
+    have = tenders.join(structured.select(F.col("tender_id").alias(key)), key, "left_semi")
+    return latest(have, n, *order)
+
+
+def with_profile(requests: DataFrame, profiles: DataFrame, name: str = "customer_name") -> DataFrame:
+    """Requests with the profile of the customer they name; null when there is none."""
+    side = profiles.select(name, F.struct(*[c for c in profiles.columns if c != name]).alias("profile"))
+    return requests.join(side, name, "left")
+
+
 def split_cached(requests: DataFrame, cache: DataFrame, key: str, order: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """(requests answered by the first cached row of their key, requests still to do)."""
     first = keep_first(cache, key, [F.col(c) for c in order])

@@ -72,6 +72,13 @@ def json_fields(t):
                            F.size(J.as_array("o_orderpriority")).alias("single"), urls.alias("urls"), J.attachment_count(urls).alias("attachments"))
 
 
+@query("nested_totals", """SELECT o_orderkey, 3 AS n, round(o_totalprice * 2, 2) AS total FROM orders""")
+def nested_totals(t):
+    value = F.col("o_totalprice").cast("string")
+    items = F.array(*[F.struct(v.alias("value")) for v in (value, F.lit("n/a"), value)])
+    return t.orders.select("o_orderkey", J.nested_count(items).alias("n"), F.round(J.nested_sum(items, "value"), 2).alias("total"))
+
+
 @query("safe_casts", """SELECT event_id, coalesce(TRY_CAST(CASE WHEN event_type = 'error' THEN 'n/a' ELSE CAST(value AS VARCHAR) END AS DOUBLE), 0.0) AS number,
   event_type = 'click' AS flag, md5(event_type || '||' || user_id) AS cache_key, event_type NOT IN ('', 'nan') AS real FROM events""")
 def safe_casts(t):

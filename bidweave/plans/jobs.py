@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from bidweave.functions.names import cache_key
-from bidweave.functions.text import product_text, tender_text
+from bidweave.functions.text import product_text, search_text, spec_text, tender_text
 from bidweave.operators import infer as I
 from bidweave.operators.search import vector_search
 from bidweave.plans.registry import NOTICES, query
@@ -74,6 +74,22 @@ def suggest(t):
     return answers.select("cache_key", "prompt", strip.alias("suggestions"))
 
 
+def _verdict_model():
+    def answer(prompts):
+        return [None if len(p) % 7 == 0 else "不清楚" if len(p) % 7 == 1 else
+                json.dumps({"intent_verdict": "具体产品", "matched_products": ["甲"], "reason": "r"}, ensure_ascii=False) for p in prompts]
+    return answer
+
+
+@query("ask_intent", r"""WITH b AS (SELECT conv_id, turn, length(trim(regexp_replace(text, '[\s\x0B\x{00A0}\x{3000}]+', ' ', 'g'))) AS n, length(role) AS m FROM conversations), x AS (SELECT *, (n + m + 7) % 7 AS k FROM b)
+  SELECT conv_id, turn, CASE WHEN n < 50 THEN '正文缺失' WHEN k = 0 THEN 'LLM调用失败' WHEN k = 1 THEN '解析失败' ELSE '具体产品' END AS intent_verdict,
+    CASE WHEN n >= 50 AND k > 1 THEN '甲' ELSE '' END AS matched FROM x""")
+def ask_intent(t):
+    rows = t.conversations.withColumn("key", F.concat_ws("-", "conv_id", "turn"))
+    got = I.ask_intent(rows, "key", _verdict_model, "role", "text")
+    return got.select("conv_id", "turn", "intent_verdict", F.array_join("matched_products", "").alias("matched"))
+
+
 @query("embedding_texts", f"""WITH {NOTICES} SELECT tender_id, '采购关键词: ' || announce_type || ', ' || city || ' | 应用场景: ' || application_scenario || ' | 技术要求摘要: '
   || technical_requirements_summary || ' | 内容摘要: ' || content_summary || ' | 中标产品: ' || coalesce(winning_bidder, '') AS text FROM notices""")
 def embedding_texts(t):
@@ -81,6 +97,13 @@ def embedding_texts(t):
     return rows.select("tender_id", tender_text().alias("text"))
 
 
+@query("search_texts", """SELECT p_partkey, p_name || ' ' || p_brand || ' ' || p_type || ' x' AS text, p_name || ' | ' || p_type AS spec FROM part""")
+def search_texts(t):
+    rows = t.part.withColumn("features", F.array(F.col("p_type"), F.lit("x"))).withColumn("product_names", F.array("p_name")).withColumn(
+        "specifications", F.array().cast("array<string>")).withColumn("technical_params", F.array("p_type"))
+    return rows.select("p_partkey", search_text(["p_name", "p_brand"], ["features"]).alias("text"), spec_text().alias("spec"))
+
+
 @query("product_texts", "SELECT p_partkey, p_name || ' ' || p_brand || ' ' || p_type || ' ' || p_size AS text FROM part")
 def product_texts(t):
     return t.part.select("p_partkey", product_text(["p_name", "p_brand", "p_type", "p_size"]).alias("text"))

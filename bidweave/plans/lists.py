@@ -138,12 +138,67 @@ def packages(t):
         F.col("l_partkey").cast("string").alias("winning_product"), F.col("l_extendedprice").alias("amount"))
 
 
-@query("winning_parties", """SELECT l_orderkey AS tender_id, string_agg(DISTINCT s_name, '|' ORDER BY s_name) AS bidders,
-  string_agg(DISTINCT CAST(l_partkey AS VARCHAR), '|' ORDER BY CAST(l_partkey AS VARCHAR)) AS products
-  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1""")
+PARTIES = """p AS (SELECT l_orderkey AS tender_id, 'winning_bidder' AS field, s_name AS value FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
+  UNION SELECT l_orderkey, 'winning_product', CAST(l_partkey AS VARCHAR) FROM lineitem)"""
+
+
+@query("winning_parties", f"WITH {PARTIES} SELECT * FROM p")
 def winning_parties(t):
-    return S.winning_parties(packages(t)).select("tender_id", F.array_join("winning_bidder", "|").alias("bidders"),
-                                                 F.array_join("winning_product", "|").alias("products"))
+    return S.winning_parties(packages(t))
+
+
+@query("winning_parties_nested", f"""WITH {PARTIES}, n AS (SELECT *, row_number() OVER (PARTITION BY tender_id, field ORDER BY value) - 1 AS i FROM p)
+  SELECT tender_id, field, i // 3 AS part, string_agg(value, '|' ORDER BY i) AS vals FROM n GROUP BY ALL""")
+def winning_parties_nested(t):
+    return S.winning_parties_nested(packages(t), part_rows=3).select("tender_id", "field", "part", F.array_join("items", "|").alias("vals"))
+
+
+def _structured(t):
+    """Packages with flag R as the structured records of their order."""
+    return t.lineitem.filter("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("tender_id")).agg(
+        F.count("*").alias("packages"), F.round(F.sum("l_extendedprice"), 2).alias("amount"))
+
+
+STRUCTURED = """s AS (SELECT l_orderkey AS tender_id, count(*) AS packages, round(sum(l_extendedprice), 2) AS amount FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)"""
+
+
+@query("tender_detail", f"WITH {STRUCTURED} SELECT o_orderkey AS id, o_orderpriority, packages, amount FROM orders LEFT JOIN s ON o_orderkey = tender_id")
+def tender_detail(t):
+    tenders = t.orders.select(F.col("o_orderkey").alias("id"), "o_orderpriority")
+    return T.with_structured(tenders, _structured(t), nested=True).select("id", "o_orderpriority", "structured.packages", "structured.amount")
+
+
+@query("latest_structured", f"WITH {STRUCTURED} SELECT o_orderkey AS id, o_orderdate FROM orders WHERE o_orderkey IN (SELECT tender_id FROM s) ORDER BY o_orderdate DESC, id DESC LIMIT 30")
+def latest_structured(t):
+    return T.latest_structured(t.orders.select(F.col("o_orderkey").alias("id"), "o_orderdate"), _structured(t), 30, ["o_orderdate", "id"])
+
+
+@query("link_structured", """SELECT 'u' || l_orderkey AS source_url, l_linenumber, l_partkey, o_orderkey AS tender_id,
+  CASE WHEN o_orderkey IS NULL THEN sha256('u' || l_orderkey) ELSE o_orderpriority END AS uuid FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey AND o_orderstatus <> 'P'""")
+def link_structured(t):
+    key = F.concat(F.lit("u"), F.col("o_orderkey").cast("string"))
+    tenders = t.orders.filter(F.col("o_orderstatus") != "P").select(F.col("o_orderkey").alias("id"), key.alias("detail_url"), F.col("o_orderpriority").alias("uuid"), F.col("o_orderdate").alias("publish_date"))
+    rows = t.lineitem.select(F.concat(F.lit("u"), F.col("l_orderkey").cast("string")).alias("source_url"), "l_linenumber", "l_partkey")
+    return T.link_structured(rows, tenders).select("source_url", "l_linenumber", "l_partkey", "tender_id", "uuid")
+
+
+@query("chunks_of", """SELECT l_orderkey AS tender_id, l_returnflag AS chunk_type, l_linenumber AS chunk_order, l_partkey FROM lineitem
+  WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')""")
+def chunks_of(t):
+    chunks = t.lineitem.select(F.col("l_orderkey").alias("tender_id"), F.col("l_returnflag").alias("chunk_type"), F.col("l_linenumber").alias("chunk_order"), "l_partkey")
+    return T.chunks_of(chunks, t.orders.filter("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("tender_id")))
+
+
+@query("suggestion_requests", """SELECT o_orderkey, c_name AS customer_name, c_acctbal AS balance FROM orders JOIN customer ON o_custkey = c_custkey""")
+def suggestion_requests(t):
+    requests = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.col("c_name").alias("customer_name"))
+    profiles = t.customer.select(F.col("c_name").alias("customer_name"), F.col("c_acctbal").alias("balance"))
+    return T.with_profile(requests, profiles).select("o_orderkey", "customer_name", "profile.balance")
+
+
+@query("category_counts", """SELECT k AS category, count(*) AS count FROM (SELECT unnest([o_orderpriority, o_orderstatus]) AS k FROM orders) GROUP BY 1""")
+def category_counts(t):
+    return S.count_values(t.orders.select(F.array("o_orderpriority", "o_orderstatus").alias("category")), "category")
 
 
 SITE = r"^(https?)://(?:www\.|m\.|blog\.)?([^/?#]*)"

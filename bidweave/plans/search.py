@@ -201,6 +201,15 @@ def hit_links(t):
     return FU.serialise_hits(linked).join(linked.select("qid", F.col("doc_id").cast("string").alias("id"), "detail_url"), ["qid", "id"]).select("qid", "id", "detail_url")
 
 
+@query("notice_cards", f"""WITH {NOTICES}, {fused_sql(50)}, h AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, doc_id) AS rank, {SHOWN} FROM fused QUALIFY rank <= 10)
+  SELECT qid, rank, CAST(doc_id AS VARCHAR) AS tender_id, score, buyer_name_std, '采购项目: ' || project_name || ' | 需求: ' || application_scenario AS document_preview,
+    source_url AS detail_url, strftime(publish_date, '%Y-%m-%d') AS publish_date FROM h JOIN notices n ON n.tender_id = doc_id WHERE score >= 8""")
+def notice_cards(t):
+    found = FU.hybrid_search(index(t), vectors(t), asked(t), 10, DIM)
+    cards = FU.notice_cards(found, t.notices.withColumnRenamed("tender_id", "doc_id"), min_score=8)
+    return cards.select("qid", F.col("rank").cast("long").alias("rank"), "tender_id", "score", "buyer_name_std", "document_preview", "detail_url", "publish_date")
+
+
 # --- chunks ---
 
 @query("field_chunks", f"""WITH {NOTICES}, c AS (
