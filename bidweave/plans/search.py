@@ -32,9 +32,9 @@ UNIT = """e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOU
   unit AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS v FROM e)"""
 
 
-def vector_sql(ids: str, k: int) -> str:
+def vector_sql(ids: str, k: int, known: str = "SELECT doc_id FROM documents") -> str:
     return f"""{UNIT}, vs AS (SELECT a.vec_id AS qid, b.vec_id AS doc_id, round(list_inner_product(a.v, b.v) * 1e9) / 1e9 AS score
-    FROM unit a, unit b WHERE a.vec_id IN ({ids})),
+    FROM unit a, unit b WHERE a.vec_id IN ({ids}) AND b.vec_id IN ({known})),
   vr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM vs QUALIFY rank <= {k})"""
 
 
@@ -49,7 +49,9 @@ def asked(t):
 
 
 def vectors(t):
-    return t.embeddings.select(F.col("vec_id").alias("id"), "embedding")
+    """Vectors of the documents that exist."""
+    known = t.documents.select(F.col("doc_id").alias("id"))
+    return t.embeddings.select(F.col("vec_id").alias("id"), "embedding").join(known, "id", "left_semi")
 
 
 @query("term_stats", f"WITH {BM25} SELECT term, df, round(idf, 6) AS idf FROM idf")
@@ -74,16 +76,17 @@ def bm25_topk(t):
     return found.select("qid", "doc_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("vector_topk", f"WITH {vector_sql('SELECT vec_id FROM embeddings', 10)} SELECT qid, doc_id, round(score, 6) AS score, rank FROM vr")
+@query("vector_topk", f"WITH {vector_sql('SELECT vec_id FROM embeddings', 10, 'SELECT vec_id FROM embeddings')} SELECT qid, doc_id, round(score, 6) AS score, rank FROM vr")
 def vector_topk(t):
-    found = SE.vector_search(vectors(t), t.embeddings.select(F.col("vec_id").alias("qid"), "embedding"), DIM, 10)
+    every = t.embeddings.select(F.col("vec_id").alias("id"), "embedding")
+    found = SE.vector_search(every, every.withColumnRenamed("id", "qid"), DIM, 10)
     return found.select("qid", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("vector_table", f"WITH {UNIT} SELECT vec_id AS id, round(v[1], 6) AS first, round(list_inner_product(v, v), 6) AS norm FROM unit")
 def vector_table(t):
     norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
-    return SE.vector_table(vectors(t), DIM).select("id", F.round(F.col("embedding")[0], 6).alias("first"), F.round(norm, 6).alias("norm"))
+    return SE.vector_table(t.embeddings.withColumnRenamed("vec_id", "id"), DIM).select("id", F.round(F.col("embedding")[0], 6).alias("first"), F.round(norm, 6).alias("norm"))
 
 
 def fused_sql(width: int, docs: str = "true") -> str:

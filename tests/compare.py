@@ -41,7 +41,7 @@ def check(spark, con, fn, sql: str | None, folder: str, need_rows: bool = True)
     got = fn(spark, folder).toArrow()
     if sql is None:
         return got.num_rows > 0, f"rows={got.num_rows} (no SQL)"
-    want = con.execute(sql).to_arrow_table()
+    want = con.sql(sql).to_arrow_table()
     if sorted(got.column_names) != sorted(want.column_names):
         return False, f"columns {sorted(got.column_names)} != {sorted(want.column_names)}"
     types = [f"{n}:{got.schema.field(n).type}/{want.schema.field(n).type}" for n in got.column_names
