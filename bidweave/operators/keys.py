@@ -4,8 +4,8 @@
   most k rows per key and task *before* the shuffle.
 - salted_join splits hot keys with known counts over several tasks; other joins rely on
   the adaptive skew join, which splits a hot side by measured size.
-- scan_groups numbers rows and carries running values through a group that is spread
-  over many range partitions; no task ever holds a whole group.
+- scan_groups numbers rows and carries running values; a group too large for one task is
+  spread over range partitions.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from bidweave.session import cut
 
 BROADCAST_ROWS = 1_000_000
 ROWS_PER_SALT = 5_000_000
+SPLIT_ROWS = 2_000_000  # a group up to this size is sorted by one task
 
 
 def _list(x) -> list:
@@ -51,16 +52,6 @@ def limit_unique(df: DataFrame, key, order: Sequence[str], n: int) -> DataFrame:
     return keep_first(df, key, [F.col(c) for c in order]).orderBy(*order).limit(n)
 
 
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Counted, not guessed; the count stops at the bound."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint when the counted size is within the bound, else the frame as it is."""
-    return F.broadcast(df) if is_small(df, max_rows) else df
-
-
 def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], counts: DataFrame, how: str = "inner",
                 rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
     """Equi-join (inner or left) whose left side has hot keys that are already counted.
@@ -80,55 +71,78 @@ def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], counts: Da
 
 
 def scan_groups(df: DataFrame, group: Sequence[str], order: Sequence[str], position: str = "position",
-                running_max: dict[str, Column] | None = None, previous: dict[str, Column] | None = None) -> DataFrame:
+                running_max: dict[str, Column] | None = None, previous: dict[str, Column] | None = None,
+                split_rows: int = SPLIT_ROWS) -> DataFrame:
     """Row number, running maxima and previous values per group, for groups of any size.
 
-    Rows are range-partitioned by (group, order): a hot group spans many partitions. Each
-    partition slice is summarised to one row, the summaries (groups x partitions at most)
-    carry the values across slices, and a window inside each slice does the rest.
+    Groups are counted first. Those up to `split_rows` rows go through a window; the few larger
+    ones (at most rows / split_rows of them) are cut into range slices, see _scan_slices.
     `order` must identify a row within its group.
     """
     running_max, previous = running_max or {}, previous or {}
     group, order = list(group), list(order)
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = df
-    for name, expr in {**running_max, **previous}.items():
-        rows = rows.withColumn(f"_in_{name}", expr)
+    inputs = {f"_in_{name}": expr for name, expr in {**running_max, **previous}.items()}
+    rows = df.withColumns(inputs) if inputs else df
+    large = cut(df.groupBy(*group).count().filter(F.col("count") > split_rows).select(
+        *[F.col(c).alias(f"_g_{c}") for c in group]))
+    if large.isEmpty():
+        out = _scan_window(rows, group, order, position, list(running_max), list(previous))
+    else:
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in group])
+        small = rows.join(F.broadcast(large), same, "left_anti")
+        hot = rows.join(F.broadcast(large), same, "left_semi")
+        out = _scan_window(small, group, order, position, list(running_max), list(previous)).unionByName(
+            _scan_slices(hot, group, order, position, list(running_max), list(previous)))
+    return out.drop(*inputs)
+
+
+def _scan_window(rows: DataFrame, group: list[str], order: list[str], position: str, maxima: list[str],
+                 previous: list[str]) -> DataFrame:
+    inside = Window.partitionBy(*group).orderBy(*order)
+    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumns({
+        position: F.row_number().over(inside).cast("long"),
+        **{c: F.max(f"_in_{c}").over(so_far) for c in maxima},
+        **{c: F.lag(f"_in_{c}").over(inside) for c in previous}})
+
+
+def _scan_slices(rows: DataFrame, group: list[str], order: list[str], position: str, maxima: list[str],
+                 previous: list[str]) -> DataFrame:
+    """Rows are range-partitioned by (group, order), so a group spans many partitions. Each
+    slice of a group is summarised to one row; the summaries (groups x partitions at most)
+    carry the values across slices, and a window inside each slice does the rest."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = cut(rows.repartitionByRange(n, *group, *order).withColumn("_slice", F.spark_partition_id()))
-
     slices = rows.groupBy("_slice", *group).agg(
         F.count("*").alias("_n"),
-        *[F.max(f"_in_{c}").alias(f"_top_{c}") for c in running_max],
+        *[F.max(f"_in_{c}").alias(f"_top_{c}") for c in maxima],
         *[F.max_by(F.struct(f"_in_{c}"), F.struct(*order)).alias(f"_end_{c}") for c in previous])
     across = Window.partitionBy(*group).orderBy("_slice")
     before = across.rowsBetween(Window.unboundedPreceding, -1)
     slices = slices.select(
         "_slice", *group, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
-        *[F.max(f"_top_{c}").over(before).alias(f"_top_{c}") for c in running_max],
+        *[F.max(f"_top_{c}").over(before).alias(f"_top_{c}") for c in maxima],
         *[F.lag(f"_end_{c}").over(across).alias(f"_end_{c}") for c in previous])
 
-    same = [rows[c].eqNullSafe(slices[c]) for c in ["_slice", *group]]
-    joined = rows.join(slices, reduce(lambda a, b: a & b, same), "inner").drop(*[slices[c] for c in ["_slice", *group]])
+    same = reduce(lambda a, b: a & b, [rows[c].eqNullSafe(slices[c]) for c in ["_slice", *group]])
+    joined = rows.join(slices, same, "inner").drop(*[slices[c] for c in ["_slice", *group]])
     inside = Window.partitionBy("_slice", *group).orderBy(*order)
     so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
-    out = joined.withColumn(position, (F.row_number().over(inside) + F.col("_offset")).cast("long"))
-    for c in running_max:
-        out = out.withColumn(c, F.greatest(F.max(f"_in_{c}").over(so_far), F.col(f"_top_{c}")))
-    for c in previous:
-        here = F.lag(F.struct(f"_in_{c}")).over(inside)
-        out = out.withColumn(c, F.coalesce(here, F.col(f"_end_{c}"))[f"_in_{c}"])
-    return out.drop("_slice", "_offset", *[f"{p}{c}" for c in running_max for p in ("_in_", "_top_")],
-                    *[f"{p}{c}" for c in previous for p in ("_in_", "_end_")])
+    out = joined.withColumns({
+        position: (F.row_number().over(inside) + F.col("_offset")).cast("long"),
+        **{c: F.greatest(F.max(f"_in_{c}").over(so_far), F.col(f"_top_{c}")) for c in maxima},
+        **{c: F.coalesce(F.lag(F.struct(f"_in_{c}")).over(inside), F.col(f"_end_{c}"))[f"_in_{c}"] for c in previous}})
+    return out.drop("_slice", "_offset", *[f"_top_{c}" for c in maxima], *[f"_end_{c}" for c in previous])
 
 
 def collect_parts(df: DataFrame, group: Sequence[str], order: Sequence[str], fields: Sequence[str],
-                  part_rows: int = 1000, items: str = "items") -> DataFrame:
+                  part_rows: int = 1000, items: str = "items", split_rows: int = SPLIT_ROWS) -> DataFrame:
     """Nested form of child rows: arrays of at most `part_rows` items, numbered by `part`.
 
     A group with more items simply has more parts, so no array grows with the data and no
     item is lost.
     """
-    numbered = scan_groups(df, group, order, "_position")
+    numbered = scan_groups(df, group, order, "_position", split_rows=split_rows)
     part = F.floor((F.col("_position") - 1) / part_rows).cast("long")
     nested = (numbered.withColumn("part", part).groupBy(*group, "part")
               .agg(F.sort_array(F.collect_list(F.struct("_position", *fields))).alias("_items")))

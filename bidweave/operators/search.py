@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from bidweave.functions.text import col, let
 from bidweave.operators.filters import valid_vectors
-from bidweave.operators.keys import BROADCAST_ROWS, ROWS_PER_SALT, is_small, top_k
+from bidweave.operators.keys import BROADCAST_ROWS, ROWS_PER_SALT, top_k
 from bidweave.session import cut
 
 # Okapi constants: term saturation, length weight, and the floor for terms in most documents
@@ -147,7 +147,7 @@ def bm25_scores(index: BM25Index, queries: DataFrame, qid: str, text: str = "tex
     part = F.col("weight") * (tf * (K1 + 1) / norm)
     head = ["doc_id", "dl", *keep]
     rows = index.docs.select(*head, F.explode_outer("tokens").alias("term"))
-    if is_small(weights, broadcast_rows):
+    if weights.count() <= broadcast_rows:
         vocabulary = F.broadcast(weights.select("term").distinct())
         # the groupings below are already partitioned by document: no further shuffle
         postings = rows.join(vocabulary, "term", "left_semi").groupBy(*head, "term").agg(F.count("*").alias("tf"))

@@ -31,17 +31,19 @@ def test_null_keys(spark):
     assert sorted(r.id for r in K.keep_last(df, "k", ["id"], null_keys="keep").collect()) == [1, 2, 4]
 
 
-def test_scan_groups_equals_window(skewed):
+@pytest.mark.parametrize("split_rows", [10_000, 500, 1])
+def test_scan_groups_equals_window(skewed, split_rows):
+    """All groups whole, only the hot one sliced, all sliced."""
     w = Window.partitionBy("k").orderBy("v", "id")
     want = skewed.select("k", "id", F.row_number().over(w).cast("long"), F.max(F.col("v") % 7).over(w.rowsBetween(Window.unboundedPreceding, 0)),
                          F.lag("id").over(w))
-    got = K.scan_groups(skewed, ["k"], ["v", "id"], "n", {"m": F.col("v") % 7}, {"p": F.col("id")}).select("k", "id", "n", "m", "p")
-    assert sorted(map(str, got.collect())) != []
+    got = K.scan_groups(skewed, ["k"], ["v", "id"], "n", {"m": F.col("v") % 7}, {"p": F.col("id")}, split_rows).select("k", "id", "n", "m", "p")
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
 
 
-def test_collect_parts_keeps_everything(skewed):
-    parts = K.collect_parts(skewed, ["k"], ["id"], ["id", "v"], part_rows=50)
+@pytest.mark.parametrize("split_rows", [10_000, 500])
+def test_collect_parts_keeps_everything(skewed, split_rows):
+    parts = K.collect_parts(skewed, ["k"], ["id"], ["id", "v"], part_rows=50, split_rows=split_rows)
     rows = parts.collect()
     assert max(len(r["items"]) for r in rows) <= 50
     flat = sorted((r.k, i.id, i.v) for r in rows for i in r["items"])
@@ -135,3 +137,9 @@ def test_chunk_replacement_keeps_all_new_rows(spark):
     new = spark.createDataFrame([(1, "n1"), (1, "n2"), (3, "n3")], "tender_id int, c string")
     assert sorted(r.c for r in T.replace_rows(old, new, ["tender_id"]).collect()) == ["n1", "n2", "n3", "o3"]
     assert sorted(r.c for r in T.replace_rows(old, new, ["tender_id"], replace=False).collect()) == ["n3", "o1", "o2", "o3"]
+
+
+def test_scan_groups_with_null_keys(spark):
+    df = spark.createDataFrame([(None, i) for i in range(20)] + [("a", i) for i in range(3)], "k string, id int")
+    got = K.scan_groups(df, ["k"], ["id"], "n", split_rows=5).collect()
+    assert sorted((r.k or "", r.id, r.n) for r in got) == sorted([("", i, i + 1) for i in range(20)] + [("a", i, i + 1) for i in range(3)])
