@@ -62,14 +62,15 @@ EVERY = ""
 
 @dataclass
 class BM25Index:
-    """docs(doc_id, flag columns, tokens, dl) partitioned by doc_id, counts(term, df, length), and three numbers:
-    documents, mean length, mean raw idf."""
+    """docs(doc_id, flag columns, tokens, dl) partitioned by doc_id, counts(term, df, length), and
+    three numbers: documents, mean length, mean raw idf. `source` is docs before partitioning."""
 
     docs: DataFrame
     counts: DataFrame
     n_docs: int
     avgdl: float
     mean_idf: float
+    source: DataFrame
 
     @property
     def terms(self) -> DataFrame:
@@ -100,11 +101,11 @@ def corpus_stats(counts: DataFrame) -> DataFrame:
         F.col("df").alias("n_docs"), (F.col("length") / F.col("df")).alias("avgdl"))
 
 
-def _index(docs: DataFrame, counts: DataFrame) -> BM25Index:
+def _index(docs: DataFrame, counts: DataFrame, source: DataFrame) -> BM25Index:
     whole = corpus_stats(counts).first()
     n, avgdl = (whole["n_docs"], whole["avgdl"]) if whole else (0, 0.0)
     mean = counts.filter(F.col("term") != EVERY).agg(F.avg(_raw_idf(n))).first()[0]
-    return BM25Index(docs, counts, n, avgdl, mean or 0.0)
+    return BM25Index(docs, counts, n, avgdl, mean or 0.0, source)
 
 
 def bm25_index(df: DataFrame, key: str, text: str = "text", mode: str = "words", keep: tuple[str, ...] = ()) -> BM25Index:
@@ -115,17 +116,22 @@ def bm25_index(df: DataFrame, key: str, text: str = "text", mode: str = "words",
         return rows.select("doc_id", *keep, tokens("_text", mode).alias("tokens")).withColumn("dl", F.size("tokens"))
 
     rows = df.select(F.col(key).alias("doc_id"), F.col(text).alias("_text"), *keep)
-    return _index(tokenized(rows.repartition("doc_id")), cut(document_counts(tokenized(rows))))
+    source = tokenized(rows)
+    return _index(tokenized(rows.repartition("doc_id")), cut(document_counts(source)), source)
 
 
-def write_index(index: BM25Index, path: str) -> None:
-    """Store the index tables; read_index searches them any number of times."""
-    index.docs.write.mode("overwrite").parquet(f"{path}/docs")
-    index.counts.write.mode("overwrite").parquet(f"{path}/counts")
+def write_index(index: BM25Index, name: str, buckets: int) -> None:
+    """Store the index as two tables, `<name>_docs` and `<name>_counts`. Documents are bucketed
+    by id: a search over the stored index reads each bucket in place and shuffles no text."""
+    one_file_per_bucket = index.source.repartition(buckets, "doc_id")
+    one_file_per_bucket.write.mode("overwrite").format("parquet").bucketBy(buckets, "doc_id").saveAsTable(f"{name}_docs")
+    index.counts.write.mode("overwrite").format("parquet").saveAsTable(f"{name}_counts")
 
 
-def read_index(spark: SparkSession, path: str) -> BM25Index:
-    return _index(spark.read.parquet(f"{path}/docs").repartition("doc_id"), spark.read.parquet(f"{path}/counts"))
+def read_index(spark: SparkSession, name: str) -> BM25Index:
+    """A stored index; search it any number of times."""
+    docs = spark.read.table(f"{name}_docs")
+    return _index(docs, spark.read.table(f"{name}_counts"), docs)
 
 
 def query_weights(index: BM25Index, queries: DataFrame, qid: str, text: str, mode: str = "words") -> DataFrame:

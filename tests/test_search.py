@@ -61,11 +61,13 @@ def test_bm25_equals_brute_force_on_both_plans(spark, corpus, broadcast_rows, mo
     assert all(abs(got[k] - want[k]) < 1e-8 for k in want)
 
 
-def test_stored_index_gives_the_same_hits(spark, corpus, tmp_path):
+def test_stored_index_gives_the_same_hits_without_moving_documents(spark, corpus):
     docs, queries = frames(spark, corpus)
     index = SE.bm25_index(docs, "id")
-    SE.write_index(index, str(tmp_path / "index"))
-    stored = SE.read_index(spark, str(tmp_path / "index"))
+    SE.write_index(index, "words", 4)
+    stored = SE.read_index(spark, "words")
+    plan = SE.bm25_scores(stored, queries, "qid")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(doc_id" not in plan and "Bucketed: true" in plan
     hits = [sorted(map(tuple, SE.bm25_search(ix, queries, "qid", k=5).collect())) for ix in (index, stored)]
     assert hits[0] == hits[1] and len(hits[0]) == 15
 
