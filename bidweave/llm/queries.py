@@ -36,3 +36,19 @@ def op7_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bidweave.llm.tokenfiles import token_files
     return token_files(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query("op3_quality_scores")
+def op3_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bidweave.llm.rffquality import quality_scores
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op9_exact_duplicates", r"""
+WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents),
+g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
+SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256
+FROM t JOIN g USING (norm)""")
+def op9_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bidweave.llm.quotient import exact_duplicates
+    return exact_duplicates(table(spark, sf_dir, "documents"))
