@@ -51,18 +51,34 @@ def bin_ranks(df: DataFrame, keys: list[str], spread: list[str], position: str,
     agree in `spread` change places freely.
     """
     bins = bins or 8 * partitions(df.sparkSession)
-    rows = df.withColumn("_h", F.xxhash64(*spread)).withColumn("_bin", F.pmod("_h", F.lit(bins)).cast("int"))
-    counts = rows.groupBy(*keys, "_bin").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_bin").alias("_b"),
-                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*keys, "_bin").orderBy("_h", *spread)
-    same = F.col("_bin") == F.col("_b")
+    rows = df.withColumn("__h", F.xxhash64(*spread)).withColumn("__bin", F.pmod("__h", F.lit(bins)).cast("int"))
+    counts = rows.groupBy(*keys, "__bin").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__bin").alias("__b"),
+                            F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy(*keys, "__bin").orderBy("__h", *spread)
+    same = F.col("__bin") == F.col("__b")
     for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    ranked = rows.withColumn("_in", F.row_number().over(inside) - 1)
-    return (ranked.join(offsets, same).withColumn(position, (F.col("_in") + F.col("_before")).cast("long"))
-            .drop("_h", "_bin", "_in", "_b", "_before", *[f"_k_{k}" for k in keys]))
+        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    ranked = rows.withColumn("__in", F.row_number().over(inside) - 1)
+    return (ranked.join(offsets, same).withColumn(position, (F.col("__in") + F.col("__before")).cast("long"))
+            .drop("__h", "__bin", "__in", "__b", "__before", *[f"__k_{k}" for k in keys]))
+
+
+def sorted_positions(df: DataFrame, order: list[Column], position: str) -> DataFrame:
+    """Exact 0-based position of each row in the order, which must be total.
+
+    Rows are range-partitioned and each partition is numbered by itself; only the counts of the
+    partitions are added up in one place.
+    """
+    n = partitions(df.sparkSession)
+    rows = stored(df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()), "sorted")
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("__part").agg(F.count("*").alias("__n")).select(
+        F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy("__part").orderBy(*order)
+    return (rows.withColumn("__in", F.row_number().over(inside) - 1).join(starts, F.col("__part") == F.col("__p"))
+            .withColumn(position, (F.col("__in") + F.col("__before")).cast("long")).drop("__part", "__p", "__in", "__before"))
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

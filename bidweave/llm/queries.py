@@ -52,3 +52,21 @@ FROM t JOIN g USING (norm)""")
 def op9_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bidweave.llm.quotient import exact_duplicates
     return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op1_shard_documents")
+def op1_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bidweave.llm.sharding import shard_documents
+    return shard_documents(table(spark, sf_dir, "documents"), shards=16)
+
+
+@query("op5_mix_sources")
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bidweave.llm.mixture import mix_report
+    return mix_report(table(spark, sf_dir, "documents"))
+
+
+@query("op8_similar_documents")
+def op8_similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bidweave.llm.jaccard import similar_documents
+    return similar_documents(table(spark, sf_dir, "documents"), size=4, percent=85)
