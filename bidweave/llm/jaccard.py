@@ -135,28 +135,32 @@ def may_link(n_a, n_b, differing, percent: int):
     return (100 + percent) * (total - differing) >= 2 * percent * total
 
 
+def _row_hash(docs: DataFrame):
+    return F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def set_rows(docs: DataFrame, counters: np.ndarray, size: int, percent: int, bits: int = SKETCH_BITS) -> DataFrame:
-    """Per row (doc_id, n, set, prefix, bitmap); prefix and bitmap are null in repeats of a set within a task."""
+    """Per row (doc_id, hash, n, set, prefix, bitmap); prefix and bitmap are null in repeats of a set within a task.
+    `hash` is that of the whole row."""
     shared = docs.sparkSession.sparkContext.broadcast(np.floor(2 * np.log2(np.maximum(counters, 1))).astype(np.uint8))
 
     def run(batches):
         levels, seen = shared.value, set()
         for batch in batches:
-            keys = batch.column(0).to_pylist()
             rows = []
 
             def flush(done):
                 cols = list(zip(*rows)) or [[]] * 4
+                own = batch.slice(done - len(rows), len(rows))
                 return pa.RecordBatch.from_arrays(
-                    [pa.array(keys[done - len(rows):done], pa.int64()), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()),
-                     pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], names=["doc_id", "n", "set", "prefix", "bitmap"])
-            for at, values in enumerate(text_sets(batch.column(1), size)):
+                    [own.column(0), own.column(1), pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])],
+                    names=["doc_id", "hash", "n", "set", "prefix", "bitmap"])
+            for at, values in enumerate(text_sets(batch.column(2), size)):
                 n = len(values)
+                key = set_key(values) if n else None
                 if n == 0:
                     rows.append((0, None, None, None))
-                    continue
-                key = set_key(values)
-                if key in seen:
+                elif key in seen:
                     rows.append((n, key, None, None))
                 else:
                     if len(seen) < 1 << 18:
@@ -167,10 +171,10 @@ def set_rows(docs: DataFrame, counters: np.ndarray, size: int, percent: int, bit
                 if len(rows) == 1000:
                     yield flush(at + 1)
                     rows = []
-            yield flush(len(keys))
+            yield flush(batch.num_rows)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, n long, set binary, prefix binary, bitmap binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_hash(docs).alias("hash"), "text").mapInArrow(
+        run, "doc_id long, hash long, n long, set binary, prefix binary, bitmap binary")
 
 
 def prefix_tokens(groups: DataFrame) -> DataFrame:
@@ -317,8 +321,8 @@ def cell_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return routed.mapInArrow(run, "a long, b long").distinct()
 
 
-def similar_documents(docs: DataFrame, size: int = 4, percent: int = 85, bits: int = SKETCH_BITS, cell: int = CELL) -> DataFrame:
-    """Per row: (doc_id, n_shingles, component_id)."""
+def linked_rows(docs: DataFrame, size: int, percent: int, bits: int = SKETCH_BITS, cell: int = CELL) -> DataFrame:
+    """Per row: (doc_id, hash, n, component, component_id); component numbers the linked sets, null for an empty one."""
     counters = shingle_counters(docs, size, bits)
     rows = stored(set_rows(docs, counters, size, percent, bits), "shingles")
 
@@ -364,6 +368,25 @@ def similar_documents(docs: DataFrame, size: int = 4, percent: int = 85, bits: i
     final = placed.join(merged, "component", "left").select("cls", F.coalesce("whole", "component").alias("component"))
     named = members.select("cls", "set", "rep").join(final, "cls")
     smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    by_set = named.join(smallest, "component").select(F.col("set").alias("_set"), "component_id")
+    by_set = named.join(smallest, "component").select(F.col("set").alias("_set"), "component", "component_id")
     return rows.join(by_set, F.col("set") == F.col("_set"), "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("set").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+        "doc_id", "hash", "n", "component", F.when(F.col("set").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def similar_documents(docs: DataFrame, size: int = 4, percent: int = 85, bits: int = SKETCH_BITS, cell: int = CELL) -> DataFrame:
+    """Per row: (doc_id, n_shingles, component_id)."""
+    return linked_rows(docs, size, percent, bits, cell).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def drop_similar(docs: DataFrame, size: int = 5, percent: int = 80, bits: int = SKETCH_BITS, cell: int = CELL) -> DataFrame:
+    """The rows of docs that stay, with all their columns: of each component the row with the smallest doc_id
+    (null last, then by the hash of the row); documents with an empty set stay."""
+    rows = stored(linked_rows(docs, size, percent, bits, cell).filter(F.col("component").isNotNull()), "linked")
+    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), F.col("hash").alias("h"))
+    heads = rows.groupBy("component").agg(F.min(order).alias("first"), F.count("*").alias("rows")).filter("rows > 1")
+    # rows of components of several rows, and whether they stay
+    decided = stored(rows.join(heads, "component").select(F.col("hash").alias("__hash"), (order == F.col("first")).alias("__stays")).distinct(), "decided")
+    joined = docs.withColumn("__row", _row_hash(docs)).join(decided, F.col("__row") == F.col("__hash"), "left")
+    alone = joined.filter(F.col("__stays").isNull())
+    first = joined.filter("__stays").dropDuplicates(["__row"])
+    return alone.unionByName(first).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -70,3 +70,40 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bidweave.llm.jaccard import similar_documents
     return similar_documents(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
+def _divergence_sql() -> str:
+    from bidweave.llm.divergence import SQL as text
+    return text
+
+
+@query("op2_divergence_rules", _divergence_sql())
+def op2_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bidweave.llm.divergence import divergence_rules
+    return divergence_rules(table(spark, sf_dir, "documents"))
+
+
+def _license_sql() -> str:
+    from bidweave.llm.licenses import sql
+    return sql()
+
+
+@query("op4_license_scan", _license_sql())
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bidweave.llm.licenses import license_scan
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+def _chat_sql() -> str:
+    from bidweave.llm.chat import SQL as text
+    return text
+
+
+@query("op6_rotate_perspectives", _chat_sql())
+def op6_rotate_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mask as text, `start-end` joined by semicolons."""
+    from pyspark.sql import functions as F
+
+    from bidweave.llm.chat import rotate
+    spans = F.transform("mask", lambda m: F.concat(m["start"].cast("string"), F.lit("-"), m["end"].cast("string")))
+    return rotate(table(spark, sf_dir, "conversations")).withColumn("mask", F.array_join(spans, ";"))
