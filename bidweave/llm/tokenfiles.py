@@ -1,7 +1,7 @@
 """Token-id files with a minimal perfect hash index (operator 10).
 
-A shard is two files: raw little-endian unsigned 32-bit ids of its documents one after the other,
-and an index of the document keys. The index is a cascade of bit arrays: a key that has a cell of a
+A shard is two files: the raw little-endian unsigned ids of its documents one after the other (16 bits
+each if the vocabulary allows it, else 32), and an index of the document keys. The index is a cascade of bit arrays: a key that has a cell of a
 level to itself owns that bit, the others go on to the next, smaller level; the number of set bits
 before a key's bit is its slot. A slot holds a 32-bit fingerprint of the key, the offset and the
 number of ids, so a look-up reads a few cells whatever the size of the shard.
@@ -77,7 +77,7 @@ class PerfectHash:
         return out
 
 
-def pack_index(ids: np.ndarray, nulls: np.ndarray, occurrence: np.ndarray, offsets: np.ndarray, lengths: np.ndarray) -> bytes:
+def pack_index(ids: np.ndarray, nulls: np.ndarray, occurrence: np.ndarray, offsets: np.ndarray, lengths: np.ndarray, width: int = 4) -> bytes:
     seed = 0
     keys = key_hash(ids, nulls, occurrence, seed)
     while len(np.unique(keys)) < len(keys):
@@ -87,7 +87,7 @@ def pack_index(ids: np.ndarray, nulls: np.ndarray, occurrence: np.ndarray, offse
     slots = index.slots(keys)
     marks, places, counts = (np.zeros(len(keys), t) for t in ("<u4", "<u8", "<u8"))
     marks[slots], places[slots], counts[slots] = W.mix(keys ^ W._BASE) >> np.uint64(32), offsets, lengths
-    head = MAGIC + struct.pack("<QQQ", len(keys), seed, len(index.sizes)) + np.array(index.sizes, "<u8").tobytes()
+    head = MAGIC + struct.pack("<QQQQ", len(keys), seed, width, len(index.sizes)) + np.array(index.sizes, "<u8").tobytes()
     return head + np.packbits(index.bits).tobytes() + marks.tobytes() + places.tobytes() + counts.tobytes()
 
 
@@ -97,13 +97,13 @@ class Index:
     def __init__(self, raw: bytes):
         if raw[:4] != MAGIC:
             raise ValueError("not an index of token ids")
-        n, self.seed, levels = struct.unpack_from("<QQQ", raw, 4)
-        at = 28 + 8 * levels
-        sizes = [int(x) for x in np.frombuffer(raw, "<u8", levels, 28)]
-        width = -(-sum(sizes) // 8)
-        bits = np.unpackbits(np.frombuffer(raw, np.uint8, width, at))[:sum(sizes)].astype(bool)
+        n, self.seed, self.width, levels = struct.unpack_from("<QQQQ", raw, 4)
+        at = 36 + 8 * levels
+        sizes = [int(x) for x in np.frombuffer(raw, "<u8", levels, 36)]
+        size = -(-sum(sizes) // 8)
+        bits = np.unpackbits(np.frombuffer(raw, np.uint8, size, at))[:sum(sizes)].astype(bool)
         self.hash = PerfectHash(sizes, bits)
-        at += width
+        at += size
         self.marks = np.frombuffer(raw, "<u4", n, at)
         self.places = np.frombuffer(raw, "<u8", n, at + 4 * n)
         self.counts = np.frombuffer(raw, "<u8", n, at + 12 * n)
@@ -137,6 +137,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, s
         task = TaskContext.get()
         name = f"{task.partitionId():06d}-{task.taskAttemptId()}"
         encoder, out, at = Encoder(tokenizer, end_id), None, 0
+        width = 2 if max(len(encoder.ends), end_id + 1) <= 1 << 16 else 4
         ids, nulls, occurrences, offsets, lengths = [], [], [], [], []
         last, seen = None, 0
         for batch in batches:
@@ -148,7 +149,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, s
             for key, raw in zip(keys, encoder.rows(batch.column(1))):
                 seen = seen + 1 if ids and key == last else 0
                 last = key
-                out.write(raw)
+                out.write(raw if width == 4 else np.frombuffer(raw, "<u4").astype("<u2").tobytes())
                 ids.append(key or 0)
                 nulls.append(key is None)
                 occurrences.append(seen)
@@ -162,7 +163,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, s
             out.close()
             with store.open_output_stream(f"{root}/{name}.idx") as index:
                 index.write(pack_index(np.array(ids, np.int64), np.array(nulls, bool), np.array(occurrences, np.int64),
-                                       np.array(offsets, np.int64), np.array(lengths, np.int64)))
+                                       np.array(offsets, np.int64), np.array(lengths, np.int64), width))
 
     n = shards or partitions(docs.sparkSession)
     order = [F.col("doc_id").isNull(), F.col("doc_id")]
@@ -196,7 +197,9 @@ def read_files(keys: DataFrame, folder: str, shards: int | None = None) -> DataF
                 places, counts, found = index.find(ids[low:high], nulls[low:high], occurrence[low:high])
                 if not found.all():
                     raise ValueError(f"{name} lacks a document")
-                sums = [crc(payload.read_at(4 * int(c), 4 * int(p))) for p, c in zip(places, counts)]
+                wide = index.width
+                ids_of = (payload.read_at(wide * int(c), wide * int(p)) for p, c in zip(places, counts))
+                sums = [crc(raw if wide == 4 else np.frombuffer(raw, "<u2").astype("<u4").tobytes()) for raw in ids_of]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(low, high - low), batch.column(2).slice(low, high - low), pa.array(places, pa.int64()),
                      pa.array(counts, pa.int64()), pa.array(sums, pa.int64())], names=["doc_id", "file", "place", "n_tokens", "ids_crc32"])
