@@ -3,7 +3,8 @@
 A text is normalised (A to Z lower-cased, every other ASCII sign than a letter or digit parts words). Its
 units are its lines, its paragraphs (runs of lines that have a word) and the whole text. A unit with n
 distinct bigrams can only reach the threshold t with templates of t / (2 - t) n to (2 - t) / t n
-bigrams, so the others are not compared. A unit counts for the template that fits it best.
+bigrams, so the others are not compared. A unit counts for the template that fits it best. A paragraph is only
+compared if none of its lines fits a template, the whole text if nothing inside it does.
 
 Bigrams are compared as 64-bit hashes; texts are read whole, a bounded slice at a time, where they lie.
 
@@ -73,23 +74,21 @@ def template_bigrams(texts: dict[str, list[str]]) -> list[tuple[str, np.ndarray]
     return out
 
 
-def _units(data: np.ndarray, starts: np.ndarray) -> set[tuple[int, int]]:
-    """Ranges of words of the lines, paragraphs and whole of one text; starts: places of its words."""
+def _units(data: np.ndarray, starts: np.ndarray) -> list[list[tuple[int, int]]]:
+    """Ranges of words of the lines, the paragraphs and the whole of one text; starts: places of its words."""
     breaks = np.flatnonzero(data == 0x0A) + 1
     edges = np.searchsorted(starts, np.concatenate([[0], breaks, [len(data)]]))
-    units = {(0, len(starts))}
-    first = None
+    lines, paragraphs, first = [], [], None
     for low, high in zip(edges[:-1].tolist(), edges[1:].tolist()):
-        if low == high:
-            if first is not None:
-                units.add((first, low))
+        if low < high:
+            lines.append((low, high))
+            first = low if first is None else first
+        elif first is not None:
+            paragraphs.append((first, low))
             first = None
-            continue
-        first = low if first is None else first
-        units.add((low, high))
     if first is not None:
-        units.add((first, len(starts)))
-    return units
+        paragraphs.append((first, len(starts)))
+    return [lines, paragraphs, [(0, len(starts))]]
 
 
 def scan_text(data: np.ndarray, starts: np.ndarray, hashes: np.ndarray, templates: list[tuple[str, np.ndarray]], known: np.ndarray,
@@ -101,20 +100,23 @@ def scan_text(data: np.ndarray, starts: np.ndarray, hashes: np.ndarray, template
     place = np.minimum(np.searchsorted(known, grams), len(known) - 1)
     hits = np.concatenate([[0], np.cumsum(known[place] == grams)])
     found: dict[str, float] = {}
+    taken = np.zeros(len(starts) + 1, bool)  # first words of units that fit
     least = min(len(t) for _, t in templates) * threshold / (2 - threshold)
-    for low, high in _units(data, starts):
-        if high - low < 2 or hits[high - 1] - hits[low] < least:
-            continue
-        unit = np.unique(grams[low:high - 1])
-        n, best = len(unit), (0.0, "")
-        for name, template in templates:
-            m = len(template)
-            if n * threshold <= m * (2 - threshold) and m * threshold <= n * (2 - threshold):
-                value = 2 * len(np.intersect1d(unit, template, assume_unique=True)) / (n + m)
-                if value >= threshold and value > best[0]:
-                    best = (value, name)
-        if best[0]:
-            found[best[1]] = max(best[0], found.get(best[1], 0.0))
+    for units in _units(data, starts):
+        for low, high in units:
+            if high - low < 2 or hits[high - 1] - hits[low] < least or taken[low:high].any():
+                continue
+            unit = np.unique(grams[low:high - 1])
+            n, best = len(unit), (0.0, "")
+            for name, template in templates:
+                m = len(template)
+                if n * threshold <= m * (2 - threshold) and m * threshold <= n * (2 - threshold):
+                    value = 2 * len(np.intersect1d(unit, template, assume_unique=True)) / (n + m)
+                    if value >= threshold and value > best[0]:
+                        best = (value, name)
+            if best[0]:
+                found[best[1]] = max(best[0], found.get(best[1], 0.0))
+                taken[low] = True
     return found
 
 
@@ -155,20 +157,23 @@ def sql(threshold: float = 0.8) -> str:
     grams = "SELECT DISTINCT {key}, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS g FROM (SELECT {key}, string_split(t, ' ') AS w FROM {src}) WHERE len(w) > 1"
     return f"""
 WITH temp(name, tid, t) AS (VALUES {rows}),
-lines AS (SELECT doc_id, i, {norm.format('line')} AS t FROM (
-  SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))),
-para AS (SELECT doc_id, string_agg(t, ' ' ORDER BY i) AS t FROM (
-  SELECT *, sum(CASE WHEN t = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM lines) WHERE t <> '' GROUP BY doc_id, p),
-units AS (SELECT doc_id, t, row_number() OVER () AS u FROM (
-  SELECT doc_id, t FROM lines UNION SELECT doc_id, t FROM para UNION SELECT doc_id, {norm.format("coalesce(text, '')")} FROM documents) WHERE t <> ''),
+lines AS (SELECT *, sum(CASE WHEN t = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM (SELECT doc_id, i, {norm.format('line')} AS t FROM (
+  SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)))),
+units AS (SELECT *, row_number() OVER () AS u FROM (
+  SELECT doc_id, 0 AS kind, p, t FROM lines WHERE t <> ''
+  UNION ALL SELECT doc_id, 1, p, string_agg(t, ' ' ORDER BY i) FROM lines WHERE t <> '' GROUP BY doc_id, p
+  UNION ALL SELECT doc_id, 2, 0, {norm.format("coalesce(text, '')")} FROM documents)),
 tg AS (SELECT DISTINCT name, tid, unnest(g) AS g FROM ({grams.format(key='name, tid', src='temp')})),
-ug AS (SELECT DISTINCT doc_id, u, unnest(g) AS g FROM ({grams.format(key='doc_id, u', src='units')})),
+ug AS (SELECT DISTINCT doc_id, kind, p, u, unnest(g) AS g FROM ({grams.format(key='doc_id, kind, p, u', src='units')})),
 tn AS (SELECT name, tid, count(*) AS m FROM tg GROUP BY ALL),
-un AS (SELECT doc_id, u, count(*) AS n FROM ug GROUP BY ALL),
-fits AS (SELECT ug.doc_id, ug.u, tg.name, 2.0 * count(*) / (any_value(n) + any_value(m)) AS d
-  FROM ug JOIN tg USING (g) JOIN un ON un.u = ug.u JOIN tn USING (tid) GROUP BY ug.doc_id, ug.u, tg.name, tg.tid),
-best AS (SELECT doc_id, name, max(d) AS d FROM (
-  SELECT *, row_number() OVER (PARTITION BY u ORDER BY d DESC, name) AS r FROM fits WHERE d >= {threshold}) WHERE r = 1 GROUP BY doc_id, name),
+un AS (SELECT u, count(*) AS n FROM ug GROUP BY ALL),
+fits AS (SELECT ug.doc_id, ug.kind, ug.p, ug.u, tg.name, 2.0 * count(*) / (any_value(n) + any_value(m)) AS d
+  FROM ug JOIN tg USING (g) JOIN un ON un.u = ug.u JOIN tn USING (tid) GROUP BY ug.doc_id, ug.kind, ug.p, ug.u, tg.name, tg.tid),
+one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY d DESC, name) AS r FROM fits WHERE d >= {threshold}) WHERE r = 1),
+good AS (SELECT * FROM one WHERE kind = 0
+  UNION ALL SELECT * FROM one WHERE kind = 1 AND (doc_id, p) NOT IN (SELECT (doc_id, p) FROM one WHERE kind = 0)
+  UNION ALL SELECT * FROM one WHERE kind = 2 AND doc_id NOT IN (SELECT doc_id FROM one WHERE kind < 2)),
+best AS (SELECT doc_id, name, max(d) AS d FROM good GROUP BY doc_id, name),
 docs AS (SELECT doc_id, string_agg(name, ',' ORDER BY name) AS names, arg_min(name, (-d, name)) AS top, max(d) AS d FROM best GROUP BY doc_id)
 SELECT documents.doc_id, coalesce(names, '') AS licenses, top AS best_license, round(CAST(d AS DOUBLE), 6) AS best_dice
 FROM documents LEFT JOIN docs ON documents.doc_id = docs.doc_id"""

@@ -41,10 +41,11 @@ def source_key(source: Column) -> Column:
 
 
 def fill(lengths: np.ndarray, counts: np.ndarray, budget: int, knapsack: int = KNAPSACK) -> np.ndarray:
-    """How many documents of each length to take, so that their sum comes as near below `budget` as it can.
+    """How many documents of each length to take, so that their sum comes near `budget`.
 
-    The proportional part and the single steps leave a rest of at most `knapsack` (or one that no document
-    fits); the bounded knapsack over the documents that are left fills it exactly where possible.
+    The proportional part, one more of single lengths, and then as many as fit leave a rest of at most
+    `knapsack` (or one that no document fits); the bounded knapsack over the documents that are left fills it as
+    far as they can. If that leaves more than the shortest remaining document would exceed, that one is taken too.
     """
     order = np.argsort(-lengths, kind="stable")
     lengths, counts = lengths[order].astype(np.int64), counts[order].astype(np.int64)
@@ -52,12 +53,14 @@ def fill(lengths: np.ndarray, counts: np.ndarray, budget: int, knapsack: int = K
     budget = min(max(0, int(budget)), total)
     taken = np.array([int(c) * budget // max(1, total) for c in counts], np.int64)
     rest = budget - int((taken * lengths).sum())
-    for i in range(len(lengths)):
-        if rest <= knapsack:
-            break
-        if taken[i] < counts[i] and 0 < lengths[i] <= rest:
-            taken[i] += 1
-            rest -= int(lengths[i])
+    for most in (1, total):
+        for i in range(len(lengths)):
+            if rest <= knapsack:
+                break
+            if 0 < lengths[i] <= rest:
+                more = min(int(counts[i] - taken[i]), rest // int(lengths[i]), most)
+                taken[i] += more
+                rest -= more * int(lengths[i])
     if 0 < rest <= knapsack:
         reach, steps, mask = 1, [], (1 << (rest + 1)) - 1
         for i in np.flatnonzero((lengths > 0) & (lengths <= rest) & (taken < counts)).tolist():
@@ -74,6 +77,10 @@ def fill(lengths: np.ndarray, counts: np.ndarray, budget: int, knapsack: int = K
             if not before >> goal & 1:
                 taken[i] += part
                 goal -= part * int(lengths[i])
+    rest = budget - int((taken * lengths).sum())
+    longer = np.flatnonzero((lengths > rest) & (taken < counts))
+    if rest > 0 and len(longer) and lengths[longer[-1]] - rest < rest:
+        taken[longer[-1]] += 1  # lengths fall, so this is the shortest
     out = np.zeros(len(order), np.int64)
     out[order] = taken
     return out
