@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StringType
 
 from bidweave import rules
 
@@ -102,6 +103,11 @@ def classify_first(c: Column | str, type_rules: Sequence[tuple[str, Sequence[str
     return out
 
 
+def filled(c: Column, kind: DataType) -> Column:
+    """Has a value: texts are not empty, values of other types not null."""
+    return text_truthy(c) if isinstance(kind, StringType) else c.isNotNull()
+
+
 def not_nan(c: Column | str) -> Column:
     """Filled, and not the literal text 'nan' that spreadsheet exports leave behind."""
     return F.coalesce(~col(c).isin("", "nan"), F.lit(False))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -47,37 +49,38 @@ def field_chunks(structured: DataFrame, names: DataFrame | None = None, key: str
     return df.select(key, F.inline(F.concat(F.array_compact(fixed), reqs)))
 
 
+# Where a chunk may end, best first: how far the end lies behind the sign, and the part of the size it must exceed.
+_BOUNDARIES = [("\n\n", 3), ("\n", 2), ("。", 2), ("！", 2), ("？", 2), (".", 2), ("!", 2), ("?", 2)]
+
+
+def _ends(text: str) -> list[tuple[list[int], int, int]]:
+    """For each kind of boundary: places of its signs in order, their length, and the divisor of the size."""
+    return [([m.start() for m in re.finditer(f"(?={re.escape(sign)})", text)], len(sign), part) for sign, part in _BOUNDARIES]
+
+
 def _pieces(text: str, size: int, overlap: int) -> Iterator[str]:
-    """Cut at a blank line, else a line end, else a sentence end, when it lies far enough in."""
+    """Spans between boundaries. All boundaries are listed once; a chunk ends at the last one of the first
+    kind that lies inside it and far enough in, else at its full size."""
     text = text.strip()
-    if len(text) <= size:
-        if text:
-            yield text
-        return
-    start = 0
-    while start < len(text):
+    listed = _ends(text) if len(text) > size else []
+    start, whole = 0, len(text)
+    while start < whole:
         end = start + size
-        if end < len(text):
-            window = text[start:end]
-            cut = _cut_at(window, size)
-            end = start + cut if cut else end
-        piece = text[start:end].strip()
-        if piece:
+        if start == 0 and whole <= size:
+            end = whole
+        elif end < whole:
+            for places, width, part in listed:
+                k = bisect_right(places, end - width) - 1
+                if k >= 0 and places[k] - start > size // part:
+                    end = places[k] + width
+                    break
+        if piece := text[start:end].strip():
             yield piece
+        if whole <= size:
+            return
         start = end - overlap
 
 
-def _cut_at(window: str, size: int) -> int | None:
-    blank_line = window.rfind("\n\n")
-    if blank_line > size // 3:
-        return blank_line + 2
-    for sign in ("\n", "。", "！", "？", ".", "!", "?"):
-        at = window.rfind(sign)
-        if at > size // 2:
-            return at + 1
-    return None
-
-
 def chunk_text(df: DataFrame, key: str, text: str = "text", size: int = 1500, overlap: int = 150) -> DataFrame:
     """(key, chunk_order, chunk_text) of whole texts. Where a chunk ends decides where the next
     begins, so each text is walked in Python; texts arrive in Arrow batches and never shuffle."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from bidweave import rules
 from bidweave.functions.html import drop_scripts, segment_intent, strip_tags
-from bidweave.functions.text import (blank_to_null, clean_text, col, contained_words, contains_any, count_contained,
+from bidweave.functions.text import (blank_to_null, clean_text, col, contained_words, contains_any, count_contained, filled,
                                      first_contained, let, text_truthy, trim_blanks)
 from bidweave.functions.names import has_budget_between
 from bidweave.operators.keys import top_k
@@ -94,7 +94,7 @@ def rough_match(df: DataFrame, html: str = "html", terms: dict[str, Sequence[str
     parts = F.filter(F.split(body, "　"), lambda line: ~(contains_any(line, address) & contains_any(line, every)))
     body = F.array_join(F.transform(parts, trim_blanks), " ")
     for word in footer:
-        body = F.regexp_replace(body, word.replace(".", r"\.") + r"[^\n]{0,50}", "")
+        body = F.regexp_replace(body, word.replace(".", r"\.") + r"[^\n]*", "")
     out = df.withColumn("_title", title).withColumn("_body", body)
     hit_terms = F.array_compact(F.array(*[
         F.when(F.contains("_title", F.lit(t)) | F.contains("_body", F.lit(t)), F.lit(t)) for t in every]))
@@ -217,10 +217,14 @@ def table_pages(pages: DataFrame, doc: str = "doc_id", page: str = "page", text:
 
 
 def validate(df: DataFrame, version: str = rules.SCHEMA_VERSION, types: Sequence[str] = tuple(rules.ANNOUNCE_TYPES),
-             required: Sequence[str] = ()) -> DataFrame:
-    """Adds `errors`, the broken rules of a structured record; quarantine with size(errors) > 0."""
+             required: Sequence[str] = tuple(rules.REQUIRED_FIELDS), requirement_types: Sequence[str] = tuple(rules.REQUIREMENT_TYPES)) -> DataFrame:
+    """Adds `errors`, the broken rules of a structured record; quarantine with size(errors) > 0.
+    Required fields are there and filled; a record with requirement_chunks has known types and texts in them."""
     score = F.col("opportunity_score")
-    checks = [(F.col(c).isNull(), f"missing:{c}") for c in required]
+    checks = [(~filled(F.col(c), df.schema[c].dataType) if c in df.columns else F.lit(True), f"missing:{c}") for c in required]
+    if "requirement_chunks" in df.columns:
+        broken = F.exists("requirement_chunks", lambda r: ~F.coalesce(r["type"].isin(*requirement_types), F.lit(False)) | ~text_truthy(r["text"]))
+        checks.append((F.coalesce(broken, F.lit(False)), "requirement_chunks"))
     checks += [
         (F.coalesce(F.exists("product_keywords", lambda k: k.isNull()), F.lit(True)), "product_keywords"),
         (~F.coalesce(F.col("announce_type").isin(*types), F.lit(True)), "announce_type"),

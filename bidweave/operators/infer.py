@@ -20,8 +20,9 @@ from bidweave import rules
 from bidweave.functions import html as H
 from bidweave.functions import jsonx as J
 from bidweave.functions import names as N
-from bidweave.functions.text import clean_text, nonblank, preview, strip_markers, text_truthy
+from bidweave.functions.text import clean_text, nonblank, strip_markers, text_truthy
 from bidweave.operators.tables import pending, split_cached, union_all
+from bidweave.session import cut
 
 Encoder = Callable[[list[str]], list[list[float]]]
 Model = Callable[[list[str]], list[str | None]]
@@ -81,7 +82,7 @@ def ask(df: DataFrame, key: str, prompt: str, model: Callable[[], Model], batch:
 
 def rule_extract(details: DataFrame, name: str = "title", content: str = "content") -> DataFrame:
     """Default extractor: labelled fields, standard names, money and score as column rules."""
-    fields = details.select("*", *[c.alias(f"_{n}") for n, c in zip(rules.FIELD_PATTERNS, H.labelled_fields(content))])
+    fields = details.select("*", *[c.alias(f"_{n}") for n, c in zip(rules.FIELD_LABELS, H.labelled_fields(content))])
     buyer, amount = N.standardize_org("_buyer"), N.parse_money("_amount")
     is_win = H.title_type(name).isin("中标公告", "成交公告")
     method = H.page_type(F.concat_ws(" ", F.col(name), F.col(content)))
@@ -90,7 +91,7 @@ def rule_extract(details: DataFrame, name: str = "title", content: str = "conten
         N.standardize_org("_agency").alias("agency_name_std"), F.col("_region").alias("province"),
         F.col("_amount").alias("budget_raw"), N.null_budget_if_won(amount, is_win).alias("budget_amount"),
         F.lit("元").alias("budget_unit"), F.when(is_win, amount).alias("winning_amount"),
-        preview(clean_text(content), 500).alias("content_summary"),
+        clean_text(content).alias("content_summary"),
         N.opportunity_score(amount, buyer, method, F.lit(0)).alias("opportunity_score"), F.lit("rules").alias("llm_model"))
 
 
@@ -129,11 +130,11 @@ def extract_structured(details: DataFrame, done: DataFrame | None = None,
     prompt = F.concat(F.lit("项目名称："), F.coalesce("title", F.lit("")), F.lit("\n发布日期："),
                       F.coalesce(F.col("publish_date").cast("string"), F.lit("")), F.lit("\n公告内容：\n"),
                       F.coalesce("content", F.lit("")))
-    replies = ask(todo.withColumn("_prompt", prompt), "url", "_prompt", factory)
-    parsed = replies.select("url", J.reply_to_struct("reply", f"struct<{_colon(EXTRACT_FIELDS)}>").alias("r"))
-    return todo.join(parsed, "url", "left").select(
-        F.col("url").alias("source_url"), F.col("title").alias("project_name"), "publish_date", "r.*",
-        F.when(F.col("r").isNotNull(), F.lit(name)).alias("llm_model"))
+    # the record travels with its prompt, so equal URLs stay rows of their own and nothing is joined back
+    own = F.struct(F.col("url").alias("source_url"), F.col("title").alias("project_name"), "publish_date")
+    replies = ask(todo.select(own.alias("_own"), prompt.alias("_prompt")), "_own", "_prompt", factory)
+    parsed = replies.select("_own", J.reply_to_struct("reply", f"struct<{_colon(EXTRACT_FIELDS)}>").alias("r"))
+    return parsed.select("_own.*", "r.*", F.when(F.col("r").isNotNull(), F.lit(name)).alias("llm_model"))
 
 
 def _colon(ddl: str) -> str:
@@ -156,6 +157,6 @@ def suggest(requests: DataFrame, cache: DataFrame, model: Callable[[], Model], p
     hits, misses = split_cached(requests, cache, "cache_key", ["created_at"])
     todo = misses.groupBy("cache_key").agg(F.min(prompt).alias(prompt))
     fresh = ask(todo, "cache_key", prompt, model).select("cache_key", strip_markers("reply").alias("suggestions"))
-    fresh = fresh.filter(text_truthy("suggestions"))
+    fresh = cut(fresh.filter(text_truthy("suggestions")))  # both results read it; the model is asked once
     answered = misses.join(fresh, "cache_key", "left")
     return union_all(hits.select("cache_key", prompt, "suggestions"), answered.select("cache_key", prompt, "suggestions")), fresh

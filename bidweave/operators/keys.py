@@ -34,6 +34,14 @@ def top_k(df: DataFrame, k: int, by: Sequence[Column], group: Sequence[str], ran
     return out if rank_col else out.drop(name)
 
 
+def top_k_staged(df: DataFrame, k: int, by: Sequence[Column], group: Sequence[str], spread: str, rank_col: str | None = None,
+                 salts: int = 32) -> DataFrame:
+    """top_k for few groups with very many rows: the best k of each part of a group (parts by the hash of
+    `spread`), then the best k of those, so the last task of a group sorts k x salts rows."""
+    parts = df.withColumn("_part", F.pmod(F.xxhash64(spread), F.lit(salts)))
+    return top_k(top_k(parts, k, by, [*group, "_part"]).drop("_part"), k, by, group, rank_col)
+
+
 def keep_first(df: DataFrame, key, order: Sequence[Column], null_keys: str = "drop") -> DataFrame:
     """One row per key, the first in `order`. Rows with a null key are dropped or all kept."""
     keys = _list(key)
@@ -47,6 +55,15 @@ def keep_last(df: DataFrame, key, order: Sequence[str], null_keys: str = "drop")
     return keep_first(df, key, [F.col(c).desc_nulls_last() for c in order], null_keys)
 
 
+def one_per_key(df: DataFrame, key, order: Sequence[str] = ()) -> DataFrame:
+    """The row that a lookup by key meets: the last in `order`, or without one the largest by all
+    other columns. Rows without a key cannot be met and are dropped."""
+    others = [c for c in df.columns if c not in _list(key)]
+    if not order and not others:
+        return df.distinct()
+    return keep_last(df, key, order or others)
+
+
 def limit_unique(df: DataFrame, key, order: Sequence[str], n: int) -> DataFrame:
     """The first n distinct keys in the order of the named columns, one row each."""
     return keep_first(df, key, [F.col(c) for c in order]).orderBy(*order).limit(n)

@@ -10,15 +10,15 @@ from pyspark.sql import functions as F
 from bidweave import rules
 from bidweave.functions import html as H
 from bidweave.functions.names import row_key
-from bidweave.functions.text import blank_to_null, clean_text, col, contains_any, first_group, first_text, trim_blanks
+from bidweave.functions.text import clean_text, first_text, trim_blanks
 from bidweave.functions.urls import (canonical_url, channel_url, drop_fragment, is_attachment, is_skipped_href,
                                      on_site, resolve_url, url_path, url_uuid)
-from bidweave.operators.keys import keep_first, top_k
+from bidweave.operators.keys import one_per_key
 
 ANCHOR = r"(?is)<a\b[^>]*href=[\"'][^\"']+[\"'][^>]*>.*?</a>"
 HREF = r"(?is)<a\b[^>]*href=[\"']([^\"']+)[\"']"
 INNER = r"(?is)^<a\b[^>]*>(.*?)</a>"
-MARKDOWN = r"\[([^\]]{2,240})\]\(([^)\s]+)(?:\s+\"[^\"]*\")?\)"
+MARKDOWN = r"\[([^\]]{2,})\]\(([^)\s]+)(?:\s+\"[^\"]*\")?\)"
 
 
 def list_items(pages: DataFrame, key: str, html: str = "html", host: str = r"http://www\.ccgp\.gov\.cn") -> DataFrame:
@@ -30,50 +30,58 @@ def list_items(pages: DataFrame, key: str, html: str = "html", host: str = r"htt
         F.substring(rest, F.lit(1), F.length(rest) - 1))
     items = pages.filter(at > 0).select(
         key, F.posexplode(F.regexp_extract_all(area, F.lit(r"(?s)<li>(.*?)</li>"), F.lit(1))).alias("pos", "_li"))
-    span = F.regexp_extract("_li", r"(?s)<span[^>]*>(.*?)</span>", 1)
-
-    def part(pattern: str):
-        return trim_blanks(F.regexp_extract("_span", pattern, 1))
-
-    return (items.withColumn("_span", span)
+    span = F.substring_index(F.substring_index(F.substring_index("_li", "</span>", 1), "<span", -1), "<strong", 1)
+    cells = F.transform(F.split(F.regexp_replace(span, r"^[^>]*>", ""), r"[|\n<]"), trim_blanks)
+    # type and region stand behind the first <strong>, divided by bars and line ends
+    tail = F.split(F.regexp_replace(F.regexp_extract("_li", r"(?s)<strong[^>]*>(.*?)(?:</span>|\z)", 1), r"</strong>", "|"), r"[|\n<]")
+    told = F.filter(F.transform(tail, trim_blanks), lambda x: x != "")
+
+    def labelled(label: str):
+        mine = F.filter("_cells", lambda x: F.rlike(x, F.lit(f"^{label}[：:]")))
+        return F.coalesce(trim_blanks(F.regexp_replace(F.get(mine, F.lit(0)), f"^{label}[：:]", "")), F.lit(""))
+
+    stamp = F.transform("_cells", lambda x: F.regexp_extract(x, r"\d{4}[./]\d{2}[./]\d{2}\s*\d{2}:\d{2}:\d{2}", 0))
+    shown = F.regexp_extract("_li", r'target="_blank">\s*([^\n<]+)', 1)
+    return (items.withColumns({"_cells": cells, "_told": told})
             .withColumn("list_url", F.trim(F.regexp_extract("_li", f'href="({host}[^"]+)"', 1)))
             .filter(F.col("list_url") != "")
-            .select(key, "pos", "list_url",
-                    trim_blanks(F.regexp_extract("_li", r'target="_blank">\s*\n?\s*([^\n<]+)', 1)).alias("title"),
-                    part(r"(\d{4}[./]\d{2}[./]\d{2}\s*\d{2}:\d{2}:\d{2})").alias("pub_date"),
-                    part(r"采购人[：:]\s*([^<\n|]+)").alias("buyer"),
-                    part(r"代理机构[：:]\s*([^<\n|]+)").alias("agency"),
-                    part(r"<strong[^>]*>\s*([^<]+)").alias("ann_type"),
-                    part(r"</strong>\s*[|\s]*([^\n<]+)").alias("region")))
+            .select(key, "pos", "list_url", trim_blanks(shown).alias("title"),
+                    F.coalesce(F.get(F.filter(stamp, lambda x: x != ""), F.lit(0)), F.lit("")).alias("pub_date"),
+                    labelled("采购人").alias("buyer"), labelled("代理机构").alias("agency"),
+                    F.coalesce(F.get("_told", F.lit(0)), F.lit("")).alias("ann_type"),
+                    F.coalesce(F.get("_told", F.lit(1)), F.lit("")).alias("region")))
+
+
+def _first_per(entries, field: str):
+    """Entries whose `field` no earlier entry of the array has."""
+    known = F.transform(entries, lambda e: e[field])
+    return F.filter(entries, lambda e, i: F.array_position(known, e[field]) == i + 1)
 
 
-def _anchors(pages: DataFrame, key: str, html: str, *keep: str) -> DataFrame:
+def _anchor_structs(html: str):
     found = F.regexp_extract_all(F.col(html), F.lit(ANCHOR), F.lit(0))
-    return pages.select(key, *keep, F.posexplode(found).alias("pos", "_a")).select(
-        key, *keep, "pos", F.trim(F.regexp_extract("_a", HREF, 1)).alias("href"),
-        F.regexp_extract("_a", INNER, 1).alias("_inner"))
+    return F.transform(found, lambda a: F.struct(F.trim(F.regexp_extract(a, HREF, 1)).alias("href"), F.regexp_extract(a, INNER, 1).alias("inner")))
 
 
 def extract_links(pages: DataFrame, key: str, html: str = "html", url: str = "url", site: str | None = rules.NOTICE_HOST,
                   path: str | None = None, markdown: bool = True) -> DataFrame:
     """Links of a page as rows, first per target: Markdown links, then HTML anchors. Keeps links
-    on the site (and below the path) with a real title. Targets lose their fragment."""
-    rows = _anchors(pages, key, html, url).select(
-        key, url, (F.col("pos") + F.lit(1_000_000_000)).alias("pos"), "href",
-        clean_text(H.strip_tags("_inner")).alias("title"))
+    on the site (and below the path) with a real title. Targets lose their fragment. A page is one row,
+    so nothing is shuffled."""
+    entries = F.transform(_anchor_structs(html), lambda a: F.struct(clean_text(H.strip_tags(a["inner"])).alias("title"), a["href"].alias("href")))
     if markdown:
         found = F.regexp_extract_all(F.col(html), F.lit(MARKDOWN), F.lit(0))
-        marks = pages.select(key, url, F.posexplode(found).alias("pos", "_m")).select(
-            key, url, "pos", F.regexp_extract("_m", MARKDOWN, 2).alias("href"),
-            clean_text(F.regexp_extract("_m", MARKDOWN, 1)).alias("title"))
-        rows = marks.unionByName(rows)
-    rows = rows.filter(H.is_title_ok("title") & ~is_skipped_href("href")).withColumn(
-        "link", drop_fragment(resolve_url("href", url)))
+        marks = F.transform(found, lambda m: F.struct(clean_text(F.regexp_extract(m, MARKDOWN, 1)).alias("title"),
+                                                      F.regexp_extract(m, MARKDOWN, 2).alias("href")))
+        entries = F.concat(marks, entries)
+    entries = F.filter(entries, lambda e: F.coalesce(H.is_title_ok(e["title"]) & ~is_skipped_href(e["href"]), F.lit(False)))
+    placed = F.transform(entries, lambda e: F.struct(e["title"].alias("title"), drop_fragment(resolve_url(e["href"], F.col(url))).alias("link")))
     if site:
-        rows = rows.filter(on_site("link", site))
+        placed = F.filter(placed, lambda e: on_site(e["link"], site))
     if path:
-        rows = rows.filter(F.contains(url_path("link"), F.lit(path)))
-    return keep_first(rows.select(key, "pos", "title", "link"), [key, "link"], [F.col("pos")]).drop("pos")
+        placed = F.filter(placed, lambda e: F.contains(url_path(e["link"]), F.lit(path)))
+    placed = F.filter(placed, lambda e: e["link"].isNotNull())
+    return pages.select(key, placed.alias("_l")).select(key, F.inline(_first_per(F.col("_l"), "link")))
 
 
 def detail_urls(pages: DataFrame, key: str, html: str = "html", host: str = r"http://www\.ccgp\.gov\.cn/") -> DataFrame:
@@ -84,22 +92,26 @@ def detail_urls(pages: DataFrame, key: str, html: str = "html", host: str = r"ht
 
 def extract_attachments(pages: DataFrame, key: str, html: str = "html", url: str = "url") -> DataFrame:
     """Attachment rows: download anchors with an id first, then anchors that look like a file;
-    the first row per download link stays."""
+    the first row per download link stays. A page is one row, so nothing is shuffled."""
     tags = F.regexp_extract_all(F.col(html), F.lit(r"(?is)<a\b[^>]*>.*?</a>"), F.lit(0))
-    every = pages.select(key, F.posexplode(tags).alias("pos", "_a"))
-    css = F.regexp_extract("_a", r"(?is)^<a\b[^>]*class=[\"']([^\"']*)[\"']", 1)
-    uuid = F.regexp_extract("_a", r"(?is)^<a\b[^>]*id=[\"']([0-9A-Fa-f]+)[\"']", 1)
-    text = H.anchor_text(F.regexp_extract("_a", INNER, 1))
-    biz = (every.withColumn("uuid", uuid).filter(F.contains(css, F.lit("bizDownload")) & (F.col("uuid") != ""))
-           .select(key, F.lit(0).alias("_kind"), "pos", first_text(text, "uuid").alias("file_name"),
-                   F.concat(F.lit(rules.DOWNLOAD_URL), F.col("uuid")).alias("download_url"), "uuid"))
-    plain = _anchors(pages, key, html, url).withColumn("_text", H.anchor_text("_inner"))
-    plain = plain.filter(~is_skipped_href("href") & is_attachment("href", "_text")).withColumn(
-        "download_url", F.when(F.coalesce(F.trim(url), F.lit("")) == "", F.col("href")).otherwise(resolve_url("href", url)))
-    base = F.substring_index(url_path("download_url"), "/", -1)
-    plain = plain.select(key, F.lit(1).alias("_kind"), "pos", first_text("_text", base, "download_url").alias("file_name"),
-                         "download_url", url_uuid("download_url").alias("uuid"))
-    return keep_first(biz.unionByName(plain), [key, "download_url"], [F.col("_kind"), F.col("pos")]).drop("_kind", "pos")
+
+    def download(tag):
+        uuid = F.regexp_extract(tag, r"(?is)^<a\b[^>]*id=[\"']([0-9A-Fa-f]+)[\"']", 1)
+        css = F.regexp_extract(tag, r"(?is)^<a\b[^>]*class=[\"']([^\"']*)[\"']", 1)
+        text = H.anchor_text(F.regexp_extract(tag, INNER, 1))
+        return F.when(F.contains(css, F.lit("bizDownload")) & (uuid != ""), F.struct(
+            first_text(text, uuid).alias("file_name"), F.concat(F.lit(rules.DOWNLOAD_URL), uuid).alias("download_url"), uuid.alias("uuid")))
+
+    def plain(a):
+        text = H.anchor_text(a["inner"])
+        target = F.when(F.coalesce(F.trim(url), F.lit("")) == "", a["href"]).otherwise(resolve_url(a["href"], F.col(url)))
+        base = F.substring_index(url_path(target), "/", -1)
+        return F.when(F.coalesce(~is_skipped_href(a["href"]) & is_attachment(a["href"], text), F.lit(False)), F.struct(
+            first_text(text, base, target).alias("file_name"), target.alias("download_url"), url_uuid(target).alias("uuid")))
+
+    every = F.array_compact(F.concat(F.transform(tags, download), F.transform(_anchor_structs(html), plain)))
+    every = F.filter(every, lambda e: e["download_url"].isNotNull())
+    return pages.select(key, every.alias("_f")).select(key, F.inline(_first_per(F.col("_f"), "download_url")))
 
 
 def parse_pages(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
@@ -125,10 +137,10 @@ def detail_fields(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
                         *H.labelled_fields(html), H.page_type(html).alias("type"), H.segment_last(html).alias("body"))
 
 
-def bind_list_detail(lists: DataFrame, details: DataFrame, url: str = "list_url") -> DataFrame:
-    """List rows with their detail fields; a row whose detail failed stays, with the error text."""
+def bind_list_detail(lists: DataFrame, details: DataFrame, url: str = "list_url", order: Sequence[str] = ()) -> DataFrame:
+    """List rows with the fields of their (last) detail; a row whose detail failed stays, with the error text."""
     names = [c for c in details.columns if c not in (url, "error")]
-    side = details.select(F.col(url), *[F.col(c).alias(f"detail_{c}") for c in names],
+    side = one_per_key(details, url, order).select(F.col(url), *[F.col(c).alias(f"detail_{c}") for c in names],
                           *([F.col("error").alias("detail_error")] if "error" in details.columns else []))
     joined = lists.join(side, [url], "left")
     return joined.select(*lists.columns, *[F.coalesce(F.col(f"detail_{c}").cast("string"), F.lit("")).alias(f"detail_{c}")

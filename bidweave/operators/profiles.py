@@ -17,7 +17,7 @@ from bidweave import rules
 from bidweave.functions.jsonx import as_array
 from bidweave.functions.names import customer_type_label, filled_name, tier
 from bidweave.functions.text import (array_truthy, first_text, not_nan, number_truthy, text_truthy)
-from bidweave.operators.keys import collect_parts, keep_first, keep_last, top_k, union_all
+from bidweave.operators.keys import collect_parts, keep_first, keep_last, one_per_key, top_k, union_all
 from bidweave.operators.textjoin import contains_pairs
 
 # Value kinds of a profile: field name -> (source column, is it text that may hold a JSON array)
@@ -118,9 +118,9 @@ def flatten_profiles(nested: DataFrame) -> DataFrame:
 def win_rates(structured: DataFrame, buyer: str = "buyer_name_std", winner: str = "winning_bidder") -> DataFrame:
     """Share of a buyer's winning notices that each winner holds."""
     value = F.col(winner) if dict(structured.dtypes)[winner].startswith("array") else as_array(winner)
-    wins = (_rows(structured, buyer).select("customer_name", F.explode(F.array_distinct(value)).alias("winner"))
-            .filter(text_truthy("winner")).groupBy("customer_name", "winner").agg(F.count("*").alias("wins")))
-    totals = wins.groupBy("customer_name").agg(F.sum("wins").alias("_all"))
+    rows = _rows(structured, buyer).select("customer_name", F.filter(F.array_distinct(value), text_truthy).alias("_won")).filter(F.size("_won") > 0)
+    wins = rows.select("customer_name", F.explode("_won").alias("winner")).groupBy("customer_name", "winner").agg(F.count("*").alias("wins"))
+    totals = rows.groupBy("customer_name").agg(F.count("*").alias("_all"))
     return wins.join(totals, ["customer_name"]).select(
         "customer_name", "winner", "wins", F.round(F.col("wins") / F.col("_all"), 4).alias("win_rate"))
 
@@ -307,7 +307,10 @@ def unify_profiles(tender: DataFrame, crm: DataFrame, fields: Sequence[str] = ("
         "credit_code", payload.alias("_by_code"))
     by_name = keep_last(crm.filter(text_truthy("customer_name")), "customer_name", order).select(
         "customer_name", payload.alias("_by_name"))
-    matched = tender.join(by_code, ["credit_code"], "left").join(by_name, ["customer_name"], "left")
+    # profiles without a code meet nothing by code: they stay out of that join, where they would be one hot key
+    coded = tender.filter(text_truthy("credit_code")).join(by_code, ["credit_code"], "left")
+    bare = tender.filter(~text_truthy("credit_code")).withColumn("_by_code", F.lit(None).cast(by_code.schema["_by_code"].dataType))
+    matched = coded.unionByName(bare).join(by_name, ["customer_name"], "left")
     hit = F.coalesce(F.col("_by_code"), F.col("_by_name"))
     rest = [c for c in tender.columns if c not in ("customer_name", "credit_code", "customer_type")]
     merged = matched.select(
@@ -333,9 +336,9 @@ def merge_contacts(tender_contacts: DataFrame, crm: DataFrame, customer: str = "
                       [F.col("_src"), F.col("source"), F.col("position")]).drop("_src")
 
 
-def enhance_profiles(profiles: DataFrame, crm: DataFrame) -> DataFrame:
-    """Profiles with their CRM row by code (flagged when missing), plus CRM-only customers."""
-    side = crm.select("credit_code", F.struct(*[c for c in crm.columns if c not in ("credit_code", "customer_name")]
+def enhance_profiles(profiles: DataFrame, crm: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+    """Profiles with the (last) CRM row of their code (flagged when missing), plus CRM-only customers."""
+    side = one_per_key(crm, "credit_code", order).select("credit_code", F.struct(*[c for c in crm.columns if c not in ("credit_code", "customer_name")]
                                               ).alias("crm_profile"),
                       F.col("customer_name").alias("_name"))
     known = profiles.join(side, ["credit_code"], "left").withColumn(

@@ -1,14 +1,13 @@
 """Keyword (BM25) and vector search for many queries at once.
 
-Scoring is partitioned by document. Tokens are shuffled once by document id; after that
-counting, weighting and summing all happen in the partition that owns the document, and each
-task passes on only its best k rows per query. Nothing pairs queries with documents across
-the network.
+A document is one row: its terms are counted inside the row when the index is built, so texts and
+tokens never move. Scoring meets the counted terms with the terms of the queries, and only sums per
+(document, query) leave a task; the best k are taken in two stages.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,12 +18,14 @@ from pyspark.sql import functions as F
 
 from bidweave.functions.text import col, let
 from bidweave.operators.filters import valid_vectors
-from bidweave.operators.keys import BROADCAST_ROWS, ROWS_PER_SALT, top_k
+from bidweave.operators.keys import BROADCAST_ROWS, ROWS_PER_SALT, top_k_staged
 from bidweave.session import cut
 
 # Okapi constants: term saturation, length weight, and the floor for terms in most documents
 K1, B, EPSILON = 1.5, 0.75, 0.25
 BROADCAST_BYTES = 64 * 1024 * 1024
+RESULT_CELLS = 4 * 1024 * 1024  # scores that a step holds at once: 32 MiB
+BLOCK_VECTORS = 8192
 
 _HAN = r"一-鿿"
 WORDS = rf"[{_HAN}]|[\p{{L}}\p{{N}}&&[^{_HAN}]]+"
@@ -36,9 +37,11 @@ def settle(score: Column) -> Column:
     return F.rint(score * 1e9) / F.lit(1e9)
 
 
-def tokens(c: Column | str, mode: str = "words") -> Column:
-    """Array of tokens. words: letter/digit runs, single Han characters and Han pairs;
-    chars: every lower-case character. For a real word segmenter pass its Arrow UDF instead."""
+def tokens(c: Column | str, mode: str | Callable[[Column], Column] = "words") -> Column:
+    """Array of tokens. words: letter/digit runs, single Han characters and Han pairs; chars: every
+    lower-case character; or a function of the text column, such as the Arrow UDF of a word segmenter."""
+    if callable(mode):
+        return F.coalesce(mode(F.coalesce(col(c), F.lit(""))), F.array().cast("array<string>"))
     text = F.lower(F.coalesce(col(c), F.lit("")))
     if mode == "chars":
         return F.filter(F.split(text, ""), lambda t: t != "")
@@ -50,10 +53,19 @@ def tokens(c: Column | str, mode: str = "words") -> Column:
     return let(text, words)
 
 
-def tokenize(df: DataFrame, key: str, text: str = "text", mode: str = "words") -> DataFrame:
-    """(key, term, tf) rows."""
-    return df.select(key, F.explode_outer(tokens(text, mode)).alias("term")).filter(
-        F.col("term").isNotNull()).groupBy(key, "term").agg(F.count("*").alias("tf"))
+def counted(tokens_: Column) -> Column:
+    """array<struct<term, tf>> of a token array: sorted, then the runs of equal tokens are measured."""
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.transform(s, lambda t, i: F.when((i == 0) | (F.get(s, i - 1) != t), i)), lambda i: i.isNotNull())
+        return let(starts, lambda at: F.transform(at, lambda p, k: F.struct(
+            F.get(s, p).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s)) - p).cast("long").alias("tf"))))
+    return let(F.array_sort(F.filter(tokens_, lambda t: t.isNotNull())), runs)
+
+
+def tokenize(df: DataFrame, key: str, text: str = "text", mode: str | Callable[[Column], Column] = "words") -> DataFrame:
+    """(key, term, tf) rows; the rows of a key are counted by themselves and then added up."""
+    rows = df.select(key, F.inline(counted(tokens(text, mode))))
+    return rows.groupBy(key, "term").agg(F.sum("tf").alias("tf"))
 
 
 # Stands for "every document" among the terms; no token can be empty.
@@ -62,15 +74,14 @@ EVERY = ""
 
 @dataclass
 class BM25Index:
-    """docs(doc_id, flag columns, tokens, dl) partitioned by doc_id, counts(term, df, length), and
-    three numbers: documents, mean length, mean raw idf. `source` is docs before partitioning."""
+    """docs(doc_id, flag columns, terms array<struct<term, tf>>, dl), counts(term, df, length), and
+    three numbers: documents, mean length, mean raw idf."""
 
     docs: DataFrame
     counts: DataFrame
     n_docs: int
     avgdl: float
     mean_idf: float
-    source: DataFrame
 
     @property
     def terms(self) -> DataFrame:
@@ -89,8 +100,7 @@ def document_counts(docs: DataFrame) -> DataFrame:
     """(term, df, length) in one pass: every document lists each of its terms once, and the
     empty term that stands for all documents carries the lengths. Counts combine in each task
     before the shuffle, so frequent terms are cheap."""
-    listed = F.concat(F.array_distinct("tokens"), F.array(F.lit(EVERY)))
-    # outer: an inner explode would add a filter that tokenises every text a second time
+    listed = F.concat(F.transform("terms", lambda t: t["term"]), F.array(F.lit(EVERY)))
     rows = docs.select(F.explode_outer(listed).alias("term"), "dl")
     return rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("length"))
 
@@ -101,80 +111,79 @@ def corpus_stats(counts: DataFrame) -> DataFrame:
         F.col("df").alias("n_docs"), (F.col("length") / F.col("df")).alias("avgdl"))
 
 
-def _index(docs: DataFrame, counts: DataFrame, source: DataFrame) -> BM25Index:
+def _index(docs: DataFrame, counts: DataFrame) -> BM25Index:
     whole = corpus_stats(counts).first()
     n, avgdl = (whole["n_docs"], whole["avgdl"]) if whole else (0, 0.0)
     mean = counts.filter(F.col("term") != EVERY).agg(F.avg(_raw_idf(n))).first()[0]
-    return BM25Index(docs, counts, n, avgdl, mean or 0.0, source)
-
+    return BM25Index(docs, counts, n, avgdl, mean or 0.0)
 
-def bm25_index(df: DataFrame, key: str, text: str = "text", mode: str = "words", keep: tuple[str, ...] = ()) -> BM25Index:
-    """Index of a corpus. The term counts are stored, the documents stay a plan: texts move to
-    the partition of their document once, and become tokens there. Use write_index to store
-    the tokens too."""
-    def tokenized(rows: DataFrame) -> DataFrame:
-        return rows.select("doc_id", *keep, tokens("_text", mode).alias("tokens")).withColumn("dl", F.size("tokens"))
 
-    rows = df.select(F.col(key).alias("doc_id"), F.col(text).alias("_text"), *keep)
-    source = tokenized(rows)
-    return _index(tokenized(rows.repartition("doc_id")), cut(document_counts(source)), source)
+def bm25_index(df: DataFrame, key: str, text: str = "text", mode: str | Callable[[Column], Column] = "words", keep: tuple[str, ...] = ()) -> BM25Index:
+    """Index of a corpus. Documents are tokenised and counted once, where they lie; the counted
+    terms and the term table are stored. Use write_index to keep them under a name."""
+    rows = df.select(F.col(key).alias("doc_id"), *keep, tokens(text, mode).alias("_tokens"))
+    docs = cut(rows.select("doc_id", *keep, counted(F.col("_tokens")).alias("terms"), F.size("_tokens").alias("dl")))
+    return _index(docs, cut(document_counts(docs)))
 
 
 def write_index(index: BM25Index, name: str, buckets: int) -> None:
     """Store the index as two tables, `<name>_docs` and `<name>_counts`. Documents are bucketed
-    by id: a search over the stored index reads each bucket in place and shuffles no text."""
-    one_file_per_bucket = index.source.repartition(buckets, "doc_id")
+    by id: a search over the stored index reads each bucket in place and shuffles nothing of it."""
+    one_file_per_bucket = index.docs.repartition(buckets, "doc_id")
     one_file_per_bucket.write.mode("overwrite").format("parquet").bucketBy(buckets, "doc_id").saveAsTable(f"{name}_docs")
     index.counts.write.mode("overwrite").format("parquet").saveAsTable(f"{name}_counts")
 
 
 def read_index(spark: SparkSession, name: str) -> BM25Index:
     """A stored index; search it any number of times."""
-    docs = spark.read.table(f"{name}_docs")
-    return _index(docs, spark.read.table(f"{name}_counts"), docs)
+    return _index(spark.read.table(f"{name}_docs"), spark.read.table(f"{name}_counts"))
 
 
-def query_weights(index: BM25Index, queries: DataFrame, qid: str, text: str, mode: str = "words") -> DataFrame:
-    """(qid, term, weight, salts): idf times how often the query names the term; salts tells
-    over how many cells the documents of a frequent term are spread."""
+def query_weights(index: BM25Index, queries: DataFrame, qid: str, text: str, mode: str | Callable[[Column], Column] = "words") -> DataFrame:
+    """(qid, term, weight, df): idf times how often the query names the term."""
     terms = tokenize(queries.select(F.col(qid).alias("qid"), F.col(text).alias("text")), "qid", "text", mode)
-    return terms.join(index.terms, "term").select(
-        "qid", "term", (F.col("tf") * F.col("idf")).alias("weight"),
-        F.ceil(F.col("df") / ROWS_PER_SALT).cast("int").alias("salts"))
-
-
-def bm25_scores(index: BM25Index, queries: DataFrame, qid: str, text: str = "text", mode: str = "words",
-                keep: tuple[str, ...] = (), broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    return terms.join(index.terms, "term").select("qid", "term", (F.col("tf") * F.col("idf")).alias("weight"), "df")
+
+
+def _spread(postings: DataFrame, weights: DataFrame, rows_per_salt: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides with salts for hot terms. Documents of a term are dealt over df / rows_per_salt salts and its queries
+    over (number of queries) / rows_per_salt; each side is repeated over the salts of the other."""
+    salts = lambda c: F.ceil(F.col(c) / rows_per_salt).cast("int")
+    hot = (weights.groupBy("term").agg(F.first("df").alias("df"), F.count("*").alias("asked"))
+           .select("term", salts("df").alias("_ds"), salts("asked").alias("_qs")).filter("_ds > 1 or _qs > 1"))
+    one = lambda c: F.coalesce(c, F.lit(1))
+    every = lambda n: F.explode(F.sequence(F.lit(0), one(n) - 1))
+    left = (postings.join(hot, "term", "left").withColumn("_d", F.pmod(F.xxhash64("doc_id"), one("_ds")).cast("int"))
+            .withColumn("_q", every("_qs")).drop("_ds", "_qs"))
+    right = (weights.join(hot, "term", "left").withColumn("_q", F.pmod(F.xxhash64("qid"), one("_qs")).cast("int"))
+             .withColumn("_d", every("_ds")).drop("_ds", "_qs"))
+    return left, right, ["term", "_d", "_q"]
+
+
+def bm25_scores(index: BM25Index, queries: DataFrame, qid: str, text: str = "text", mode: str | Callable[[Column], Column] = "words",
+                keep: tuple[str, ...] = (), broadcast_rows: int = BROADCAST_ROWS, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
     """(qid, doc_id, score) of every document that shares a term with the query."""
     # one row per query term; stored, because it is used twice and its size decides the plan
     weights = cut(query_weights(index, queries, qid, text, mode))
+    size = weights.agg(F.count("*").alias("n"), F.sum(F.octet_length("term")).alias("bytes")).first()
+    postings = index.docs.select("doc_id", "dl", *keep, F.inline("terms"))
+    if size["n"] <= broadcast_rows and (size["bytes"] or 0) <= BROADCAST_BYTES:
+        scored = postings.join(F.broadcast(weights), "term")
+    else:
+        left, right, on = _spread(postings, weights, rows_per_salt)
+        scored = left.join(right, on)
     tf = F.col("tf")
     norm = tf + K1 * (1 - B + B * F.col("dl") / F.lit(float(index.avgdl)))
     part = F.col("weight") * (tf * (K1 + 1) / norm)
-    head = ["doc_id", "dl", *keep]
-    rows = index.docs.select(*head, F.explode_outer("tokens").alias("term"))
-    if weights.count() <= broadcast_rows:
-        vocabulary = F.broadcast(weights.select("term").distinct())
-        # the groupings below are already partitioned by document: no further shuffle
-        postings = rows.join(vocabulary, "term", "left_semi").groupBy(*head, "term").agg(F.count("*").alias("tf"))
-        scored = postings.join(F.broadcast(weights), "term")
-    else:
-        # too many query terms to copy to every task: join by term, frequent terms spread over salts
-        rows = rows.groupBy(*head, "term").agg(F.count("*").alias("tf"))
-        spread_over = index.counts.select("term", F.ceil(F.col("df") / ROWS_PER_SALT).cast("int").alias("_salts"))
-        hot = F.broadcast(spread_over.filter(F.col("_salts") > 1))  # at most postings / ROWS_PER_SALT terms
-        rows = rows.join(hot, "term", "left").withColumn(
-            "_salt", F.pmod(F.xxhash64("doc_id"), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
-        spread = weights.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
-        scored = rows.join(spread, ["term", "_salt"])
+    # a task holds whole documents: what it sends is one sum per (document, query)
     return scored.groupBy("doc_id", *keep, "qid").agg(settle(F.sum(part)).alias("score"))
 
 
 def bm25_search(index: BM25Index, queries: DataFrame, qid: str, text: str = "text", k: int = 10,
-                mode: str = "words") -> DataFrame:
+                mode: str | Callable[[Column], Column] = "words") -> DataFrame:
     """Top k documents per query with a positive score; ties by id. `rank` is 1-based."""
     scores = bm25_scores(index, queries, qid, text, mode).filter(F.col("score") > 0)
-    return top_k(scores, k, [F.col("score").desc(), F.col("doc_id")], ["qid"], "rank")
+    return top_k_staged(scores, k, [F.col("score").desc(), F.col("doc_id")], ["qid"], "doc_id", "rank")
 
 
 # --- vectors ---------------------------------------------------------------------------
@@ -209,8 +218,8 @@ def vector_search(vectors: DataFrame, queries: DataFrame, dim: int, k: int = 10,
     """Exact inner-product top k per query over unit vectors; (qid, doc_id, score, rank).
 
     Queries within the byte bound are copied to the tasks: vectors never move, each task
-    multiplies its batches with the query block and keeps k rows per query. Beyond the bound
-    both sides are cut into blocks that meet on a grid of cells of bounded size.
+    multiplies its batches with slices of the query block and keeps k rows per query. Beyond the bound
+    both sides are cut into blocks that meet on a grid. Either way a product holds RESULT_CELLS scores at most.
     """
     base = vector_table(vectors, dim, key, vector).select(F.col(key).alias("doc_id"), F.col(vector).alias("v"))
     asked = vector_table(queries, dim, qid, vector).select(F.col(qid).alias("qid"), F.col(vector).alias("q"))
@@ -218,12 +227,14 @@ def vector_search(vectors: DataFrame, queries: DataFrame, dim: int, k: int = 10,
     block = max(1, broadcast_bytes // (dim * 8))
     table = asked.limit(block + 1).toArrow()  # never more than one block comes to the driver
     local = (_search_copied(base, table, dim, k, types) if table.num_rows <= block
-             else _search_grid(base, asked, k, types, block))
-    return top_k(local, k, [F.col("score").desc(), F.col("doc_id")], ["qid"], "rank")
+             else _search_grid(base, asked, k, types))
+    return top_k_staged(local, k, [F.col("score").desc(), F.col("doc_id")], ["qid"], "doc_id", "rank")
 
 
 def _products(questions: np.ndarray, docs: np.ndarray) -> np.ndarray:
     # the same grid as `settle`: results must not depend on how rows fall into batches
+    if len(questions) * len(docs) > RESULT_CELLS:
+        raise ValueError("a product holds more scores than the bound")
     return np.rint((questions @ docs.T) * 1e9) / 1e9
 
 
@@ -237,19 +248,22 @@ def _search_copied(base: DataFrame, table: pa.Table, dim: int, k: int, types: st
             return
         best_ids = [None] * len(qids)
         best_scores: list = [None] * len(qids)
+        rows = min(BLOCK_VECTORS, RESULT_CELLS)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            scores = _products(matrix, _matrix(batch.column(1), dim))
-            for i, at in enumerate(_best(scores, ids, k)):
-                new_ids, new_scores = ids[at], scores[i][at]
-                if best_ids[i] is not None:
-                    new_ids = np.concatenate([best_ids[i], new_ids])
-                    new_scores = np.concatenate([best_scores[i], new_scores])
-                    keep = np.lexsort((new_ids, -new_scores))[:k]
-                    new_ids, new_scores = new_ids[keep], new_scores[keep]
-                best_ids[i], best_scores[i] = new_ids, new_scores
+            for low in range(0, batch.num_rows, rows):
+                part = batch.slice(low, rows)
+                ids, vectors = part.column(0).to_numpy(zero_copy_only=False), _matrix(part.column(1), dim)
+                step = max(1, RESULT_CELLS // part.num_rows)
+                for first in range(0, len(qids), step):
+                    scores = _products(matrix[first:first + step], vectors)
+                    for i, at in enumerate(_best(scores, ids, k)):
+                        new_ids, new_scores, q = ids[at], scores[i][at], first + i
+                        if best_ids[q] is not None:
+                            new_ids = np.concatenate([best_ids[q], new_ids])
+                            new_scores = np.concatenate([best_scores[q], new_scores])
+                            keep = np.lexsort((new_ids, -new_scores))[:k]
+                            new_ids, new_scores = new_ids[keep], new_scores[keep]
+                        best_ids[q], best_scores[q] = new_ids, new_scores
         for i, ids in enumerate(best_ids):
             if ids is not None:
                 yield pa.RecordBatch.from_arrays(
@@ -259,9 +273,11 @@ def _search_copied(base: DataFrame, table: pa.Table, dim: int, k: int, types: st
     return base.mapInArrow(scan, types)
 
 
-def _search_grid(base: DataFrame, asked: DataFrame, k: int, types: str, block_rows: int) -> DataFrame:
-    q_blocks = -(-asked.count() // block_rows)
-    v_blocks = max(1, -(-base.count() // block_rows))
+def _search_grid(base: DataFrame, asked: DataFrame, k: int, types: str) -> DataFrame:
+    # blocks are dealt by hash: half the bound on average, and a cell that is fuller is cut below
+    v_rows = max(1, min(BLOCK_VECTORS, RESULT_CELLS) // 2)
+    q_blocks = max(1, -(-asked.count() * v_rows * 2 // RESULT_CELLS))
+    v_blocks = max(1, -(-base.count() // v_rows))
     left = base.withColumn("vb", F.pmod(F.xxhash64("doc_id", "v"), F.lit(v_blocks)).cast("int")).withColumn(
         "qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
     right = asked.withColumn("qb", F.pmod(F.xxhash64("qid", "q"), F.lit(q_blocks)).cast("int")).withColumn(
@@ -270,9 +286,12 @@ def _search_grid(base: DataFrame, asked: DataFrame, k: int, types: str, block_ro
     def cell(docs: pd.DataFrame, questions: pd.DataFrame) -> pd.DataFrame:
         if not len(docs) or not len(questions):
             return pd.DataFrame({"qid": [], "doc_id": [], "score": []})
-        ids = docs["doc_id"].to_numpy()
-        scores = _products(np.stack(questions["q"].to_list()), np.stack(docs["v"].to_list()))
-        rows = [(q, ids[at], scores[i][at]) for i, (q, at) in enumerate(zip(questions["qid"], _best(scores, ids, k)))]
+        ids, rows = docs["doc_id"].to_numpy(), []
+        vectors, step = np.stack(docs["v"].to_list()), max(1, RESULT_CELLS // len(docs))
+        for low in range(0, len(questions), step):
+            part = questions.iloc[low:low + step]
+            scores = _products(np.stack(part["q"].to_list()), vectors)
+            rows += [(q, ids[at], scores[i][at]) for i, (q, at) in enumerate(zip(part["qid"], _best(scores, ids, k)))]
         return pd.DataFrame({"qid": np.concatenate([[q] * len(d) for q, d, _ in rows]),
                              "doc_id": np.concatenate([d for _, d, _ in rows]),
                              "score": np.concatenate([s for _, _, s in rows])})

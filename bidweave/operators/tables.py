@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from bidweave.functions.names import row_key
-from bidweave.functions.text import text_truthy
+from bidweave.functions.text import filled, text_truthy
 from bidweave.functions.urls import canonical_url
-from bidweave.operators.keys import keep_first, keep_last, union_all
+from bidweave.operators.keys import keep_first, keep_last, one_per_key, union_all
 
 STATUS_NEW, STATUS_DONE, STATUS_MATCHED, STATUS_FILTERED = "new", "processed", "matched", "filtered"
 
@@ -104,9 +104,9 @@ def orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
     return child.join(parent.select(key), key, "left_anti")
 
 
-def propagate_key(child: DataFrame, parent: DataFrame, on: str, key: str) -> DataFrame:
-    """Child rows take the key of their parent when they have none."""
-    up = parent.select(on, F.col(key).alias("_key"))
+def propagate_key(child: DataFrame, parent: DataFrame, on: str, key: str, order: Sequence[str] = ()) -> DataFrame:
+    """Child rows take the key of their (last) parent when they have none."""
+    up = one_per_key(parent.select(*dict.fromkeys([on, key, *order])), on, order).select(on, F.col(key).alias("_key"))
     return child.join(up, on, "left").withColumn(key, F.coalesce(F.col(key), F.col("_key"))).drop("_key")
 
 
@@ -116,10 +116,10 @@ def with_row_key(df: DataFrame, url: str, key: str = "uuid") -> DataFrame:
     return df.withColumn(key, F.coalesce(F.nullif(have, F.lit("")), row_key(canonical_url(url))))
 
 
-def link_structured(structured: DataFrame, tenders: DataFrame, url: str = "source_url") -> DataFrame:
-    """Structured rows with id, key and date of their notice; unmatched rows get their own key."""
-    side = tenders.select(F.col("detail_url").alias(url), F.col("id").alias("tender_id"),
-                          "uuid", "publish_date")
+def link_structured(structured: DataFrame, tenders: DataFrame, url: str = "source_url", order: Sequence[str] = ("id",)) -> DataFrame:
+    """Structured rows with id, key and date of their notice, the last one of a repeated URL;
+    unmatched rows get their own key."""
+    side = keep_last(tenders, "detail_url", order).select(F.col("detail_url").alias(url), F.col("id").alias("tender_id"), "uuid", "publish_date")
     return with_row_key(structured.join(side, url, "left"), url)
 
 
@@ -141,9 +141,9 @@ def latest_structured(tenders: DataFrame, structured: DataFrame, n: int, order:
     return latest(have, n, *order)
 
 
-def with_profile(requests: DataFrame, profiles: DataFrame, name: str = "customer_name") -> DataFrame:
-    """Requests with the profile of the customer they name; null when there is none."""
-    side = profiles.select(name, F.struct(*[c for c in profiles.columns if c != name]).alias("profile"))
+def with_profile(requests: DataFrame, profiles: DataFrame, name: str = "customer_name", order: Sequence[str] = ()) -> DataFrame:
+    """Requests with the (last) profile of the customer they name; null when there is none."""
+    side = one_per_key(profiles, name, order).select(name, F.struct(*[c for c in profiles.columns if c != name]).alias("profile"))
     return requests.join(side, name, "left")
 
 
@@ -191,15 +191,14 @@ def update_by_key(target: DataFrame, batch: DataFrame, key: str, columns: Sequen
 
 def upsert_nonempty(target: DataFrame, batch: DataFrame, key: str, order: Sequence[str],
                     status: str | None = "status") -> DataFrame:
-    """Insert or update: an empty new value keeps the old one; touched rows are new again.
+    """Insert or update: an empty new value (null, or '' in a text) keeps the old one; touched rows are new again.
 
     Several batch rows of one key are folded first: the last filled value of each column wins.
     """
     cols = [c for c in target.columns if c not in (key, status)]
     seq = F.struct(*order)
     folded = batch.filter(text_truthy(key)).groupBy(key).agg(
-        *[F.max_by(F.nullif(F.col(c), F.lit("")), F.when(text_truthy(c), seq)).alias(c)
-          for c in cols if c in batch.columns])
+        *[F.max_by(F.col(c), F.when(filled(F.col(c), batch.schema[c].dataType), seq)).alias(c) for c in cols if c in batch.columns])
     both = _paired(target, folded, key, "full")
     touched = F.col("_has_new").isNotNull()
     out = [F.col(key)]
@@ -223,9 +222,10 @@ def mark(df: DataFrame, to: str = STATUS_DONE, frm: str = STATUS_NEW, status: st
     return df.withColumn(status, F.when(F.col(status) == frm, F.lit(to)).otherwise(F.col(status)))
 
 
-def apply_verdict(target: DataFrame, verdicts: DataFrame, key: str) -> DataFrame:
-    """Write keep / reason / categories of the filter into status, category and match_reason."""
-    side = verdicts.select(key, F.col("keep").alias("_keep"), F.col("reason").alias("_reason"),
+def apply_verdict(target: DataFrame, verdicts: DataFrame, key: str, order: Sequence[str] = ()) -> DataFrame:
+    """Write keep / reason / categories of the filter (the last verdict of a key) into status,
+    category and match_reason."""
+    side = one_per_key(verdicts, key, order).select(key, F.col("keep").alias("_keep"), F.col("reason").alias("_reason"),
                            F.array_join("categories", ",").alias("_cats"))
     joined = target.join(side, key, "left")
     hit = F.col("_keep").isNotNull()

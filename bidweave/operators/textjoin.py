@@ -45,10 +45,14 @@ def contains_pairs(patterns: DataFrame, texts: DataFrame, n: int = GRAM) -> Data
 
 def infer_region(orgs: DataFrame, gazetteer: DataFrame, org: str = "org", name: str = "name",
                  fields: tuple[str, ...] = ("province", "city")) -> DataFrame:
-    """Organisations with the place of the longest gazetteer name they contain (ties by name)."""
+    """Organisations with the place of the longest gazetteer name they contain (ties by name), one row each.
+    A name that several places share stands for the place whose first field the text also names, else for the first place."""
     pairs = contains_pairs(gazetteer.select(F.col(name).alias("pattern")), orgs.select(F.col(org).alias("text")).distinct())
     longest = pairs.groupBy("text").agg(
         F.min(F.struct((-F.length("pattern")).alias("len"), "pattern")).alias("best")).select(
         F.col("text").alias(org), F.col("best.pattern").alias("matched_name"))
-    place = longest.join(gazetteer.select(F.col(name).alias("matched_name"), *fields), "matched_name", "left")
+    places = gazetteer.select(F.col(name).alias("matched_name"), *fields).distinct()
+    named = F.coalesce(F.contains(F.col(org), F.col(fields[0])), F.lit(False))
+    place = longest.join(places, "matched_name").groupBy(org, "matched_name").agg(
+        F.min(F.struct((~named).alias("_other"), *fields)).alias("_place")).select(org, "matched_name", *[F.col(f"_place.{f}").alias(f) for f in fields])
     return orgs.join(place, [org], "left")

@@ -31,31 +31,33 @@ def embed_search(t):
   CASE WHEN o_orderstatus = 'F' THEN NULL ELSE round(floor(o_totalprice) * 10000, 2) END AS budget_amount,
   CASE WHEN o_orderstatus = 'F' THEN round(floor(o_totalprice) * 10000, 2) END AS winning_amount,
   CAST(least(100, CASE WHEN floor(o_totalprice) * 10000 >= 5000000 THEN 30 WHEN floor(o_totalprice) * 10000 >= 1000000 THEN 20 ELSE 10 END + 20 + 10) AS INTEGER) AS opportunity_score,
-  'rules' AS llm_model
+  'rules' AS llm_model, 700 + length(c_name) AS chars
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
   WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')""")
 def extract_structured(t):
     """Orders as detail pages; pages already extracted (with returned packages) are left out."""
     rows = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
     url = F.concat(F.lit("http://d/"), F.col("o_orderkey").cast("string"))
-    text = F.concat(F.lit("公开招标\n采购人："), "c_name", F.lit("（总部）\n地区："), "n_name", F.lit("\n预算金额：人民币"),
+    # longer than a former summary
+    text = F.concat(F.lit("招标" * 350), "c_name", F.lit("\n公开招标\n采购人："), "c_name", F.lit("（总部）\n地区："), "n_name", F.lit("\n预算金额：人民币"),
                     F.floor("o_totalprice").cast("string"), F.lit(" 万元整\n"))
     pages = rows.select(url.alias("url"), F.when(F.col("o_orderstatus") == "F", "中标公告").otherwise("招标公告").alias("title"),
                         F.col("o_orderdate").alias("publish_date"), text.alias("content"))
     done = t.lineitem.filter("l_returnflag = 'R'").select(F.concat(F.lit("http://d/"), F.col("l_orderkey").cast("string")).alias("source_url"))
-    return I.extract_structured(pages, done).select("source_url", "buyer_name_std", "province", "budget_amount", "winning_amount",
-                                                    "opportunity_score", "llm_model")
+    made = I.extract_structured(pages, done)
+    return made.select("source_url", "buyer_name_std", "province", "budget_amount", "winning_amount", "opportunity_score", "llm_model",
+                       F.length(F.substring_index("content_summary", " 公开招标", 1)).cast("long").alias("chars"))
 
 
 def _spec_model():
     """Stands for a model: one readable item about each text, and one broken item."""
     def answer(prompts):
-        return ["好的 {\"items\": [" + json.dumps({"产品名称": p[:8], "数量": str(len(p))}, ensure_ascii=False) + ", {bad}]" for p in prompts]
+        return ["好的 {\"items\": [" + json.dumps({"产品名称": p[-8:], "数量": str(len(p))}, ensure_ascii=False) + ", {bad}]" for p in prompts]
     return answer
 
 
-@query("extract_specs", """SELECT doc_id, substr(text, 1, 8) AS product_name, '数量: ' || length(text) AS requirement FROM documents
-  WHERE length(trim(text)) >= 50 AND NOT regexp_matches(substr(text, 1, 8), '[{}]')""")
+@query("extract_specs", """SELECT doc_id, right(text, 8) AS product_name, '数量: ' || length(text) AS requirement FROM documents
+  WHERE length(trim(text)) >= 50 AND NOT regexp_matches(right(text, 8), '[{}]')""")
 def extract_specs(t):
     return I.extract_specs(t.documents.select("doc_id", "text"), _spec_model, "doc_id").select("doc_id", "product_name", "requirement")
 

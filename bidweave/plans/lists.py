@@ -177,7 +177,10 @@ def latest_structured(t):
   CASE WHEN o_orderkey IS NULL THEN sha256('u' || l_orderkey) ELSE o_orderpriority END AS uuid FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey AND o_orderstatus <> 'P'""")
 def link_structured(t):
     key = F.concat(F.lit("u"), F.col("o_orderkey").cast("string"))
+    """Every open notice also has an older row with the same URL."""
     tenders = t.orders.filter(F.col("o_orderstatus") != "P").select(F.col("o_orderkey").alias("id"), key.alias("detail_url"), F.col("o_orderpriority").alias("uuid"), F.col("o_orderdate").alias("publish_date"))
+    older = tenders.filter(F.col("id") % 2 == 0).withColumn("id", -F.col("id") - 1).withColumn("uuid", F.lit("older"))
+    tenders = tenders.unionByName(older)
     rows = t.lineitem.select(F.concat(F.lit("u"), F.col("l_orderkey").cast("string")).alias("source_url"), "l_linenumber", "l_partkey")
     return T.link_structured(rows, tenders).select("source_url", "l_linenumber", "l_partkey", "tender_id", "uuid")
 
@@ -193,7 +196,8 @@ def chunks_of(t):
 def suggestion_requests(t):
     requests = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.col("c_name").alias("customer_name"))
     profiles = t.customer.select(F.col("c_name").alias("customer_name"), F.col("c_acctbal").alias("balance"))
-    return T.with_profile(requests, profiles).select("o_orderkey", "customer_name", "profile.balance")
+    profiles = profiles.unionByName(profiles.withColumn("balance", F.col("balance") - 1))  # an older profile of each name
+    return T.with_profile(requests, profiles, order=["balance"]).select("o_orderkey", "customer_name", "profile.balance")
 
 
 @query("category_counts", """SELECT k AS category, count(*) AS count FROM (SELECT unnest([o_orderpriority, o_orderstatus]) AS k FROM orders) GROUP BY 1""")

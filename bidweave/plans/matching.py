@@ -132,13 +132,16 @@ def post_filter(t):
 
 
 @query("validate", """WITH r AS (SELECT o_orderkey, o_totalprice - 1000 AS b, o_orderkey % 113 AS s, o_orderpriority AS a, o_orderdate AS e FROM orders)
-  SELECT o_orderkey, concat_ws('|', CASE WHEN a NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM') THEN 'announce_type' END,
+  SELECT o_orderkey, concat_ws('|', CASE WHEN o_orderkey % 7 = 0 THEN 'missing:project_name' END, CASE WHEN o_orderkey % 5 = 0 THEN 'requirement_chunks' END, CASE WHEN a NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM') THEN 'announce_type' END,
     CASE WHEN b < 0 THEN 'budget_amount' END, CASE WHEN s > 100 THEN 'opportunity_score' END) AS errors FROM r""")
 def validate(t):
     rows = t.orders.select("o_orderkey", (F.col("o_totalprice") - 1000).alias("budget_amount"),
                            (F.col("o_orderkey") % 113).alias("opportunity_score"), F.col("o_orderpriority").alias("announce_type"),
                            F.array("o_orderstatus").alias("product_keywords"), F.lit("tender-structured-v1").alias("schema_version"),
-                           F.col("o_orderdate").alias("extracted_at"))
+                           F.col("o_orderdate").alias("extracted_at"), F.lit("u").alias("source_url"), F.lit("b").alias("buyer_name_std"),
+                           F.lit("s").alias("content_summary"), F.when(F.col("o_orderkey") % 7 != 0, "o_orderstatus").otherwise("").alias("project_name"),
+                           F.array(F.struct(F.when(F.col("o_orderkey") % 5 == 0, "unknown").otherwise("other").alias("type"), F.lit("t").alias("text"))
+                                   ).alias("requirement_chunks"))
     return L.validate(rows, types=["1-URGENT", "2-HIGH", "3-MEDIUM"]).select("o_orderkey", F.array_join("errors", "|").alias("errors"))
 
 

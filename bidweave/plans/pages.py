@@ -97,14 +97,15 @@ def list_items(t):
     return items.select("o_orderkey", "list_url", "title", "pub_date", "buyer", "agency", "ann_type", "region")
 
 
-@query("detail_fields", """SELECT o_orderkey, o_orderpriority AS title, c_name AS buyer, c_mktsegment AS agency, CAST(o_totalprice AS VARCHAR) || '元' AS amount,
-  strftime(o_orderdate, '%Y-%m-%d') AS date, n_name AS region, '公开招标' AS type
+@query("detail_fields", """SELECT o_orderkey, o_orderpriority AS title, repeat(c_name || ' ', 9) || 'x' AS buyer, repeat(c_mktsegment || '-', 15) || 'x' AS agency,
+  CAST(o_totalprice AS VARCHAR) || '元' AS amount, strftime(o_orderdate, '%Y-%m-%d') AS date, repeat(n_name || ' ', 8) || 'x' AS region, '公开招标' AS type
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""")
 def detail_fields(t):
     rows = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
-    html = F.concat(F.lit("<title>"), "o_orderpriority", F.lit("</title><p>公开招标</p><p>采购单位："), "c_name", F.lit("</p><p>代理机构: "), "c_mktsegment",
+    html = F.concat(F.lit("<title>"), "o_orderpriority", F.lit("</title><p>公开招标</p><p>采购单位："), F.repeat(F.concat("c_name", F.lit(" ")), F.lit(9)), F.lit("x</p><p>代理机构: "),
+                    F.repeat(F.concat("c_mktsegment", F.lit("-")), F.lit(15)), F.lit("x"),
                     F.lit("</p><p>预算金额："), F.format_string("%.2f", "o_totalprice"), F.lit("元</p><p>发布日期："), F.date_format("o_orderdate", "yyyy-MM-dd"),
-                    F.lit("</p><p>地区："), "n_name", F.lit("</p>"))
+                    F.lit("</p><p>地区："), F.repeat(F.concat("n_name", F.lit(" ")), F.lit(8)), F.lit("x</p>"))
     fields = G.detail_fields(rows.select("o_orderkey", html.alias("html")), "o_orderkey")
     money = F.regexp_replace("amount", r"\.?0+元$", "元")
     whole = F.when(F.contains(money, F.lit(".")), money).otherwise(F.replace(money, F.lit("元"), F.lit(".0元")))
@@ -166,6 +167,7 @@ def blocked_keywords(t):
 def bind_list_detail(t):
     details = t.lineitem.groupBy(F.col("l_orderkey").alias("list_url")).agg(
         F.count("*").alias("amount"), F.when(F.bool_or(F.col("l_returnflag") == "R"), "returned").alias("error"))
+    details = details.unionByName(details.withColumn("amount", F.col("amount") - 1))  # an older, smaller detail of each URL
     return G.bind_list_detail(t.orders.select(F.col("o_orderkey").alias("list_url"), F.col("o_orderpriority").alias("list_title")), details)
 
 

@@ -70,12 +70,15 @@ def profile_rows(t):
     return C.flatten_profiles(s).select("customer_name", "province", "city", "tender_count")
 
 
-@query("win_rates", f"""WITH {NOTICES}, w AS (
-  SELECT buyer_name_std AS customer_name, winning_bidder AS winner, count(*) AS wins FROM notices
-  WHERE winning_bidder IS NOT NULL GROUP BY 1, 2)
-  SELECT *, round(wins / sum(wins) OVER (PARTITION BY customer_name), 4) AS win_rate FROM w""")
+@query("win_rates", f"""WITH {NOTICES}, n AS (
+  SELECT tender_id, buyer_name_std AS customer_name, winning_bidder, tender_id % 4 = 0 AS two FROM notices WHERE winning_bidder IS NOT NULL),
+  w AS (SELECT customer_name, winner, count(*) AS wins FROM (SELECT customer_name, winning_bidder AS winner FROM n
+    UNION ALL SELECT customer_name, 'partner' FROM n WHERE two) GROUP BY 1, 2)
+  SELECT w.*, round(wins / a.notices, 4) AS win_rate FROM w JOIN (SELECT customer_name, count(*) AS notices FROM n GROUP BY 1) a USING (customer_name)""")
 def win_rates(t):
-    return C.win_rates(t.notices)
+    """Every fourth won notice has two winners."""
+    partner = F.when(F.col("winning_bidder").isNotNull() & (F.col("tender_id") % 4 == 0), F.lit("partner"))
+    return C.win_rates(t.notices.withColumn("winning_bidder", F.array_compact(F.array("winning_bidder", partner))))
 
 
 @query("top_customers", f"""WITH {PROFILES} SELECT customer_name, province, tender_count, total_budget FROM prof
@@ -228,7 +231,9 @@ def profile_unify(t):
   UNION ALL SELECT customer_name, credit_code, lead_count, true, 'crm', false FROM crm
     WHERE credit_code NOT IN (SELECT credit_code FROM tender)""")
 def enhance_profiles(t):
-    found = C.enhance_profiles(tender_side(t).drop("customer_type"), crm_side(t))
+    crm = crm_side(t)
+    crm = crm.unionByName(crm.withColumn("lead_count", F.col("lead_count") - 1))  # an older row of each code
+    found = C.enhance_profiles(tender_side(t).drop("customer_type"), crm)
     return found.select("customer_name", "credit_code", "crm_profile.lead_count", "has_crm_data", "source", "has_tender_data")
 
 
@@ -275,4 +280,5 @@ def region(t):
         "s_suppkey", F.concat("s_name", F.lit(" of "), "n_name", F.lit(" office")).alias("org"))
     places = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(
         F.col("n_name").alias("name"), F.col("r_name").alias("province"), F.col("n_name").alias("city"))
-    return infer_region(orgs, places).select("s_suppkey", "org", "matched_name", "province", "city")
+    twins = places.withColumns({"province": F.lit("ZZ"), "city": F.lit("other")})  # every name also stands for a second place
+    return infer_region(orgs, places.unionByName(twins)).select("s_suppkey", "org", "matched_name", "province", "city")

@@ -76,11 +76,14 @@ BATCH = """target AS (SELECT c_name AS url, c_mktsegment AS project_name, CASE W
     FROM events LEFT JOIN customer ON user_id = c_custkey)"""
 
 
-@query("upsert_nonempty", f"""WITH {BATCH}, f AS (SELECT url, arg_max(nullif(project_name, ''), seq) FILTER (project_name <> '') AS project_name FROM batch GROUP BY 1)
-  SELECT coalesce(t.url, f.url) AS url, coalesce(f.project_name, t.project_name) AS project_name, t.budget, CASE WHEN f.url IS NULL THEN t.status ELSE 'new' END AS status
+@query("upsert_nonempty", f"""WITH {BATCH}, f AS (SELECT url, arg_max(nullif(project_name, ''), seq) FILTER (project_name <> '') AS project_name,
+    max(seq) FILTER (seq % 3 = 0) / 2 AS price FROM batch GROUP BY 1)
+  SELECT coalesce(t.url, f.url) AS url, coalesce(f.project_name, t.project_name) AS project_name, t.budget,
+    coalesce(CAST(f.price AS DOUBLE), CASE WHEN t.url IS NOT NULL THEN 7.5::DOUBLE END) AS price, CASE WHEN f.url IS NULL THEN t.status ELSE 'new' END AS status
   FROM target t FULL JOIN f ON t.url = f.url""")
 def upsert_nonempty(t):
-    return T.upsert_nonempty(_target(t), _batch(t), "url", ["seq"])
+    price = F.when(F.col("seq") % 3 == 0, F.col("seq") / 2)
+    return T.upsert_nonempty(_target(t).withColumn("price", F.lit(7.5)), _batch(t).withColumn("price", price), "url", ["seq"])
 
 
 @query("update_by_key", f"""WITH {BATCH}, l AS (SELECT url, project_name FROM batch QUALIFY row_number() OVER (PARTITION BY url ORDER BY seq DESC) = 1)
@@ -115,7 +118,8 @@ def apply_verdict(t):
     verdicts = t.orders.filter(F.col("o_orderstatus") != "P").select(
         "o_orderkey", (F.col("o_orderstatus") == "F").alias("keep"), F.col("o_orderpriority").alias("reason"),
         F.array(F.col("o_orderpriority"), F.lit("x")).alias("categories"))
-    return T.apply_verdict(target, verdicts, "o_orderkey")
+    verdicts = verdicts.withColumn("seq", F.lit(2)).unionByName(verdicts.withColumns({"keep": ~F.col("keep"), "reason": F.lit("older"), "seq": F.lit(1)}))
+    return T.apply_verdict(target, verdicts, "o_orderkey", ["seq"])
 
 
 @query("replace_chunks", """WITH b AS (SELECT l_orderkey AS tender_id, l_linenumber AS chunk_order, l_shipdate AS d FROM lineitem WHERE l_returnflag = 'R'),
@@ -136,7 +140,9 @@ def orphans(t):
   FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey""")
 def propagate_key(t):
     child = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.when(F.col("l_returnflag") == "N", "own").alias("uuid"))
-    return T.propagate_key(child, t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").alias("uuid")), "l_orderkey", "uuid")
+    parents = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").alias("uuid"), F.lit(2).alias("seq"))
+    parents = parents.unionByName(parents.withColumns({"uuid": F.lit("older"), "seq": F.lit(1)}))
+    return T.propagate_key(child, parents, "l_orderkey", "uuid", ["seq"])
 
 
 @query("row_keys", f"SELECT page_id, sha256({CANON}) AS uuid FROM pages")

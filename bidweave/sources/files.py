@@ -120,8 +120,16 @@ def decode_text(df: DataFrame, key: str, content: str = "content") -> DataFrame:
 
 
 def load_parsed_text(spark: SparkSession, manifest: DataFrame, root: str) -> DataFrame:
-    """Manifest rows (tender_id, file_name, parsed_path) with the text of their parsed file."""
-    texts = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(root).select(
-        F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("_name"), F.col("value").alias("text"))
-    named = manifest.withColumn("_name", F.element_at(F.split("parsed_path", "/"), -1))
-    return named.join(texts, "_name", "left").drop("_name").withColumnRenamed("parsed_path", "source_path")
+    """Manifest rows (tender_id, file_name, parsed_path) with the text of their parsed file: the file at the same path
+    below the root, else the file of that name in the folder of the notice. Equal names of two notices stay apart."""
+    base = root.rstrip("/") + "/"
+    below = lambda c: F.regexp_replace(F.substring_index(F.concat(F.lit("/"), c), base, -1), r"^/+", "")
+    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(root).select(
+        F.col("_metadata.file_path").alias("_file"), F.col("value").alias("text"))
+    path = F.try_url_decode(F.replace(F.col("_file"), F.lit("+"), F.lit("%2B")))
+    texts = files.select(below(path).alias("_path"), "text")
+    own = F.concat_ws("/", F.col("tender_id").cast("string"), F.element_at(F.split("parsed_path", "/"), -1))
+    named = manifest.withColumns({"_path": below(F.col("parsed_path")), "_own": own})
+    first = named.join(texts.withColumnRenamed("text", "_at_path"), "_path", "left").drop("_path")
+    found = first.join(texts.select(F.col("_path").alias("_own"), "text"), "_own", "left").drop("_own")
+    return found.withColumn("text", F.coalesce("_at_path", "text")).drop("_at_path").withColumnRenamed("parsed_path", "source_path")

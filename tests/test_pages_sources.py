@@ -89,6 +89,10 @@ def test_attachment_files(spark, tmp_path):
     parsed = spark.createDataFrame([("12", "c.txt", "/x/c.txt"), ("13", "n", "/x/none.txt")], "tender_id string, file_name string, parsed_path string")
     loaded = {r.tender_id: r.text for r in S.load_parsed_text(spark, parsed, str(tmp_path / "att")).collect()}
     assert loaded == {"12": "文", "13": None}
+    (tmp_path / "att" / "13").mkdir()
+    (tmp_path / "att" / "13" / "c.txt").write_text("other", "utf-8")
+    twins = spark.createDataFrame([("12", "c.txt", "/x/c.txt"), ("13", "c.txt", f"{tmp_path}/att/13/c.txt")], "tender_id string, file_name string, parsed_path string")
+    assert {r.tender_id: r.text for r in S.load_parsed_text(spark, twins, str(tmp_path / "att")).collect()} == {"12": "文", "13": "other"}
 
 
 def test_tables_and_split(spark, tmp_path):

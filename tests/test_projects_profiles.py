@@ -76,7 +76,7 @@ def test_profiles(notices):
 
 def test_win_rates(notices):
     got = {(r.customer_name, r.winner): (r.wins, r.win_rate) for r in C.win_rates(notices).collect()}
-    assert got == {("甲", "x"): (2, 0.6667), ("甲", "y"): (1, 0.3333)}
+    assert got == {("甲", "x"): (2, 1.0), ("甲", "y"): (1, 0.5)}  # shares of two won notices
 
 
 OPPS = [("c1", "o1", "甲公司", "进行中", "签约", 10.0, "nan", "张", "经理", "toG", "2026-01-02"), ("c1", "o2", "甲公司", "关闭", "", 5.0, "钱", "张", "总", "", "2026-01-01"),
@@ -174,9 +174,51 @@ def test_lists_and_validation(spark, notices):
     assert L.list_tenders(rows).count() == 6 and L.list_tenders(rows, keyword="abc", min_budget=100, end_date=D[1]).count() == 2
     bad = spark.createDataFrame([(["a"], "采购公告", 1.0, 50, "tender-structured-v1", "t"), ([None], "x", -1.0, 101, "v0", ""), (None, None, None, None, None, None)],
                                 "product_keywords array<string>, announce_type string, budget_amount double, opportunity_score int, schema_version string, extracted_at string")
-    got = [r.errors for r in L.validate(bad).collect()]
+    assert L.validate(bad).first().errors == ["missing:source_url", "missing:project_name", "missing:buyer_name_std", "missing:content_summary"]
+    got = [r.errors for r in L.validate(bad, required=()).collect()]
     assert got == [[], ["product_keywords", "announce_type", "budget_amount", "opportunity_score", "schema_version", "extracted_at"],
                    ["product_keywords", "schema_version", "extracted_at"]]
     pages = spark.createDataFrame([(1, i, "序号 单价" if i % 2 else "x") for i in range(30)] + [(2, i, "x") for i in range(8)], "doc_id int, page int, text string")
     got = [(r.doc_id, r.page) for r in L.table_pages(pages).orderBy("doc_id", "page").collect()]
     assert got == [(1, i) for i in range(1, 21, 2)] + [(2, i) for i in range(5)]
+
+
+def test_lookups_give_one_row_for_repeated_keys(spark):
+    from bidweave.operators import tables as T
+    from bidweave.operators.textjoin import infer_region
+    one = lambda df: [tuple(r) for r in df.collect()]
+    target = spark.createDataFrame([("k", "new", "")], "key string, status string, category string")
+    verdicts = spark.createDataFrame([("k", False, "a", ["x"], 1), ("k", True, "b", ["y"], 2)], "key string, keep boolean, reason string, categories array<string>, seq int")
+    assert one(T.apply_verdict(target, verdicts, "key", ["seq"])) == [("k", "matched", "y", "b")]
+    child, parent = spark.createDataFrame([("u", None)], "on string, uuid string"), spark.createDataFrame([("u", "p1"), ("u", "p2")], "on string, uuid string")
+    assert one(T.propagate_key(child, parent, "on", "uuid").select("on", "uuid")) == [("u", "p2")]
+    notices = spark.createDataFrame([("u", 1, "a", "d"), ("u", 2, "b", "d")], "detail_url string, id int, uuid string, publish_date string")
+    assert one(T.link_structured(spark.createDataFrame([("u",)], "source_url string"), notices).select("tender_id", "uuid")) == [(2, "b")]
+    places = spark.createDataFrame([("鼓楼区", "福建", "福州"), ("鼓楼区", "江苏", "南京")], "name string, province string, city string")
+    orgs = spark.createDataFrame([("江苏省鼓楼区学校",), ("鼓楼区学校",)], "org string")
+    assert {r.org: r.province for r in infer_region(orgs, places).collect()} == {"江苏省鼓楼区学校": "江苏", "鼓楼区学校": min("福建", "江苏")}
+    crm = spark.createDataFrame([("c", "n", 1), ("c", "n", 2)], "credit_code string, customer_name string, lead_count int")
+    found = C.enhance_profiles(spark.createDataFrame([("c", "n")], "credit_code string, customer_name string"), crm).collect()
+    assert len(found) == 1 and found[0].crm_profile.lead_count == 2
+
+
+def test_upsert_with_numbers_and_one_model_call_per_miss(spark):
+    from bidweave.operators import infer as I
+    from bidweave.operators import tables as T
+    target = spark.createDataFrame([("a", 1.0, "x", "old")], "key string, price double, name string, status string")
+    batch = spark.createDataFrame([("a", None, "y", 1), ("a", 3.0, "", 2), ("b", None, "z", 3)], "key string, price double, name string, seq int")
+    got = {r.key: (r.price, r.name, r.status) for r in T.upsert_nonempty(target, batch, "key", ["seq"]).collect()}
+    assert got == {"a": (3.0, "y", "new"), "b": (None, "z", "new")}
+    calls = spark.sparkContext.accumulator(0)
+
+    def model():
+        def answer(prompts):
+            calls.add(len(prompts))
+            return [f"切入点 {p}" for p in prompts]
+        return answer
+    requests = spark.createDataFrame([(f"k{i % 6}", f"p{i % 6}") for i in range(12)], "cache_key string, prompt string")
+    cache = spark.createDataFrame([("k0", "known", 1)], "cache_key string, suggestions string, created_at int")
+    answers, fresh = I.suggest(requests, cache, model)
+    assert answers.count() == 12 and fresh.count() == 5 and calls.value == 5
+    details = spark.createDataFrame([("u", "t1", "d", "c"), ("u", "t2", "d", "c")], "url string, title string, publish_date string, content string")
+    assert I.extract_structured(details, model=("m", model)).count() == 2

@@ -170,3 +170,28 @@ def test_field_chunks(spark):
         ("attachment_summary", "附件", 99)]
     assert got[0].metadata_json == '{"announce_type":"采购公告","buyer_name_std":"某大学","province":"省","city":"市"}'
     assert '"requirement_type":"technical_params"' in got[3].metadata_json
+
+
+def test_products_stay_below_the_bound(spark, vecs, monkeypatch):
+    """_products refuses a larger matrix, so passing means that both plans slice."""
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "id int, embedding array<float>").repartition(2)
+    qs = df.withColumnRenamed("id", "qid")
+    want = sorted(map(tuple, SE.vector_search(df, qs, 8, 3).collect()))
+    monkeypatch.setattr(SE, "RESULT_CELLS", 400)
+    monkeypatch.setattr(SE, "BLOCK_VECTORS", 40)
+    for block in (64 * 1024 * 1024, 8 * 8 * 6):
+        assert sorted(map(tuple, SE.vector_search(df, qs, 8, 3, broadcast_bytes=block).collect())) == want
+
+
+def test_scores_do_not_depend_on_salts(spark, corpus):
+    docs, queries = frames(spark, corpus)
+    index = SE.bm25_index(docs, "id")
+    want = sorted(map(tuple, SE.bm25_scores(index, queries, "qid").collect()))
+    for salt in (1, 7):
+        assert sorted(map(tuple, SE.bm25_scores(index, queries, "qid", broadcast_rows=0, rows_per_salt=salt).collect())) == want
+
+
+def test_own_segmenter(spark):
+    split = lambda c: F.split(c, "-")
+    got = SE.tokenize(spark.createDataFrame([(1, "a b-c-a b")], "id int, t string"), "id", "t", split).collect()
+    assert {(r.term, r.tf) for r in got} == {("a b", 2), ("c", 1)}
