@@ -10,7 +10,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,17 +30,22 @@ Encoder = Callable[[list[str]], list[list[float]]]
 Model = Callable[[list[str]], list[str | None]]
 
 
-def hashing_encoder(dim: int = 64) -> Callable[[], Encoder]:
-    """Deterministic offline encoder: signed token hashes, unit length."""
+def hashing_encoder(dim: int = 64, unit: bool = True) -> Callable[[], Encoder]:
+    """Deterministic offline encoder: signed counts of hashed tokens, scaled to length 1 unless `unit` is off."""
     def make() -> Encoder:
         word = re.compile(r"[一-鿿]|[^\W_一-鿿]+")
 
+        @lru_cache(1 << 18)
+        def place(token: str) -> tuple[int, float]:
+            h = hashlib.md5(token.encode()).digest()
+            return int.from_bytes(h[:4], "big") % dim, 1.0 if h[4] >> 7 else -1.0
+
         def one(text: str) -> list[float]:
             v = [0.0] * dim
-            for token in word.findall(text.lower()):
-                h = int.from_bytes(hashlib.blake2b(token.encode(), digest_size=8).digest(), "big")
-                v[h % dim] += 1.0 if h >> 63 else -1.0
-            norm = math.sqrt(sum(x * x for x in v))
+            for token, n in Counter(word.findall(text.lower())).items():
+                at, sign = place(token)
+                v[at] += sign * n
+            norm = math.sqrt(sum(x * x for x in v)) if unit else 0.0
             return [x / norm for x in v] if norm else v
 
         return lambda texts: [one(t) for t in texts]

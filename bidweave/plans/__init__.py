@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["projects", "profiles", "lists", "matching", "updates", "pages", "search", "jobs", "streams", "expressions"]
+AREAS = ["projects", "profiles", "lists", "matching", "updates", "pages", "search", "jobs", "streams", "expressions", "files"]
 
 
 def all_queries() -> dict:

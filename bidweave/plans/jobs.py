@@ -11,12 +11,16 @@ from bidweave.operators.search import vector_search
 from bidweave.plans.registry import NOTICES, query
 
 
-@query("embed")
+HASHED = r"""tok AS MATERIALIZED (SELECT doc_id, md5(tok) AS h FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS tok FROM documents)),
+  cell AS (SELECT doc_id, CAST('0x' || substr(h, 1, 8) AS BIGINT) % 64 AS k, sum(CASE WHEN substr(h, 9, 1) >= '8' THEN 1 ELSE -1 END) AS v FROM tok GROUP BY 1, 2)"""
+
+
+@query("embed", f"""WITH {HASHED} SELECT d.doc_id, string_agg(CAST(coalesce(v, 0) AS BIGINT), ',' ORDER BY r.k) AS vector
+  FROM documents d CROSS JOIN (SELECT range AS k FROM range(64)) r LEFT JOIN cell c ON c.doc_id = d.doc_id AND c.k = r.k GROUP BY 1""")
 def embed(t):
-    """Document vectors of the offline encoder; checked by their length."""
-    made = I.embed(t.documents, "doc_id", "text", I.hashing_encoder(64))
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return made.select("doc_id", F.size("embedding").alias("dim"), F.round(norm, 3).alias("norm"))
+    """Document vectors of the offline encoder, not scaled, so that every number is whole."""
+    made = I.embed(t.documents, "doc_id", "text", I.hashing_encoder(64, unit=False))
+    return made.select("doc_id", F.array_join(F.transform("embedding", lambda x: x.cast("long").cast("string")), ",").alias("vector"))
 
 
 @query("embed_search")

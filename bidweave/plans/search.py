@@ -17,11 +17,11 @@ DIM = 64
 def bm25_sql(docs: str, key: str, queries: str, qid: str) -> str:
     """CTEs up to sc(qid, doc_id, score): every document that shares a term with the query."""
     words = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
-    return f"""tok AS (SELECT {key} AS doc_id, unnest({words}) AS term FROM {docs}),
-  tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY 1, 2),
+    return f"""tok AS MATERIALIZED (SELECT {key} AS doc_id, unnest({words}) AS term FROM {docs}),
+  tf AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY 1, 2),
   dl AS (SELECT {key} AS doc_id, len({words}) AS dl FROM {docs}), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
-  raw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM (SELECT term, count(*) AS df FROM tf GROUP BY 1), st),
-  idf AS (SELECT term, df, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) ELSE r END AS idf FROM raw),
+  raw AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM (SELECT term, count(*) AS df FROM tf GROUP BY 1), st),
+  mean AS MATERIALIZED (SELECT avg(r) AS m FROM raw), idf AS (SELECT term, df, CASE WHEN r < 0 THEN 0.25 * m ELSE r END AS idf FROM raw, mean),
   q AS (SELECT qid, term, count(*) AS qf FROM (SELECT {qid} AS qid, unnest({words}) AS term FROM {queries}) GROUP BY 1, 2),
   sc AS (SELECT qid, doc_id, round(sum(qf * idf * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)))) * 1e9) / 1e9 AS score
     FROM q JOIN idf USING (term) JOIN tf USING (term) JOIN dl USING (doc_id), st GROUP BY 1, 2)"""

@@ -124,7 +124,7 @@ def load_parsed_text(spark: SparkSession, manifest: DataFrame, root: str) -> Dat
     below the root, else the file of that name in the folder of the notice. Equal names of two notices stay apart."""
     base = root.rstrip("/") + "/"
     below = lambda c: F.regexp_replace(F.substring_index(F.concat(F.lit("/"), c), base, -1), r"^/+", "")
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(root).select(
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True).select(
         F.col("_metadata.file_path").alias("_file"), F.col("value").alias("text"))
     path = F.try_url_decode(F.replace(F.col("_file"), F.lit("+"), F.lit("%2B")))
     texts = files.select(below(path).alias("_path"), "text")

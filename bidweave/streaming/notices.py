@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -19,7 +20,8 @@ from bidweave.functions.urls import canonical_url
 from bidweave.operators.filters import filter_records
 from bidweave.operators.keys import keep_last
 from bidweave.operators.projects import event_type
-from bidweave.operators.tables import apply_verdict, mark, replace_table, upsert_nonempty
+from bidweave.operators.tables import apply_verdict, mark, upsert_nonempty
+from bidweave.session import cut
 
 
 def notice_stream(spark: SparkSession, path: str, schema: StructType, fmt: str = "json", pattern: str | None = None,
@@ -45,23 +47,51 @@ def dedup_stream(df: DataFrame, ts: str, delay: str, url: str | None = None, key
     return _timed(df, ts, delay).dropDuplicatesWithinWatermark(list(key))
 
 
-def upsert_batch(table: str, key: str, order: Sequence[str], category_rules: dict = rules.CATEGORY_RULES, **filter_options):
-    """foreachBatch function: merge the batch (empty values keep the old ones), judge the new
-    rows, store status matched or filtered. Repeating a batch gives the same table."""
+BUCKET, BATCH = "_bucket", "batch"
+
+
+def read_store(spark: SparkSession, path: str, schema: str | StructType | None = None, before: int | None = None) -> DataFrame:
+    """Current rows of an upsert store: of each bucket the content that its last batch wrote."""
+    fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    try:
+        rows = spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA") or fields is None:
+            raise
+        return spark.createDataFrame([], fields)
+    rows = rows.filter(F.col(BATCH) < before) if before is not None else rows
+    last = rows.groupBy(BUCKET).agg(F.max(BATCH).alias(BATCH))  # a row per bucket
+    found = rows.join(F.broadcast(last), [BUCKET, BATCH]).drop(BUCKET, BATCH)
+    return found.select(*fields.names) if fields else found
+
+
+def upsert_store(path: str, key: str, order: Sequence[str], category_rules: dict, schema: str | StructType, buckets: int = 64, **filter_options):
+    """foreachBatch function: merge the batch (empty values keep the old ones), judge the new rows, store status
+    matched or filtered. Rows are dealt to buckets by the hash of their key; a batch reads and writes only the buckets
+    that it touches, under its own number. So nothing is ever replaced in place, a repeated batch writes the same
+    again, and a reader sees the last finished content of each bucket."""
+    bucket = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")
+
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        target = spark.read.table(table)
+        batch = cut(batch)  # used twice; a stream's batch must be computed once
+        touched = F.broadcast(batch.select(bucket.alias(BUCKET)).distinct())  # `buckets` rows at most
+        target = read_store(spark, path, schema, batch_id).withColumn(BUCKET, bucket).join(touched, BUCKET, "left_semi").drop(BUCKET)
         merged = upsert_nonempty(target, batch, key, order)
-        fresh = merged.filter(F.col("status") == "new")
-        verdicts = filter_records(fresh, category_rules=category_rules, **filter_options).select(key, "keep", "reason", "categories")
-        out = apply_verdict(merged, verdicts, key).select(*target.columns)
-        replace_table(out, table)
+        verdicts = filter_records(merged.filter(F.col("status") == "new"), category_rules=category_rules, **filter_options).select(
+            key, "keep", "reason", "categories")
+        out = apply_verdict(merged, verdicts, key).select(*target.columns).withColumn(BUCKET, bucket)
+        out.repartition(BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{path}/{BATCH}={batch_id}")
     return run
 
 
-def mark_processed(table: str, spark: SparkSession) -> None:
-    """Matched rows have been handed on."""
-    replace_table(mark(spark.read.table(table), "processed", "matched"), table)
+def mark_processed(spark: SparkSession, path: str, key: str, batch_id: int, schema: str | StructType, buckets: int = 64) -> None:
+    """Matched rows have been handed on: a batch of its own that rewrites the buckets with such rows."""
+    bucket = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")
+    rows = read_store(spark, path, schema, batch_id).withColumn(BUCKET, bucket)
+    touched = F.broadcast(rows.filter(F.col("status") == "matched").select(BUCKET).distinct())
+    out = mark(rows.join(touched, BUCKET, "left_semi"), "processed", "matched")
+    out.repartition(BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{path}/{BATCH}={batch_id}")
 
 
 def project_state(df: DataFrame, ts: str = "publish_date") -> DataFrame:

@@ -93,6 +93,8 @@ def test_attachment_files(spark, tmp_path):
     (tmp_path / "att" / "13" / "c.txt").write_text("other", "utf-8")
     twins = spark.createDataFrame([("12", "c.txt", "/x/c.txt"), ("13", "c.txt", f"{tmp_path}/att/13/c.txt")], "tender_id string, file_name string, parsed_path string")
     assert {r.tender_id: r.text for r in S.load_parsed_text(spark, twins, str(tmp_path / "att")).collect()} == {"12": "文", "13": "other"}
+    (tmp_path / "att" / "13" / "c.txt").write_text("two\nlines", "utf-8")
+    assert {r.tender_id: r.text for r in S.load_parsed_text(spark, twins, str(tmp_path / "att")).collect()}["13"] == "two\nlines"
 
 
 def test_tables_and_split(spark, tmp_path):

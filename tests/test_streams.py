@@ -4,7 +4,6 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from bidweave.operators import tables as T
 from bidweave.streaming import notices as N
 
 SCHEMA = StructType([StructField(n, StringType()) for n in ("url", "project_name", "content")] + [StructField("seq", IntegerType())])
@@ -14,20 +13,21 @@ RULES = {"sat": {"keywords": ["卫星"], "exclude": ["柴油"]}}
 def test_stream_upsert_equals_batch(spark, tmp_path):
     long = "采购需求说明" * 20
     days = [[("u1", "a", long + "卫星", 1), ("u2", "b", "短", 2)], [("u1", "", "", 3), ("u3", "c", long, 4)], [("u2", "b2", long + "卫星", 5)]]
-    empty = spark.createDataFrame([], "url string, project_name string, content string, status string, category string, match_reason string")
-    T.replace_table(empty, "stream_target")
+    schema, place = "url string, project_name string, content string, status string, category string, match_reason string", str(tmp_path / "store")
     source = str(tmp_path / "in")
-    run = N.upsert_batch("stream_target", "url", ["seq"], RULES)
+    run = N.upsert_store(place, "url", ["seq"], RULES, schema, buckets=4)
     for i, rows in enumerate(days):
         spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").json(source)
         stream = N.notice_stream(spark, source, SCHEMA)
         stream.writeStream.trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(run).start().awaitTermination()
-    got = {r.url: (r.project_name, r.status, r.category) for r in spark.read.table("stream_target").collect()}
+    got = {r.url: (r.project_name, r.status, r.category) for r in N.read_store(spark, place).collect()}
     assert got == {"u1": ("a", "matched", "sat"), "u2": ("b2", "matched", "sat"), "u3": ("c", "filtered", None)}
     run(spark.createDataFrame(days[-1], SCHEMA), 99)  # a repeated batch changes nothing
-    assert {r.url: (r.project_name, r.status, r.category) for r in spark.read.table("stream_target").collect()} == got
-    N.mark_processed("stream_target", spark)
-    assert spark.read.table("stream_target").filter("status = 'processed'").count() == 2
+    assert {r.url: (r.project_name, r.status, r.category) for r in N.read_store(spark, place).collect()} == got
+    written = [p.name for p in (tmp_path / "store" / "batch=99").iterdir() if p.name.startswith("_bucket")]
+    assert len(written) == 1  # only the bucket of u2
+    N.mark_processed(spark, place, "url", 100, schema, 4)
+    assert N.read_store(spark, place).filter("status = 'processed'").count() == 2
 
 
 def test_project_state_takes_late_notices(spark, tmp_path):
