@@ -166,29 +166,33 @@ def _share(part: Column, whole: Column) -> Column:
     return F.round(part / whole, 2)
 
 
+def _opportunity_numbers(status: dict[str, Sequence[str]], mine: Column) -> list[Column]:
+    n, signed = F.count_if(mine), F.count_if(mine & F.col("followup_status").isin(*status["signed"]))
+    return [n.alias("total_count"), F.round(F.coalesce(F.sum(F.when(mine, F.col("value"))), F.lit(0.0)), 2).alias("total_value"),
+            F.count_if(mine & F.col("opportunity_status").isin(*status["active"])).alias("active_count"),
+            F.count_if(mine & F.col("opportunity_status").isin(*status["closed"])).alias("closed_count"),
+            signed.alias("signed_count"), _share(signed, n).alias("conversion_rate")]
+
+
+def _lead_numbers(status: dict[str, Sequence[str]], mine: Column) -> list[Column]:
+    n, converted = F.count_if(mine), F.count_if(mine & F.col("lead_status").isin(*status["converted"]))
+    return [n.alias("total_count"), F.round(F.coalesce(F.sum(F.when(mine, F.col("lead_value"))), F.lit(0.0)), 2).alias("total_value"),
+            F.count_if(mine & F.col("lead_status").isin(*status["active"])).alias("active_count"),
+            converted.alias("converted_count"),
+            F.count_if(mine & F.col("lead_status").isin(*status["abandoned"])).alias("abandoned_count"),
+            _share(converted, n).alias("conversion_rate")]
+
+
 def opportunity_summary(opps: DataFrame, by: Sequence[str] = ("credit_code",),
                         status: dict[str, Sequence[str]] = rules.OPPORTUNITY_STATUS) -> DataFrame:
     """Counts, value and conversion rate of opportunities."""
-    signed = F.count_if(F.col("followup_status").isin(*status["signed"]))
-    return opps.groupBy(*by).agg(
-        F.count("*").alias("total_count"),
-        F.round(F.coalesce(F.sum("value"), F.lit(0.0)), 2).alias("total_value"),
-        F.count_if(F.col("opportunity_status").isin(*status["active"])).alias("active_count"),
-        F.count_if(F.col("opportunity_status").isin(*status["closed"])).alias("closed_count"),
-        signed.alias("signed_count"), _share(signed, F.count("*")).alias("conversion_rate"))
+    return opps.groupBy(*by).agg(*_opportunity_numbers(status, F.lit(True)))
 
 
 def lead_summary(leads: DataFrame, by: Sequence[str] = ("credit_code",),
                  status: dict[str, Sequence[str]] = rules.LEAD_STATUS) -> DataFrame:
     """Counts, value and conversion rate of leads."""
-    converted = F.count_if(F.col("lead_status").isin(*status["converted"]))
-    return leads.groupBy(*by).agg(
-        F.count("*").alias("total_count"),
-        F.round(F.coalesce(F.sum("lead_value"), F.lit(0.0)), 2).alias("total_value"),
-        F.count_if(F.col("lead_status").isin(*status["active"])).alias("active_count"),
-        converted.alias("converted_count"),
-        F.count_if(F.col("lead_status").isin(*status["abandoned"])).alias("abandoned_count"),
-        _share(converted, F.count("*")).alias("conversion_rate"))
+    return leads.groupBy(*by).agg(*_lead_numbers(status, F.lit(True)))
 
 
 def _sourced(opps: DataFrame, leads: DataFrame, opp_cols: dict[str, str], lead_cols: dict[str, str]) -> DataFrame:
@@ -208,26 +212,31 @@ def crm_contacts(opps: DataFrame, leads: DataFrame) -> DataFrame:
     return keep_first(rows, ["credit_code", "name"], [F.col("_src"), F.col("_seq")]).drop("_src", "_seq")
 
 
+def _segment() -> Column:
+    return F.min_by("segment", F.when(not_nan("segment"), F.struct("_src", "_seq"))).alias("customer_segment")
+
+
+def _relationship() -> list[Column]:
+    usable, is_opp = not_nan("person"), F.col("_src") == 0
+    time = F.when(not_nan(F.col("time").cast("string")), F.col("time"))
+    return [F.min_by("person", F.when(usable & is_opp, F.col("_seq"))).alias("primary_sales"),
+            F.min_by("person", F.when(usable & ~is_opp, F.col("_seq"))).alias("secondary_sales"),
+            F.min(time).alias("first_contact_date"), F.max(time).alias("last_followup_date"),
+            tier(F.count("*"), rules.RELATION_TIERS, rules.RELATION_REST).alias("relationship_level"),
+            F.count("*").alias("total_interactions")]
+
+
 def customer_segment(opps: DataFrame, leads: DataFrame) -> DataFrame:
     """First usable customer type per code."""
     rows = _sourced(opps, leads, {"segment": "customer_type"}, {"segment": "customer_segment"})
-    return rows.groupBy("credit_code").agg(
-        F.min_by("segment", F.when(not_nan("segment"), F.struct("_src", "_seq"))).alias("customer_segment"))
+    return rows.groupBy("credit_code").agg(_segment())
 
 
 def sales_relationship(opps: DataFrame, leads: DataFrame) -> DataFrame:
     """First owner and salesperson, first and last contact, closeness by number of interactions."""
     rows = _sourced(opps, leads, {"person": "owner", "time": "report_time"},
                     {"person": "salesperson", "time": "lead_acquisition_time"})
-    usable = not_nan("person")
-    is_opp = F.col("_src") == 0
-    time = F.when(not_nan(F.col("time").cast("string")), F.col("time"))
-    return rows.groupBy("credit_code").agg(
-        F.min_by("person", F.when(usable & is_opp, F.col("_seq"))).alias("primary_sales"),
-        F.min_by("person", F.when(usable & ~is_opp, F.col("_seq"))).alias("secondary_sales"),
-        F.min(time).alias("first_contact_date"), F.max(time).alias("last_followup_date"),
-        tier(F.count("*"), rules.RELATION_TIERS, rules.RELATION_REST).alias("relationship_level"),
-        F.count("*").alias("total_interactions"))
+    return rows.groupBy("credit_code").agg(*_relationship())
 
 
 def sales_people(opps: DataFrame, leads: DataFrame) -> DataFrame:
@@ -248,17 +257,19 @@ def crm_only_codes(crm: DataFrame, tender: DataFrame, code: str = "credit_code")
 
 
 def crm_by_code(opps: DataFrame, leads: DataFrame) -> DataFrame:
-    """One row per code in either source, the two summaries and the sales relationship side by side."""
-    def nest(df: DataFrame, name: str) -> DataFrame:
-        return df.select("credit_code", F.struct(*[c for c in df.columns if c != "credit_code"]).alias(name))
-
-    name = _sourced(opps, leads, {"n": "customer_name"}, {"n": "customer_name"}).groupBy("credit_code").agg(
-        F.min_by("n", F.when(text_truthy("n"), F.struct("_src", "_seq"))).alias("customer_name"))
-    return (nest(opportunity_summary(opps), "opportunity_summary")
-            .join(nest(lead_summary(leads), "lead_summary"), "credit_code", "full")
-            .join(nest(sales_relationship(opps, leads), "sales_relationship"), "credit_code", "left")
-            .join(customer_segment(opps, leads), "credit_code", "left")
-            .join(name, "credit_code", "left"))
+    """One row per code in either source, the two summaries and the sales relationship side by side. Both
+    sources are read once, as one union, and grouped once."""
+    opp = {"customer_name": "customer_name", "segment": "customer_type", "person": "owner", "time": "report_time", "value": "value",
+           "opportunity_status": "opportunity_status", "followup_status": "followup_status"}
+    lead = {"customer_name": "customer_name", "segment": "customer_segment", "person": "salesperson", "time": "lead_acquisition_time",
+            "lead_value": "lead_value", "lead_status": "lead_status"}
+    rows = _sourced(opps, leads, opp, lead)
+    is_opp, is_lead = F.col("_src") == 0, F.col("_src") == 1
+    return rows.groupBy("credit_code").agg(
+        F.when(F.count_if(is_opp) > 0, F.struct(*_opportunity_numbers(rules.OPPORTUNITY_STATUS, is_opp))).alias("opportunity_summary"),
+        F.when(F.count_if(is_lead) > 0, F.struct(*_lead_numbers(rules.LEAD_STATUS, is_lead))).alias("lead_summary"),
+        F.struct(*_relationship()).alias("sales_relationship"), _segment(),
+        F.min_by("customer_name", F.when(text_truthy("customer_name"), F.struct("_src", "_seq"))).alias("customer_name"))
 
 
 def crm_history(opps: DataFrame, leads: DataFrame) -> DataFrame:
