@@ -305,14 +305,17 @@ def find_customer(names: DataFrame, profiles: DataFrame, name: str = "name", cus
 
 
 def unify_profiles(tender: DataFrame, crm: DataFrame, fields: Sequence[str] = ("opportunity_count", "opportunity_value",
-                                                                             "lead_count", "lead_value")) -> DataFrame:
-    """Notice profiles joined with CRM by code, else by name, plus CRM-only customers.
+                                                                             "lead_count", "lead_value"),
+                   carry: Sequence[str] = ()) -> DataFrame:
+    """Notice profiles joined with CRM by code, else by name, plus CRM-only customers. All columns of the notice profile
+    stay (demand, competition, places), and `carry` names CRM columns of any type that come along as they are, such as
+    sales_relationship; histories and contacts are rows of their own (crm_history, merge_contacts).
 
     tender: customer_name, credit_code, customer_type and value columns; crm: customer_name,
     credit_code, customer_type and `fields`. A CRM row is CRM-only when neither its name nor
     its code occurs among the notice profiles; empty keys do not count as a match.
     """
-    payload = F.struct(F.col("credit_code"), F.col("customer_type"), *fields)
+    payload = F.struct(F.col("credit_code"), F.col("customer_type"), *fields, *carry)
     order = ["credit_code", "customer_name"]
     by_code = keep_last(crm.filter(text_truthy("credit_code")), "credit_code", order).select(
         "credit_code", payload.alias("_by_code"))
@@ -327,16 +330,16 @@ def unify_profiles(tender: DataFrame, crm: DataFrame, fields: Sequence[str] = ("
     merged = matched.select(
         "customer_name", F.coalesce(F.col("credit_code"), F.lit("")).alias("customer_id"),
         first_text(hit["customer_type"], "customer_type").alias("customer_type"), *rest,
-        *[hit[f].alias(f) for f in fields], hit.isNotNull().alias("has_crm_data"),
+        *[hit[f].alias(f) for f in [*fields, *carry]], hit.isNotNull().alias("has_crm_data"),
         F.lit(True).alias("has_tender_data"))
     only = (crm.join(tender.filter(text_truthy("customer_name")).select("customer_name"), "customer_name", "left_anti")
             .join(tender.filter(text_truthy("credit_code")).select("credit_code"), "credit_code", "left_anti")
             .select("customer_name", F.coalesce(F.col("credit_code"), F.lit("")).alias("customer_id"),
-                    F.coalesce(F.col("customer_type"), F.lit("")).alias("customer_type"), *fields,
+                    F.coalesce(F.col("customer_type"), F.lit("")).alias("customer_type"), *fields, *carry,
                     F.lit(True).alias("has_crm_data"), F.lit(False).alias("has_tender_data")))
     both = union_all(merged, only)
     zero = [F.coalesce(F.col(f), F.lit(0)).alias(f) for f in fields]
-    return both.select("customer_name", "customer_id", "customer_type", *rest, *zero, "has_crm_data",
+    return both.select("customer_name", "customer_id", "customer_type", *rest, *zero, *carry, "has_crm_data",
                        "has_tender_data", customer_type_label("has_crm_data", "has_tender_data").alias("customer_kind"))
 
 

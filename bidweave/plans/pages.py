@@ -171,22 +171,42 @@ def bind_list_detail(t):
     return G.bind_list_detail(t.orders.select(F.col("o_orderkey").alias("list_url"), F.col("o_orderpriority").alias("list_title")), details)
 
 
-@query("to_tenders", """SELECT sha256('http://n.example.com/' || o_orderkey) AS uuid, o_orderkey AS k, CASE o_orderstatus WHEN 'F' THEN o_orderpriority ELSE 'detail' END AS project_name,
-  c_name AS buyer_name, 'a,' || o_orderstatus AS source_keywords, 'new' AS status FROM orders JOIN customer ON o_custkey = c_custkey""")
+@query("to_tenders", """SELECT sha256('http://n.example.com/' || o_orderkey) AS uuid, 'http://n.example.com/' || o_orderkey AS detail_url,
+  CASE o_orderstatus WHEN 'F' THEN o_orderpriority ELSE 'detail' END AS project_name, strftime(o_orderdate, '%Y-%m-%d') AS publish_date, 'body of ' || o_orderkey AS content,
+  c_name AS buyer_name, c_mktsegment AS agency_name, CAST(o_custkey AS VARCHAR) AS budget, CASE o_orderstatus WHEN 'F' THEN n_name ELSE 'N' || n_nationkey END AS region,
+  CASE o_orderstatus WHEN 'P' THEN '' ELSE o_orderstatus END AS ann_type, 'a,' || o_orderstatus AS source_keywords, 'k' || o_orderpriority AS category, 'new' AS status
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""")
 def to_tenders(t):
-    blank = {c: F.lit("") for c in ("list_pub_date", "detail_date", "list_agency", "detail_agency", "detail_amount", "list_region",
-                                    "detail_region", "list_ann_type", "detail_type", "category")}
-    raw = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(
+    """List value first, then detail value, else empty."""
+    f, p, day = F.col("o_orderstatus") == "F", F.col("o_orderstatus") == "P", F.date_format("o_orderdate", "yyyy-MM-dd")
+    fields = {"list_pub_date": F.when(f, day), "detail_date": day, "list_agency": F.lit(""), "detail_agency": F.col("c_mktsegment"),
+              "detail_amount": F.col("o_custkey").cast("string"), "list_region": F.when(f, F.col("n_name")).otherwise(""),
+              "detail_region": F.concat(F.lit("N"), F.col("n_nationkey").cast("string")), "list_ann_type": F.when(~p, F.col("o_orderstatus")),
+              "detail_type": F.lit(""), "category": F.concat(F.lit("k"), "o_orderpriority")}
+    raw = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
         F.concat(F.lit("http://n.example.com/"), F.col("o_orderkey").cast("string")).alias("detail_url"),
         F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority")).otherwise("").alias("list_title"), F.lit("detail").alias("detail_title"),
-        F.lit(None).cast("string").alias("list_buyer"), F.col("c_name").alias("detail_buyer"), F.lit("x").alias("detail_body_preview"),
-        F.array(F.lit("a"), F.col("o_orderstatus")).alias("source_keywords"), *[v.alias(c) for c, v in blank.items()])
-    return G.to_tenders(raw).select("uuid", F.substring("detail_url", 22, 20).cast("long").alias("k"), "project_name", "buyer_name",
-                                    "source_keywords", "status")
+        F.lit(None).cast("string").alias("list_buyer"), F.col("c_name").alias("detail_buyer"),
+        F.concat(F.lit("body of "), F.col("o_orderkey").cast("string")).alias("detail_body_preview"),
+        F.array(F.lit("a"), F.col("o_orderstatus")).alias("source_keywords"), *[v.alias(c) for c, v in fields.items()])
+    return G.to_tenders(raw)
 
 
-@query("reader_pages", r"""SELECT doc_id, 'N' || doc_id || '招标公告' AS title, '2024-03-05 10:07' AS publish_date, '招标公告' AS announce_type, '12.5万元' AS budget FROM documents""")
+@query("reader_pages", r"""SELECT o_orderkey, 'N' || o_orderkey || '招标公告' AS title, strftime(o_orderdate, '%Y-%m-%d') || ' 10:0' || (o_orderkey % 10) AS publish_date,
+  '招标公告' AS announce_type, o_custkey || '.5万元' AS budget, '当前位置 招标公告' || chr(10) || 'N' || o_orderkey || '招标公告' || chr(10) || '发布时间：' || strftime(o_orderdate, '%Y年%-m月%-d日')
+    || ' 10:0' || (o_orderkey % 10) || chr(10) || '预算金额：' || o_custkey || '.5万元' || chr(10) || o_orderpriority AS content FROM orders""")
 def reader_pages(t):
+    key = F.col("o_orderkey").cast("string")
+    clock = F.concat(F.lit(" 10:0"), (F.col("o_orderkey") % 10).cast("string"))
+    text = F.concat(F.lit("Title: converted content\nURL: u\nMarkdown Content:\n当前位置 招标公告\n\n# N"), key, F.lit("招标公告\n发布时间："),
+                    F.date_format("o_orderdate", "yyyy年M月d日"), clock, F.lit("\n预算金额："), F.col("o_custkey").cast("string"), F.lit(".5万元\n  ## "),
+                    "o_orderpriority")
+    pages = t.orders.select(F.concat(F.lit("http://r/"), key).alias("url"), text.alias("text"))
+    return G.parse_reader(pages).select(F.substring("url", 10, 20).cast("long").alias("o_orderkey"), "title", "publish_date", "announce_type", "budget", "content")
+
+
+@query("reader_documents", r"""SELECT doc_id, 'N' || doc_id || '招标公告' AS title, '2024-03-05 10:07' AS publish_date, '招标公告' AS announce_type, '12.5万元' AS budget FROM documents""")
+def reader_documents(t):
     key = F.col("doc_id").cast("string")
     text = F.concat(F.lit("Title: converted content\nURL: u\nMarkdown Content:\n当前位置 招标公告\nN"), key,
                     F.lit("招标公告\n发布时间：2024年3月5日 10:07\n预算金额：12.5万元\n"), F.regexp_replace("text", r"(?m)^\s*#", ""))

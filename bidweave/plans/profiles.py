@@ -208,6 +208,23 @@ def tender_side(t):
     return C.customer_profiles(t.notices).join(codes, "customer_name")
 
 
+@query("profile_merge", f"""WITH {TENDER_SIDE}, {OPPORTUNITIES}, {LEADS},
+  o AS (SELECT credit_code, max(customer_name) AS name, count(*) AS n, arg_min(owner, opportunity_id) FILTER (owner <> 'nan') AS owner FROM opps GROUP BY 1),
+  l AS (SELECT credit_code, max(customer_name) AS name, count(*) AS n FROM leads GROUP BY 1),
+  crm AS (SELECT coalesce(o.credit_code, l.credit_code) AS code, coalesce(o.name, l.name) AS name, o.n AS o, l.n AS l, o.owner FROM o FULL JOIN l ON o.credit_code = l.credit_code)
+  SELECT t.customer_name, t.province, t.tender_count, coalesce(c.o, n.o, 0) AS opportunity_count, coalesce(c.l, n.l, 0) AS lead_count, coalesce(c.owner, n.owner) AS primary_sales,
+    coalesce(c.o, n.o, 0) + coalesce(c.l, n.l, 0) AS total_interactions
+  FROM tender t LEFT JOIN crm c ON t.credit_code <> '' AND t.credit_code = c.code LEFT JOIN crm n ON t.customer_name = n.name""")
+def profile_merge(t):
+    """Notice profiles with the counts and the sales relationship of their CRM customer."""
+    crm = C.crm_by_code(t.opportunities, t.leads).select(
+        "customer_name", "credit_code", F.col("customer_segment").alias("customer_type"), F.col("opportunity_summary.total_count").alias("opportunity_count"),
+        F.col("lead_summary.total_count").alias("lead_count"), "sales_relationship")
+    both = C.unify_profiles(tender_side(t), crm, ["opportunity_count", "lead_count"], ["sales_relationship"]).filter("has_tender_data")
+    return both.select("customer_name", "province", "tender_count", "opportunity_count", "lead_count", "sales_relationship.primary_sales",
+                       "sales_relationship.total_interactions")
+
+
 @query("profile_unify", f"""WITH {TENDER_SIDE}, {CRM_SIDE}, hit AS (
   SELECT t.customer_name, t.credit_code, t.tender_count, t.total_budget,
     coalesce(c.customer_type, n.customer_type) AS customer_type, coalesce(c.opportunity_count, n.opportunity_count, 0) AS opportunity_count,
