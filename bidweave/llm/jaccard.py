@@ -8,14 +8,14 @@ Documents link when `percent` or more of the union is shared.
    frequent shingles last, so passages that many documents share stay out of the prefixes.
 2. Documents with equal sets are one class. Two similar sets share a shingle of their prefixes (the first
    n - ceil(t n) + 1 in the order). Classes with the same prefix and size are collapsed into one group,
-   and only groups enter the join on prefix shingles.
-3. Groups that share a shingle meet its first group; those whose sizes allow a link are expand to their
-   members and verified. These links already connect most of a family of copies.
-4. For each shingle whose groups are still in several components, every pair of members of different
-   components is compared by a parity bitmap of the sets: differing bits are at most the
-   differing shingles, so a pair that fails cannot link. This runs inside a task over blocks of
-   bounded size, and only pairs that pass leave it, to be verified. So no link between components
-   is lost, and pairs inside a component need no further look.
+   and only groups enter the join on prefix shingles; shingles of a single group drop out there.
+3. The groups that meet at a shingle, or the members of one group, are expanded to a cell of classes (a bounded block
+   against a bounded block). Inside its task a cell compares sizes and parity bitmaps of the sets: differing bits are at
+   most the differing shingles, so a pair that fails cannot link. Of the pairs that pass, a cell passes on a spanning
+   forest, best first, and tells if it held others back. These pairs are verified and make components.
+4. Shingles that held pairs back and still lie in several components are compared again, and now every pair of different
+   components that passes is verified. So no link between components is lost, and pairs inside a component need
+   no further look.
 
 Verification compares whole sets, made again from the texts of the documents concerned.
 
@@ -31,7 +31,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bidweave.llm import words as W
@@ -114,8 +114,8 @@ def need(n: int, percent: int) -> int:
 
 
 def bitmap(values: np.ndarray) -> np.ndarray:
-    """Parity of the shingles that fall on each bit; about two bits per shingle, a power of two of them."""
-    size = max(64, 1 << (2 * len(values) - 1).bit_length())
+    """Parity of the shingles that fall on each bit; one to two bits per shingle, a power of two of them."""
+    size = max(64, 1 << (len(values) - 1).bit_length())
     odd = np.bincount((values & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(bool), bitorder="little").view("<u8")
 
@@ -140,80 +140,99 @@ def _row_hash(docs: DataFrame):
 
 
 def set_rows(docs: DataFrame, counters: np.ndarray, size: int, percent: int, bits: int = SKETCH_BITS) -> DataFrame:
-    """Per row (doc_id, hash, n, set, prefix, bitmap); prefix and bitmap are null in repeats of a set within a task.
-    `hash` is that of the whole row."""
+    """Per row (doc_id, hash, n, set, gid, prefix, bitmap); prefix and bitmap are null in repeats of a set within a task.
+    `hash` is that of the whole row, `gid` that of prefix and size (equal ids of different prefixes would only add candidates)."""
     shared = docs.sparkSession.sparkContext.broadcast(np.floor(2 * np.log2(np.maximum(counters, 1))).astype(np.uint8))
 
     def run(batches):
-        levels, seen = shared.value, set()
+        levels, seen = shared.value, {}
         for batch in batches:
             rows = []
 
             def flush(done):
-                cols = list(zip(*rows)) or [[]] * 4
+                cols = list(zip(*rows)) or [[]] * 5
                 own = batch.slice(done - len(rows), len(rows))
                 return pa.RecordBatch.from_arrays(
-                    [own.column(0), own.column(1), pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])],
-                    names=["doc_id", "hash", "n", "set", "prefix", "bitmap"])
+                    [own.column(0), own.column(1), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int64()),
+                     *(pa.array(c, pa.binary()) for c in cols[3:])], names=["doc_id", "hash", "n", "set", "gid", "prefix", "bitmap"])
             for at, values in enumerate(text_sets(batch.column(2), size)):
                 n = len(values)
                 key = set_key(values) if n else None
                 if n == 0:
-                    rows.append((0, None, None, None))
+                    rows.append((0, None, None, None, None))
                 elif key in seen:
-                    rows.append((n, key, None, None))
+                    rows.append((n, key, seen[key], None, None))
                 else:
-                    if len(seen) < 1 << 18:
-                        seen.add(key)
                     order = np.argsort(levels[(values >> np.uint64(64 - bits)).astype(np.int64)], kind="stable")
-                    prefix = np.sort(values[order[:n - need(n, percent) + 1]])
-                    rows.append((n, key, prefix.astype("<u8").tobytes(), bitmap(values).tobytes()))
+                    prefix = np.sort(values[order[:n - need(n, percent) + 1]]).astype("<u8").tobytes()
+                    gid = int.from_bytes(hashlib.blake2b(prefix + n.to_bytes(8, "little"), digest_size=8).digest(), "little", signed=True)
+                    if len(seen) < 1 << 18:
+                        seen[key] = gid
+                    rows.append((n, key, gid, prefix, bitmap(values).tobytes()))
                 if len(rows) == 1000:
                     yield flush(at + 1)
                     rows = []
             yield flush(batch.num_rows)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_hash(docs).alias("hash"), "text").mapInArrow(
-        run, "doc_id long, hash long, n long, set binary, prefix binary, bitmap binary")
+        run, "doc_id long, hash long, n long, set binary, gid long, prefix binary, bitmap binary")
 
 
-def prefix_tokens(groups: DataFrame) -> DataFrame:
-    """(token, gid, n): one row per prefix shingle of each group."""
+def prefix_tokens(rows: DataFrame) -> DataFrame:
+    """(token, gid): one row per prefix shingle of each group and task."""
     def run(batches):
+        seen = set()
         for batch in batches:
             for low in range(0, batch.num_rows, 2000):
                 part = batch.slice(low, 2000)
-                raw = [np.frombuffer(x, "<i8") for x in part.column(2).to_pylist()]
-                sizes = [len(x) for x in raw]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(raw) if raw else np.zeros(0, np.int64)), pa.array(np.repeat(np.asarray(part.column(0)), sizes)),
-                     pa.array(np.repeat(np.asarray(part.column(1)), sizes))], names=["token", "gid", "n"])
-    return groups.select("gid", "n", "prefix").mapInArrow(run, "token long, gid long, n long")
-
-
-# ---- pairs -------------------------------------------------------------------------------------
-
-def _sizes_fit(a: str, b: str, percent: int):
-    return (100 * F.least(a, b)) >= (percent * F.greatest(a, b))
-
-
-def bitmap_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that their sizes and bitmaps allow to link."""
+                gids, raw = [], []
+                for gid, prefix in zip(part.column(0).to_pylist(), part.column(1)):
+                    if gid not in seen:
+                        if len(seen) < 1 << 20:
+                            seen.add(gid)
+                        gids.append(gid)
+                        raw.append(np.frombuffer(prefix.as_py(), "<i8"))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(raw) if raw else np.zeros(0, np.int64)),
+                                                  pa.array(np.repeat(np.array(gids, np.int64), [len(x) for x in raw]))], names=["token", "gid"])
+    return rows.filter(F.col("prefix").isNotNull()).select("gid", "prefix").mapInArrow(run, "token long, gid long")
+
+
+def shared_tokens(tokens: DataFrame) -> DataFrame:
+    """The rows (token, gid) of tokens that two groups or more hold.
+
+    Rows stream by in the order of (token, gid); of a token only its first group is held back, until a
+    second one shows that the token is shared.
+    """
     def run(batches):
+        token = gid = None
+        open_ = False  # the token's first group is still held back
         for batch in batches:
-            n_a, n_b = np.asarray(batch.column(2)), np.asarray(batch.column(4))
-            differing = np.zeros(batch.num_rows, np.int64)
-            for i, (x, y) in enumerate(zip(batch.column(3), batch.column(5))):
-                x, y = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
-                size = min(len(x), len(y))
-                differing[i] = int(np.bitwise_count(fold_bitmap(x, size) ^ fold_bitmap(y, size)).sum())
-            yield batch.select([0, 1]).filter(pa.array(may_link(n_a, n_b, differing, percent)))
+            if not batch.num_rows:
+                continue
+            t, g = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            fresh = np.ones(len(t), bool)  # not a repeat of the row before
+            fresh[1:] = (t[1:] != t[:-1]) | (g[1:] != g[:-1])
+            fresh[0] = (t[0], g[0]) != (token, gid)
+            t, g = t[fresh], g[fresh]
+            if not len(t):
+                continue
+            starts = np.ones(len(t), bool)
+            starts[1:] = t[1:] != t[:-1]
+            starts[0] = t[0] != token
+            followed = np.zeros(len(t), bool)
+            followed[:-1] = ~starts[1:]
+            keep = ~starts | followed
+            out_t, out_g = t[keep], g[keep]
+            if open_ and not starts[0]:
+                out_t, out_g = np.concatenate([[token], out_t]), np.concatenate([[gid], out_g])
+            token, gid, open_ = t[-1], g[-1], bool(starts[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(out_t.astype(np.int64)), pa.array(out_g.astype(np.int64))], names=["token", "gid"])
+
+    n = partitions(tokens.sparkSession)
+    return tokens.repartition(n, "token").sortWithinPartitions("token", "gid").mapInArrow(run, "token long, gid long")
 
-    left = classes.select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("bitmap").alias("m_a"))
-    right = classes.select(F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("bitmap").alias("m_b"))
-    both = pairs.join(left, "a").join(right, "b").filter(_sizes_fit("n_a", "n_b", percent)).select("a", "b", "n_a", "m_a", "n_b", "m_b")
-    return both.mapInArrow(run, "a long, b long")
 
+# ---- pairs -------------------------------------------------------------------------------------
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int, bits: int = SKETCH_BITS) -> DataFrame:
     """The pairs whose whole sets are similar enough. Sets are made again for the documents concerned:
@@ -262,63 +281,119 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, p
     return both.select("a", "b", "s_a", "s_b").mapInArrow(compare, "a long, b long")
 
 
-def cell_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes of different components in the same cell that sizes and bitmaps allow to link.
-
-    rows: (token, cell, side, cls, n, component, bitmap). side 0 meets side 1 of its cell; in a
-    cell with side 2 only, all rows meet each other. Rows of a cell come sorted next to each other.
-    """
-    def pairs_of(side, cls, n, comp, raw):
-        out_a, out_b = [], []
-        order = np.argsort(n, kind="stable")
-        side, cls, n, comp = side[order], cls[order], n[order], comp[order]
-        maps = [np.frombuffer(raw[i], "<u8") for i in order]
-        widths = np.array([len(m) for m in maps])
-        tables = {int(w): np.array([fold_bitmap(m, int(w)) if len(m) >= w else np.zeros(int(w), np.uint64) for m in maps]) for w in np.unique(widths)}
-        last = np.searchsorted(n, 100 * n // percent, "right")
-        for i in range(len(n) - 1):
-            others = np.arange(i + 1, last[i])
-            if not len(others):
-                continue
-            others = others[(comp[others] != comp[i]) & ((side[others] != side[i]) | (side[i] == 2))]
-            if not len(others):
-                continue
+def _passing(side, cls, n, comp, raw, percent: int):
+    """(i, j, differing) of the pairs of a cell, of different components, that sizes and bitmaps allow to link."""
+    m = len(n)
+    if m <= 6:  # most cells: plain integers
+        out = []
+        maps = [None] * m
+        for i in range(m):
+            for j in range(i + 1, m):
+                small, large = min(n[i], n[j]), max(n[i], n[j])
+                if comp[i] == comp[j] or 100 * small < percent * large or (side[i] == side[j] and side[i] != 2):
+                    continue
+                for k in (i, j):
+                    if maps[k] is None:
+                        maps[k] = int.from_bytes(raw[k], "little")
+                x, y, wide_x, wide_y = maps[i], maps[j], len(raw[i]), len(raw[j])
+                while wide_x > wide_y:
+                    wide_x //= 2
+                    x = (x >> 8 * wide_x) ^ (x & (1 << 8 * wide_x) - 1)
+                while wide_y > wide_x:
+                    wide_y //= 2
+                    y = (y >> 8 * wide_y) ^ (y & (1 << 8 * wide_y) - 1)
+                differing = (x ^ y).bit_count()
+                if may_link(n[i], n[j], differing, percent):
+                    out.append((i, j, differing))
+        return out
+    order = sorted(range(m), key=lambda i: n[i])
+    sizes, comps, sides = np.array(n)[order], np.array(comp)[order], np.array(side)[order]
+    maps = [np.frombuffer(raw[i], "<u8") for i in order]
+    widths = np.array([len(x) for x in maps])
+    tables = {int(w): np.array([fold_bitmap(x, int(w)) if len(x) >= w else np.zeros(int(w), np.uint64) for x in maps]) for w in np.unique(widths)}
+    last = np.searchsorted(sizes, 100 * sizes // percent, "right")
+    out = []
+    for i in range(m - 1):
+        others = np.arange(i + 1, last[i])
+        others = others[(comps[others] != comps[i]) & ((sides[others] != sides[i]) | (sides[i] == 2))]
+        if len(others):
             table = tables[int(widths[i])]
             differing = np.bitwise_count(table[others] ^ table[i]).sum(1).astype(np.int64)
-            hits = others[may_link(n[i], n[others], differing, percent)]
-            out_a.append(np.minimum(cls[hits], cls[i]))
-            out_b.append(np.maximum(cls[hits], cls[i]))
-        return out_a, out_b
+            good = may_link(sizes[i], sizes[others], differing, percent)
+            out.extend((order[i], order[j], d) for j, d in zip(others[good].tolist(), differing[good].tolist()))
+    return out
+
+
+def _forest(pairs, n, comp):
+    """(pairs of a spanning forest over the components, the most similar first; whether others were left out)."""
+    parent: dict = {}
+
+    def root(x):
+        while parent.get(x, x) != x:
+            parent[x] = parent.get(parent[x], parent[x])
+            x = parent[x]
+        return x
+    kept = []
+    for i, j, differing in sorted(pairs, key=lambda p: p[2] / (n[p[0]] + n[p[1]])):
+        a, b = root(comp[i]), root(comp[j])
+        if a != b:
+            parent[a] = b
+            kept.append((i, j, differing))
+    return kept, len(kept) < len(pairs)
+
 
+def cell_pairs(rows: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """(a, b, token): pairs of classes to verify (token null), and tokens that held pairs back (a, b null).
+
+    rows: (token, cell, side, cls, n, component, bitmap). Side 0 meets side 1 of its cell; in a
+    cell with side 2 only, all rows meet each other. Rows of a cell come sorted next to each other, and a cell is bounded.
+    """
     def run(batches):
-        held, key, found = [], None, set()
+        held, key = [], None
+        found, back = set(), set()
 
         def close():
             if len(held) > 1:
-                cols = list(zip(*held))
-                a, b = pairs_of(np.array(cols[0]), np.array(cols[1]), np.array(cols[2]), np.array(cols[3]), cols[4])
-                if a:
-                    found.update(zip(np.concatenate(a).tolist(), np.concatenate(b).tolist()))
+                side, cls, n, comp, raw = zip(*held)
+                pairs = _passing(side, cls, n, comp, raw, percent)
+                if forest and len(pairs) > 1:
+                    pairs, more = _forest(pairs, n, comp)
+                    if more:
+                        back.add(key[0])
+                found.update((min(cls[i], cls[j]), max(cls[i], cls[j])) for i, j, _ in pairs)
 
         def flush():
             a, b = zip(*found) if found else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([*a, *[None] * len(back)], pa.int64()), pa.array([*b, *[None] * len(back)], pa.int64()),
+                                               pa.array([*[None] * len(a), *back], pa.int64())], names=["a", "b", "token"])
         for batch in batches:
-            cols = [c.to_pylist() for c in batch.columns]
-            for token, cell, *row in zip(*cols):
+            for token, cell, *row in zip(*[c.to_pylist() for c in batch.columns]):
                 if (token, cell) != key:
                     close()
                     held, key = [], (token, cell)
                 held.append(row)
             if len(found) > 1 << 18:
                 yield flush()
-                found = set()
+                found, back = set(), set()
         close()
         yield flush()
 
     n = partitions(rows.sparkSession)
     routed = rows.select("token", "cell", "side", "cls", "n", "component", "bitmap").repartition(n, "token", "cell").sortWithinPartitions("token", "cell")
-    return routed.mapInArrow(run, "a long, b long").distinct()
+    return routed.mapInArrow(run, "a long, b long, token long")
+
+
+def _cells(shared: DataFrame, placed: DataFrame, cell: int) -> DataFrame:
+    """Rows of cell_pairs for the tokens of `shared` (token, gid) whose classes lie in several components.
+    A token with more than `cell` classes is cut into blocks, and every two blocks meet in a cell of their own."""
+    span = placed.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"))
+    wide = (shared.join(span, "gid").groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("size").alias("m"))
+            .filter("low <> high").select("token", F.ceil(F.col("m") / cell).cast("int").alias("blocks")))
+    return (shared.join(wide, "token").join(placed, "gid")
+            .withColumn("mine", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .withColumn("cell", F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other"))
+            .withColumn("side", F.when(F.col("mine") == F.col("other"), 2).otherwise((F.col("mine") > F.col("other")).cast("int"))))
 
 
 def linked_rows(docs: DataFrame, size: int, percent: int, bits: int = SKETCH_BITS, cell: int = CELL) -> DataFrame:
@@ -326,47 +401,27 @@ def linked_rows(docs: DataFrame, size: int, percent: int, bits: int = SKETCH_BIT
     counters = shingle_counters(docs, size, bits)
     rows = stored(set_rows(docs, counters, size, percent, bits), "shingles")
 
-    # classes of equal sets, numbered
-    full = rows.filter(F.col("prefix").isNotNull()).groupBy("set").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"),
-                                                                    F.first("bitmap").alias("bitmap"))
-    reps = rows.filter(F.col("set").isNotNull()).groupBy("set").agg(F.min("doc_id").alias("rep"))
-    classes = stored(full.join(reps, "set").withColumn("cls", F.monotonically_increasing_id()), "classes")
-
-    # groups: same prefix and size
-    heads = classes.groupBy("n", "prefix").agg(F.min("cls").alias("gid"))
-    members = stored(classes.join(heads, ["n", "prefix"]).select("cls", "gid", "n", "bitmap", "set", "rep"), "members")
-    tokens = stored(prefix_tokens(heads), "tokens")
-    shared = tokens.groupBy("token").agg(F.count("*").alias("m"), F.min("gid").alias("hub"), F.min_by("n", "gid").alias("n_hub")).filter("m > 1")
-    shared = stored(shared, "shared")
-
-    # every group meets the first group of each of its shingles; members meet the head of their own group
-    hubs = (tokens.join(shared, "token").filter("gid <> hub").filter(_sizes_fit("n", "n_hub", percent)).select("gid", "hub").distinct())
-    own = members.filter("cls <> gid").select(F.col("gid").alias("a"), F.col("cls").alias("b"))
-    first = hubs.join(members.select("gid", "cls"), "gid").select(F.col("hub").alias("a"), F.col("cls").alias("b")).union(own)
-    first = first.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = stored(verified(bitmap_pairs(first, members, percent), members, docs, size, percent, bits), "links")
-    joined = components(links)
-
-    # what may still link: shingles whose groups lie in several components
-    placed = stored(members.join(joined, F.col("cls") == F.col("node"), "left").select(
-        "cls", "gid", "n", "bitmap", F.coalesce("component", "cls").alias("component")), "placed")
-    span = placed.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"))
-    spans = tokens.join(span, "gid").groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("size").alias("m")).filter("low <> high")
-    blocks = F.ceil(F.col("m") / cell).cast("int")
-    wide = spans.select("token", blocks.alias("blocks"))
-    ready = (tokens.join(wide, "token").select("token", "gid", "blocks").join(placed, "gid")
-             .withColumn("mine", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .withColumn("cell", F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other"))
-             .withColumn("side", F.when(F.col("mine") == F.col("other"), 2).otherwise((F.col("mine") > F.col("other")).cast("int"))))
-    late = verified(cell_pairs(ready, percent), members, docs, size, percent, bits)
-    part = placed.select("cls", "component")
-    crossing = (late.join(part.select(F.col("cls").alias("a"), F.col("component").alias("ca")), "a")
-                .join(part.select(F.col("cls").alias("b"), F.col("component").alias("cb")), "b")
-                .select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-    merged = components(crossing).select(F.col("node").alias("component"), F.col("component").alias("whole"))
-    final = placed.join(merged, "component", "left").select("cls", F.coalesce("whole", "component").alias("component"))
-    named = members.select("cls", "set", "rep").join(final, "cls")
+    # classes of equal sets, numbered; groups are their prefix and size
+    classes = rows.filter(F.col("set").isNotNull()).groupBy("set").agg(
+        F.first("n").alias("n"), F.first("gid").alias("gid"), F.first("bitmap", True).alias("bitmap"), F.min("doc_id").alias("rep"))
+    classes = stored(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
+    several = classes.groupBy("gid").agg(F.count("*").alias("m")).filter("m > 1").select(F.col("gid").alias("token"), "gid")
+    shared = stored(shared_tokens(prefix_tokens(rows)).union(several), "shared")
+
+    placed = classes.select("cls", "gid", "n", "bitmap", F.col("cls").alias("component"))
+    for forest in (True, False):
+        cells = stored(cell_pairs(_cells(shared, placed, cell), percent, forest), "cells")
+        links = verified(cells.filter("token is null").select("a", "b").distinct(), classes, docs, size, percent, bits)
+        part = placed.select("cls", "component")
+        crossing = (links.join(part.select(F.col("cls").alias("a"), F.col("component").alias("ca")), "a")
+                    .join(part.select(F.col("cls").alias("b"), F.col("component").alias("cb")), "b")
+                    .select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        merged = components(crossing).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+        placed = stored(placed.join(merged, "component", "left").select("cls", "gid", "n", "bitmap", F.coalesce("whole", "component").alias("component")),
+                        "placed")
+        shared = shared.join(cells.filter("token is not null").select("token").distinct(), "token", "left_semi")
+
+    named = classes.select("cls", "set", "rep").join(placed.select("cls", "component"), "cls")
     smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     by_set = named.join(smallest, "component").select(F.col("set").alias("_set"), "component", "component_id")
     return rows.join(by_set, F.col("set") == F.col("_set"), "left").select(
