@@ -130,13 +130,14 @@ def resolve_links(t):
 
 
 @query("url_names", """SELECT l_orderkey, l_linenumber, l_partkey, 'AB' || l_orderkey AS uuid, 'attachment_AB' || l_orderkey || '.pdf' AS file_name,
-  'attachments/' || l_orderkey || '/a_b_' || substr(md5('http://x.example.com/download?uuid=AB' || l_orderkey), 1, 8) || '.pdf' AS path, true AS notice
+  'attachments/' || l_orderkey || '/a_b_' || substr(md5('http://x.example.com/download?uuid=AB' || l_orderkey), 1, 8) || '.pdf' AS path, l_linenumber % 2 = 0 AS notice
   FROM lineitem""")
 def url_names(t):
     url = F.concat(F.lit("http://x.example.com/download?uuid=AB"), F.col("l_orderkey").cast("string"))
     return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", url_uuid(url).alias("uuid"), filename_from_url(url).alias("file_name"),
                              storage_path("l_orderkey", F.lit("a/b.pdf"), url).alias("path"),
-                             is_notice_url(F.lit("http://www.ccgp.gov.cn/cggg/1.htm")).alias("notice"))
+                             is_notice_url(F.concat(F.when(F.col("l_linenumber") % 2 == 0, "http://www.ccgp.gov.cn/cggg/").otherwise("http://x.example.com/cggg/"),
+                                                    F.col("l_orderkey").cast("string"))).alias("notice"))
 
 
 @query("crawl_plan", """SELECT k.keyword, p.page, 'http://s.example.com/q?kw=' || replace(k.keyword, ' ', '+') || '&page_index=' || p.page AS url

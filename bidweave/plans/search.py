@@ -69,6 +69,13 @@ def tokenize(t):
     return SE.tokenize(t.documents, "doc_id")
 
 
+@query("tokenize_han", """SELECT o_orderkey, term, count(*) AS tf FROM (SELECT o_orderkey, unnest(list_concat(['采', '购', '采购', '公', '告', '公告'],
+  regexp_extract_all(lower(o_orderpriority), '[a-z0-9]+'))) AS term FROM orders) GROUP BY ALL""")
+def tokenize_han(t):
+    """Han characters come alone and in pairs, between words of another script."""
+    return SE.tokenize(t.orders.select("o_orderkey", F.concat(F.lit("采购"), "o_orderpriority", F.lit("公告")).alias("text")), "o_orderkey")
+
+
 @query("bm25_topk", f"""WITH {BM25} SELECT qid, doc_id, round(score, 4) AS score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank
   FROM sc WHERE score > 0 QUALIFY rank <= 10""")
 def bm25_topk(t):
