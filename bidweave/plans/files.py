@@ -3,7 +3,7 @@
 import uuid
 
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructType
 
 from bidweave.functions import html as H
 from bidweave.operators import pages as G
@@ -20,7 +20,7 @@ def _place(t, name):
     return f"{shared_dir(t.spark).rstrip('/')}/files/{name}-{uuid.uuid4().hex}"
 
 
-ORDER = StructType.fromDDL("o_orderkey long, o_orderpriority string, o_totalprice double")
+ORDER = StructType().add("o_orderkey", LongType()).add("o_orderpriority", StringType()).add("o_totalprice", DoubleType())
 
 
 def _lines(t):
