@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SEGMENT = 1 << 20  # bytes handled at once
-SLICE = 4 << 20  # bytes of texts that a step takes from a batch at once
+SLICE = 2 << 20  # bytes of texts that a step takes from a batch at once
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
