@@ -43,23 +43,27 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def bin_ranks(df: DataFrame, keys: list[str], spread: list[str], position: str, bins: int | None = None) -> DataFrame:
+def bin_ranks(df: DataFrame, keys: list[str], spread: list[str], position: str, bins: int | None = None, nulls: bool = True,
+              attach: DataFrame | None = None) -> DataFrame:
     """Exact 0-based position of each row within its key, in the order of (hash of `spread`, `spread`).
 
     A key may hold most rows: rows are cut into hash bins, bins are counted (combined before the
-    shuffle), and a window numbers the rows of one bin only. Keys compare null-safe. Rows that
-    agree in `spread` change places freely.
+    shuffle), and a window numbers the rows of one bin only. Keys compare null-safe; with `nulls` off they are
+    known to be filled, and the offsets join without moving the rows again. `attach` (one row per key, columns named as
+    the keys and others) brings its other columns along with the offsets. Rows that agree in `spread` change places freely.
     """
     bins = bins or 8 * partitions(df.sparkSession)
     rows = df.withColumn("__h", F.xxhash64(*spread)).withColumn("__bin", F.pmod("__h", F.lit(bins)).cast("int"))
     counts = rows.groupBy(*keys, "__bin").agg(F.count("*").alias("__n"))
     before = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__bin").alias("__b"),
-                            F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    offsets = counts.select(*keys, F.col("__bin").alias("__b"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    if attach is not None:
+        offsets = offsets.join(attach, keys)
+    offsets = offsets.withColumnsRenamed({k: f"__k_{k}" for k in keys})
     inside = Window.partitionBy(*keys, "__bin").orderBy("__h", *spread)
     same = F.col("__bin") == F.col("__b")
     for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+        same = same & (F.col(k).eqNullSafe(F.col(f"__k_{k}")) if nulls else F.col(k) == F.col(f"__k_{k}"))
     ranked = rows.withColumn("__in", F.row_number().over(inside) - 1)
     return (ranked.join(offsets, same).withColumn(position, (F.col("__in") + F.col("__before")).cast("long"))
             .drop("__h", "__bin", "__in", "__b", "__before", *[f"__k_{k}" for k in keys]))

@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bidweave.llm import words as W
+from bidweave.llm.bitfilter import bit_table, may_meet
 from bidweave.llm.common import components, partitions, stored
 
 SKETCH_BITS = 22  # 16 MiB of counters, whatever the size of the input
@@ -441,7 +442,10 @@ def drop_similar(docs: DataFrame, size: int = 5, percent: int = 80, bits: int =
     heads = rows.groupBy("component").agg(F.min(order).alias("first"), F.count("*").alias("rows")).filter("rows > 1")
     # rows of components of several rows, and whether they stay
     decided = stored(rows.join(heads, "component").select(F.col("hash").alias("__hash"), (order == F.col("first")).alias("__stays")).distinct(), "decided")
-    joined = docs.withColumn("__row", _row_hash(docs)).join(decided, F.col("__row") == F.col("__hash"), "left")
+    keyed = docs.withColumn("__row", _row_hash(docs))
+    meets = may_meet(keyed, F.col("__row"), bit_table(decided, "__hash"))  # the others have no similar document
+    joined = keyed.filter(meets).join(decided, F.col("__row") == F.col("__hash"), "left")
     alone = joined.filter(F.col("__stays").isNull())
     first = joined.filter("__stays").dropDuplicates(["__row"])
-    return alone.unionByName(first).select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    return keyed.filter(~meets).select(*names).unionByName(alone.select(*names)).unionByName(first.select(*names))

@@ -130,12 +130,10 @@ def _placed(docs: DataFrame, size: Column, seed: int, weights, share: float, mos
     sizes = stored(rows.select(F.col("source").cast("string").alias("source"), F.col("__source").alias("key"), F.col("__size").alias("size")), "sizes")
     plans = stored(plan(sizes, targets(sizes, weights, share, most), most), "plan")
     seeded = rows.withColumn("__seed", F.xxhash64(F.lit(seed), "doc_id"))
-    numbered = bin_ranks(seeded, ["__source", "__size"], ["__seed"], "__place")
-    chosen = plans.select(F.col("key").alias("__key"), F.col("size").alias("__len"), F.col("source_size").alias("__source_size"),
-                          F.col("target").alias("__target"), "whole", "extra")
-    joined = numbered.join(chosen.withColumnsRenamed({"whole": "__whole", "extra": "__extra"}),
-                           (F.col("__source") == F.col("__key")) & (F.col("__size") == F.col("__len")))
-    return joined.withColumn("__copies", (F.col("__whole") + (F.col("__place") < F.col("__extra")).cast("long")).cast("int"))
+    chosen = plans.select(F.col("key").alias("__source"), F.col("size").alias("__size"), F.col("source_size").alias("__source_size"),
+                          F.col("target").alias("__target"), F.col("whole").alias("__whole"), F.col("extra").alias("__extra"))
+    numbered = bin_ranks(seeded, ["__source", "__size"], ["__seed"], "__place", nulls=False, attach=chosen)
+    return numbered.withColumn("__copies", (F.col("__whole") + (F.col("__place") < F.col("__extra")).cast("long")).cast("int"))
 
 
 def mix_report(docs: DataFrame, seed: int = 11, weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:

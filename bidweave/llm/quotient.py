@@ -6,7 +6,8 @@ a filter loses nothing and two filters merge by merging their sorted runs. Each
 the filter of its own rows and sends it in blocks of neighbouring quotients; the blocks of one
 range are merged by one task as they stream in. Fingerprints counted once are unique texts and need
 nothing more. The others are verified: only their texts are grouped, by fingerprint and bytes,
-copies being combined before the shuffle.
+copies being combined before the shuffle. A bit table of the repeated fingerprints keeps the texts that are
+certainly unique out of these joins.
 
 Equal means identical after each run of 0x20 and 0x09 to 0x0D became one space; nothing is trimmed.
 
@@ -23,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bidweave.llm.bitfilter import bit_table, may_meet
 from bidweave.llm.common import partitions, stored
 
 # a run that is one plain space already is left alone, which gives the same text with fewer matches
@@ -161,7 +163,8 @@ def copy_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = stored(_keyed(docs).select("__order", "__fp", "__sha", F.monotonically_increasing_id().alias("__row")), "fingerprints")
     many = stored(repeated(rows, "__fp", rows.count()).select("__fp"), "repeated")
     # texts behind fingerprints counted more than once, compared byte by byte
-    suspects = _keyed(docs.select("doc_id", "text")).select("__fp", "__text").join(many, "__fp", "left_semi")
+    texts = docs.select(normalised(F.col("text")).alias("__text")).withColumn("__fp", F.xxhash64("__text"))
+    suspects = texts.filter(may_meet(texts, F.col("__fp"), bit_table(many, "__fp"))).join(many, "__fp", "left_semi")
     texts = suspects.groupBy("__fp", "__text").agg(F.count("*").alias("__size")).select("__fp", F.sha2("__text", 256).alias("__sha"), "__size")
     proof = texts.groupBy("__fp", "__sha").agg(F.count("*").alias("__texts"), F.sum("__size").alias("__size"))
     keepers = (rows.join(many, "__fp", "left_semi").groupBy("__fp", "__sha")
@@ -184,7 +187,10 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
     _, groups = copy_groups(docs)
-    joined = _keyed(docs).join(groups, ["__fp", "__sha"], "left")
+    rows = _keyed(docs).drop("__text")
+    meets = may_meet(rows, F.col("__fp"), bit_table(groups, "__fp"))
+    joined = rows.filter(meets).join(groups, ["__fp", "__sha"], "left")
     alone = joined.filter(F.col("__size").isNull())
     first = joined.filter(F.col("__keep.__order") == F.col("__order")).dropDuplicates(["__fp", "__sha"])
-    return alone.unionByName(first).select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    return rows.filter(~meets).select(*names).unionByName(alone.select(*names)).unionByName(first.select(*names))
