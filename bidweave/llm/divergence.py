@@ -4,9 +4,8 @@ Every text is compared with the reference of its language: the histogram of its
 the language's common words are each held against the sums over all documents of the language, by
 Jensen-Shannon distance (base 2, 0 to 1). Short texts have noisy histograms, so each distance counts only from
 a minimum length on, and the word distance has a wider limit below `long_words` words. Common words are the
-most frequent words of up to four letters. References are kept for the `languages` most frequent
-values of lang; other texts are held against the sum over all documents. Basic rules come first: too few
-words, or too many words inside repeated five-word windows.
+most frequent words of up to four letters. Every value of lang has its own reference, kept in a table with a row
+per language. Basic rules come first: too few words, or too many words inside repeated five-word windows.
 
 Windows are compared inside the row by 64-bit hashes of their words; nothing is exploded but the short words
 that are counted for the references.
@@ -25,6 +24,7 @@ from bidweave.llm.common import let, stored
 
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
+BROADCAST_LANGS = 100_000  # rows of some 200 bytes; with more languages their table is joined like any other
 # classes in the order in which they are taken out of the text; the last class is what is left
 CLASSES = [("lower", "[a-z]+"), ("upper", "[A-Z]+"), ("digits", "[0-9]+"), ("symbols", f"{SYMBOLS}+"), ("signs", r"[!-/:-@\[-`{-~]+")]
 
@@ -68,37 +68,35 @@ def distance(p: Column, q: Column) -> Column:
     return F.when((n_p > 0) & (n_q > 0), F.sqrt(F.greatest(F.lit(0.0), terms / 2))).otherwise(0.0)
 
 
-def common_words(docs: DataFrame, top: int = 10, languages: int = 16) -> dict[str, list[str]]:
-    """The `top` most frequent short words of each of the `languages` most frequent languages; under "" of all documents."""
+def per_language(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """`rows` with the columns of `table`, which has one row per lang at most; null is a lang like any other."""
+    table = table.withColumnRenamed("lang", "__lang")
+    if table.count() <= BROADCAST_LANGS:
+        table = F.broadcast(table)
+    return rows.join(table, F.col("lang").eqNullSafe(F.col("__lang")), "left").drop("__lang")
+
+
+def common_words(docs: DataFrame, top: int = 10) -> DataFrame:
+    """(lang, listed): the `top` most frequent short words of each language that has any, the most frequent first."""
     words = docs.select("lang", F.explode(split_words(F.coalesce("text", F.lit("")))).alias("word")).filter(
         (F.length("word") <= 4) & F.col("word").rlike(r"^\p{L}+$"))
-    counts = stored(words.groupBy("lang", "word").agg(F.count("*").alias("n")), "words")
-    named = docs.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).select("lang")
-    per = counts.join(F.broadcast(named), "lang").unionByName(
-        counts.groupBy("word").agg(F.sum("n").alias("n")).select(F.lit("").alias("lang"), "word", "n"))
+    counts = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    rows = per.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top).collect()  # top x (languages + 1) at most
-    out: dict[str, list[str]] = {r["lang"]: [] for r in named.collect()} | {"": []}
-    for r in sorted(rows, key=lambda r: r["rank"]):
-        out[r["lang"]].append(r["word"])
-    return out
-
-
-def _reference(docs_column: Column, table: dict[str, list], kind: str) -> Column:
-    lists = F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.array(*[F.lit(i) for i in v]).cast(kind))])
-    return F.coalesce(F.try_element_at(lists, docs_column), F.array(*[F.lit(i) for i in table[""]]).cast(kind))
+    ranked = counts.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
+    lists = ranked.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("rank", "word"))).alias("listed"))  # `top` words at most
+    return stored(lists.select("lang", F.col("listed.word").alias("listed")), "words")
 
 
-def measured(docs: DataFrame, words: dict[str, list[str]]) -> DataFrame:
+def measured(docs: DataFrame, words: DataFrame) -> DataFrame:
     """(doc_id, lang, counts of the basic rules, classes, common): the numbers of each text."""
-    rows = docs.select("doc_id", F.coalesce("lang", F.lit("\0")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = per_language(docs.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text")), words)
+    rows = rows.withColumn("listed", F.coalesce("listed", F.array().cast("array<string>")))
     rows = rows.withColumn("words", split_words(F.col("text"))).withColumn("left0", F.regexp_replace("text", f"{SPACE}+", ""))
     for k, (_, pattern) in enumerate(CLASSES):
         rows = rows.withColumn(f"left{k + 1}", F.regexp_replace(f"left{k}", pattern, ""))
     sizes = [F.char_length(f"left{k}").cast("long") for k in range(len(CLASSES) + 1)]
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(f"[^{SPACE[1:]}"))
     chosen = F.filter("words", lambda w: F.array_contains("listed", w))
-    rows = rows.withColumn("listed", _reference(F.col("lang"), words, "array<string>"))
     return rows.select(
         "doc_id", "lang", F.size("words").cast("long").alias("n_words"), sizes[0].alias("word_chars"),
         (sizes[3] - sizes[4]).alias("n_symbols"), let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
@@ -107,30 +105,27 @@ def measured(docs: DataFrame, words: dict[str, list[str]]) -> DataFrame:
         let(chosen, lambda c: F.transform("listed", lambda r: F.size(F.filter(c, lambda w: w == r)).cast("long"))).alias("common"))
 
 
-def _sums(rows: DataFrame, column: str, width: int) -> list[Column]:
-    return [F.coalesce(F.sum(F.get(column, F.lit(i))), F.lit(0)).alias(f"{column}{i}") for i in range(width)]
+def references(rows: DataFrame, top: int) -> DataFrame:
+    """(lang, by_class, by_word): the sums over all documents of each language; the last of by_word is all other words."""
+    sums = lambda column, width: [F.coalesce(F.sum(F.get(column, F.lit(i))), F.lit(0)).alias(f"{column}{i}") for i in range(width)]
+    whole = rows.groupBy("lang").agg(*sums("classes", len(CLASSES) + 1), *sums("common", top), F.sum("n_words").alias("n"),
+                                     F.max(F.size("common")).alias("width"))
+    listed = [F.col(f"common{i}") for i in range(top)]
+    other = F.col("n") - sum(listed, F.lit(0).cast("long"))
+    return stored(whole.select("lang", F.array(*[F.col(f"classes{i}") for i in range(len(CLASSES) + 1)]).alias("by_class"),
+                               F.concat(F.slice(F.array(*listed).cast("array<bigint>"), F.lit(1), F.col("width")), F.array(other)).alias("by_word")),
+                  "references")
 
 
-def divergence_rules(docs: DataFrame, top: int = 10, languages: int = 16, min_words: int = 10, repeat_percent: int = 20, min_chars: int = 100,
+def divergence_rules(docs: DataFrame, top: int = 10, min_words: int = 10, repeat_percent: int = 20, min_chars: int = 100,
                      max_class_distance: float = 0.35, short_words: int = 25, long_words: int = 100, max_word_distance: float = 0.25,
                      max_short_distance: float = 0.40) -> DataFrame:
     """Per row: (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept)."""
-    docs = docs.select("doc_id", "text", F.coalesce("lang", F.lit("\0")).alias("lang"))
-    words = common_words(docs, top, languages)
-    rows = stored(measured(docs, words), "measured")
-    all_classes = len(CLASSES) + 1
-    sums = [*_sums(rows, "classes", all_classes), *_sums(rows, "common", top), F.sum("n_words").alias("n")]
-    per = rows.filter(F.col("lang").isin([k for k in words if k])).groupBy("lang").agg(*sums).collect()  # `languages` rows at most
-    whole = rows.agg(*sums).first()
-    other = lambda r: (r["n"] or 0) - sum(r[f"common{i}"] for i in range(top))
-    by_class = {r["lang"]: [r[f"classes{i}"] for i in range(all_classes)] for r in per} | {"": [whole[f"classes{i}"] for i in range(all_classes)]}
-    # texts of unlisted languages counted the words of all documents, so their reference is the sum of those counts
-    rest = rows.filter(~F.col("lang").isin([k for k in words if k])).agg(*sums).first()
-    by_word = {r["lang"]: [r[f"common{i}"] for i in range(len(words[r["lang"]]))] + [other(r)] for r in per}
-    by_word[""] = [rest[f"common{i}"] for i in range(len(words[""]))] + [other(rest)]
-    rows = rows.withColumn("class_distance", distance(F.col("classes"), _reference(F.col("lang"), by_class, "array<bigint>")))
+    rows = stored(measured(docs, common_words(docs, top)), "measured")
+    rows = per_language(rows, references(rows, top))
+    rows = rows.withColumn("class_distance", distance(F.col("classes"), F.col("by_class")))
     counted = F.concat("common", F.array(F.col("n_words") - F.aggregate("common", F.lit(0).cast("long"), lambda a, x: a + x)))
-    rows = rows.withColumn("word_distance", distance(counted, _reference(F.col("lang"), by_word, "array<bigint>")))
+    rows = rows.withColumn("word_distance", distance(counted, F.col("by_word")))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
     limit = F.when(F.col("n_words") >= long_words, max_word_distance).otherwise(max_short_distance)
     strange = (((F.col("word_chars") >= min_chars) & (F.col("class_distance") > max_class_distance))

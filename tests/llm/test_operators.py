@@ -119,6 +119,23 @@ def test_distance_and_verdict(spark, rows):
     assert kept == {r[0] for r in clean}
 
 
+def test_every_language_has_its_own_reference(spark):
+    """20 languages of Latin letters, then a rarer one of Han, an empty and a null lang: clean texts stay, junk goes."""
+    import random
+    rng = random.Random(2)
+    letters = str.maketrans("0123456789", "abcdefghij")
+    latin = lambda n: sentence(rng, n).translate(letters)
+    han = lambda n: " ".join(rng.choice(["的", "了", "在", "是", *[chr(0x4E00 + 7 * i) * 2 for i in range(400)]]) for _ in range(n))
+    rows = [(1000 * k + i, latin(150), f"l{k:02}") for k in range(20) for i in range(40)]
+    rare = [(50_000 + 1000 * k + i, han(150), lang) for k, lang in enumerate(["zh", "", None]) for i in range(30)]
+    junk = [(80_000, " ".join("!?" + w for w in latin(150).split()), "zh"), (80_001, latin(150), ""), (80_002, latin(150), None)]
+    docs = spark.createDataFrame(rows + rare + junk, "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in divergence.divergence_rules(docs).filter("kept").collect()}
+    assert kept == {r[0] for r in rows + rare}
+    lists = {r["lang"]: r["listed"] for r in divergence.common_words(docs).collect()}
+    assert set(lists) == {r[2] for r in rows + rare} and all(len(set(x)) == len(x) <= 10 for x in lists.values())
+
+
 # ---- 3 quality -----------------------------------------------------------------------------------
 
 def test_quality(spark, docs, rows_, empty):
