@@ -3,8 +3,9 @@
 Every text is compared with the reference of its language: the histogram of its character classes and that of
 the language's common words are each held against the sums over all documents of the language, by
 Jensen-Shannon distance (base 2, 0 to 1). Short texts have noisy histograms, so each distance counts only from
-a minimum length on, and the word distance has a wider limit below `long_words` words. Common words are the
-most frequent words of up to four letters. Every value of lang has its own reference, kept in a table with a row
+a minimum length on, and the word distance has a wider limit below `long_words` words. Where common words are a small share of
+the language, no text reaches that limit by lacking them; `short_reach` (off by default) sets it by what the language
+reaches. Common words are the most frequent words of up to four letters. Every value of lang has its own reference, kept in a table with a row
 per language. Basic rules come first: too few words, or too many words inside repeated five-word windows.
 
 Windows are compared inside the row by 64-bit hashes of their words; nothing is exploded but the short words
@@ -119,15 +120,22 @@ def references(rows: DataFrame, top: int) -> DataFrame:
 
 def divergence_rules(docs: DataFrame, top: int = 10, min_words: int = 10, repeat_percent: int = 20, min_chars: int = 100,
                      max_class_distance: float = 0.35, short_words: int = 25, long_words: int = 100, max_word_distance: float = 0.25,
-                     max_short_distance: float = 0.40) -> DataFrame:
-    """Per row: (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept)."""
+                     max_short_distance: float = 0.40, short_reach: float | None = None) -> DataFrame:
+    """Per row: (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept).
+
+    With `short_reach` the limit of short texts is at most this share of the distance of a text without any common word.
+    """
     rows = stored(measured(docs, common_words(docs, top)), "measured")
     rows = per_language(rows, references(rows, top))
     rows = rows.withColumn("class_distance", distance(F.col("classes"), F.col("by_class")))
     counted = F.concat("common", F.array(F.col("n_words") - F.aggregate("common", F.lit(0).cast("long"), lambda a, x: a + x)))
     rows = rows.withColumn("word_distance", distance(counted, F.col("by_word")))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
-    limit = F.when(F.col("n_words") >= long_words, max_word_distance).otherwise(max_short_distance)
+    short_limit = F.lit(max_short_distance)
+    if short_reach is not None:
+        without = F.transform("by_word", lambda _, i: F.when(i == F.size("by_word") - 1, 1).otherwise(0).cast("long"))
+        short_limit = F.least(short_limit, short_reach * distance(without, F.col("by_word")))
+    limit = F.when(F.col("n_words") >= long_words, max_word_distance).otherwise(short_limit)
     strange = (((F.col("word_chars") >= min_chars) & (F.col("class_distance") > max_class_distance))
                | ((F.col("n_words") >= short_words) & (F.col("word_distance") > limit)))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",

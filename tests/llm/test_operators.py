@@ -136,6 +136,21 @@ def test_every_language_has_its_own_reference(spark):
     assert set(lists) == {r[2] for r in rows + rare} and all(len(set(x)) == len(x) <= 10 for x in lists.values())
 
 
+def test_short_texts_without_common_words(spark):
+    """Ten words are 15% of the language: lacking them all gives a distance below 0.40."""
+    import random
+    rng = random.Random(4)
+    common = "the of and to a in is that for it".split()
+    rare = ["".join(rng.choice("bcdfglmnprstu") + rng.choice("aeiou") for _ in range(4)) for _ in range(3000)]
+    text = lambda n: " ".join(rng.sample([rng.choice(common) for _ in range(round(0.15 * n))] + [rng.choice(rare) for _ in range(n - round(0.15 * n))], n))
+    clean = [(i, text(300), "en") for i in range(60)]
+    short = [(100 + i, text(90), "en") for i in range(20)]
+    salad = [(200 + i, " ".join(rng.choice(rare) for _ in range(n)), "en") for i, n in enumerate((25, 40, 60, 80, 99))]
+    docs = spark.createDataFrame(clean + short + salad, "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in divergence.divergence_rules(docs, short_reach=0.95).filter("kept").collect()}
+    assert kept.isdisjoint(r[0] for r in salad) and {r[0] for r in clean} <= kept and sum(r[0] in kept for r in short) >= 18
+
+
 # ---- 3 quality -----------------------------------------------------------------------------------
 
 def test_quality(spark, docs, rows_, empty):
