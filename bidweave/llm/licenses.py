@@ -4,7 +4,11 @@ A text is normalised (A to Z lower-cased, every other ASCII sign than a letter o
 units are its lines, its paragraphs (runs of lines that have a word) and the whole text. A unit with n
 distinct bigrams can only reach the threshold t with templates of t / (2 - t) n to (2 - t) / t n
 bigrams, so the others are not compared. A unit counts for the template that fits it best. A paragraph is only
-compared if none of its lines fits a template, the whole text if nothing inside it does.
+compared if none of its lines fits a template, the whole text if nothing inside it does. Words that no such unit took
+are searched once more for notices that share their line with other words: by sentence, then by windows of as many
+bigrams as a template has, each from a bigram of the template on. Of overlapping windows the best one counts.
+
+The SQL twin knows lines, paragraphs and the whole text, so it is a twin only where each notice has a line or paragraph of its own.
 
 Bigrams are compared as 64-bit hashes; texts are read whole, a bounded slice at a time, where they lie.
 
@@ -65,12 +69,23 @@ def bigram_hashes(hashes: np.ndarray) -> np.ndarray:
     return W.mix(hashes[:-1] * W._BASE + hashes[1:]) if len(hashes) > 1 else hashes[:0]
 
 
-def template_bigrams(texts: dict[str, list[str]]) -> list[tuple[str, np.ndarray]]:
+def _ranges(bounds: np.ndarray, hits: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Ranges between neighbouring bounds (places of words) that have two words and enough known bigrams."""
+    low, high = bounds[:-1], bounds[1:]
+    good = high - low > 1
+    low, high = low[good], high[good]
+    good = hits[high - 1] - hits[low] >= least
+    return list(zip(low[good].tolist(), high[good].tolist()))
+
+
+def template_bigrams(texts: dict[str, list[str]]) -> list[tuple[str, np.ndarray, int]]:
+    """(name, sorted distinct bigrams, number of bigrams) of each template, by name."""
     out = []
     for name in sorted(texts):
         for text in texts[name]:
             data = _PARTS[np.frombuffer(text.encode(), np.uint8)]
-            out.append((name, np.unique(bigram_hashes(W.words(data, np.array([0, len(data)]))[2]))))
+            grams = bigram_hashes(W.words(data, np.array([0, len(data)]))[2])
+            out.append((name, np.unique(grams), len(grams)))
     return out
 
 
@@ -91,7 +106,57 @@ def _units(data: np.ndarray, starts: np.ndarray) -> list[list[tuple[int, int]]]:
     return [lines, paragraphs, [(0, len(starts))]]
 
 
-def scan_text(data: np.ndarray, starts: np.ndarray, hashes: np.ndarray, templates: list[tuple[str, np.ndarray]], known: np.ndarray,
+def _sentences(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Places of the first words of sentences (after a full stop, question or exclamation mark and white space, or a blank line), and the end."""
+    marks = np.flatnonzero(((data[:-1] == 0x2E) | (data[:-1] == 0x21) | (data[:-1] == 0x3F)) & W._SPACE[data[1:]])
+    blank = np.array([low for low, _ in _units(data, starts)[1]], np.int64)
+    return np.unique(np.concatenate([[0], np.searchsorted(starts, marks), blank, [len(starts)]]))
+
+
+def _windows(grams: np.ndarray, place: np.ndarray, known: np.ndarray, templates: list[tuple[str, np.ndarray, int]], threshold: float,
+             taken: np.ndarray) -> list[tuple[float, str, int, int]]:
+    """(coefficient, name, first and last word + 1) of windows without taken words that fit a template, the best one of those that overlap."""
+    at = np.flatnonzero((known[place] == grams) & ~taken[:-1] & ~taken[1:])
+    values = grams[at]
+    walls = np.concatenate([[-1], np.flatnonzero(taken), [len(taken)]])  # a window stays between taken words
+    wall = np.searchsorted(walls, at)
+    left, right = walls[wall - 1] + 1, walls[wall] - 1
+    fresh, out = None, []
+    for name, template, length in templates:
+        m = len(template)
+        mine = template[np.minimum(np.searchsorted(template, values), m - 1)] == values
+        if np.count_nonzero(mine) < m * threshold / (2 - threshold):
+            continue
+        here = at[mine]
+        first = np.maximum(left[mine], np.minimum(here, right[mine] - length))
+        last = np.minimum(first + length, right[mine])
+        count = np.searchsorted(here, last) - np.searchsorted(here, first)
+        if fresh is None:  # a bigram counts where the text has it first: no more than the window has distinct ones
+            mark = np.zeros(len(grams), np.int64)
+            mark[np.unique(grams, return_index=True)[1]] = 1
+            fresh = np.concatenate([[0], np.cumsum(mark)])
+        most = 2 * np.minimum(count, m) / (fresh[last] - fresh[first] + m)
+        good = (most >= threshold) & (count >= m * threshold / (2 - threshold))
+        first, last, most = first[good], last[good], most[good]
+        cover = np.zeros(len(grams)) if len(first) else None  # best coefficient of a window over the bigram
+        for k in np.argsort(-most, kind="stable").tolist():
+            low, high = int(first[k]), int(last[k])
+            if cover[low:high].max() >= most[k]:
+                continue
+            unit = np.unique(grams[low:high])
+            value = 2 * len(np.intersect1d(unit, template, assume_unique=True)) / (len(unit) + m)
+            if value >= threshold:
+                np.maximum(cover[low:high], value, out=cover[low:high])
+                out.append((value, name, low, high + 1))
+    best, used = [], taken.copy()
+    for value, name, low, high in sorted(out, key=lambda x: (-x[0], x[2] - x[3], x[1], x[2])):
+        if not used[low:high].any():
+            used[low:high] = True
+            best.append((value, name, low, high))
+    return best
+
+
+def scan_text(data: np.ndarray, starts: np.ndarray, hashes: np.ndarray, templates: list[tuple[str, np.ndarray, int]], known: np.ndarray,
               threshold: float) -> dict[str, float]:
     """Best coefficient of each licence that a unit of the text fits best."""
     grams = bigram_hashes(hashes)
@@ -99,16 +164,19 @@ def scan_text(data: np.ndarray, starts: np.ndarray, hashes: np.ndarray, template
         return {}
     place = np.minimum(np.searchsorted(known, grams), len(known) - 1)
     hits = np.concatenate([[0], np.cumsum(known[place] == grams)])
+    least = min(len(t) for _, t, _ in templates) * threshold / (2 - threshold)
+    if hits[-1] < least:
+        return {}
     found: dict[str, float] = {}
-    taken = np.zeros(len(starts) + 1, bool)  # first words of units that fit
-    least = min(len(t) for _, t in templates) * threshold / (2 - threshold)
-    for units in _units(data, starts):
+    taken = np.zeros(len(starts), bool)  # words of units that fit
+    sentences = _ranges(_sentences(data, starts), hits, least)
+    for units in [*_units(data, starts), sentences]:
         for low, high in units:
             if high - low < 2 or hits[high - 1] - hits[low] < least or taken[low:high].any():
                 continue
             unit = np.unique(grams[low:high - 1])
             n, best = len(unit), (0.0, "")
-            for name, template in templates:
+            for name, template, _ in templates:
                 m = len(template)
                 if n * threshold <= m * (2 - threshold) and m * threshold <= n * (2 - threshold):
                     value = 2 * len(np.intersect1d(unit, template, assume_unique=True)) / (n + m)
@@ -116,14 +184,16 @@ def scan_text(data: np.ndarray, starts: np.ndarray, hashes: np.ndarray, template
                         best = (value, name)
             if best[0]:
                 found[best[1]] = max(best[0], found.get(best[1], 0.0))
-                taken[low] = True
+                taken[low:high] = True
+    for value, name, _, _ in _windows(grams, place, known, templates, threshold, taken):
+        found[name] = max(value, found.get(name, 0.0))
     return found
 
 
 def license_scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, threshold: float = 0.8) -> DataFrame:
     """Per row: (doc_id, licenses, best_license, best_dice); licenses are sorted and joined by commas, best ones null without any."""
     known = template_bigrams(templates or TEMPLATES)
-    grams = np.unique(np.concatenate([t for _, t in known]))
+    grams = np.unique(np.concatenate([t for _, t, _ in known]))
 
     def run(batches):
         for batch in batches:

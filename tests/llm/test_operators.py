@@ -202,6 +202,25 @@ def test_licenses(spark, docs, rows_, empty):
     assert licenses.license_scan(docs).count() == len(rows_) and licenses.license_scan(empty).count() == 0
 
 
+def test_license_notices_that_share_their_line(spark):
+    rng = np.random.default_rng(5)
+    prose = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 5000, n))
+    apache = licenses.TEMPLATES["Apache-2.0"][1]
+    cases = [(1, "Copyright 2024 Example Authors. Released under the MIT License."),
+             (2, "Copyright 2024 Example Authors. Released under the MIT License. See the file for details."),
+             (3, f"{prose(300)} licensed under cc by-nc 4.0 {prose(300)}"),
+             (4, f"{prose(3000)} {apache} {prose(3000)}"),
+             (5, f"{prose(50)} released under the mit license {prose(40)} this work is licensed under the gnu general public license version 3 {prose(9)}"),
+             (6, f"Released under the MIT License.\n{prose(20)} licensed under cc by 4 0 {prose(20)}"),
+             (7, f"{prose(30)} licensed under cc by-sa 3.0 {prose(30)}"), (8, f"{prose(40)} the mit license {prose(40)}"),
+             (9, f"{prose(30)} x licensed under cc by-nc 4.0\nReleased under the MIT License."),
+             (10, f"Released under the MIT License.\nAll of this work's licensed under a Creative Commons Attribution 4.0 International License. {prose(9)}")]
+    got = {r[0]: r[1:] for r in fetch(licenses.license_scan(spark.createDataFrame(cases, "doc_id long, text string")))}
+    assert {k: v[0] for k, v in got.items()} == {1: "MIT", 2: "MIT", 3: "CC-BY-NC-4.0", 4: "Apache-2.0", 5: "GPL-3.0,MIT", 6: "CC-BY-4.0,MIT", 7: "", 8: "",
+                                               9: "CC-BY-NC-4.0,MIT", 10: "CC-BY-4.0,MIT"}
+    assert got[1][2] == got[2][2] == got[3][2] == 1.0 and got[4][2] == 1.0
+
+
 # ---- 5 mixture -----------------------------------------------------------------------------------
 
 def test_fill_is_as_near_as_possible():
