@@ -8,7 +8,8 @@ compared if none of its lines fits a template, the whole text if nothing inside
 are searched once more for notices that share their line with other words: by sentence, then by windows of as many
 bigrams as a template has, each from a bigram of the template on. Of overlapping windows the best one counts.
 
-The SQL twin knows lines, paragraphs and the whole text, so it is a twin only where each notice has a line or paragraph of its own.
+The SQL twin knows lines, paragraphs and the whole text, and the notices of TEMPLATES: it is a twin only where each notice is one of them
+and has a line or paragraph of its own.
 
 Bigrams are compared as 64-bit hashes; texts are read whole, a bounded slice at a time, where they lie.
 
@@ -20,6 +21,7 @@ are ignored. An empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +59,70 @@ TEMPLATES = {
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
 
+_AS_IS = ("THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT "
+          "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT "
+          "HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT "
+          "LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON "
+          "ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE "
+          "USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
+_BSD = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are "
+        "met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. "
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution. ")
+_GNU = ("This {kind} is free software; you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software "
+        "Foundation; either version {version} of the License, or (at your option) any later version.")
+
+
+def _gnu(name: str, version: str, kind: str = "program") -> list[str]:
+    return [_GNU.format(kind=kind, name=name, version=version),
+            f"This {kind} is free software; you can redistribute it and/or modify it under the terms of the GNU {name}, version {version}, as "
+            "published by the Free Software Foundation.", f"This work is licensed under the GNU {name}, version {version}."]
+
+
+# Notices that the SQL twin does not know; whole texts are in the folder license_texts, named by licence.
+MORE = {
+    "0BSD": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."],
+    "AGPL-3.0": _gnu("Affero General Public License", "3"),
+    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License.", _BSD + _AS_IS],
+    "BSD-3-Clause": [_BSD + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+                     "derived from this software without specific prior written permission. " + _AS_IS],
+    "CC-BY-NC-ND-4.0": ["Licensed under CC BY-NC-ND 4.0.",
+                        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."],
+    "CC-BY-NC-SA-4.0": ["Licensed under CC BY-NC-SA 4.0.",
+                        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."],
+    "CC-BY-ND-4.0": ["Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."],
+    "CC0-1.0": ["Licensed under CC0 1.0.", "This work is dedicated to the public domain under the CC0 1.0 Universal Public Domain Dedication."],
+    "EPL-1.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies "
+                "this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html"],
+    "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available "
+                "at https://www.eclipse.org/legal/epl-2.0/",
+                "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0 which accompanies "
+                "this distribution, and is available at https://www.eclipse.org/legal/epl-v20.html"],
+    "GPL-1.0": _gnu("General Public License", "1")[:2],
+    "GPL-2.0": _gnu("General Public License", "2")[:2],
+    "GPL-3.0": _gnu("General Public License", "3")[1:2],
+    "LGPL-2.0": _gnu("Library General Public License", "2", "library"),
+    "LGPL-2.1": _gnu("Lesser General Public License", "2.1", "library") + _gnu("Lesser General Public License", "2.1")[:2],
+    "LGPL-3.0": _gnu("Lesser General Public License", "3", "library")[:2] + _gnu("Lesser General Public License", "3")[:2],
+    "MIT-0": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "
+              "\"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, "
+              "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so."],
+    "MPL-1.1": ["The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\"); you may not use this file except in "
+                "compliance with the License. You may obtain a copy of the License at http://www.mozilla.org/MPL/ Software distributed under the License "
+                "is distributed on an \"AS IS\" basis, WITHOUT WARRANTY OF ANY KIND, either express or implied. See the License for the specific "
+                "language governing rights and limitations under the License."],
+}
+
+
+def all_templates() -> dict[str, list[str]]:
+    """Notices and whole texts by licence."""
+    out = {name: [*TEMPLATES.get(name, []), *MORE.get(name, [])] for name in TEMPLATES | MORE}
+    for file in resources.files("bidweave.llm").joinpath("license_texts").iterdir():
+        if file.name.endswith(".txt"):
+            out.setdefault(file.name.removesuffix(".txt"), []).append(file.read_text("utf-8"))
+    return out
+
+
 _PARTS = np.arange(256, dtype=np.uint8)
 _PARTS[:128] = 0x20
 for _c in b"abcdefghijklmnopqrstuvwxyz0123456789":
@@ -113,6 +179,13 @@ def _sentences(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate([[0], np.searchsorted(starts, marks), blank, [len(starts)]]))
 
 
+def _repeats(before: np.ndarray, after: np.ndarray, size: int, total: int) -> np.ndarray:
+    """Number of neighbouring occurrences (before, after) of a bigram that lie inside the window of `size` bigrams from each place on."""
+    near = after - before < size
+    low, high = np.maximum(after[near] - size + 1, 0), before[near] + 1
+    return np.cumsum(np.bincount(low, minlength=total + 1) - np.bincount(high, minlength=total + 1))
+
+
 def _windows(grams: np.ndarray, place: np.ndarray, known: np.ndarray, templates: list[tuple[str, np.ndarray, int]], threshold: float,
              taken: np.ndarray) -> list[tuple[float, str, int, int]]:
     """(coefficient, name, first and last word + 1) of windows without taken words that fit a template, the best one of those that overlap."""
@@ -121,33 +194,40 @@ def _windows(grams: np.ndarray, place: np.ndarray, known: np.ndarray, templates:
     walls = np.concatenate([[-1], np.flatnonzero(taken), [len(taken)]])  # a window stays between taken words
     wall = np.searchsorted(walls, at)
     left, right = walls[wall - 1] + 1, walls[wall] - 1
-    fresh, out = None, []
+    before, out = None, []
     for name, template, length in templates:
         m = len(template)
+        least = m * threshold / (2 - threshold)
         mine = template[np.minimum(np.searchsorted(template, values), m - 1)] == values
-        if np.count_nonzero(mine) < m * threshold / (2 - threshold):
+        if np.count_nonzero(mine) < least:
             continue
         here = at[mine]
-        first = np.maximum(left[mine], np.minimum(here, right[mine] - length))
-        last = np.minimum(first + length, right[mine])
+        first, one = np.unique(np.maximum(left[mine], np.minimum(here, right[mine] - length)), return_index=True)
+        last = np.minimum(first + length, right[mine][one])
         count = np.searchsorted(here, last) - np.searchsorted(here, first)
-        if fresh is None:  # a bigram counts where the text has it first: no more than the window has distinct ones
-            mark = np.zeros(len(grams), np.int64)
-            mark[np.unique(grams, return_index=True)[1]] = 1
-            fresh = np.concatenate([[0], np.cumsum(mark)])
-        most = 2 * np.minimum(count, m) / (fresh[last] - fresh[first] + m)
-        good = (most >= threshold) & (count >= m * threshold / (2 - threshold))
-        first, last, most = first[good], last[good], most[good]
-        cover = np.zeros(len(grams)) if len(first) else None  # best coefficient of a window over the bigram
-        for k in np.argsort(-most, kind="stable").tolist():
+        good = count >= least
+        if not good.any():
+            continue
+        if before is None:
+            order = np.argsort(grams, kind="stable")
+            same = grams[order[1:]] == grams[order[:-1]]
+            before, after = order[:-1][same], order[1:][same]
+        first, last, count = first[good], last[good], count[good]
+        hit = np.zeros(len(grams), bool)
+        hit[here] = True
+        both = hit[before] & hit[after]
+        distinct = length - _repeats(before, after, length, len(grams))[first]
+        common = count - _repeats(before[both], after[both], length, len(grams))[first]
+        for k in np.flatnonzero(last - first < length).tolist():  # a whole range between taken words
+            unit = np.unique(grams[first[k]:last[k]])
+            distinct[k], common[k] = len(unit), len(np.intersect1d(unit, template, assume_unique=True))
+        fit = 2 * common / (distinct + m)
+        cover = np.zeros(len(grams))  # best coefficient of a window over the bigram
+        for k in np.argsort(-fit, kind="stable")[:np.count_nonzero(fit >= threshold)].tolist():
             low, high = int(first[k]), int(last[k])
-            if cover[low:high].max() >= most[k]:
-                continue
-            unit = np.unique(grams[low:high])
-            value = 2 * len(np.intersect1d(unit, template, assume_unique=True)) / (len(unit) + m)
-            if value >= threshold:
-                np.maximum(cover[low:high], value, out=cover[low:high])
-                out.append((value, name, low, high + 1))
+            if cover[low:high].max() < fit[k]:
+                np.maximum(cover[low:high], fit[k], out=cover[low:high])
+                out.append((float(fit[k]), name, low, high + 1))
     best, used = [], taken.copy()
     for value, name, low, high in sorted(out, key=lambda x: (-x[0], x[2] - x[3], x[1], x[2])):
         if not used[low:high].any():
@@ -192,7 +272,7 @@ def scan_text(data: np.ndarray, starts: np.ndarray, hashes: np.ndarray, template
 
 def license_scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, threshold: float = 0.8) -> DataFrame:
     """Per row: (doc_id, licenses, best_license, best_dice); licenses are sorted and joined by commas, best ones null without any."""
-    known = template_bigrams(templates or TEMPLATES)
+    known = template_bigrams(templates or all_templates())
     grams = np.unique(np.concatenate([t for _, t, _ in known]))
 
     def run(batches):

@@ -221,6 +221,30 @@ def test_license_notices_that_share_their_line(spark):
     assert got[1][2] == got[2][2] == got[3][2] == 1.0 and got[4][2] == 1.0
 
 
+def test_license_versions_and_relatives(spark):
+    gnu = ("This {} is free software; you can redistribute it and/or modify\n it under the terms of the GNU {} as published by\n the Free Software "
+           "Foundation; either version {} of the License, or\n (at your option) any later version.\n")
+    bsd = ("Copyright (c) 2024, Example Authors\nAll rights reserved.\n\nRedistribution and use in source and binary forms, with or without\nmodification, "
+           "are permitted provided that the following conditions are met:\n\n* Redistributions of source code must retain the above copyright notice, "
+           "this\n  list of conditions and the following disclaimer.\n\n* Redistributions in binary form must reproduce the above copyright notice,\n"
+           "  this list of conditions and the following disclaimer in the documentation\n  and/or other materials provided with the distribution.\n\n")
+    third = ("* Neither the name of Example Authors nor the names of its\n  contributors may be used to endorse or promote products derived from\n"
+             "  this software without specific prior written permission.\n\n")
+    end = licenses._AS_IS.replace("ANY", "ANY\n")
+    cases = [(1, gnu.format("program", "General Public License", "2"), "GPL-2.0"), (2, gnu.format("program", "General Public License", "3"), "GPL-3.0"),
+             (3, gnu.format("library", "Lesser General Public License", "2.1"), "LGPL-2.1"),
+             (4, gnu.format("program", "Affero General Public License", "3"), "AGPL-3.0"),
+             (5, gnu.format("library", "Library General Public License", "2"), "LGPL-2.0"),
+             (6, gnu.format("program", "Lesser General Public License", "3"), "LGPL-3.0"),
+             (7, bsd + end, "BSD-2-Clause"), (8, bsd + third + end, "BSD-3-Clause"),
+             (9, "int x;\n\n" + gnu.format("program", "General Public License", "2").replace("\n", "\n * ") + "\n\nint y;", "GPL-2.0")]
+    known = [(name, text) for name, texts in licenses.all_templates().items() for text in texts]
+    cases += [(100 + 2 * i + k, t, name) for i, (name, text) in enumerate(known) for k, t in enumerate((text, "x y " * 50 + " ".join(text.split()) + " y x" * 50))]
+    got = {r[0]: r[1] for r in fetch(licenses.license_scan(spark.createDataFrame([c[:2] for c in cases], "doc_id long, text string")))}
+    assert got == {c[0]: c[2] for c in cases}
+    assert {"AGPL-3.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Apache-2.0", "CC0-1.0"} <= {name for name, text in known if len(text) > 3000}
+
+
 # ---- 5 mixture -----------------------------------------------------------------------------------
 
 def test_fill_is_as_near_as_possible():
