@@ -5,7 +5,7 @@ what is cut off is shared again by weight. A source takes every document `floor(
 the rest of its target is filled by a subset of its documents. Documents are counted by exact token length,
 so the subset is a number of documents per length: first the same part of every length, then one more of
 single lengths while the rest is large, and for the remaining budget a bounded-knapsack program
-finds the lengths that fill it best. Which documents of a length are taken is decided by a seeded hash.
+finds the lengths that fill it best (larger rests in a common grain). Which documents of a length are taken is decided by a seeded hash.
 
 A source's plan is made from its length counts alone (one row per distinct length), by one task
 per source. Rows are numbered within (source, length) without bringing such a group together.
@@ -40,19 +40,78 @@ def source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("+"), source.cast("string")), F.lit("-"))
 
 
+def _program(lengths: np.ndarray, left: np.ndarray, limit: int, goal: int) -> tuple[int, list]:
+    """Bits of the sums up to `limit` that at most `left` of each length make, and the steps to them; ends when `goal` is reached."""
+    reach, steps, mask = 1, [], (1 << (limit + 1)) - 1
+    for i in np.flatnonzero((lengths > 0) & (lengths <= limit) & (left > 0)).tolist():
+        free, chunk = min(int(left[i]), limit // int(lengths[i])), 1
+        while free and not reach >> goal & 1:
+            part = min(chunk, free)
+            steps.append((i, part, reach))
+            reach |= reach << (part * int(lengths[i])) & mask
+            free, chunk = free - part, chunk * 2
+        if reach >> goal & 1:
+            break
+    return reach, steps
+
+
+def _trace(lengths: np.ndarray, steps: list, goal: int) -> np.ndarray:
+    """How many of each length make the sum `goal`."""
+    taken = np.zeros(len(lengths), np.int64)
+    for i, part, before in reversed(steps):
+        if not before >> goal & 1:
+            taken[i] += part
+            goal -= part * int(lengths[i])
+    return taken
+
+
+def _coarse(lengths: np.ndarray, left: np.ndarray, rest: int, knapsack: int) -> list[np.ndarray]:
+    """Plans for a rest above `knapsack`: the program on lengths divided by their common divisor, or if that is too fine
+    rounded to a grain of rest / knapsack, for the sums next to the rest."""
+    use = (lengths > 0) & (lengths < 2 * rest) & (left > 0)  # a sum beyond 2 * rest is no nearer than none
+    if not use.any():
+        return []
+    grain, exact = int(np.gcd.reduce(lengths[use])), True
+    if rest // grain > knapsack:
+        grain, exact = -(-rest // max(1, knapsack)), False
+    short = np.where(use, lengths // grain if exact else np.maximum(1, (lengths + grain // 2) // grain), 0)
+    goal, limit = rest // grain, 2 * (rest // grain) + 1
+    reach, steps = _program(short, left, limit, goal if exact and goal * grain == rest else limit)
+    sums = np.array([k for k, bit in enumerate(reversed(bin(reach)[2:])) if bit == "1"])
+    near = sums[np.argsort(np.abs(sums * grain - rest), kind="stable")[:2 if exact else 16]]
+    return [_trace(short, steps, int(k)) for k in near]
+
+
+def _finish(lengths: np.ndarray, counts: np.ndarray, taken: np.ndarray, budget: int, knapsack: int) -> np.ndarray:
+    """`taken` with the exact program on a rest of at most `knapsack`, and one document more if that comes nearer."""
+    taken = taken.copy()
+    rest = budget - int((taken * lengths).sum())
+    if 0 < rest <= knapsack:
+        reach, steps = _program(lengths, counts - taken, rest, rest)
+        taken += _trace(lengths, steps, reach.bit_length() - 1)
+    rest = budget - int((taken * lengths).sum())
+    longer = np.flatnonzero((lengths > rest) & (taken < counts))
+    if rest > 0 and len(longer) and lengths[longer[-1]] - rest < rest:
+        taken[longer[-1]] += 1  # lengths fall, so this is the shortest
+    return taken
+
+
 def fill(lengths: np.ndarray, counts: np.ndarray, budget: int, knapsack: int = KNAPSACK) -> np.ndarray:
     """How many documents of each length to take, so that their sum comes near `budget`.
 
     The proportional part, one more of single lengths, and then as many as fit leave a rest of at most
     `knapsack` (or one that no document fits); the bounded knapsack over the documents that are left fills it as
     far as they can. If that leaves more than the shortest remaining document would exceed, that one is taken too.
+    Where the result is not the budget and the rest after the proportional part was above `knapsack`, the
+    program is also run on that rest in a common grain; the nearest plan counts.
     """
     order = np.argsort(-lengths, kind="stable")
     lengths, counts = lengths[order].astype(np.int64), counts[order].astype(np.int64)
     total = int((lengths * counts).sum())
     budget = min(max(0, int(budget)), total)
-    taken = np.array([int(c) * budget // max(1, total) for c in counts], np.int64)
-    rest = budget - int((taken * lengths).sum())
+    start = np.array([int(c) * budget // max(1, total) for c in counts], np.int64)
+    taken, first = start.copy(), budget - int((start * lengths).sum())
+    rest = first
     for most in (1, total):
         for i in range(len(lengths)):
             if rest <= knapsack:
@@ -61,26 +120,11 @@ def fill(lengths: np.ndarray, counts: np.ndarray, budget: int, knapsack: int = K
                 more = min(int(counts[i] - taken[i]), rest // int(lengths[i]), most)
                 taken[i] += more
                 rest -= more * int(lengths[i])
-    if 0 < rest <= knapsack:
-        reach, steps, mask = 1, [], (1 << (rest + 1)) - 1
-        for i in np.flatnonzero((lengths > 0) & (lengths <= rest) & (taken < counts)).tolist():
-            left, chunk = min(int(counts[i] - taken[i]), rest // int(lengths[i])), 1
-            while left and not reach >> rest & 1:
-                part = min(chunk, left)
-                steps.append((i, part, reach))
-                reach |= reach << (part * int(lengths[i])) & mask
-                left, chunk = left - part, chunk * 2
-            if reach >> rest & 1:
-                break
-        goal = reach.bit_length() - 1
-        for i, part, before in reversed(steps):
-            if not before >> goal & 1:
-                taken[i] += part
-                goal -= part * int(lengths[i])
-    rest = budget - int((taken * lengths).sum())
-    longer = np.flatnonzero((lengths > rest) & (taken < counts))
-    if rest > 0 and len(longer) and lengths[longer[-1]] - rest < rest:
-        taken[longer[-1]] += 1  # lengths fall, so this is the shortest
+    off = lambda plan: abs(budget - int((plan * lengths).sum()))
+    taken = _finish(lengths, counts, taken, budget, knapsack)
+    if first > knapsack and off(taken):
+        for more in _coarse(lengths, counts - start, first, knapsack):
+            taken = min(taken, _finish(lengths, counts, start + more, budget, knapsack), key=off)
     out = np.zeros(len(order), np.int64)
     out[order] = taken
     return out

@@ -247,6 +247,19 @@ def test_license_versions_and_relatives(spark):
 
 # ---- 5 mixture -----------------------------------------------------------------------------------
 
+def test_fill_with_documents_longer_than_the_exact_program():
+    rng = np.random.default_rng(7)
+    got = mixture.fill(np.array([60000, 51000, 49000]), np.array([1, 1, 1]), 100000)
+    assert got.tolist() == [0, 1, 1]
+    for _ in range(40):  # no common divisor; every subset is tried
+        lengths = np.unique(rng.integers(20_000, 90_000, 8))
+        sums = np.array([sum(int(x) for k, x in enumerate(lengths) if m >> k & 1) for m in range(1 << len(lengths))])
+        budget = int(rng.integers(100_000, lengths.sum()))
+        taken = mixture.fill(lengths, np.ones(len(lengths), np.int64), budget)
+        assert (taken >= 0).all() and (taken <= 1).all()
+        assert abs(int((taken * lengths).sum()) - budget) <= np.abs(sums - budget).min() + len(lengths) * (budget / mixture.KNAPSACK + 1)
+
+
 def test_fill_is_as_near_as_possible():
     rng = np.random.default_rng(1)
     for _ in range(60):
