@@ -107,3 +107,27 @@ def op6_rotate_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bidweave.llm.chat import rotate
     spans = F.transform("mask", lambda m: F.concat(m["start"].cast("string"), F.lit("-"), m["end"].cast("string")))
     return rotate(table(spark, sf_dir, "conversations")).withColumn("mask", F.array_join(spans, ";"))
+
+
+@query("op11_repeated_passages", r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(doc_id, 9223372036854775807) AS owner, hex(encode(coalesce(text, ''))) AS hex FROM documents),
+w AS MATERIALIZED (SELECT row, owner, i, sha256(substr(hex, CAST(2 * i + 1 AS BIGINT), 100)) AS part
+  FROM d, unnest(range(0, CAST(len(hex) // 2 - 49 AS BIGINT))) AS t(i) WHERE len(hex) >= 100),
+m AS (SELECT part, min(owner) AS least FROM w GROUP BY part),
+hit AS MATERIALIZED (SELECT row, i FROM w JOIN m USING (part) WHERE least < owner),
+cut AS (SELECT *, i - lag(i, 1, -1000) OVER (PARTITION BY row ORDER BY i) > 50 AS new FROM hit),
+run AS (SELECT row, min(i) AS a, max(i) + 50 AS b FROM (SELECT *, sum(CAST(new AS INT)) OVER (PARTITION BY row ORDER BY i) AS k FROM cut) GROUP BY row, k),
+gap AS (SELECT row, lag(b, 1, 0) OVER (PARTITION BY row ORDER BY a) AS x, a AS y, b FROM run),
+piece AS (SELECT g.row, x, string_agg(substr(hex, CAST(2 * x + 1 AS BIGINT), CAST(2 * (y - x) AS BIGINT)), '' ORDER BY x) AS part FROM gap g JOIN d USING (row) GROUP BY 1, 2),
+kept AS (SELECT row, string_agg(part, '' ORDER BY x) AS front FROM piece GROUP BY row),
+sums AS (SELECT row, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last FROM run GROUP BY row)
+SELECT doc_id, CAST(len(hex) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(front, '') || substr(hex, CAST(2 * coalesce(last, 0) + 1 AS BIGINT)))) AS kept_sha256
+FROM d LEFT JOIN sums USING (row) LEFT JOIN kept USING (row)""")
+def op11_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from bidweave.llm.suffixdedup import drop_repeats
+    cut = drop_repeats(table(spark, sf_dir, "documents"), width=50)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
