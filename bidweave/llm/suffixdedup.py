@@ -44,12 +44,12 @@ _LAST = np.iinfo(np.int64).max  # stands for a null doc_id
 _LOW = np.uint64((1 << 40) - 1)
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
-_LONGS = pa.list_(pa.int64())
+_INTS, _LONGS = pa.list_(pa.int32()), pa.list_(pa.int64())  # a text has less than 2**31 bytes
 ASKED = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("grams", pa.binary()), ("weights", pa.binary())])
 ANSWERS = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("shared", pa.binary()), ("hot", pa.binary())])
-COVERED = pa.schema([("block", pa.int32()), ("rows", _LONGS), ("starts", _LONGS), ("sizes", _LONGS)])
-RUNS = pa.schema([("block", pa.int32()), ("slot", pa.int32()), ("rows", _LONGS), ("starts", _LONGS), ("sizes", _LONGS), ("docs", _LONGS),
-                  ("keys", _LONGS), ("bytes", pa.binary())])
+COVERED = pa.schema([("block", pa.int32()), ("rows", _INTS), ("starts", _INTS), ("sizes", _INTS)])
+RUNS = pa.schema([("block", pa.int32()), ("slot", pa.int32()), ("rows", _INTS), ("starts", _INTS), ("sizes", _INTS), ("keys", _INTS),
+                  ("docs", _LONGS), ("bytes", pa.binary())])
 KEPT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()),
                   ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
 
@@ -211,9 +211,9 @@ def _flat(column) -> np.ndarray:
     return pa.chunked_array([c.flatten() for c in column.chunks], column.type.value_type).to_numpy()
 
 
-def _lists(values: list[np.ndarray]) -> pa.Array:
+def _lists(values: list[np.ndarray], kind=np.int32) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
-    return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*values, np.zeros(0, np.int64)]).astype(np.int64)))
+    return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*values, np.zeros(0, kind)]).astype(kind)))
 
 
 def _raw(values: list) -> pa.Array:
@@ -309,7 +309,7 @@ def sending(width: int, buckets: int, slots: int):
         slot = (keys % np.uint64(slots)).astype(np.int64)
         order = np.lexsort((keys, slot))
         starts, sizes, keys, rows, slot = starts[order], sizes[order], keys[order], rows[order], slot[order]
-        names, sent, done = table["row"].to_numpy(), [], []
+        names, sent, done, pack = np.argsort(np.argsort(table["row"].to_numpy())), [], [], pa.Codec("zstd")
         for a, b in batches_of(keys, sizes + width - 1):
             pieces = gathered(data, starts[a:b], sizes[a:b] + width - 1)
             _, codes, owners = collapsed(pieces, docs[rows[a:b]])
@@ -318,22 +318,25 @@ def sending(width: int, buckets: int, slots: int):
             own = a + np.flatnonzero(~late)
             for part in np.split(own, np.flatnonzero(np.diff(slot[own])) + 1):
                 if len(part):
-                    sent.append((int(slot[part[0]]), names[rows[part]], (starts - offsets[rows])[part], sizes[part], docs[rows[part]],
-                                 (keys[part] >> np.uint64(1)).astype(np.int64), pc.take(pieces, pa.array(part - a))))
+                    text = W.utf8(pc.take(pieces, pa.array(part - a)))[0]
+                    sent.append((int(slot[part[0]]), names[rows[part]], starts[part] - offsets[rows[part]], sizes[part],
+                                 (keys[part] >> np.uint64(33)).astype(np.int32), docs[rows[part]], pack.compress(text.tobytes(), asbytes=True)))
         done = np.concatenate([*done, np.zeros(0, np.int64)]).astype(np.int64)
         start, end, row = merged((starts - offsets[rows])[done], (starts - offsets[rows] + sizes)[done], rows[done])
-        sent.append((-1, names[row], start, end - start, row[:0], row[:0], pa.array([], pa.large_binary())))
-        slots_, *lists, pieces = zip(*sent)
+        sent.append((-1, names[row], start, end - start, row[:0], row[:0], b""))
+        slots_, *lists, owners, packed = zip(*sent)
         return pa.table([pa.array([table["block"][0].as_py()] * len(sent), pa.int32()), pa.array(slots_, pa.int32()),
-                         *[_lists(c) for c in lists], _raw([W.utf8(p)[0] for p in pieces])], names=RUNS.names)
+                         *[_lists(c) for c in lists], _lists(owners, np.int64), pa.array(packed, pa.binary())], names=RUNS.names)
     return send
 
 
 def sorting(width: int):
     def sort(table: pa.Table) -> pa.Table:
-        data = W.utf8(table["bytes"])[0]
         rows, starts, sizes, docs, keys = (_flat(table[c]) for c in ("rows", "starts", "sizes", "docs", "keys"))
-        lengths = sizes + width - 1
+        lengths, unpack = sizes.astype(np.int64) + width - 1, pa.Codec("zstd")
+        data = np.concatenate([np.zeros(0, np.uint8), *[
+            np.frombuffer(unpack.decompress(raw, decompressed_size=len(n) * (width - 1) + sum(n)), np.uint8)
+            for raw, n in zip(table["bytes"].to_pylist(), table["sizes"].to_pylist())]])
         begins = np.cumsum(lengths) - lengths
         blocks = np.repeat(table["block"].to_numpy(), pc.list_value_length(table["rows"]).to_numpy())
         order = np.argsort(keys, kind="stable")
@@ -362,10 +365,8 @@ def sorting(width: int):
 def taking_out(width: int):
     def take_out(table: pa.Table, covered: pa.Table) -> pa.Table:
         data, offsets = W.utf8(table["text"]) if table.num_rows else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
-        names = table["row"].to_numpy()
-        order = np.argsort(names, kind="stable")
-        rows, starts, sizes = (_flat(covered[c]) for c in ("rows", "starts", "sizes"))
-        place = order[np.searchsorted(names[order], rows)] if len(rows) else rows
+        rows, starts, sizes = (_flat(covered[c]).astype(np.int64) for c in ("rows", "starts", "sizes"))
+        place = np.argsort(table["row"].to_numpy())[rows]  # rows of a block are counted in the order of their numbers
         start, end, row = merged(starts, starts + sizes - 1 + width, place)
         first = np.searchsorted(row, np.arange(table.num_rows + 1))
         # the kept parts of a row lie before, between and after its ranges
