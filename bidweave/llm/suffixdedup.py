@@ -2,7 +2,7 @@
 
 A byte goes if a string of `width` bytes that covers it also starts in a document with a smaller doc_id.
 
-1. Documents are stored once, dealt into blocks of bounded size, and each later step works block by block.
+1. Documents are stored once, where they lie, in blocks of bounded size, and each later step works block by block.
 2. All windows of `width` bytes are cut into runs that share their least gram hash (minimizer). Equal windows have
    equal minimizers, so runs can be routed by it. A block first asks which of its minimizers occur in another block
    (5 bytes each); the answer is a bit each. Runs whose minimizer is in one document only are done.
@@ -29,6 +29,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
@@ -45,10 +46,10 @@ _LOW = np.uint64((1 << 40) - 1)
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 _INTS, _LONGS = pa.list_(pa.int32()), pa.list_(pa.int64())  # a text has less than 2**31 bytes
-ASKED = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("grams", pa.binary()), ("weights", pa.binary())])
-ANSWERS = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("shared", pa.binary()), ("hot", pa.binary())])
-COVERED = pa.schema([("block", pa.int32()), ("rows", _INTS), ("starts", _INTS), ("sizes", _INTS)])
-RUNS = pa.schema([("block", pa.int32()), ("slot", pa.int32()), ("rows", _INTS), ("starts", _INTS), ("sizes", _INTS), ("keys", _INTS),
+ASKED = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("grams", pa.binary()), ("weights", pa.binary())])
+ANSWERS = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("shared", pa.binary()), ("hot", pa.binary())])
+COVERED = pa.schema([("block", pa.int64()), ("rows", _INTS), ("starts", _INTS), ("sizes", _INTS)])
+RUNS = pa.schema([("block", pa.int64()), ("slot", pa.int32()), ("rows", _INTS), ("starts", _INTS), ("sizes", _INTS), ("keys", _INTS),
                   ("docs", _LONGS), ("bytes", pa.binary())])
 KEPT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()),
                   ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
@@ -251,7 +252,7 @@ def asking(width: int, buckets: int):
         low = (grams & _LOW)[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
         weight = np.rint(8 * np.log2(count[order])).astype(np.uint8)
         parts = list(zip(cuts[:-1], cuts[1:]))
-        return pa.table({"block": pa.array([table["block"][0].as_py()] * len(parts), pa.int32()),
+        return pa.table({"block": pa.array([table["block"][0].as_py()] * len(parts), pa.int64()),
                          "bucket": pa.array([int(bucket[order[a]]) for a, _ in parts], pa.int32()),
                          "grams": _raw([low[a:b] for a, b in parts]), "weights": _raw([weight[a:b] for a, b in parts])})
     return ask
@@ -325,7 +326,7 @@ def sending(width: int, buckets: int, slots: int):
         start, end, row = merged((starts - offsets[rows])[done], (starts - offsets[rows] + sizes)[done], rows[done])
         sent.append((-1, names[row], start, end - start, row[:0], row[:0], b""))
         slots_, *lists, owners, packed = zip(*sent)
-        return pa.table([pa.array([table["block"][0].as_py()] * len(sent), pa.int32()), pa.array(slots_, pa.int32()),
+        return pa.table([pa.array([table["block"][0].as_py()] * len(sent), pa.int64()), pa.array(slots_, pa.int32()),
                          *[_lists(c) for c in lists], _lists(owners, np.int64), pa.array(packed, pa.binary())], names=RUNS.names)
     return send
 
@@ -357,7 +358,7 @@ def sorting(width: int):
         who, start, size = who[order], start[order], size[order]
         cuts = np.concatenate([np.flatnonzero(np.concatenate([[True], np.diff(blocks[who]) != 0])), [len(who)]]) if len(who) else np.zeros(1, int)
         spans = list(zip(cuts[:-1], cuts[1:]))
-        return pa.table([pa.array([int(blocks[who[a]]) for a, _ in spans], pa.int32()),
+        return pa.table([pa.array([int(blocks[who[a]]) for a, _ in spans], pa.int64()),
                          *[_lists([c[a:b] for a, b in spans]) for c in (rows[who], start, size)]], names=COVERED.names)
     return sort
 
@@ -382,15 +383,27 @@ def taking_out(width: int):
 
 
 def in_blocks(docs: DataFrame, block: int) -> tuple[DataFrame, int, str]:
-    """The texts as a table bucketed by block, the number of blocks, and the table's name. Later steps read it by block
-    without moving texts again."""
+    """The texts as a table bucketed by block, the number of blocks, and the table's name. A task cuts its own rows into blocks, so
+    texts are not shuffled, neither here nor when later steps read the table by block."""
+    def number(batches):
+        part, count, size, rows = TaskContext.get().partitionId() << 24, 0, 0, 0
+        for batch in batches:
+            lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64) + 16
+            names = np.empty(len(lengths), np.int64)
+            for i, length in enumerate(lengths.tolist()):
+                if size and size + length > block:
+                    count, size = count + 1, 0
+                names[i], size = part + count, size + length
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.arange(rows, rows + len(names))), pa.array(names)],
+                                             names=["doc_id", "text", "row", "block"])
+            rows += len(names)
+
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
     blocks = max(1, math.ceil(total / block))
     files, name = max(1, math.ceil(blocks / 4)), f"blocks_{uuid.uuid4().hex}"
-    (rows.withColumn("row", F.monotonically_increasing_id()).withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"))
-     .repartition(files, "block").write.format("parquet").option("path", scratch(docs.sparkSession, "blocks"))
-     .bucketBy(files, "block").saveAsTable(name))
+    (rows.mapInArrow(number, "doc_id long, text string, row long, block long").write.format("parquet").option("compression", "zstd")
+     .option("path", scratch(docs.sparkSession, "blocks")).bucketBy(files, "block").saveAsTable(name))
     return docs.sparkSession.table(name), blocks, name
 
 
@@ -399,7 +412,7 @@ def drop_repeats(docs: DataFrame, width: int = 50, block: int = BLOCK, hot: int
     if width < 8:
         raise ValueError("strings have 8 bytes at least")
     base, blocks, name = in_blocks(docs, block)
-    buckets, slots = max(1, math.ceil(blocks * block / (32 << 20))), max(1, math.ceil(blocks / 4))
+    buckets, slots = max(1, math.ceil(blocks * block / (32 << 20))), blocks
     asked = base.groupBy("block").applyInArrow(asking(width, buckets), from_arrow_schema(ASKED))
     answers = asked.groupBy("bucket").applyInArrow(answering(hot), from_arrow_schema(ANSWERS))
     runs = stored(base.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
