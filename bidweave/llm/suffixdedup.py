@@ -419,7 +419,6 @@ def drop_repeats(docs: DataFrame, width: int = 50, block: int = BLOCK, hot: int
         sending(width, buckets, slots), from_arrow_schema(RUNS)), "runs")
     refined = runs.filter("slot >= 0").groupBy("slot").applyInArrow(sorting(width), from_arrow_schema(COVERED))
     covered = refined.unionByName(runs.filter("slot < 0").select("block", "rows", "starts", "sizes"))
-    kept = stored(base.groupBy("block").cogroup(covered.groupBy("block")).applyInArrow(
-        taking_out(width), from_arrow_schema(KEPT)), "kept")
-    docs.sparkSession.sql(f"DROP TABLE {name}")
+    kept = base.groupBy("block").cogroup(covered.groupBy("block")).applyInArrow(taking_out(width), from_arrow_schema(KEPT))
+    docs.sparkSession.sql(f"DROP TABLE {name}")  # the files stay as long as the session, and the plan names them
     return kept
