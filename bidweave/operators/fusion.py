@@ -9,8 +9,8 @@ from bidweave import rules
 from bidweave.functions.names import budget_display
 from bidweave.functions.text import first_text, preview
 from bidweave.operators.filters import post_filter
-from bidweave.operators.keys import keep_last, top_k
-from bidweave.operators.search import BM25Index, bm25_scores, vector_search
+from bidweave.operators.keys import keep_last, one_per_key, top_k, top_k_staged
+from bidweave.operators.search import BM25Index, bm25_best, bm25_scores, vector_search
 from bidweave.session import cut
 
 RRF_K = 60
@@ -27,12 +27,11 @@ def bm25_channel(index: BM25Index, queries: DataFrame, k: int, qid: str = "qid",
     """(qid, doc_id, bm25_score, bm25_norm, bm25_rank): best k accepted documents, 0-based rank,
     score divided by the query's maximum over all documents. `accept` names a boolean column
     of the index."""
-    keep = (accept,) if accept else ()
-    scores = bm25_scores(index, queries, qid, text, mode, keep)
+    scores = bm25_best(index, queries, qid, text, k, mode, accept)
     ok = F.coalesce(F.col(accept), F.lit(False)) if accept else F.lit(True)
     scores = scores.withColumn("_ok", ok)
     # one pass: the best rows of accepted and of rejected documents; the first of both is the maximum
-    best = top_k(scores, k, [F.col("score").desc(), F.col("doc_id")], ["qid", "_ok"], "_rank")
+    best = top_k_staged(scores, k, [F.col("score").desc(), F.col("doc_id")], ["qid", "_ok"], "doc_id", "_rank")
     top = best.groupBy("qid").agg(F.max("score").alias("_max"))
     hits = best.filter(F.col("_ok") & (F.col("score") > 0))
     return hits.join(top, "qid").select(
@@ -238,8 +237,9 @@ def notice_cards(found: DataFrame, notices: DataFrame, min_score: float = 0.0) -
 
 
 def with_detail_url(hits: DataFrame, notices: DataFrame) -> DataFrame:
-    """Hits with the page of their notice."""
-    return hits.join(notices.select("doc_id", F.col("url").alias("detail_url")), ["doc_id"], "left")
+    """Hits with the page of their notice, the last by URL of a repeated notice."""
+    side = one_per_key(notices.select("doc_id", F.col("url").alias("detail_url")), "doc_id", ["detail_url"])
+    return hits.join(side, ["doc_id"], "left")
 
 
 def serialise_hits(hits: DataFrame) -> DataFrame:

@@ -1,28 +1,32 @@
 """Keyword (BM25) and vector search for many queries at once.
 
-A document is one row: its terms are counted inside the row when the index is built, so texts and
-tokens never move. Scoring meets the counted terms with the terms of the queries, and only sums per
-(document, query) leave a task; the best k are taken in two stages.
+The keyword index holds inverted postings in blocks of documents (operators.postings); texts and tokens never move.
+A search reads the lists of its terms. In a large index it bounds the scores of each block first, and blocks that
+cannot reach the k-th score are neither read nor scored. Every block passes on its best k only.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bidweave.functions.text import col, let
+from bidweave.operators import postings as P
 from bidweave.operators.filters import valid_vectors
-from bidweave.operators.keys import BROADCAST_ROWS, ROWS_PER_SALT, top_k_staged
+from bidweave.operators.keys import BROADCAST_ROWS, ROWS_PER_SALT, top_k, top_k_staged
 from bidweave.session import cut
 
-# Okapi constants: term saturation, length weight, and the floor for terms in most documents
-K1, B, EPSILON = 1.5, 0.75, 0.25
+EPSILON = 0.25  # Okapi constant: the floor for terms in most documents
+PRUNE_BLOCKS = 64  # a larger index is searched in two rounds
+FIRST_BLOCKS = 4  # blocks per query in the first round
 BROADCAST_BYTES = 64 * 1024 * 1024
 RESULT_CELLS = 4 * 1024 * 1024  # scores that a step holds at once: 32 MiB
 BLOCK_VECTORS = 8192
@@ -74,14 +78,20 @@ EVERY = ""
 
 @dataclass
 class BM25Index:
-    """docs(doc_id, flag columns, terms array<struct<term, tf>>, dl), counts(term, df, length), and
-    three numbers: documents, mean length, mean raw idf."""
+    """postings and blocks as in operators.postings, counts(term, df, length), and three numbers:
+    documents, mean length, mean raw idf. keep: further columns of the documents."""
 
-    docs: DataFrame
+    postings: DataFrame
+    blocks: DataFrame
     counts: DataFrame
     n_docs: int
     avgdl: float
     mean_idf: float
+    keep: tuple[str, ...] = ()
+
+    @property
+    def docs(self) -> DataFrame:
+        return P.documents(self.blocks, self.keep)
 
     @property
     def terms(self) -> DataFrame:
@@ -96,13 +106,12 @@ def _raw_idf(n_docs: int) -> Column:
     return F.log(F.lit(float(n_docs)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
 
 
-def document_counts(docs: DataFrame) -> DataFrame:
-    """(term, df, length) in one pass: every document lists each of its terms once, and the
-    empty term that stands for all documents carries the lengths. Counts combine in each task
-    before the shuffle, so frequent terms are cheap."""
-    listed = F.concat(F.transform("terms", lambda t: t["term"]), F.array(F.lit(EVERY)))
-    rows = docs.select(F.explode_outer(listed).alias("term"), "dl")
-    return rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("length"))
+def document_counts(rows: DataFrame) -> DataFrame:
+    """(term, df, length) from rows of postings: a row counts its documents, and the empty term that stands for
+    all documents carries the lengths."""
+    length = F.aggregate("dls", F.lit(0).cast("long"), lambda n, x: n + x)
+    every = rows.select(F.coalesce("term", F.lit(EVERY)).alias("term"), F.size("dls").alias("n"), F.when(F.col("term").isNull(), length).alias("length"))
+    return every.groupBy("term").agg(F.sum("n").alias("df"), F.sum("length").alias("length"))
 
 
 def corpus_stats(counts: DataFrame) -> DataFrame:
@@ -111,38 +120,53 @@ def corpus_stats(counts: DataFrame) -> DataFrame:
         F.col("df").alias("n_docs"), (F.col("length") / F.col("df")).alias("avgdl"))
 
 
-def _index(docs: DataFrame, counts: DataFrame) -> BM25Index:
+def bm25_index(df: DataFrame, key: str, text: str = "text", mode: str | Callable[[Column], Column] = "words", keep: tuple[str, ...] = (),
+               block_docs: int = P.BLOCK_DOCS) -> BM25Index:
+    """Index of a corpus. Documents are tokenised once, where they lie, and inverted block by block; postings and
+    the term table are stored. Use write_index to keep them under a name."""
+    rows = df.select(F.col(key).alias("doc_id"), *keep, tokens(text, mode).alias("_tokens"))
+    raw = cut(P.invert(rows, keep, block_docs))
+    counts = cut(document_counts(raw))
     whole = corpus_stats(counts).first()
     n, avgdl = (whole["n_docs"], whole["avgdl"]) if whole else (0, 0.0)
     mean = counts.filter(F.col("term") != EVERY).agg(F.avg(_raw_idf(n))).first()[0]
-    return BM25Index(docs, counts, n, avgdl, mean or 0.0)
-
-
-def bm25_index(df: DataFrame, key: str, text: str = "text", mode: str | Callable[[Column], Column] = "words", keep: tuple[str, ...] = ()) -> BM25Index:
-    """Index of a corpus. Documents are tokenised and counted once, where they lie; the counted
-    terms and the term table are stored. Use write_index to keep them under a name."""
-    rows = df.select(F.col(key).alias("doc_id"), *keep, tokens(text, mode).alias("_tokens"))
-    docs = cut(rows.select("doc_id", *keep, counted(F.col("_tokens")).alias("terms"), F.size("_tokens").alias("dl")))
-    return _index(docs, cut(document_counts(docs)))
+    # columns of their own, as both tables come from one
+    blocks = raw.filter(F.col("term").isNull()).select(*[F.col(f"`{c}`").alias(c) for c in raw.columns if c not in ("term", "places", "tfs")])
+    postings = raw.filter(F.col("term").isNotNull()).select("block", "term", "places", "tfs", "dls")
+    return BM25Index(postings.withColumn("best", P.best_part(avgdl or 1.0)), blocks, counts, n, avgdl or 1.0, mean or 0.0, tuple(keep))
 
 
 def write_index(index: BM25Index, name: str, buckets: int) -> None:
-    """Store the index as two tables, `<name>_docs` and `<name>_counts`. Documents are bucketed
-    by id: a search over the stored index reads each bucket in place and shuffles nothing of it."""
-    one_file_per_bucket = index.docs.repartition(buckets, "doc_id")
-    one_file_per_bucket.write.mode("overwrite").format("parquet").bucketBy(buckets, "doc_id").saveAsTable(f"{name}_docs")
-    index.counts.write.mode("overwrite").format("parquet").saveAsTable(f"{name}_counts")
+    """Store the index as the tables `<name>_postings` and `<name>_counts`, bucketed and sorted by term, so that a search opens the
+    buckets of its terms only, `<name>_blocks` and the one-row table `<name>_numbers`."""
+    for part in ("postings", "counts"):
+        rows = getattr(index, part).repartition(buckets, "term").sortWithinPartitions("term")
+        rows.write.mode("overwrite").format("parquet").bucketBy(buckets, "term").sortBy("term").saveAsTable(f"{name}_{part}")
+    index.blocks.repartitionByRange(buckets, "block").sortWithinPartitions("block").write.mode("overwrite").format("parquet").saveAsTable(f"{name}_blocks")
+    numbers = [(index.n_docs, index.avgdl, index.mean_idf, list(index.keep))]
+    spark = index.counts.sparkSession
+    spark.createDataFrame(numbers, "n_docs long, avgdl double, mean_idf double, keep array<string>").coalesce(1).write.mode(
+        "overwrite").format("parquet").saveAsTable(f"{name}_numbers")
 
 
 def read_index(spark: SparkSession, name: str) -> BM25Index:
     """A stored index; search it any number of times."""
-    return _index(spark.read.table(f"{name}_docs"), spark.read.table(f"{name}_counts"))
+    n = spark.read.table(f"{name}_numbers").first()
+    postings, blocks, counts = (spark.read.table(f"{name}_{part}") for part in ("postings", "blocks", "counts"))
+    return BM25Index(postings, blocks, counts, n["n_docs"], n["avgdl"], n["mean_idf"], tuple(n["keep"]))
+
+
+def _query_terms(queries: DataFrame, qid: str, text: str, mode: str | Callable[[Column], Column]) -> DataFrame:
+    """(qid, term, tf); the rows of a query id are counted by themselves and then added up."""
+    return tokenize(queries.select(F.col(qid).alias("qid"), F.col(text).alias("text")), "qid", "text", mode)
 
 
-def query_weights(index: BM25Index, queries: DataFrame, qid: str, text: str, mode: str | Callable[[Column], Column] = "words") -> DataFrame:
-    """(qid, term, weight, df): idf times how often the query names the term."""
-    terms = tokenize(queries.select(F.col(qid).alias("qid"), F.col(text).alias("text")), "qid", "text", mode)
-    return terms.join(index.terms, "term").select("qid", "term", (F.col("tf") * F.col("idf")).alias("weight"), "df")
+def query_weights(index: BM25Index, queries: DataFrame, qid: str, text: str, mode: str | Callable[[Column], Column] = "words",
+                  terms: list[str] | None = None) -> DataFrame:
+    """(qid, term, weight, df): idf times how often the query names the term. `terms`, if the caller knows them, are pushed
+    into the scan of the term table."""
+    known = index.terms if terms is None else index.terms.filter(F.col("term").isin(terms))
+    return _query_terms(queries, qid, text, mode).join(known, "term").select("qid", "term", (F.col("tf") * F.col("idf")).alias("weight"), "df")
 
 
 def _spread(postings: DataFrame, weights: DataFrame, rows_per_salt: int) -> tuple[DataFrame, DataFrame, list[str]]:
@@ -160,32 +184,128 @@ def _spread(postings: DataFrame, weights: DataFrame, rows_per_salt: int) -> tupl
     return left, right, ["term", "_d", "_q"]
 
 
+class _Asked:
+    """Weighted terms of some queries: as a stored table, and, if they fit, as a broadcast for the block scorer."""
+
+    def __init__(self, index: BM25Index, queries: DataFrame, qid: str, text: str, mode, broadcast_rows: int):
+        # one row per query term; stored, because it is used several times and its size decides the plan
+        self.weights = cut(query_weights(index, queries, qid, text, mode))
+        size = self.weights.agg(F.count("*").alias("n"), F.sum(F.octet_length("term")).alias("bytes")).first()
+        self.fits = size["n"] <= broadcast_rows and (size["bytes"] or 0) <= BROADCAST_BYTES
+        if self.fits:
+            self.hold(self.weights.sparkSession, self.weights.toArrow())
+
+    def hold(self, spark: SparkSession, table: pa.Table) -> _Asked:
+        numbers = pc.dictionary_encode(table["qid"].combine_chunks())
+        table = table.append_column("number", numbers.indices).sort_by("term")
+        terms, starts = np.unique(table["term"].to_numpy().astype(object), return_index=True) if table.num_rows else ([], [])
+        ends = [*starts[1:], table.num_rows]
+        number, weight = table["number"].to_numpy().astype(np.int64), table["weight"].to_numpy()
+        known = {t: (number[a:b], weight[a:b]) for t, a, b in zip(terms, starts, ends)}
+        self.qids, self.terms = numbers.dictionary, list(terms)
+        self.block = spark.sparkContext.broadcast((numbers.dictionary, known))
+        return self
+
+
+def _qid_type(weights: DataFrame) -> str:
+    return weights.schema["qid"].dataType.simpleString()
+
+
 def bm25_scores(index: BM25Index, queries: DataFrame, qid: str, text: str = "text", mode: str | Callable[[Column], Column] = "words",
                 keep: tuple[str, ...] = (), broadcast_rows: int = BROADCAST_ROWS, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
     """(qid, doc_id, score) of every document that shares a term with the query."""
-    # one row per query term; stored, because it is used twice and its size decides the plan
-    weights = cut(query_weights(index, queries, qid, text, mode))
-    size = weights.agg(F.count("*").alias("n"), F.sum(F.octet_length("term")).alias("bytes")).first()
-    postings = index.docs.select("doc_id", "dl", *keep, F.inline("terms"))
-    if size["n"] <= broadcast_rows and (size["bytes"] or 0) <= BROADCAST_BYTES:
-        scored = postings.join(F.broadcast(weights), "term")
-    else:
-        left, right, on = _spread(postings, weights, rows_per_salt)
-        scored = left.join(right, on)
-    tf = F.col("tf")
-    norm = tf + K1 * (1 - B + B * F.col("dl") / F.lit(float(index.avgdl)))
-    part = F.col("weight") * (tf * (K1 + 1) / norm)
-    # a task holds whole documents: what it sends is one sum per (document, query)
-    return scored.groupBy("doc_id", *keep, "qid").agg(settle(F.sum(part)).alias("score"))
+    asked = _Asked(index, queries, qid, text, mode, broadcast_rows)
+    if asked.fits:
+        lists = P.of_terms(index.postings, asked.terms, asked.weights)
+        return P.score_blocks(lists, index.blocks, asked.block, index.avgdl, _qid_type(asked.weights), keep)
+    return _joined_scores(index, asked.weights, keep, rows_per_salt)
+
+
+def _joined_scores(index: BM25Index, weights: DataFrame, keep: tuple[str, ...], rows_per_salt: int) -> DataFrame:
+    """Scores for more query terms than a task can hold: postings join them by term, hot terms spread over salts."""
+    named = ["doc_id", *keep]
+    rows = index.postings.join(index.blocks.select("block", *[f"_{c}" for c in named]), "block")
+    rows = rows.select("term", *[f"_{c}" for c in named], F.explode(F.arrays_zip("places", "tfs", "dls")).alias("p")).select(
+        "term", *[F.get(f"_{c}", F.col("p.places")).alias(c) for c in named], F.col("p.tfs").alias("tf"), F.col("p.dls").alias("dl"))
+    left, right, on = _spread(rows, weights, rows_per_salt)
+    parts = F.col("weight") * P.part(F.col("tf"), F.col("dl"), float(index.avgdl))
+    return left.join(right, on).groupBy("qid", "doc_id", *keep).agg(settle(F.sum(parts)).alias("score"))
+
+
+def bm25_best(index: BM25Index, queries: DataFrame, qid: str, text: str, k: int, mode: str | Callable[[Column], Column] = "words",
+              accept: str | None = None, prune_blocks: int = PRUNE_BLOCKS) -> DataFrame:
+    """(qid, doc_id, accepted, score): rows that hold the best k of the accepted and of the other documents of each query."""
+    keep = (accept,) if accept else ()
+    asked = _Asked(index, queries, qid, text, mode, BROADCAST_ROWS)
+    if not asked.fits:
+        return _joined_scores(index, asked.weights, keep, ROWS_PER_SALT)
+    lists = P.of_terms(index.postings, asked.terms, asked.weights)
+    kind = _qid_type(asked.weights)
+    if index.n_docs <= prune_blocks * P.BLOCK_DOCS:
+        return P.score_blocks(lists, index.blocks, asked.block, index.avgdl, kind, keep, k, accept)
+    return _pruned(index, asked, lists, kind, keep, k, accept)
+
+
+def block_bounds(lists: DataFrame, asked: _Asked) -> DataFrame:
+    """(qid, block, bound): the most that a document of the block can score. Reads the bounds of the lists, not the lists."""
+    rows = lists.select("term", "block", "best").join(F.broadcast(asked.weights), "term")
+    # a margin for the order of summation and for the grid that scores are put on
+    bound = F.sum(F.greatest(F.col("weight"), F.lit(0.0)) * F.col("best")) * (1 + 1e-9) + 1e-8
+    return rows.groupBy("qid", "block").agg(bound.alias("bound"))
+
+
+def _pruned(index: BM25Index, asked: _Asked, lists: DataFrame, kind: str, keep: tuple[str, ...], k: int, accept: str | None) -> DataFrame:
+    """The blocks of highest bound are scored first; their k-th score then rules out blocks whose bound lies below it."""
+    numbers = F.broadcast(asked.weights.sparkSession.createDataFrame(
+        pa.table({"qid": asked.qids, "number": pa.array(range(len(asked.qids)), pa.int32())})))
+
+    def score(pairs: DataFrame) -> DataFrame:
+        asking = cut(pairs.join(numbers, "qid").groupBy("block").agg(F.collect_list("number").alias("asking")))
+        some = lists.join(asking.select("block"), "block", "left_semi")
+        return P.score_blocks(some, index.blocks.join(asking, "block"), asked.block, index.avgdl, kind, keep, k, accept, only=True)
+
+    bounds = cut(block_bounds(lists, asked))
+    first = cut(top_k(bounds, FIRST_BLOCKS, [F.col("bound").desc(), F.col("block")], ["qid"]))
+    hits = cut(score(first))
+    good = hits.filter(F.coalesce(F.col(accept), F.lit(False))) if accept else hits
+    kth = top_k(good, k, [F.col("score").desc()], ["qid"], "_rank").filter(F.col("_rank") == k).select("qid", F.col("score").alias("kth"))
+    rest = (bounds.join(first.select("qid", "block"), ["qid", "block"], "left_anti").join(kth, "qid", "left")
+            .filter(F.col("kth").isNull() | (F.col("bound") >= F.col("kth"))))
+    return hits.unionByName(score(rest.select("qid", "block")))
 
 
 def bm25_search(index: BM25Index, queries: DataFrame, qid: str, text: str = "text", k: int = 10,
-                mode: str | Callable[[Column], Column] = "words") -> DataFrame:
+                mode: str | Callable[[Column], Column] = "words", prune_blocks: int = PRUNE_BLOCKS) -> DataFrame:
     """Top k documents per query with a positive score; ties by id. `rank` is 1-based."""
-    scores = bm25_scores(index, queries, qid, text, mode).filter(F.col("score") > 0)
+    scores = bm25_best(index, queries, qid, text, k, mode, prune_blocks=prune_blocks).filter(F.col("score") > 0)
     return top_k_staged(scores, k, [F.col("score").desc(), F.col("doc_id")], ["qid"], "doc_id", "rank")
 
 
+def bm25_request(index: BM25Index, text: str, k: int = 10, mode: str | Callable[[Column], Column] = "words") -> DataFrame:
+    """(doc_id, score, rank) for a single text, as from one user: the text is tokenised without a job, its terms are looked
+    up in their buckets of the term table, and only their buckets of the postings are read."""
+    spark = index.counts.sparkSession
+    asked = _query_terms_of(spark, text, mode)
+    known = index.terms.filter(F.col("term").isin(list(asked))).select("term", "idf").toArrow() if asked else None
+    if not known:
+        return index.docs.select("doc_id", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+    weight = F.create_map(*[F.lit(x) for t, idf in zip(known["term"].to_pylist(), known["idf"].to_pylist()) for x in (t, asked[t] * idf)])
+    lists = index.postings.filter(F.col("term").isin(known["term"].to_pylist()))
+    rows = lists.select("block", weight[F.col("term")].alias("weight"), F.explode(F.arrays_zip("places", "tfs", "dls")).alias("p"))
+    parts = F.col("weight") * P.part(F.col("p.tfs"), F.col("p.dls"), float(index.avgdl))
+    scores = rows.groupBy("block", F.col("p.places").alias("place")).agg(settle(F.sum(parts)).alias("score")).filter("score > 0")
+    # places follow the ids inside a block only, so the k best of each block go on and the ids decide between them
+    best = top_k(scores, k, [F.col("score").desc(), F.col("place")], ["block"])
+    named = best.join(index.blocks.select("block", "_doc_id"), "block").select(F.get("_doc_id", "place").alias("doc_id"), "score")
+    order = [F.col("score").desc(), F.col("doc_id")]
+    return named.orderBy(*order).limit(k).select("doc_id", "score", F.row_number().over(Window.orderBy(*order)).alias("rank"))
+
+
+def _query_terms_of(spark: SparkSession, text: str, mode) -> dict[str, int]:
+    found = spark.createDataFrame([(text,)], "text string").select(tokens("text", mode).alias("t")).first()["t"]
+    return dict(Counter(t for t in found if t is not None))
+
+
 # --- vectors ---------------------------------------------------------------------------
 
 def vector_table(df: DataFrame, dim: int, key: str = "id", vector: str = "embedding") -> DataFrame:

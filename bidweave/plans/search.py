@@ -54,7 +54,10 @@ def vectors(t):
     return t.embeddings.select(F.col("vec_id").alias("id"), "embedding").join(known, "id", "left_semi")
 
 
-@query("term_stats", f"WITH {BM25} SELECT term, df, round(idf, 6) AS idf FROM idf")
+@query("term_stats", r"""WITH t AS MATERIALIZED (SELECT list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS terms FROM documents),
+  d AS MATERIALIZED (SELECT term, count(*) AS df FROM (SELECT unnest(terms) AS term FROM t) GROUP BY 1),
+  r AS MATERIALIZED (SELECT term, df, ln((SELECT count(*) FROM t) - df + 0.5) - ln(df + 0.5) AS r FROM d)
+  SELECT term, df, round(CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM r) ELSE r END, 6) AS idf FROM r""")
 def term_stats(t):
     return index(t).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 

@@ -17,6 +17,8 @@ RUNTIME_CONF = {
     # top-k per group keeps only k rows per group and task before the shuffle, also for wide k
     "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # a scan of a bucketed table keeps its buckets: it opens those that a filter names, one task each
+    "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false",
     # long texts: a batch and its copies in the Python worker stay at a few megabytes
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }

@@ -61,15 +61,41 @@ def test_bm25_equals_brute_force_on_both_plans(spark, corpus, broadcast_rows, mo
     assert all(abs(got[k] - want[k]) < 1e-8 for k in want)
 
 
-def test_stored_index_gives_the_same_hits_without_moving_documents(spark, corpus):
+def test_stored_index_reads_the_buckets_of_its_terms(spark, corpus):
     docs, queries = frames(spark, corpus)
     index = SE.bm25_index(docs, "id")
-    SE.write_index(index, "words", 4)
+    SE.write_index(index, "words", 8)
     stored = SE.read_index(spark, "words")
-    plan = SE.bm25_scores(stored, queries, "qid")._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange hashpartitioning(doc_id" not in plan and "Bucketed: true" in plan
+    plan = SE.bm25_scores(stored, queries.filter("qid = 3"), "qid")._jdf.queryExecution().executedPlan().toString()
+    assert "SelectedBucketsCount: 2 out of 8" in plan and "In(term" in plan
     hits = [sorted(map(tuple, SE.bm25_search(ix, queries, "qid", k=5).collect())) for ix in (index, stored)]
     assert hits[0] == hits[1] and len(hits[0]) == 15
+    for qid, text in corpus[1].items():
+        one = [tuple(r) for r in SE.bm25_request(stored, text, 5).collect()]
+        assert one == sorted(((d, s, r) for q, d, s, r in hits[0] if q == qid), key=lambda x: x[2])
+
+
+@pytest.mark.parametrize("k", [1, 4, 30])
+def test_blocks_below_the_kth_score_are_left_out(spark, k):
+    """Two rounds give the rows of one, with and without a filter; a rare term makes most blocks hopeless."""
+    rng = random.Random(k)
+    data = [(i, " ".join(rng.choice(WORDS) for _ in range(rng.randrange(1, 20))) + (" rare" if i in (7, 150, 390) else ""), i % 3 == 0) for i in range(400)]
+    docs = spark.createDataFrame(data, "id int, text string, ok boolean").repartition(3)
+    queries = spark.createDataFrame([(0, "rare alpha"), (1, "beta gamma 卫星"), (2, "rare"), (3, "nothing"), (4, "alpha")], "qid int, text string")
+    index = SE.bm25_index(docs, "id", keep=("ok",), block_docs=10)
+    for accept in (None, "ok"):
+        channel = []
+        for blocks in (0, 10_000):
+            found = SE.bm25_best(index, queries, "qid", "text", k, accept=accept, prune_blocks=blocks).filter("score > 0")
+            if accept:
+                found = found.filter("ok")
+            channel.append(sorted(map(tuple, SE.top_k(found, k, [F.col("score").desc(), F.col("doc_id")], ["qid"], "rank").collect())))
+        assert channel[0] == channel[1] and channel[0]
+    asked = SE._Asked(index, queries, "qid", "text", "words", 1000)
+    bounds = {(r.qid, r.block): r.bound for r in SE.block_bounds(index.postings, asked).collect()}
+    blocks = {r.doc_id: r.block for r in index.blocks.select("block", F.explode("_doc_id").alias("doc_id")).collect()}
+    for r in SE.bm25_scores(index, queries, "qid").collect():
+        assert r.score <= bounds[r.qid, blocks[r.doc_id]]
 
 
 def test_char_tokens(spark):
