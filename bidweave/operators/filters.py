@@ -1,5 +1,5 @@
-"""Predicates, rule matching and the filter cascade. All of it is per-row expressions: rule
-tables are short word lists, so no join or shuffle is needed."""
+"""Predicates, rule matching and the filter cascade. Short word lists become per-row expressions; rules that
+come as a table (a DataFrame of any length up to a bound) are found by an automaton. No join or shuffle is needed."""
 
 from __future__ import annotations
 
@@ -15,6 +15,7 @@ from bidweave.functions.text import (blank_to_null, clean_text, col, contained_w
 from bidweave.functions.names import has_budget_between
 from bidweave.operators.keys import top_k
 from bidweave.operators.tables import add_matches
+from bidweave.operators.textjoin import RuleTable
 
 
 def is_meaningful(c: Column | str, low: int = 100) -> Column:
@@ -30,17 +31,19 @@ def is_service(title: Column | str, content: Column | str, title_words: Sequence
     return contains_any(title, title_words) | contains_any(content, content_words)
 
 
-def excluded_by(c: Column | str, words: Sequence[str] = tuple(rules.EXCLUDE_WORDS)) -> Column:
-    """The first excluding word, null when none occurs."""
-    return first_contained(c, words)
+def excluded_by(c: Column | str, words: Sequence[str] | RuleTable = tuple(rules.EXCLUDE_WORDS)) -> Column:
+    """The first excluding word, null when none occurs. Of a rule table all keywords count."""
+    return words.finder.first()(col(c)) if isinstance(words, RuleTable) else first_contained(c, words)
 
 
-def match_categories(c: Column | str, category_rules: dict = rules.CATEGORY_RULES) -> Column:
+def match_categories(c: Column | str, category_rules: dict | RuleTable = rules.CATEGORY_RULES) -> Column:
     """Array of (category, score, reason), best score first, then rule order.
 
     A category is skipped when one of its excluding words occurs; the score is the number of
     its keywords that occur.
     """
+    if isinstance(category_rules, RuleTable):
+        return category_rules.matches()(F.coalesce(col(c), F.lit("")))
     hits = []
     for i, (name, rule) in enumerate(category_rules.items()):
         words = contained_words(c, rule["keywords"])
@@ -54,7 +57,7 @@ def match_categories(c: Column | str, category_rules: dict = rules.CATEGORY_RULE
 
 
 def filter_records(df: DataFrame, title: str = "project_name", content: str = "content",
-                   category_rules: dict = rules.CATEGORY_RULES, exclude: Sequence[str] = tuple(rules.EXCLUDE_WORDS),
+                   category_rules: dict | RuleTable = rules.CATEGORY_RULES, exclude: Sequence[str] | RuleTable = tuple(rules.EXCLUDE_WORDS),
                    title_words: Sequence[str] = tuple(rules.SERVICE_TITLE_WORDS),
                    content_words: Sequence[str] = tuple(rules.SERVICE_CONTENT_WORDS)) -> DataFrame:
     """Adds keep, reason and categories. Steps, first failure decides: no real content, a
@@ -77,37 +80,42 @@ def filter_records(df: DataFrame, title: str = "project_name", content: str = "c
             .drop("_word", "_stop", "_matches"))
 
 
-def rough_match(df: DataFrame, html: str = "html", terms: dict[str, Sequence[str]] = rules.ROUGH_TERMS,
+def rough_match(df: DataFrame, html: str = "html", terms: dict[str, Sequence[str]] | RuleTable = rules.ROUGH_TERMS,
                 address: Sequence[str] = tuple(rules.ADDRESS_WORDS), footer: Sequence[str] = tuple(rules.FOOTER_WORDS),
-                markers: Sequence[str] = tuple(rules.ROUGH_MARKERS)) -> DataFrame:
+                markers: Sequence[str] = tuple(rules.ROUGH_MARKERS), footer_chars: int = rules.FOOTER_CHARS) -> DataFrame:
     """Adds matched, matched_categories and matched_terms of a page.
 
     Title or body hit counts. Body parts (divided by full-width blanks) that look like an
-    address and hold a term are ignored, footers are removed. Order is rule order.
+    address and hold a term are ignored. A footer is a footer word and the `footer_chars` characters
+    behind it; the text after that counts. Order is rule order.
     """
     title = F.trim(F.regexp_extract(html, r"<title>([^<]+)</title>", 1))
     # \s leaves the full-width blank alone, it divides the parts
     text = F.trim(F.regexp_replace(strip_tags(drop_scripts(html)), r"\s+", " "))
     body = let(text, lambda t: F.substring(t, F.coalesce(*[F.when(F.contains(t, F.lit(m)), F.instr(t, F.lit(m)))
                                                            for m in markers], F.lit(1)), F.length(t)))
-    every = list(dict.fromkeys(t for ts in terms.values() for t in ts))
-    parts = F.filter(F.split(body, "　"), lambda line: ~(contains_any(line, address) & contains_any(line, every)))
+    table = isinstance(terms, RuleTable)
+    every = [] if table else list(dict.fromkeys(t for ts in terms.values() for t in ts))
+    # in a part with an address word a term counts for nothing, so with a rule table such parts go as a whole
+    held = (lambda line: F.lit(True)) if table else (lambda line: contains_any(line, every))
+    parts = F.filter(F.split(body, "　"), lambda line: ~(contains_any(line, address) & held(line)))
     body = F.array_join(F.transform(parts, trim_blanks), " ")
     for word in footer:
-        body = F.regexp_replace(body, word.replace(".", r"\.") + r"[^\n]*", "")
+        body = F.regexp_replace(body, f"{word.replace('.', chr(92) + '.')}[^\\n]{{0,{footer_chars}}}", "")
     out = df.withColumn("_title", title).withColumn("_body", body)
-    hit_terms = F.array_compact(F.array(*[
-        F.when(F.contains("_title", F.lit(t)) | F.contains("_body", F.lit(t)), F.lit(t)) for t in every]))
-    out = out.withColumn("matched_terms", hit_terms)
-    cats = F.array_compact(F.array(*[
-        F.when(F.arrays_overlap("matched_terms", F.array(*[F.lit(t) for t in ts])), F.lit(name))
-        for name, ts in terms.items()]))
-    return (out.withColumn("matched_categories", cats).withColumn("matched", F.size("matched_terms") > 0)
-            .drop("_title", "_body"))
+    if table:
+        both = F.concat(F.coalesce("_title", F.lit("")), F.lit("\0"), F.coalesce("_body", F.lit("")))
+        out = out.withColumn("matched_terms", terms.terms()(both)).withColumn("matched_categories", terms.categories()(both))
+    else:
+        out = out.withColumn("matched_terms", F.array_compact(F.array(*[
+            F.when(F.contains("_title", F.lit(t)) | F.contains("_body", F.lit(t)), F.lit(t)) for t in every])))
+        out = out.withColumn("matched_categories", F.array_compact(F.array(*[
+            F.when(F.arrays_overlap("matched_terms", F.array(*[F.lit(t) for t in ts])), F.lit(name)) for name, ts in terms.items()])))
+    return out.withColumn("matched", F.size("matched_terms") > 0).drop("_title", "_body")
 
 
 def match_intent(df: DataFrame, title: str = "list_title", body: str = "detail_body_preview",
-                 lines: dict[str, Sequence[str]] = rules.PRODUCT_LINES, min_chars: int = 50) -> DataFrame:
+                 lines: dict[str, Sequence[str]] | RuleTable = rules.PRODUCT_LINES, min_chars: int = 50) -> DataFrame:
     """Rule form of the intent check: verdict, matched product lines and reason.
 
     Too little text is its own verdict; a text that names a product line and is not a service
@@ -116,7 +124,8 @@ def match_intent(df: DataFrame, title: str = "list_title", body: str = "detail_b
     text = segment_intent(body)
     both = F.concat_ws(" ", F.col(title), F.col("_body"))
     out = df.withColumn("_body", text)
-    hits = F.array_compact(F.array(*[F.when(contains_any(both, words), F.lit(name)) for name, words in lines.items()]))
+    hits = (lines.categories()(both) if isinstance(lines, RuleTable) else
+            F.array_compact(F.array(*[F.when(contains_any(both, words), F.lit(name)) for name, words in lines.items()])))
     out = out.withColumn("_short", text_gate("_body", min_chars)).withColumn("_hits", hits)
     service = is_service(title, F.col("_body"))
     product = (F.size("_hits") > 0) & ~service

@@ -18,7 +18,7 @@ from bidweave.functions.jsonx import as_array
 from bidweave.functions.names import customer_type_label, filled_name, tier
 from bidweave.functions.text import (array_truthy, first_text, not_nan, number_truthy, text_truthy)
 from bidweave.operators.keys import collect_parts, keep_first, keep_last, one_per_key, top_k, union_all
-from bidweave.operators.textjoin import contains_pairs
+from bidweave.operators.textjoin import least_by_pattern, least_by_text
 
 # Value kinds of a profile: field name -> (source column, is it text that may hold a JSON array)
 VALUE_FIELDS = {
@@ -282,9 +282,8 @@ def crm_history(opps: DataFrame, leads: DataFrame) -> DataFrame:
 def code_by_name(profiles: DataFrame, crm: DataFrame, name: str = "customer_name", crm_name: str = "customer_name",
                  code: str = "credit_code") -> DataFrame:
     """Code of the first CRM customer (lowest code) whose name contains the given name."""
-    known = crm.groupBy(F.col(crm_name).alias("text")).agg(F.min(code).alias("_code"))
-    pairs = contains_pairs(profiles.select(F.col(name).alias("pattern")), known)
-    found = pairs.groupBy("pattern").agg(F.min("_code").alias("found_code"))
+    known = crm.groupBy(F.col(crm_name).alias("text")).agg(F.min(code).alias("found_code"))
+    found = least_by_pattern(profiles.select(F.col(name).alias("pattern")), known, "found_code")
     return profiles.join(found.withColumnRenamed("pattern", name), [name], "left")
 
 
@@ -293,13 +292,12 @@ def find_customer(names: DataFrame, profiles: DataFrame, name: str = "name", cus
     contains the other, any case."""
     asked = names.select(F.col(name).alias("asked")).distinct().withColumn("pattern", F.lower("asked"))
     known = profiles.select(F.col(customer).alias("found")).distinct().withColumn("text", F.lower("found"))
-    inside = contains_pairs(asked.select("pattern"), known)
-    around = contains_pairs(known.select(F.col("text").alias("pattern")),
-                            asked.select(F.col("pattern").alias("text")))
-    around = around.join(known.select(F.col("text").alias("pattern"), "found"), "pattern").select(
-        F.col("text").alias("pattern"), "found")
-    pairs = inside.select("pattern", "found").unionByName(around).join(asked, "pattern")
-    best = pairs.groupBy("asked").agg(F.min(F.struct((F.col("found") != F.col("asked")).alias("far"), "found")).alias("best"))
+    inside = least_by_pattern(asked.select("pattern"), known, "found")
+    around = least_by_text(known.select(F.col("text").alias("pattern"), "found"), asked.select(F.col("pattern").alias("text")).distinct(), "found")
+    # the same name is a row of its own, the others keep one customer per side
+    near = inside.unionByName(around.withColumnRenamed("text", "pattern")).join(asked, "pattern").select("asked", "found")
+    same = asked.select("asked").join(known.select("found"), F.col("asked") == F.col("found")).filter(F.length("asked") > 0)
+    best = near.unionByName(same).groupBy("asked").agg(F.min(F.struct((F.col("found") != F.col("asked")).alias("far"), "found")).alias("best"))
     return best.select(F.col("asked").alias(name), F.col("best.found").alias("found"),
                        (~F.col("best.far")).alias("exact"))
 

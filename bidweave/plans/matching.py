@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from bidweave.operators import filters as L
 from bidweave.operators import stats as S
+from bidweave.operators.textjoin import RuleTable, rule_rows
 from bidweave.plans.registry import query
 
 # Word rules in the invented languages of the documents.
@@ -79,16 +80,52 @@ def keep_against_labels(t):
 
 
 _TERM = [w for ws in TERMS.values() for w in ws]
-ROUGH = rf"""p AS (SELECT page_id, trim(regexp_extract(html, '<title>([^<]+)</title>', 1)) AS title,
-    trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', '', 'g'), '<[^>]+>', ' ', 'g'), '[\s\x0B]+', ' ', 'g')) AS body FROM pages)"""
+ADDRESS, FOOTER = ["haben", "for the"], ["avec", "with th", "queon"]
+_PARTS = f"""list_transform(list_filter(string_split(whole, '　'), lambda x: NOT ({_any('x', ADDRESS)} AND {_any('x', _TERM)})), lambda x: trim(x))"""
+_BODY = f"array_to_string({_PARTS}, ' ')"
+for _word in FOOTER:
+    _BODY = rf"regexp_replace({_BODY}, '{_word}[^\n]{{0,50}}', '', 'g')"
+ROUGH = rf"""w AS (SELECT page_id, trim(regexp_extract(html, '<title>([^<]+)</title>', 1)) AS title,
+    trim(regexp_replace(regexp_replace(regexp_replace(replace(html, '</p>', '　</p>'), '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', '', 'g'), '<[^>]+>', ' ', 'g'), '[\s\x0B]+', ' ', 'g')) AS whole FROM pages),
+  p AS (SELECT page_id, title, {_BODY} AS body FROM w)"""
 
 
-@query("rough_match", f"""WITH {ROUGH}, h AS (SELECT page_id, list_filter([{', '.join(f"'{w}'" for w in _TERM)}], lambda w: contains(title, w) OR contains(body, w)) AS terms FROM p)
+def _paragraphs(t):
+    """Pages whose paragraphs are parts, divided by full-width blanks."""
+    return t.pages.withColumn("html", F.replace("html", F.lit("</p>"), F.lit("　</p>")))
+
+
+def _rough(t, terms):
+    return L.rough_match(_paragraphs(t), "html", terms, address=ADDRESS, footer=FOOTER).select(
+        "page_id", "matched", F.array_join("matched_terms", "|").alias("terms"), F.array_join("matched_categories", "|").alias("categories"))
+
+
+ROUGH_SQL = f"""WITH {ROUGH}, h AS (SELECT page_id, list_filter([{', '.join(f"'{w}'" for w in _TERM)}], lambda w: contains(title, w) OR contains(body, w)) AS terms FROM p)
   SELECT page_id, len(terms) > 0 AS matched, array_to_string(terms, '|') AS terms,
-    array_to_string(list_filter([{', '.join("CASE WHEN " + " OR ".join(f"list_contains(terms, '{w}')" for w in ws) + f" THEN '{n}' END" for n, ws in TERMS.items())}], lambda c: c IS NOT NULL), '|') AS categories FROM h""")
+    array_to_string(list_filter([{', '.join("CASE WHEN " + " OR ".join(f"list_contains(terms, '{w}')" for w in ws) + f" THEN '{n}' END" for n, ws in TERMS.items())}], lambda c: c IS NOT NULL), '|') AS categories FROM h"""
+
+
+@query("rough_match", ROUGH_SQL)
 def rough_match(t):
-    return L.rough_match(t.pages, "html", TERMS, address=["#street#"], footer=["#hotline#"]).select(
-        "page_id", "matched", F.array_join("matched_terms", "|").alias("terms"), F.array_join("matched_categories", "|").alias("categories"))
+    return _rough(t, TERMS)
+
+
+@query("rough_match_table", ROUGH_SQL)
+def rough_match_table(t):
+    """The same rules as a table."""
+    return _rough(t, RuleTable(rule_rows(t.spark, TERMS)))
+
+
+@query("rule_table", r"""WITH r AS (SELECT DISTINCT 'c' || (item_id % 7) AS category, unnest(regexp_extract_all(text, '\p{L}{6,}')) AS keyword, item_id % 97 = 13 AS excluded FROM benchmark),
+  h AS (SELECT doc_id, category, keyword, excluded FROM documents JOIN r ON contains(text, keyword))
+  SELECT doc_id, category, count(DISTINCT keyword) FILTER (NOT excluded) AS score FROM h GROUP BY ALL HAVING count(*) FILTER (excluded) = 0""")
+def rule_table(t):
+    """Thousands of rules that come from a table: the longer words of the items, in seven categories."""
+    words = F.regexp_extract_all("text", F.lit(r"\p{L}{6,}"), F.lit(0))
+    rules = t.benchmark.select(F.concat(F.lit("c"), (F.col("item_id") % 7).cast("string")).alias("category"), F.explode(words).alias("keyword"),
+                               (F.col("item_id") % 97 == 13).alias("excluded"), F.col("item_id").cast("int").alias("position"))
+    found = t.documents.select("doc_id", F.inline(L.match_categories("text", RuleTable(rules))))
+    return found.select("doc_id", "category", F.col("score").cast("long").alias("score"))
 
 
 INTENT = r"""b AS (SELECT doc_id, source,

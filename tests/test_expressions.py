@@ -1,5 +1,8 @@
+import random
 from datetime import datetime
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from bidweave import rules
@@ -9,6 +12,7 @@ from bidweave.functions import names as N
 from bidweave.functions import text as X
 from bidweave.functions import urls as U
 from bidweave.operators import filters as L
+from bidweave.operators import textjoin as TJ
 
 
 def test_project_names(rows):
@@ -170,6 +174,57 @@ def test_rough_match_ignores_addresses(spark):
         (True, ["scene"], ["无人机"]), (False, [], []), (True, ["satellite"], ["天通"]), (False, [], [])]
 
 
+def test_rough_match_goes_on_behind_a_footer(spark):
+    data = [("<p>服务热线 " + "x" * 180 + " 卫星通信</p>",), ("<p>中国政府采购网 " + "y" * 50 + "北斗</p>",), ("<p>服务热线 " + "x" * 30 + "北斗</p>",),
+            ("<p>京ICP备 1 服务热线 2" + "z" * 160 + "　无人机　地址：天通路</p>",), (None,)]
+    frame = spark.createDataFrame(data, "html string")
+    want = [["卫星通信"], ["北斗"], [], ["无人机"], []]
+    table = TJ.RuleTable(TJ.rule_rows(spark, rules.ROUGH_TERMS))
+    for terms in (rules.ROUGH_TERMS, table):
+        assert [r.matched_terms for r in L.rough_match(frame, terms=terms).collect()] == want
+
+
+def test_rule_tables_equal_word_lists(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("ab市") for _ in range(rng.randrange(1, 5)))
+    lists = {f"c{i}": {"keywords": list(dict.fromkeys(word() for _ in range(8))), "exclude": [word() + "z"]} for i in range(5)}
+    data = [(i, " ".join(word() + rng.choice(["", "", "z"]) for _ in range(12)), word()) for i in range(60)] + [(90, None, None), (91, "", "")]
+    frame = spark.createDataFrame(data, "i int, content string, project_name string")
+    table = TJ.RuleTable(TJ.rule_rows(spark, lists))
+    stop = TJ.RuleTable(TJ.rule_rows(spark, {"stop": ["市市市b", "bbb市"]}))
+    found = [sorted(map(tuple, frame.select("i", L.match_categories("content", r)).collect()), key=str) for r in (lists, table)]
+    assert found[0][:-2] == found[1][:-2] and any(m for _, m in found[1])
+    kept = [sorted(map(str, L.filter_records(frame.withColumn("content", F.concat("content", F.lit("x" * 100))), category_rules=r, exclude=e).collect()))
+            for r, e in ((lists, ["市市市b", "bbb市"]), (table, stop))]
+    assert kept[0] == kept[1]
+    lines = {c: r["keywords"] for c, r in lists.items()}
+    judged = [sorted(map(str, L.match_intent(frame, "project_name", "content", r, 5).collect())) for r in (lines, TJ.RuleTable(TJ.rule_rows(spark, lines)))]
+    assert judged[0] == judged[1]
+    with pytest.raises(ValueError):
+        TJ.RuleTable(spark.range(1).select(F.lit("c").alias("category"), F.repeat(F.lit("k"), F.lit(TJ.PATTERN_BYTES + 1)).alias("keyword"),
+                                          F.lit(False).alias("excluded"), F.lit(1).alias("position")))
+
+
+def test_many_rules_find_what_brute_force_finds(spark):
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdé") for _ in range(n))
+    rows = [(f"c{i % 40}", word(rng.randrange(1, 7)), i % 90 == 0, i) for i in range(10_000)]
+    texts = [" ".join(word(rng.randrange(1, 9)) for _ in range(10)) for _ in range(30)]
+    got = {r.t: r.m for r in spark.createDataFrame([(t,) for t in texts], "t string").select(
+        "t", TJ.RuleTable(spark.createDataFrame(rows, TJ.RULES)).matches()(F.col("t")).alias("m")).collect()}
+    for text in texts:
+        order = {c: i for i, c in enumerate(dict.fromkeys(r[0] for r in rows))}
+        hits = {}
+        for c, w, out, _ in rows:
+            if w in text:
+                hits.setdefault(c, [[], False])
+                hits[c][1] |= out
+                if not out and w not in hits[c][0]:
+                    hits[c][0].append(w)
+        want = sorted(((c, len(w)) for c, (w, out) in hits.items() if w and not out), key=lambda x: (-x[1], order[x[0]]))
+        assert [(m["category"], m["score"]) for m in got[text]] == want
+
+
 def test_intent(spark):
     long = "技术参数：" + "设备一台" * 20
     data = [("卫星终端采购", long), ("物业管理", long + "机器人"), ("x", "短"), ("y", long)]

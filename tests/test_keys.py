@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from bidweave.operators import keys as K
 from bidweave.operators import tables as T
-from bidweave.operators.textjoin import contains_pairs
+from bidweave.operators import textjoin
+from bidweave.operators.textjoin import contains_pairs, gram_pairs
 
 
 @pytest.fixture(scope="module")
@@ -60,17 +61,38 @@ def test_salted_join_equals_join(spark, skewed, how):
     assert sorted(map(str, got.collect())) == sorted(map(str, skewed.join(right, "k", how).collect()))
 
 
-def test_contains_pairs_equals_brute_force(spark):
+@pytest.mark.parametrize("way", [contains_pairs, gram_pairs, lambda p, t: gram_pairs(p, t, rows_per_salt=5)])
+def test_contains_pairs_equals_brute_force(spark, way):
     rng = random.Random(3)
     texts = ["".join(rng.choice("ab市") for _ in range(rng.randrange(1, 12))) for _ in range(60)]
     patterns = ["".join(rng.choice("ab市") for _ in range(rng.randrange(0, 7))) for _ in range(60)]
-    got = contains_pairs(spark.createDataFrame([(p,) for p in patterns], "pattern string"),
-                         spark.createDataFrame([(t, i) for i, t in enumerate(texts)], "text string, i int"))
+    got = way(spark.createDataFrame([(p,) for p in patterns], "pattern string"),
+              spark.createDataFrame([(t, i) for i, t in enumerate(texts)], "text string, i int"))
     want = {(p, i) for p in patterns if p for i, t in enumerate(texts) if p in t}
     rows = [(r.pattern, r.i) for r in got.collect()]
     assert len(rows) == len(set(rows)) and set(rows) == want
 
 
+@pytest.mark.parametrize("bytes_", [textjoin.PATTERN_BYTES, 3])
+def test_first_matches_equal_brute_force(spark, monkeypatch, bytes_):
+    """One row per pattern, or per text, by the automaton and by grams; overlapping and one-character patterns."""
+    monkeypatch.setattr(textjoin, "PATTERN_BYTES", bytes_)
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("ab市") for _ in range(n))
+    texts = sorted({word(rng.randrange(0, 12)) for _ in range(60)})
+    patterns = [(word(rng.randrange(0, 6)), f"v{rng.randrange(30):02d}") for _ in range(80)] + [("a", "v05"), ("a", "v01"), ("zz", "v00"), (None, "v00")]
+    valued = [(t, f"c{rng.randrange(40):02d}" if i % 5 else None) for i, t in enumerate(texts)] + [(None, "c00")]
+    p, t = spark.createDataFrame(patterns, "pattern string, v string"), spark.createDataFrame(valued, "text string, c string")
+    got = {r.pattern: r.c for r in textjoin.least_by_pattern(p, t, "c").collect() if r.c is not None}
+    words = {w for w, _ in patterns if w}
+    assert got == {w: min(c) for w in words if (c := [c for x, c in valued if c and x and w in x])}
+    got = {r.text: r.v for r in textjoin.least_by_text(p, t.select("text").filter("text IS NOT NULL"), "v").collect()}
+    assert got == {x: min(v) for x in texts if (v := [v for w, v in patterns if w and w in x])}
+    places = spark.createDataFrame([(w, "p", "c") for w in words], "name string, province string, city string")
+    got = {r.org: r.matched_name for r in textjoin.infer_region(spark.createDataFrame([(x,) for x in texts], "org string"), places).collect()}
+    assert got == {x: min((w for w in words if w in x), key=lambda w: (-len(w), w), default=None) for x in texts}
+
+
 def test_sets(spark):
     a, b = spark.createDataFrame([(1,), (2,), (2,)], "c int"), spark.createDataFrame([(2,), (3,)], "c int")
     assert sorted(r.c for r in K.distinct_union(a, b).collect()) == [1, 2, 3]
