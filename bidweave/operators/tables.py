@@ -9,7 +9,7 @@ from __future__ import annotations
 from functools import reduce
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -17,6 +17,8 @@ from bidweave.functions.names import row_key
 from bidweave.functions.text import filled, text_truthy
 from bidweave.functions.urls import canonical_url
 from bidweave.operators.keys import keep_first, keep_last, one_per_key, union_all
+from bidweave.operators.store import OLD, TIMES
+from bidweave.session import cut
 
 STATUS_NEW, STATUS_DONE, STATUS_MATCHED, STATUS_FILTERED = "new", "processed", "matched", "filtered"
 
@@ -28,6 +30,30 @@ def page(df: DataFrame, order: Sequence[Column], number: int = 1, size: int = 20
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+CHUNK_ROWS = 100_000
+
+
+def write_positions(df: DataFrame, order: Sequence[Column], path: str, chunk_rows: int = CHUNK_ROWS) -> None:
+    """The rows with their `position` in the order, which must be total, in folders of `chunk_rows` neighbouring positions. Rows are
+    range-partitioned and numbered by partition; only the counts of the partitions meet in one place."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = cut(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_part").orderBy(*order)
+    numbered = rows.withColumn("_in", F.row_number().over(inside) - 1).join(starts, "_part").withColumn("position", F.col("_in") + F.col("_before"))
+    numbered = numbered.drop("_part", "_in", "_before").withColumn("_chunk", F.floor(F.col("position") / chunk_rows))
+    numbered.write.mode("overwrite").partitionBy("_chunk").parquet(path)
+
+
+def page_at(spark: SparkSession, path: str, number: int, size: int = 20, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """A page of a table of positions: only the folders of its rows are read, whatever its number."""
+    first = (number - 1) * size
+    chunks = range(first // chunk_rows, (first + size - 1) // chunk_rows + 1)
+    rows = spark.read.parquet(path).filter(F.col("_chunk").isin(*chunks) & F.col("position").between(first, first + size - 1))
+    return rows.orderBy("position").drop("_chunk", "position")
+
+
 def latest(df: DataFrame, n: int, *order: str) -> DataFrame:
     """The n latest rows by the named columns, descending."""
     return df.orderBy(*[F.col(c).desc() for c in order]).limit(n)
@@ -190,14 +216,16 @@ def update_by_key(target: DataFrame, batch: DataFrame, key: str, columns: Sequen
 
 
 def upsert_nonempty(target: DataFrame, batch: DataFrame, key: str, order: Sequence[str],
-                    status: str | None = "status") -> DataFrame:
+                    status: str | None = "status", counted: bool = False) -> DataFrame:
     """Insert or update: an empty new value (null, or '' in a text) keeps the old one; touched rows are new again.
 
-    Several batch rows of one key are folded first: the last filled value of each column wins.
+    Several batch rows of one key are folded first: the last filled value of each column wins. With `counted` the rows
+    also tell whether the key was there (_old) and how many batch rows it had (_times).
     """
     cols = [c for c in target.columns if c not in (key, status)]
     seq = F.struct(*order)
     folded = batch.filter(text_truthy(key)).groupBy(key).agg(
+        F.count("*").alias(TIMES),
         *[F.max_by(F.col(c), F.when(filled(F.col(c), batch.schema[c].dataType), seq)).alias(c) for c in cols if c in batch.columns])
     both = _paired(target, folded, key, "full")
     touched = F.col("_has_new").isNotNull()
@@ -207,6 +235,9 @@ def upsert_nonempty(target: DataFrame, batch: DataFrame, key: str, order: Sequen
         out.append((F.coalesce(F.col(f"{c}_new"), old) if c in batch.columns else old).alias(c))
     if status:
         out.append(F.when(touched, F.lit(STATUS_NEW)).otherwise(F.col(f"{status}_old")).alias(status))
+    if counted:
+        marks = [F.col("_has_old").isNotNull().alias(OLD), F.coalesce(F.col(f"{TIMES}_new"), F.lit(0)).alias(TIMES)]
+        return both.select(*out, *marks).select(*target.columns, OLD, TIMES)
     return both.select(*out).select(*target.columns)
 
 

@@ -8,6 +8,7 @@ from bidweave.plans.projects import LIFECYCLE
 from bidweave.plans.registry import query
 from bidweave.session import shared_dir
 from bidweave.streaming import notices as N
+from bidweave.streaming import projects as S
 
 
 def _stream(t, name):
@@ -55,18 +56,49 @@ def stream_windowed_counts(t):
     return t.spark.read.parquet(out).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
 
 
-@query("project_state", LIFECYCLE + " SELECT project_name_std, buyer_name, status, latest_publish_date, event_count, win_amount AS winning_amount, total_budget FROM projects")
-def project_state(t):
-    """Orders arrive as a stream of notices; the final state equals the batch aggregation."""
-    out, checkpoint = _place(t)
+STATES = LIFECYCLE + " SELECT project_name_std, buyer_name, status, latest_publish_date, event_count, win_amount AS winning_amount, total_budget FROM projects"
+
+
+def _orders(t):
+    """Orders as a stream of notices."""
     buyers = t.customer.select("c_custkey", "c_name")
     kind = F.when(F.col("o_orderstatus") == "F", "中标公告").when(F.col("o_orderstatus") == "O", "公开招标公告").otherwise("更正公告")
-    rows = _stream(t, "orders").join(buyers, F.col("o_custkey") == F.col("c_custkey")).select(
+    return _stream(t, "orders").join(buyers, F.col("o_custkey") == F.col("c_custkey")).select(
         F.concat(F.lit("P"), (F.col("o_orderkey") % 3).cast("string"), kind).alias("project_name"), F.col("c_name").alias("buyer_name_std"),
         F.concat(F.lit("http://notices.example.com/n/"), F.col("o_orderkey").cast("string")).alias("source_url"),
         F.col("o_orderdate").alias("publish_date"), F.col("o_totalprice").alias("budget_amount"),
         F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice")).alias("winning_amount"))
-    N.run_to_parquet(N.project_state(rows), out, checkpoint, "update")
+
+
+@query("project_episodes", STATES)
+def project_episodes(t):
+    """The state machine with expiry: closed projects leave the state, and the rows sent still add up to the batch aggregation."""
+    out, checkpoint = _place(t)
+    N.run_to_parquet(S.project_episodes(_orders(t)), out, checkpoint, "update")
+    found = S.combined(t.spark.read.parquet(out))
+    return found.withColumn("latest_publish_date", F.col("latest_publish_date").cast(t.orders.schema["o_orderdate"].dataType))
+
+
+@query("stream_blocked_keywords", """SELECT event_id, user_id FROM events WHERE user_id IN
+  (SELECT user_id FROM events GROUP BY 1 HAVING count(*) FILTER (event_type = 'error') < 14)""")
+def stream_blocked_keywords(t):
+    """Events arrive in three batches; users with 14 errors so far are dropped whole."""
+    out, checkpoint = _place(t)
+    third = -(-t.events.count() // 3)
+    for k in range(3):
+        t.events.filter(F.least(F.floor(F.col("event_id") / third), F.lit(2)) == k).select("event_id", "user_id", "event_type").write.parquet(f"{out}/in/{k}")
+    run = N.drop_blocked_stream(f"{out}/deny", F.col("event_type") == "error", "user_id", 14)
+    for k in range(3):
+        stream = N.notice_stream(t.spark, f"{out}/in/[0-{k}]", t.spark.read.parquet(f"{out}/in/0").schema, "parquet")
+        stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(run).start().awaitTermination()
+    return N.allowed_rows(t.spark, f"{out}/deny", "user_id", 14).select("event_id", "user_id")
+
+
+@query("project_state", STATES)
+def project_state(t):
+    """Orders arrive as a stream of notices; the final state equals the batch aggregation."""
+    out, checkpoint = _place(t)
+    N.run_to_parquet(N.project_state(_orders(t)), out, checkpoint, "update")
     return N.last_update(t.spark, out, ["project_name_std", "buyer_name"])
 
 

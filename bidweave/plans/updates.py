@@ -1,12 +1,16 @@
 """Dedup, pending work and merges."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from bidweave.functions.jsonx import meta
 from bidweave.operators import keys as K
 from bidweave.operators import tables as T
 from bidweave.operators.pages import stop_at_repeat
-from bidweave.plans.registry import query
+from bidweave.operators.store import BucketStore
+from bidweave.plans.registry import QUERIES, query
+from bidweave.session import shared_dir
 
 
 @query("dedup_keep_first", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM lineitem
@@ -106,6 +110,70 @@ def merge_counts(t):
     return T.merge_counts(_batch(t), _target(t), "url")
 
 
+CHUNKS = """WITH b AS (SELECT l_orderkey AS tender_id, l_linenumber AS chunk_order, l_shipdate AS d FROM lineitem WHERE l_returnflag = 'R'),
+  x AS (SELECT l_orderkey AS tender_id, l_linenumber AS chunk_order, l_shipdate AS d FROM lineitem WHERE l_returnflag = 'A')
+  SELECT * FROM x WHERE tender_id NOT IN (SELECT tender_id FROM b) UNION ALL SELECT * FROM b"""
+
+
+# --- the same merges on a table in buckets ---
+
+def _stored(t, target, key="url", buckets=16):
+    """The target as a store, written by a merge into an empty one."""
+    store = BucketStore(t.spark, f"{shared_dir(t.spark).rstrip('/')}/stores/{uuid.uuid4().hex}", target.schema, key, buckets)
+    store.merge(target, lambda rows, batch: batch.select(*rows.columns))
+    return store
+
+
+def _few(t):
+    """A batch that touches some of the customers and buckets only."""
+    return _batch(t).filter(F.col("seq") % 50 == 0)
+
+
+FEW = BATCH.replace("FROM events LEFT JOIN customer ON user_id = c_custkey)", "FROM events LEFT JOIN customer ON user_id = c_custkey WHERE event_id % 50 = 0)")
+
+
+@query("store_upsert_nonempty", f"""WITH {FEW}, f AS (SELECT url, arg_max(project_name, seq) FILTER (project_name <> '') AS project_name FROM batch GROUP BY 1)
+  SELECT coalesce(t.url, f.url) AS url, coalesce(f.project_name, t.project_name) AS project_name, t.budget, CASE WHEN f.url IS NULL THEN t.status ELSE 'new' END AS status
+  FROM target t FULL JOIN f ON t.url = f.url""")
+def store_upsert_nonempty(t):
+    store = _stored(t, _target(t))
+    store.merge(_few(t), lambda rows, batch: T.upsert_nonempty(rows, batch, "url", ["seq"]))
+    return store.read()
+
+
+@query("store_update_by_key", QUERIES["update_by_key"][1].replace(BATCH, FEW))
+def store_update_by_key(t):
+    store = _stored(t, _target(t))
+    store.merge(_few(t), lambda rows, batch: T.update_by_key(rows, batch, "url", ["project_name"], ["seq"], {"status": "processed"}))
+    return store.read()
+
+
+@query("store_upsert_replace", QUERIES["upsert_replace"][1].replace(BATCH, FEW))
+def store_upsert_replace(t):
+    store = _stored(t, _target(t))
+    store.merge(_few(t).withColumn("status", F.lit("new")), lambda rows, batch: T.upsert(rows, batch, "url", ["seq"]))
+    return store.read()
+
+
+@query("store_merge_counts", f"""WITH {FEW}, k AS (SELECT url, count(*) AS n, url IN (SELECT url FROM target) AS old FROM batch GROUP BY 1)
+  SELECT count(*) FILTER (NOT old) AS inserted, CAST(coalesce(sum(CASE WHEN old THEN n ELSE n - 1 END), 0) AS BIGINT) AS updated, CAST(0 AS BIGINT) AS skipped,
+    (SELECT count(*) FROM target) + count(*) FILTER (NOT old) AS total FROM k""")
+def store_merge_counts(t):
+    """Counts that the job which writes has taken."""
+    store = _stored(t, _target(t))
+    found = store.merge(_few(t), lambda rows, batch: T.upsert_nonempty(rows, batch, "url", ["seq"], counted=True))
+    return t.spark.createDataFrame([(found["inserted"], found["updated"], found["skipped"], found["rows"])], "inserted long, updated long, skipped long, total long")
+
+
+@query("store_replace_chunks", CHUNKS.replace("l_returnflag = 'R'", "l_returnflag = 'R' AND l_orderkey % 64 = 1"))
+def store_replace_chunks(t):
+    rows = t.lineitem.select(F.col("l_orderkey").alias("tender_id"), F.col("l_linenumber").alias("chunk_order"), F.col("l_shipdate").alias("d"), "l_returnflag")
+    store = _stored(t, rows.filter("l_returnflag = 'A'").drop("l_returnflag"), "tender_id")
+    batch = rows.filter("l_returnflag = 'R' AND tender_id % 64 = 1").drop("l_returnflag")
+    store.merge(batch, lambda old, new: T.replace_rows(old, new, ["tender_id"]))
+    return store.read()
+
+
 @query("mark_status", "SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'processed' ELSE o_orderstatus END AS status FROM orders")
 def mark_status(t):
     return T.mark(t.orders.select("o_orderkey", F.col("o_orderstatus").alias("status")), "processed", "O")
@@ -122,9 +190,7 @@ def apply_verdict(t):
     return T.apply_verdict(target, verdicts, "o_orderkey", ["seq"])
 
 
-@query("replace_chunks", """WITH b AS (SELECT l_orderkey AS tender_id, l_linenumber AS chunk_order, l_shipdate AS d FROM lineitem WHERE l_returnflag = 'R'),
-  x AS (SELECT l_orderkey AS tender_id, l_linenumber AS chunk_order, l_shipdate AS d FROM lineitem WHERE l_returnflag = 'A')
-  SELECT * FROM x WHERE tender_id NOT IN (SELECT tender_id FROM b) UNION ALL SELECT * FROM b""")
+@query("replace_chunks", CHUNKS)
 def replace_chunks(t):
     rows = t.lineitem.select(F.col("l_orderkey").alias("tender_id"), F.col("l_linenumber").alias("chunk_order"), F.col("l_shipdate").alias("d"), "l_returnflag")
     return T.replace_rows(rows.filter("l_returnflag = 'A'").drop("l_returnflag"), rows.filter("l_returnflag = 'R'").drop("l_returnflag"), ["tender_id"])

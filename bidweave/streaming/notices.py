@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -18,8 +17,9 @@ from bidweave.functions.names import normalize_project_name
 from bidweave.functions.text import number_truthy
 from bidweave.functions.urls import canonical_url
 from bidweave.operators.filters import filter_records
-from bidweave.operators.keys import keep_last
+from bidweave.operators.keys import keep_last, one_per_key
 from bidweave.operators.projects import event_type
+from bidweave.operators.store import BucketStore
 from bidweave.operators.tables import apply_verdict, mark, upsert_nonempty
 from bidweave.session import cut
 
@@ -47,51 +47,30 @@ def dedup_stream(df: DataFrame, ts: str, delay: str, url: str | None = None, key
     return _timed(df, ts, delay).dropDuplicatesWithinWatermark(list(key))
 
 
-BUCKET, BATCH = "_bucket", "batch"
+def open_store(spark: SparkSession, path: str, key: str, schema: str | StructType, buckets: int = 64) -> BucketStore:
+    return BucketStore(spark, path, schema, key, buckets)
 
 
-def read_store(spark: SparkSession, path: str, schema: str | StructType | None = None, before: int | None = None) -> DataFrame:
-    """Current rows of an upsert store: of each bucket the content that its last batch wrote."""
-    fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    try:
-        rows = spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA") or fields is None:
-            raise
-        return spark.createDataFrame([], fields)
-    rows = rows.filter(F.col(BATCH) < before) if before is not None else rows
-    last = rows.groupBy(BUCKET).agg(F.max(BATCH).alias(BATCH))  # a row per bucket
-    found = rows.join(F.broadcast(last), [BUCKET, BATCH]).drop(BUCKET, BATCH)
-    return found.select(*fields.names) if fields else found
-
-
-def upsert_store(path: str, key: str, order: Sequence[str], category_rules: dict, schema: str | StructType, buckets: int = 64, **filter_options):
+def upsert_store(path: str, key: str, order: Sequence[str], category_rules: dict, schema: str | StructType, buckets: int = 64,
+                 stream: str = "stream", **filter_options):
     """foreachBatch function: merge the batch (empty values keep the old ones), judge the new rows, store status
-    matched or filtered. Rows are dealt to buckets by the hash of their key; a batch reads and writes only the buckets
-    that it touches, under its own number. So nothing is ever replaced in place, a repeated batch writes the same
-    again, and a reader sees the last finished content of each bucket."""
-    bucket = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")
-
-    def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch = cut(batch)  # used twice; a stream's batch must be computed once
-        touched = F.broadcast(batch.select(bucket.alias(BUCKET)).distinct())  # `buckets` rows at most
-        target = read_store(spark, path, schema, batch_id).withColumn(BUCKET, bucket).join(touched, BUCKET, "left_semi").drop(BUCKET)
+    matched or filtered. A batch reads and writes only the buckets that it touches; its number is the token of the merge, so a
+    batch that the stream repeats changes nothing, and other writers (mark_processed) need no number of their own."""
+    def change(target: DataFrame, batch: DataFrame) -> DataFrame:
         merged = upsert_nonempty(target, batch, key, order)
         verdicts = filter_records(merged.filter(F.col("status") == "new"), category_rules=category_rules, **filter_options).select(
             key, "keep", "reason", "categories")
-        out = apply_verdict(merged, verdicts, key).select(*target.columns).withColumn(BUCKET, bucket)
-        out.repartition(BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{path}/{BATCH}={batch_id}")
+        return apply_verdict(merged, verdicts, key).select(*target.columns)
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        open_store(batch.sparkSession, path, key, schema, buckets).merge(batch, change, (stream, batch_id))
     return run
 
 
-def mark_processed(spark: SparkSession, path: str, key: str, batch_id: int, schema: str | StructType, buckets: int = 64) -> None:
-    """Matched rows have been handed on: a batch of its own that rewrites the buckets with such rows."""
-    bucket = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")
-    rows = read_store(spark, path, schema, batch_id).withColumn(BUCKET, bucket)
-    touched = F.broadcast(rows.filter(F.col("status") == "matched").select(BUCKET).distinct())
-    out = mark(rows.join(touched, BUCKET, "left_semi"), "processed", "matched")
-    out.repartition(BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{path}/{BATCH}={batch_id}")
+def mark_processed(spark: SparkSession, path: str, key: str, schema: str | StructType, buckets: int = 64) -> None:
+    """Matched rows have been handed on: a version that rewrites the buckets with such rows."""
+    store = open_store(spark, path, key, schema, buckets)
+    store.rewrite(F.col("status") == "matched", lambda rows: mark(rows, "processed", "matched"))
 
 
 def project_state(df: DataFrame, ts: str = "publish_date") -> DataFrame:
@@ -118,8 +97,8 @@ def windowed_counts(df: DataFrame, ts: str, category: str, size: str, slide: str
 
 
 def enrich_stream(df: DataFrame, profiles: DataFrame, buyer: str = "buyer_name_std") -> DataFrame:
-    """Notices with the profile of their buyer (stream-static left join)."""
-    side = profiles.select(F.col("customer_name").alias(buyer), "tender_count", "avg_opportunity_score")
+    """Notices with the profile of their buyer (stream-static left join), one row each also where a profile is repeated."""
+    side = one_per_key(profiles.select(F.col("customer_name").alias(buyer), "tender_count", "avg_opportunity_score"), buyer)
     return df.join(side, buyer, "left")
 
 
@@ -131,6 +110,45 @@ def blocked_counts(df: DataFrame, blocked: Column, ts: str, keyword: str = "keyw
                                                                     F.count("*").alias("attempts"))
 
 
+DENY = "keyword string, blocked long"
+
+
+def deny_store(spark: SparkSession, path: str, buckets: int = 16) -> BucketStore:
+    """Blocked attempts per keyword since the stream began."""
+    return BucketStore(spark, f"{path.rstrip('/')}/counts", DENY, "keyword", buckets)
+
+
+def drop_blocked_stream(path: str, blocked: Column, keyword: str = "keyword", most: int = 3, buckets: int = 16, stream: str = "stream"):
+    """foreachBatch function: the cumulative rule that drops a keyword with `most` blocked attempts, on the stream itself.
+
+    Counts are kept per keyword without windows, for good; those of a batch are combined in each task, so a keyword that holds most
+    attempts is cheap. They are merged under the number of the batch, so a repeated batch counts once. Then the rows of
+    the batch whose keyword is still allowed are sent to `path`/sent. Rows that were sent before their keyword fell cannot be called back
+    there: `allowed_rows` leaves them out, and its result is that of drop_blocked_keywords over all attempts so far.
+    """
+    def add(rows: DataFrame, batch: DataFrame) -> DataFrame:
+        both = rows.unionByName(batch)
+        return both.groupBy("keyword").agg(F.sum("blocked").alias("blocked"))
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch = cut(batch)  # counted and sent; computed once
+        store = deny_store(spark, path, buckets)
+        counts = batch.groupBy(F.col(keyword).cast("string").alias("keyword")).agg(F.count_if(blocked).alias("blocked"))
+        store.merge(counts.filter("keyword IS NOT NULL AND blocked > 0"), add, (stream, batch_id))
+        denied = store.read().filter(F.col("blocked") >= most).select(F.col("keyword").alias("_denied"))
+        sent = batch.join(denied, F.col(keyword).cast("string") == F.col("_denied"), "left_anti")
+        sent.write.mode("overwrite").parquet(f"{path}/sent/batch={batch_id}")
+    return run
+
+
+def allowed_rows(spark: SparkSession, path: str, keyword: str = "keyword", most: int = 3, buckets: int = 16) -> DataFrame:
+    """Rows sent so far whose keyword has not fallen since."""
+    denied = deny_store(spark, path, buckets).read().filter(F.col("blocked") >= most).select(F.col("keyword").alias("_denied"))
+    rows = spark.read.parquet(f"{path}/sent").drop("batch")
+    return rows.join(denied, F.col(keyword).cast("string") == F.col("_denied"), "left_anti")
+
+
 def run_to_parquet(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Process what is there, then stop. In update mode every batch is written beside the others
     with its number; `last_update` reads the final row per key."""

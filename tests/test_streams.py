@@ -2,7 +2,7 @@ from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 from bidweave.streaming import notices as N
 
@@ -20,14 +20,20 @@ def test_stream_upsert_equals_batch(spark, tmp_path):
         spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").json(source)
         stream = N.notice_stream(spark, source, SCHEMA)
         stream.writeStream.trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(run).start().awaitTermination()
-    got = {r.url: (r.project_name, r.status, r.category) for r in N.read_store(spark, place).collect()}
+    store = N.open_store(spark, place, "url", schema, 4)
+    got = {r.url: (r.project_name, r.status, r.category) for r in store.read().collect()}
     assert got == {"u1": ("a", "matched", "sat"), "u2": ("b2", "matched", "sat"), "u3": ("c", "filtered", None)}
-    run(spark.createDataFrame(days[-1], SCHEMA), 99)  # a repeated batch changes nothing
-    assert {r.url: (r.project_name, r.status, r.category) for r in N.read_store(spark, place).collect()} == got
-    written = [p.name for p in (tmp_path / "store" / "batch=99").iterdir() if p.name.startswith("_bucket")]
-    assert len(written) == 1  # only the bucket of u2
-    N.mark_processed(spark, place, "url", 100, schema, 4)
-    assert N.read_store(spark, place).filter("status = 'processed'").count() == 2
+    version = store.manifest()["version"]
+    run(spark.createDataFrame(days[-1], SCHEMA), 2)  # a repeated batch changes nothing
+    assert store.manifest()["version"] == version
+    # marks between the batches of the stream have versions of their own
+    N.mark_processed(spark, place, "url", schema, 4)
+    assert {r.url: r.status for r in store.read().collect()} == {"u1": "processed", "u2": "processed", "u3": "filtered"}
+    spark.createDataFrame([("u3", "c2", long + "卫星", 6)], SCHEMA).coalesce(1).write.mode("append").json(source)
+    stream = N.notice_stream(spark, source, SCHEMA)
+    stream.writeStream.trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(run).start().awaitTermination()
+    N.mark_processed(spark, place, "url", schema, 4)
+    assert {r.url: (r.project_name, r.status) for r in store.read().collect()} == {"u1": ("a", "processed"), "u2": ("b2", "processed"), "u3": ("c2", "processed")}
 
 
 def test_project_state_takes_late_notices(spark, tmp_path):
@@ -57,3 +63,47 @@ def test_windows(spark, slide, want):
     df = spark.createDataFrame([("k", datetime(2026, 1, 1, 0, 10)), ("k", datetime(2026, 1, 1, 1, 20))], "c string, ts timestamp")
     got = N.windowed_counts(df, "ts", "c", "1 hour", slide)
     assert got.count() == want and got.agg(F.sum("n")).first()[0] == want
+
+
+def test_blocked_keywords_of_a_stream(spark, tmp_path):
+    """Rows sent before their keyword fell are left out by the reader; the result is that of the batch."""
+    from bidweave.operators.pages import drop_blocked_keywords
+    schema = StructType([StructField("keyword", StringType()), StructField("page", IntegerType()), StructField("error", StringType())])
+    days = [[("a", 1, "x"), ("a", 2, None), ("b", 1, None), (None, 1, "x")], [("a", 3, "x"), ("b", 2, "x"), ("c", 1, "x"), ("c", 2, "x"), (None, 2, "x")],
+            [("a", 4, "x"), ("a", 5, None), ("b", 3, None), (None, 3, "x")], [("a", 6, None), ("c", 3, None), ("c", 4, "x")]]
+    place, source, blocked = str(tmp_path / "deny"), str(tmp_path / "in"), F.col("error").isNotNull()
+    run, seen = N.drop_blocked_stream(place, blocked, most=3, buckets=2), []
+    for i, rows in enumerate(days):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(source)
+        stream = N.notice_stream(spark, source, schema)
+        stream.writeStream.trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(run).start().awaitTermination()
+        run(spark.createDataFrame(rows, schema), i)  # the batch comes again
+        seen += rows
+        every = drop_blocked_keywords(spark.createDataFrame(seen, schema), blocked)
+        got = N.allowed_rows(spark, place)
+        assert sorted(map(str, got.select(*every.columns).collect())) == sorted(map(str, every.collect()))
+    assert {r.keyword for r in got.collect()} == {"b", None}
+    assert spark.read.parquet(f"{place}/sent/batch=3").filter("keyword = 'a'").count() == 0  # a fell before
+
+
+def test_projects_leave_the_state(spark, tmp_path):
+    from bidweave.streaming import projects as S
+    schema = StructType([StructField(n, StringType()) for n in ("project_name", "buyer_name_std", "source_url", "publish_date")]
+                        + [StructField(n, DoubleType()) for n in ("winning_amount", "budget_amount")])
+    days = [[("A招标公告", "b", "u1", "2024-01-01", None, 5.0), ("A中标公告", "b", "u2", "2024-01-05", 4.0, None), ("B招标公告", "b", "u3", "2024-01-03", None, 7.0)],
+            [("C招标公告", None, "u4", "2024-03-01", None, 1.0)],
+            [("A更正公告", "b", "u5", "2024-03-02", None, 9.0), ("B中标公告", "b", "u6", "2024-02-29", 6.0, None), ("D招标公告", "b", "u7", "2023-12-01", None, 3.0)]]
+    out, source, place = str(tmp_path / "out"), str(tmp_path / "in"), str(tmp_path / "cp")
+    for rows in days:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(source)
+        stream = S.project_episodes(N.notice_stream(spark, source, schema), "2 days", "10 days", "400 days")
+        N.run_to_parquet(stream, out, place, "update")
+    sent = spark.read.parquet(out)
+    finished = [(r.project_name_std, r.events) for r in sent.filter("finished").collect()]
+    assert finished == [("A", 2)]  # won, and event time has passed its delay; its notice of March opens a second episode
+    assert sent.filter("project_name_std = 'A'").select("episode").distinct().count() == 2
+    got = {(r.project_name_std, r.buyer_name): (r.status, str(r.latest_publish_date)[:10], r.event_count, r.winning_amount, r.total_budget) for r in S.combined(sent).collect()}
+    kept = [r for day in days for r in day if r[2] != "u7"]  # older than the watermark: not taken
+    batch = N.project_state(spark.createDataFrame(kept, schema).withColumn("publish_date", F.col("publish_date").cast("timestamp")))
+    assert got == {(r.project_name_std, r.buyer_name): (r.status, str(r.latest_publish_date)[:10], r.event_count, r.winning_amount, r.total_budget) for r in batch.collect()}
+    assert got["A", "b"] == ("已中标", "2024-03-02", 3, 4.0, 9.0) and ("D", "b") not in got
