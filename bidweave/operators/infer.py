@@ -15,7 +15,8 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bidweave import rules
@@ -23,6 +24,7 @@ from bidweave.functions import html as H
 from bidweave.functions import jsonx as J
 from bidweave.functions import names as N
 from bidweave.functions.text import clean_text, nonblank, strip_markers, text_truthy
+from bidweave.operators.keys import one_per_key
 from bidweave.operators.tables import pending, split_cached, union_all
 from bidweave.session import cut
 
@@ -87,6 +89,79 @@ def ask(df: DataFrame, key: str, prompt: str, model: Callable[[], Model], batch:
     return df.select(key, prompt).mapInArrow(run, f"key {key_type}, reply string").withColumnRenamed("key", key)
 
 
+REPLIES = "reply string, prompt_tokens long, completion_tokens long, error string"
+
+
+class Unanswered(RuntimeError):
+    """A model failed for some prompts; all other replies are stored, and the next run asks the rest."""
+
+
+def stored_replies(spark: SparkSession, folder: str, key_type: str = "string") -> DataFrame:
+    """(key, reply, prompt_tokens, completion_tokens) of the answered prompts in a folder, one row per key."""
+    kind = f"key {key_type}, {REPLIES}, model string"
+    try:
+        rows = spark.read.schema(kind).parquet(folder)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = spark.createDataFrame([], kind)
+    return one_per_key(rows.filter("error IS NULL").drop("error"), "key", ["reply", "model"])
+
+
+def ask_once(df: DataFrame, key: str, prompt: str, model: Callable[[], Model], folder: str, name: str = "", batch: int = 20,
+             range_rows: int = 500, wave: int = 256) -> DataFrame:
+    """`ask` for jobs that may be interrupted: (key, reply), every key asked once over all runs on the same folder.
+
+    Keys without a stored reply are cut into ranges of about `range_rows` keys, a task each; a wave of ranges is a job whose output is
+    committed before the next begins. Where the model raises, the task keeps the replies it has, the failed batch is noted, and
+    the rest of its range waits for the next run, which starts from what is missing; Unanswered tells the caller. An executor that is
+    lost costs the replies of the ranges it was asking. A reply may be a text, or (text, prompt tokens, completion tokens): usage is kept
+    beside the reply (stats.usage_cost reads it). Equal keys must have equal prompts.
+    """
+    spark, key_type = df.sparkSession, df.schema[key].dataType.simpleString()
+    known = stored_replies(spark, folder, key_type).select("key")
+    asked = one_per_key(df.select(F.col(key).alias("key"), F.col(prompt).alias("prompt")), "key", ["prompt"])
+    todo = cut(asked.join(known, "key", "left_anti"))
+    ranges = max(1, math.ceil(todo.count() / range_rows))
+    place = F.pmod(F.xxhash64("key"), F.lit(ranges))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        answer, failed = None, None
+        for rows in batches:
+            keys, prompts = rows.column(0), rows.column(1).to_pylist()
+            at, replies = [], []
+            for i in range(0, len(prompts) if failed is None else 0, batch):
+                part = prompts[i:i + batch]
+                try:
+                    answer = answer or model()
+                    got = [(r, None, None, None) if r is None or isinstance(r, str) else (*r, None) for r in answer(part)]
+                except Exception as error:  # of any kind: the model is foreign code
+                    failed = f"{type(error).__name__}: {error}"
+                    got = [(None, None, None, failed)] * len(part)
+                at += range(i, i + len(part))
+                replies += got
+                if failed is not None:
+                    break
+            columns = list(zip(*replies)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(at, pa.int64())), pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()),
+                                              pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.string()), pa.array([name] * len(at), pa.string())],
+                                             names=["key", "reply", "prompt_tokens", "completion_tokens", "error", "model"])
+
+    for first in range(0, ranges, wave):
+        many = min(wave, ranges - first)
+        rows = todo.withColumn("_range", place).filter(F.col("_range").between(first, first + many - 1)).repartition(many, "_range")
+        rows.select("key", "prompt").mapInArrow(run, f"key {key_type}, {REPLIES}, model string").write.mode("append").parquet(folder)
+    found = stored_replies(spark, folder, key_type)
+    missing = todo.join(found.select("key"), "key", "left_anti").count()
+    if missing:
+        raise Unanswered(f"{missing} prompts have no reply yet; run again with the same folder")
+    return asked.select("key").join(found.select("key", "reply"), "key").withColumnRenamed("key", key)
+
+
+def _replies(df: DataFrame, key: str, prompt: str, model: Callable[[], Model], folder: str | None, name: str = "") -> DataFrame:
+    return ask(df, key, prompt, model) if folder is None else ask_once(df, key, prompt, model, folder, name)
+
+
 def rule_extract(details: DataFrame, name: str = "title", content: str = "content") -> DataFrame:
     """Default extractor: labelled fields, standard names, money and score as column rules."""
     fields = details.select("*", *[c.alias(f"_{n}") for n, c in zip(rules.FIELD_LABELS, H.labelled_fields(content))])
@@ -126,10 +201,11 @@ EXTRACT_FIELDS = ("buyer_name_std string, agency_name_std string, province strin
                   "opportunity_score int, opportunity_reason string, next_action string")
 
 
-def extract_structured(details: DataFrame, done: DataFrame | None = None,
-                       model: tuple[str, Callable[[], Model]] | None = None) -> DataFrame:
+def extract_structured(details: DataFrame, done: DataFrame | None = None, model: tuple[str, Callable[[], Model]] | None = None,
+                       folder: str | None = None) -> DataFrame:
     """Structured records of the pending detail rows. Without a model the column rules are used;
-    with one, a row whose reply cannot be read stays as a bare record and is retried later."""
+    with one, a row whose reply cannot be read stays as a bare record and is retried later. With a folder the
+    replies are kept there as they come (ask_once)."""
     todo = details if done is None else pending(details, done, "url", "source_url")
     if model is None:
         return rule_extract(todo)
@@ -139,7 +215,12 @@ def extract_structured(details: DataFrame, done: DataFrame | None = None,
                       F.coalesce("content", F.lit("")))
     # the record travels with its prompt, so equal URLs stay rows of their own and nothing is joined back
     own = F.struct(F.col("url").alias("source_url"), F.col("title").alias("project_name"), "publish_date")
-    replies = ask(todo.select(own.alias("_own"), prompt.alias("_prompt")), "_own", "_prompt", factory)
+    rows = todo.select(own.alias("_own"), prompt.alias("_prompt"))
+    if folder is None:
+        replies = ask(rows, "_own", "_prompt", factory)
+    else:
+        rows = rows.withColumn("_key", F.sha2("_prompt", 256))
+        replies = rows.join(ask_once(rows, "_key", "_prompt", factory, folder, name), "_key")
     parsed = replies.select("_own", J.reply_to_struct("reply", f"struct<{_colon(EXTRACT_FIELDS)}>").alias("r"))
     return parsed.select("_own.*", "r.*", F.when(F.col("r").isNotNull(), F.lit(name)).alias("llm_model"))
 
@@ -148,22 +229,24 @@ def _colon(ddl: str) -> str:
     return ", ".join(f"{part.split(' ', 1)[0]}:{part.split(' ', 1)[1]}" for part in ddl.split(", "))
 
 
-def extract_specs(attachments: DataFrame, model: Callable[[], Model], key: str = "attachment_id", min_chars: int = 50) -> DataFrame:
+def extract_specs(attachments: DataFrame, model: Callable[[], Model], key: str = "attachment_id", min_chars: int = 50,
+                  folder: str | None = None) -> DataFrame:
     """One row per product of an attachment text: name and requirement. Too short texts are
-    skipped; of a broken reply the readable items are kept."""
+    skipped; of a broken reply the readable items are kept. With a folder the replies are kept there as they come."""
     todo = attachments.filter(F.length(F.trim("text")) >= min_chars)
-    replies = ask(todo, key, "text", model)
+    replies = _replies(todo, key, "text", model, folder)
     items = J.format_items(J.salvage_items("reply", J.SPEC_SCHEMA))
     rows = replies.select(key, F.inline(items))
     return todo.drop("text").join(rows, key)
 
 
-def suggest(requests: DataFrame, cache: DataFrame, model: Callable[[], Model], prompt: str = "prompt") -> tuple[DataFrame, DataFrame]:
+def suggest(requests: DataFrame, cache: DataFrame, model: Callable[[], Model], prompt: str = "prompt",
+            folder: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(all answers, new cache rows). Requests carry cache_key and prompt; known keys are
-    answered from the cache, the rest once per key by the model."""
+    answered from the cache, the rest once per key by the model. With a folder the replies are kept there as they come."""
     hits, misses = split_cached(requests, cache, "cache_key", ["created_at"])
     todo = misses.groupBy("cache_key").agg(F.min(prompt).alias(prompt))
-    fresh = ask(todo, "cache_key", prompt, model).select("cache_key", strip_markers("reply").alias("suggestions"))
+    fresh = _replies(todo, "cache_key", prompt, model, folder).select("cache_key", strip_markers("reply").alias("suggestions"))
     fresh = cut(fresh.filter(text_truthy("suggestions")))  # both results read it; the model is asked once
     answered = misses.join(fresh, "cache_key", "left")
     return union_all(hits.select("cache_key", prompt, "suggestions"), answered.select("cache_key", prompt, "suggestions")), fresh

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from bidweave import rules
 from bidweave.functions.names import normalize_project_name
 from bidweave.functions.text import number_truthy, text_truthy
-from bidweave.operators.keys import collect_parts, keep_last, scan_groups
+from bidweave.operators.keys import collect_parts, keep_last, one_per_key, scan_groups
 
 PROJECT_KEY = ["project_name_std", "buyer_name"]
 
@@ -82,8 +82,10 @@ def aggregate_projects(notices: DataFrame, template: Sequence[str] = ()) -> Data
 
 
 def with_buyer_summary(projects: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Projects with count and average score of their buyer (null when the buyer is unknown)."""
-    side = profiles.select(F.col("customer_name").alias("buyer_name"), F.struct(
+    """Projects with count and average score of their buyer (null when the buyer is unknown). Of a repeated profile the
+    one with the highest counts stands."""
+    side = one_per_key(profiles.select("customer_name", "tender_count", "avg_opportunity_score"), "customer_name")
+    side = side.select(F.col("customer_name").alias("buyer_name"), F.struct(
         "tender_count", F.col("avg_opportunity_score").alias("avg_score")).alias("buyer_profile_summary"))
     return projects.join(side, ["buyer_name"], "left")
 

@@ -51,19 +51,41 @@ def jsonl_round_trip(t):
     return S.read_json_any(t.spark, path, rows.schema)
 
 
+def _parts(df, rows):
+    """Number of parts of about `rows` rows."""
+    return max(1, -(-df.count() // rows))
+
+
 @query("json_arrays", "SELECT c_custkey, c_name, c_acctbal FROM customer")
 def json_arrays(t):
-    """One file per nation, an array of its customers."""
-    path = _place(t, "arrays")
-    row = F.to_json(F.struct("c_custkey", "c_name", "c_acctbal"))
-    arrays = t.customer.groupBy("c_nationkey").agg(F.concat(F.lit("["), F.array_join(F.collect_list(row), ","), F.lit("]")).alias("value"))
-    arrays.repartition("c_nationkey").write.partitionBy("c_nationkey").text(path)
-    return S.read_json_any(t.spark, path, t.customer.select("c_custkey", "c_name", "c_acctbal").schema).drop("c_nationkey")
+    """Files of about 500 customers, an array each; their number follows the table."""
+    path, parts = _place(t, "arrays"), _parts(t.customer, 500)
+    row, part = F.to_json(F.struct("c_custkey", "c_name", "c_acctbal")), F.pmod(F.xxhash64("c_custkey"), F.lit(parts)).alias("part")
+    arrays = t.customer.groupBy(part).agg(F.concat(F.lit("["), F.array_join(F.collect_list(row), ","), F.lit("]")).alias("value"))
+    arrays.repartition("part").write.partitionBy("part").text(path)
+    return S.read_json_any(t.spark, path, t.customer.select("c_custkey", "c_name", "c_acctbal").schema).drop("part")
 
 
-@query("table_fallback", "SELECT c_custkey, c_name FROM customer")
+@query("table_fallback", """SELECT 'absent' AS asked, c_custkey, c_name FROM customer UNION ALL SELECT 'empty', c_custkey, c_name FROM customer
+  UNION ALL SELECT 'found', c_custkey, c_name FROM customer WHERE c_custkey % 2 = 0""")
 def table_fallback(t):
-    return S.read_table_or(t.spark, "no_table_of_this_name", t.customer.select("c_custkey", "c_name"))
+    """A table that is absent, one that is empty, and one that is there."""
+    rows = t.customer.select("c_custkey", "c_name")
+    rows.limit(0).createOrReplaceTempView("bidweave_empty")
+    rows.filter("c_custkey % 2 = 0").createOrReplaceTempView("bidweave_found")
+    asked = {"absent": "no_table_of_this_name", "empty": "bidweave_empty", "found": "bidweave_found"}
+    found = [S.read_table_or(t.spark, name, rows).select(F.lit(k).alias("asked"), "c_custkey", "c_name") for k, name in asked.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+_TABLES = ["customer", "documents", "events", "nation", "orders", "region", "supplier"]
+
+
+@query("list_tables", f"SELECT table_name AS name FROM information_schema.tables WHERE table_name IN ({', '.join(repr(n) for n in _TABLES)})")
+def list_tables(t):
+    for name in _TABLES:
+        getattr(t, name).createOrReplaceTempView(name)
+    return T.list_tables(t.spark).filter(F.col("name").isin(_TABLES))
 
 
 def _export(t, rows, mapping, name):
@@ -88,21 +110,26 @@ def lead_export(t):
     return CRM.load_leads(_export(t, t.leads, LEAD_COLUMNS, "leads")).select("credit_code", "lead_id", "customer_name", "lead_status", "salesperson")
 
 
+# number of folders: about 20 documents each, however many there are
+FOLDERS = "(SELECT greatest(1, ceil(count(*) / 20))::BIGINT FROM documents)"
+
+
 def _folders(t):
-    """Documents as text files, one folder (notice) for every 50th number."""
+    """Documents as text files, one folder (notice) for about 20 of them."""
     path = _place(t, "folders")
-    rows = t.documents.select("doc_id", F.col("text").alias("value"), (F.col("doc_id") % 50).alias("notice"))
+    rows = t.documents.select("doc_id", F.col("text").alias("value"), (F.col("doc_id") % _parts(t.documents, 20)).alias("notice"))
     rows.repartition("notice").sortWithinPartitions("notice", "doc_id").select("value", "notice").write.partitionBy("notice").text(path)
     return path
 
 
-@query("attachment_files", """SELECT 'notice=' || (doc_id % 50) AS tender_id, CAST(sum(strlen(text) + 1) AS BIGINT) AS file_size, 'txt' AS file_kind FROM documents GROUP BY doc_id % 50""")
+@query("attachment_files", f"""WITH d AS (SELECT doc_id % {FOLDERS} AS notice, text FROM documents)
+  SELECT 'notice=' || notice AS tender_id, CAST(sum(strlen(text) + 1) AS BIGINT) AS file_size, 'txt' AS file_kind FROM d GROUP BY notice""")
 def attachment_files(t):
     files = S.with_file_kind(S.scan_attachments(t.spark, _folders(t), content=True))
     return files.filter(F.endswith("file_name", F.lit(".txt"))).select("tender_id", "file_size", "file_kind")
 
 
-@query("output_files", "SELECT count(DISTINCT doc_id % 50) AS files, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes FROM documents")
+@query("output_files", f"SELECT count(DISTINCT doc_id % {FOLDERS}) AS files, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes FROM documents")
 def output_files(t):
     return S.list_output_files(t.spark, _folders(t), "*.txt").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
 
@@ -115,7 +142,18 @@ def decoded_texts(t):
     return S.decode_text(t.documents.select("doc_id", F.when(F.col("text").rlike(r"^\p{ASCII}*$"), plain).otherwise(wide).alias("content")), "doc_id")
 
 
-@query("parsed_texts", """SELECT 'notice=' || (doc_id % 50) AS tender_id, string_agg(text || chr(10), '' ORDER BY doc_id) AS text FROM documents GROUP BY doc_id % 50""")
+@query("decoded_notices", """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '中标' || o_orderpriority WHEN 1 THEN '中标' || o_orderpriority
+  WHEN 2 THEN chr(131072) || o_orderpriority ELSE o_orderpriority END AS text FROM orders""")
+def decoded_notices(t):
+    """UTF-8, GBK, a character that only GB18030 has, and a byte that no encoding allows."""
+    head = F.lit("中标").cast("binary")
+    for k, code in ((1, "D6D0B1EA"), (2, "95328236"), (3, "FF")):  # 中标 in GBK, U+20000 in GB18030
+        head = F.when(F.col("o_orderkey") % 4 == k, F.unhex(F.lit(code))).otherwise(head)
+    return S.decode_text(t.orders.select("o_orderkey", F.concat(head, F.encode("o_orderpriority", "UTF-8")).alias("content")), "o_orderkey")
+
+
+@query("parsed_texts", f"""WITH d AS (SELECT doc_id, doc_id % {FOLDERS} AS notice, text FROM documents)
+  SELECT 'notice=' || notice AS tender_id, string_agg(text || chr(10), '' ORDER BY doc_id) AS text FROM d GROUP BY notice""")
 def parsed_texts(t):
     root = _folders(t)
     manifest = S.scan_attachments(t.spark, root).filter(F.endswith("file_name", F.lit(".txt"))).select(
@@ -166,15 +204,16 @@ _LONG = "采购需求说明" * 20
 @query("stream_upsert", f"""WITH f AS (SELECT user_id, arg_max(event_type, event_id) AS kind FROM events GROUP BY 1)
   SELECT 'u' || user_id AS url, '{_LONG}' || kind AS content, CASE kind WHEN 'click' THEN 'matched' ELSE 'filtered' END AS status FROM f""")
 def stream_upsert(t):
-    """Events arrive as notices in three files, one micro-batch each; the last one of a user decides."""
+    """Events arrive as notices in three folders, one micro-batch each; the last one of a user decides."""
     place = _place(t, "upsert")
     rows = t.events.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("url"), F.lit("notice").alias("project_name"),
                            F.concat(F.lit(_LONG), "event_type").alias("content"), F.col("event_id").alias("seq"))
     third = -(-t.events.count() // 3)
     for k in range(3):
-        rows.filter(F.least(F.floor(F.col("seq") / third), F.lit(2)) == k).coalesce(1).write.mode("append").json(f"{place}/in")
-    store = N.upsert_store(f"{place}/out", "url", ["content_seq"], {"clicks": {"keywords": ["click"], "exclude": []}},
-                           "url string, project_name string, content string, content_seq long, status string, category string, match_reason string")
-    stream = N.notice_stream(t.spark, f"{place}/in", rows.schema, files_per_batch=1).withColumnRenamed("seq", "content_seq")
-    stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{place}/checkpoint").foreachBatch(store).start().awaitTermination()
-    return N.read_store(t.spark, f"{place}/out").select("url", "content", "status")
+        rows.filter(F.least(F.floor(F.col("seq") / third), F.lit(2)) == k).write.json(f"{place}/in/{k}")
+    schema = "url string, project_name string, content string, content_seq long, status string, category string, match_reason string"
+    store = N.upsert_store(f"{place}/out", "url", ["content_seq"], {"clicks": {"keywords": ["click"], "exclude": []}}, schema)
+    for k in range(3):
+        stream = N.notice_stream(t.spark, f"{place}/in/[0-{k}]", rows.schema).withColumnRenamed("seq", "content_seq")
+        stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{place}/checkpoint").foreachBatch(store).start().awaitTermination()
+    return N.open_store(t.spark, f"{place}/out", "url", schema).read().select("url", "content", "status")

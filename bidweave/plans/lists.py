@@ -1,5 +1,6 @@
 """Notice lists, counts and summaries."""
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -9,6 +10,8 @@ from bidweave.operators import filters as L
 from bidweave.operators import stats as S
 from bidweave.operators import tables as T
 from bidweave.plans.registry import NOTICES, query
+from bidweave.plans.updates import CANON
+from bidweave.session import shared_dir
 
 
 @query("tender_list_filtered", f"""WITH {NOTICES} SELECT tender_id, project_name, publish_date, announce_type, province, city, budget_amount,
@@ -31,6 +34,15 @@ def tender_page(t):
     return T.page(rows, [F.col("publish_date").desc(), F.col("tender_id").desc()], 3, 20)
 
 
+@query("deep_page", """SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey LIMIT 20 OFFSET 39980""")
+def deep_page(t):
+    """Page 2000 from a table of positions: one folder of it is read."""
+    path = f"{shared_dir(t.spark).rstrip('/')}/positions/{uuid.uuid4().hex}"
+    T.write_positions(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"),
+                      [F.col("l_extendedprice").desc(), F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")], path, 5000)
+    return T.page_at(t.spark, path, 2000, 20, 5000).drop("l_partkey")
+
+
 @query("latest_notices", "SELECT o_orderkey AS tender_id FROM orders ORDER BY o_orderkey DESC LIMIT 100")
 def latest_notices(t):
     return T.latest(t.orders.select(F.col("o_orderkey").alias("tender_id")), 100, "tender_id")
@@ -208,8 +220,11 @@ def category_counts(t):
 SITE = r"^(https?)://(?:www\.|m\.|blog\.)?([^/?#]*)"
 
 
-@query("dedup_stats", r"""WITH u AS (SELECT lower(regexp_extract(url, '^https?://([^/?#]*)', 1)) AS page FROM pages), g AS (SELECT page, count(*) AS n FROM u GROUP BY 1)
-  SELECT CAST(sum(n) AS BIGINT) AS raw, count(*) AS "unique", CAST(sum(n - 1) AS BIGINT) AS duplicate, CAST(0 AS BIGINT) AS no_url FROM g""")
+@query("dedup_stats", f"""WITH u AS (SELECT {CANON} AS page FROM (SELECT CASE WHEN page_id % 9 = 0 THEN NULL ELSE url END AS url FROM pages UNION ALL SELECT url FROM pages WHERE page_id % 4 = 0)),
+  g AS (SELECT page, count(*) AS n FROM u GROUP BY 1)
+  SELECT CAST(sum(n) AS BIGINT) AS raw, count(page) AS "unique", CAST(coalesce(sum(n - 1) FILTER (page IS NOT NULL), 0) AS BIGINT) AS duplicate,
+    CAST(coalesce(sum(n) FILTER (page IS NULL), 0) AS BIGINT) AS no_url FROM g""")
 def dedup_stats(t):
-    home = F.concat(F.lit("http://"), F.regexp_extract("url", r"^https?://([^/?#]*)", 1))
-    return S.dedup_stats(t.pages.select(home.alias("url")))
+    """Whole URLs; every ninth row has none, and every fourth page is listed again."""
+    listed = t.pages.select(F.when(F.col("page_id") % 9 != 0, F.col("url")).alias("url"))
+    return S.dedup_stats(listed.unionByName(t.pages.filter("page_id % 4 = 0").select("url")))

@@ -43,6 +43,30 @@ def content_region(t):
     return t.pages.select("page_id", H.content_region("html").alias("content"))
 
 
+@query("content_regions", f"""SELECT page_id, CASE page_id % 5 WHEN 4 THEN {to_text(_P)} ELSE (CASE page_id % 5 WHEN 0 THEN 'notice ' WHEN 1 THEN 'detail ' WHEN 2 THEN 'old ' ELSE 'detail ' END)
+  || page_id || chr(10) || 'inner' END AS content FROM pages""")
+def content_regions(t):
+    """Pages with each of the regions, with an empty notice area before a detail block, and without any."""
+    block = lambda attribute, text: F.concat(F.lit(f"<div {attribute}>{text} "), F.col("page_id").cast("string"), F.lit("<div>inner</div></div>"))
+    notice, detail, old = block('id="noticeArea"', "notice"), block('class="a vF_detail_content"', "detail"), block('class="detail_content"', "old")
+    empty = F.lit('<div id="noticeArea"><style>p{}</style> </div>')
+    page = F.col("html")
+    for k, parts in enumerate(([old, detail, notice], [old, detail], [old], [empty, detail])):
+        page = F.when(F.col("page_id") % 5 == k, F.concat(*parts, F.col("html"))).otherwise(page)
+    return t.pages.select("page_id", H.content_region(page).alias("content"))
+
+
+@query("detail_urls", """SELECT page_id, 'http://www.example.com/' || c || '/' || page_id || '.htm' AS detail_url FROM pages, (VALUES ('cggg'), ('zxgg')) AS v(c)
+  WHERE c = 'cggg' OR page_id % 3 = 0""")
+def detail_urls(t):
+    """List pages with a repeated detail link, one of another channel, one of an unknown channel and one of another host."""
+    link = lambda host, channel: F.concat(F.lit(f'<a href="http://{host}/{channel}/'), F.col("page_id").cast("string"), F.lit('.htm">x</a>'))
+    here = "www.example.com"
+    second = F.when(F.col("page_id") % 3 == 0, link(here, "zxgg")).otherwise(F.lit(""))
+    page = F.concat("html", link(here, "cggg"), second, link(here, "cggg"), link(here, "news"), link("other.example.com", "cggg"))
+    return G.detail_urls(t.pages.select("page_id", page.alias("html")), "page_id", host=r"http://www\.example\.com/")
+
+
 @query("page_records", f"SELECT page_id, {TITLE} AS title, {to_text(_P)} AS content FROM pages")
 def page_records(t):
     return (G.parse_pages(t.pages.withColumn("url", F.concat(F.lit("http://p/"), F.col("page_id").cast("string"))))
