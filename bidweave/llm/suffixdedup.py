@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from bidweave.llm import words as W
-from bidweave.llm.common import scratch, stored
+from bidweave.llm.common import scratch
 
 BLOCK = 4 << 20  # bytes of texts in a block
 STEP = 1 << 20  # windows looked at together
@@ -307,6 +307,7 @@ def sending(width: int, buckets: int, slots: int):
         if heavy.any():
             runs = single(data, *runs, heavy)
         starts, sizes, keys, rows = runs
+        block = table["block"][0].as_py()
         slot = (keys % np.uint64(slots)).astype(np.int64)
         order = np.lexsort((keys, slot))
         starts, sizes, keys, rows, slot = starts[order], sizes[order], keys[order], rows[order], slot[order]
@@ -324,15 +325,17 @@ def sending(width: int, buckets: int, slots: int):
                                  (keys[part] >> np.uint64(33)).astype(np.int32), docs[rows[part]], pack.compress(text.tobytes(), asbytes=True)))
         done = np.concatenate([*done, np.zeros(0, np.int64)]).astype(np.int64)
         start, end, row = merged((starts - offsets[rows])[done], (starts - offsets[rows] + sizes)[done], rows[done])
-        sent.append((-1, names[row], start, end - start, row[:0], row[:0], b""))
+        sent.append((-1 - block % slots, names[row], start, end - start, row[:0], row[:0], b""))
         slots_, *lists, owners, packed = zip(*sent)
-        return pa.table([pa.array([table["block"][0].as_py()] * len(sent), pa.int64()), pa.array(slots_, pa.int32()),
+        return pa.table([pa.array([block] * len(sent), pa.int64()), pa.array(slots_, pa.int32()),
                          *[_lists(c) for c in lists], _lists(owners, np.int64), pa.array(packed, pa.binary())], names=RUNS.names)
     return send
 
 
 def sorting(width: int):
     def sort(table: pa.Table) -> pa.Table:
+        if table["slot"][0].as_py() < 0:  # ranges that their block has covered by itself pass
+            return table.select(COVERED.names)
         rows, starts, sizes, docs, keys = (_flat(table[c]) for c in ("rows", "starts", "sizes", "docs", "keys"))
         lengths, unpack = sizes.astype(np.int64) + width - 1, pa.Codec("zstd")
         data = np.concatenate([np.zeros(0, np.uint8), *[
@@ -415,10 +418,8 @@ def drop_repeats(docs: DataFrame, width: int = 50, block: int = BLOCK, hot: int
     buckets, slots = max(1, math.ceil(blocks * block / (32 << 20))), blocks
     asked = base.groupBy("block").applyInArrow(asking(width, buckets), from_arrow_schema(ASKED))
     answers = asked.groupBy("bucket").applyInArrow(answering(hot), from_arrow_schema(ANSWERS))
-    runs = stored(base.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        sending(width, buckets, slots), from_arrow_schema(RUNS)), "runs")
-    refined = runs.filter("slot >= 0").groupBy("slot").applyInArrow(sorting(width), from_arrow_schema(COVERED))
-    covered = refined.unionByName(runs.filter("slot < 0").select("block", "rows", "starts", "sizes"))
+    runs = base.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(sending(width, buckets, slots), from_arrow_schema(RUNS))
+    covered = runs.groupBy("slot").applyInArrow(sorting(width), from_arrow_schema(COVERED))
     kept = base.groupBy("block").cogroup(covered.groupBy("block")).applyInArrow(taking_out(width), from_arrow_schema(KEPT))
     docs.sparkSession.sql(f"DROP TABLE {name}")  # the files stay as long as the session, and the plan names them
     return kept
