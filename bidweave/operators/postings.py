@@ -1,16 +1,19 @@
 """Inverted postings in blocks of documents, with the largest part of a score that each list holds.
 
-A block is a run of documents that one task sees together, in the order of their ids. For each of its terms there is one row: the
-places of the documents inside the block, how often they name the term, their lengths, and `best`, the most that the term can add to
-the score of a document of the block. Lists are as long as a block at most, so a frequent term has many rows. Stored rows are
-bucketed and sorted by term: a search opens the buckets of its terms and reads nothing else.
+A block is a run of documents that one task sees together, in the order of their ids. It is one row of bounded size: its terms, for each
+term the places of its documents and how often they name it, and the ids and lengths of all its documents. An index that is
+built and searched in one session stays like this, and no posting is ever moved.
 
-Scoring groups the rows of the asked terms by block and adds up the parts of all queries in one matrix of bounded size.
+A stored index holds one row per term and block: places, counts, lengths and `best`, the most that the term can add to the score of a
+document of the block. Lists are as long as a block at most, so a frequent term has many rows. The rows are bucketed and
+sorted by term: a search opens the buckets of its terms and reads nothing else, and it knows from `best` which blocks it can leave out.
+
+Scoring adds up the parts of all queries in one matrix of bounded size per block.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-BLOCK_DOCS = 1000
+BLOCK_DOCS, BLOCK_TOKENS = 1000, 2_000_000  # a block ends with either
 CELLS = 4 * 1024 * 1024  # scores, or postings, that a step holds at once: 32 MiB
 PUSHED_TERMS = 500  # up to so many terms are pushed into the scan
 
@@ -34,26 +37,30 @@ def part(tf, dl, avgdl: float):
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
-def _type(df: DataFrame, name: str) -> str:
-    return df.schema[name].dataType.simpleString()
+def _ints(values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values.astype(np.int32)))
 
 
-def _lists(values: np.ndarray, starts: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)).astype(np.int32)), pa.array(values.astype(np.int32)))
+def _flat(column: pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays([c.flatten() for c in column.chunks])
 
 
 def invert(rows: DataFrame, keep: tuple[str, ...] = (), block_docs: int = BLOCK_DOCS) -> DataFrame:
-    """Rows of postings (block, term, places, tfs, dls) and, without a term, one row per block: the ids and kept columns of its
-    documents and their lengths. rows: doc_id, kept columns, _tokens."""
+    """One row per block: terms, ends (of the lists of the terms in places and tfs), places, tfs, dls (lengths of the documents), and the
+    ids and kept columns of the documents as arrays with a leading underscore. rows: doc_id, kept columns, _tokens."""
     named = ["doc_id", *keep]
-    ddl = ", ".join(["block long", "term string", "places array<int>", "tfs array<int>", "dls array<int>",
-                     *[f"`_{c}` array<{_type(rows, c)}>" for c in named]])
+    kinds = [f"`_{c}` array<{rows.schema[c].dataType.simpleString()}>" for c in named]
+    ddl = ", ".join(["block long, terms array<string>, ends array<int>, places array<int>, tfs array<int>, dls array<int>", *kinds])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for low in range(0, batch.num_rows, block_docs):
-                piece = batch.slice(low, block_docs)
+            held = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(len(named))), 0).to_numpy().astype(np.int64))
+            low = 0
+            while low < batch.num_rows:
+                most = int(np.searchsorted(held, (held[low - 1] if low else 0) + BLOCK_TOKENS, "right"))
+                high = min(low + block_docs, max(low + 1, most))
+                piece = batch.slice(low, high - low)
                 piece = piece.take(pc.sort_indices(piece.column(0), null_placement="at_start"))
                 tokens, n = piece.column(len(named)), piece.num_rows
                 lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy().astype(np.int64)
@@ -61,87 +68,87 @@ def invert(rows: DataFrame, keep: tuple[str, ...] = (), block_docs: int = BLOCK_
                 codes = pc.fill_null(found.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
                 keys = (codes * n + np.repeat(np.arange(n), lengths))[codes >= 0]
                 keys, tfs = np.unique(keys, return_counts=True)
-                starts = np.searchsorted(keys, np.arange(len(found.dictionary)) * n)
-                places = keys % max(n, 1)
-                terms, ints = len(found.dictionary), pa.list_(pa.int32())
-                kept = [pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), piece.column(i)) for i in range(len(named))]
+                ends = np.searchsorted(keys, (np.arange(len(found.dictionary)) + 1) * n)
+                one = pa.array([0, n], pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([block] * terms, pa.int64()), found.dictionary.cast(pa.string()), _lists(places, starts), _lists(tfs, starts),
-                     _lists(lengths[places], starts), *[pa.nulls(terms, c.type) for c in kept]], names=_names(named))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([block], pa.int64()), pa.nulls(1, pa.string()), pa.nulls(1, ints), pa.nulls(1, ints),
-                     _lists(lengths, np.zeros(1, np.int64)), *kept], names=_names(named))
-                block += 1
+                    [pa.array([block], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ends)], pa.int32()), found.dictionary.cast(pa.string())),
+                     _ints(ends), _ints(keys % n), _ints(tfs), _ints(lengths), *[pa.ListArray.from_arrays(one, piece.column(i)) for i in range(len(named))]],
+                    names=["block", "terms", "ends", "places", "tfs", "dls", *[f"_{c}" for c in named]])
+                block, low = block + 1, high
 
     return rows.select(*named, "_tokens").mapInArrow(run, ddl)
 
 
-def _names(named: list[str]) -> list[str]:
-    return ["block", "term", "places", "tfs", "dls", *[f"_{c}" for c in named]]
+def term_counts(blocks: DataFrame) -> DataFrame:
+    """(term, df) rows of each block."""
+    sizes = F.transform("ends", lambda e, i: e - F.coalesce(F.get("ends", i - 1), F.lit(0)))
+    return blocks.select(F.explode(F.arrays_zip(F.col("terms").alias("term"), sizes.alias("df"))).alias("t")).select("t.term", "t.df")
 
 
-def best_part(avgdl: float) -> Column:
-    """The largest part in a row of postings."""
-    pairs = F.arrays_zip(F.col("tfs").alias("tf"), F.col("dls").alias("dl"))
-    return F.array_max(F.transform(pairs, lambda p: part(p["tf"], p["dl"], float(avgdl))))
+def lists_of(blocks: DataFrame, avgdl: float) -> DataFrame:
+    """(term, block, places, tfs, dls, best): the form of a stored index, one row per term and block."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                terms, ends, places, tfs, dls = (batch.column(c).slice(i, 1).flatten() for c in range(1, 6))
+                starts = np.append(0, ends.to_numpy())
+                lengths = dls.to_numpy()[places.to_numpy()]
+                best = part(tfs.to_numpy().astype(np.float64), lengths.astype(np.float64), avgdl)
+                best = np.maximum.reduceat(best, starts[:-1]) if len(terms) else best  # every term of a block has a document
+                lists = [pa.ListArray.from_arrays(pa.array(starts, pa.int32()), c) for c in (places, tfs, pa.array(lengths, pa.int32()))]
+                yield from pa.table([terms, pa.array([batch.column(0)[i].as_py()] * len(terms), pa.int64()), *lists, pa.array(best)],
+                                    names=["term", "block", "places", "tfs", "dls", "best"]).to_batches(10_000)
+
+    return blocks.select("block", "terms", "ends", "places", "tfs", "dls").mapInArrow(
+        run, "term string, block long, places array<int>, tfs array<int>, dls array<int>, best double")
 
 
 def documents(blocks: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, dl, kept columns), one row per document."""
     named = ["doc_id", *keep]
     rows = F.arrays_zip(F.col("dls").alias("dl"), *[F.col(f"_{c}").alias(c) for c in named])
-    return blocks.select(F.explode(rows).alias("d")).select(
-        *[F.col("d")[c].alias(c) for c in named], F.col("d")["dl"].cast("long").alias("dl"))
-
-
-def of_terms(postings: DataFrame, terms: list[str] | None, wanted: DataFrame) -> DataFrame:
-    """The postings of some terms. A short list is pushed into the scan, where it selects buckets and row groups."""
-    if terms is not None and len(terms) <= PUSHED_TERMS:
-        return postings.filter(F.col("term").isin(terms))
-    return postings.join(F.broadcast(wanted.select("term").distinct()), "term", "left_semi")
+    return blocks.select(F.explode(rows).alias("d")).select(*[F.col("d")[c].alias(c) for c in named], F.col("d")["dl"].cast("long").alias("dl"))
 
 
-def score_blocks(postings: DataFrame, blocks: DataFrame, asked, avgdl: float, qid_type: str, keep: tuple[str, ...] = (),
-                 k: int | None = None, accept: str | None = None, only: bool = False) -> DataFrame:
-    """(qid, doc_id, kept columns, score) of the documents that share a term with a query.
+class Scorer:
+    """Scores of the documents of a block for many queries: (qid, doc_id, kept columns, score) of those that share a term with a query.
 
-    asked: broadcast (qids, {term: (numbers of queries, weights)}). With k, each block passes on its best k per query, of the
-    accepted and of the other documents where `accept` names a kept boolean. With `only`, a block scores the queries
-    whose numbers its column `asking` lists.
+    asked: broadcast (qids, terms, numbers of the queries and weights per term). With k, a block passes on its best k per query, of the
+    accepted and of the other documents where `accept` names a kept boolean.
     """
-    named = ["doc_id", *keep]
-    types = {c: blocks.schema[f"_{c}"].dataType.elementType.simpleString() for c in named}
-    ddl = ", ".join([f"qid {qid_type}", *[f"`{c}` {types[c]}" for c in named], "score double"])
 
-    nothing = to_arrow_schema(StructType.fromDDL(ddl)).empty_table()
+    def __init__(self, asked, avgdl: float, qid_type: str, blocks: DataFrame, keep: tuple[str, ...] = (), k: int | None = None, accept: str | None = None):
+        self.asked, self.avgdl, self.k, self.accept, self.named = asked, avgdl, k, accept, ["doc_id", *keep]
+        types = {c: blocks.schema[f"_{c}"].dataType.elementType.simpleString() for c in self.named}
+        self.ddl = ", ".join([f"qid {qid_type}", *[f"`{c}` {types[c]}" for c in self.named], "score double"])
+        self.schema = to_arrow_schema(StructType.fromDDL(self.ddl))
 
-    def choose(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
+    def _choose(self, scores: np.ndarray, at: np.ndarray) -> np.ndarray:
+        k = self.k
         if k is not None and len(at) > k:
             kth = np.partition(scores[at], len(at) - k)[len(at) - k]
             at = at[scores[at] >= kth]
             at = at[np.argsort(-scores[at], kind="stable")[:k]]  # places follow the ids, so ties go to the lower id
         return at
 
-    def cell(lists: pa.Table, block: pa.Table) -> pa.Table:
-        if not lists.num_rows or not block.num_rows:
-            return nothing
-        qids, known = asked.value
-        wanted = [known[t] for t in lists["term"].to_pylist()]
+    def score(self, numbers: np.ndarray, starts: np.ndarray, lengths: np.ndarray, places: np.ndarray, parts: Callable[[np.ndarray], np.ndarray],
+              columns: list[pa.Array], only: list[int] | None = None) -> pa.Table:
+        """numbers: the asked terms that the block holds; their lists lie at starts in places and are lengths long."""
+        qids, _, known = self.asked.value
+        wanted = [known[n] for n in numbers.tolist()]
+        size = len(columns[0])
+        if not wanted or not size:
+            return self.schema.empty_table()
         row = np.repeat(np.arange(len(wanted)), [len(q) for q, _ in wanted])
         number, weight = (np.concatenate(c) for c in zip(*wanted))
         order = np.argsort(number, kind="stable")
-        if only:
-            order = order[np.isin(number[order], np.asarray(block["asking"][0].as_py()))]
+        if only is not None:
+            order = order[np.isin(number[order], np.asarray(only))]
         row, number, weight = row[order], number[order], weight[order]
-        columns = [_flat(block[f"_{c}"]) for c in named]
-        size = len(columns[0])
         groups = [np.ones(size, bool)]
-        if accept:
-            ok = pc.fill_null(columns[named.index(accept)], False).to_numpy(zero_copy_only=False)
+        if self.accept:
+            ok = pc.fill_null(columns[self.named.index(self.accept)], False).to_numpy(zero_copy_only=False)
             groups = [ok, ~ok]
-        lengths = pc.list_value_length(lists["places"]).to_numpy().astype(np.int64)
-        starts, places = np.cumsum(lengths) - lengths, _flat(lists["places"]).to_numpy()
-        parts = part(_flat(lists["tfs"]).to_numpy().astype(np.float64), _flat(lists["dls"]).to_numpy().astype(np.float64), avgdl)
         out = []
         heads = np.append(np.flatnonzero(np.append(True, np.diff(number) != 0)), len(number)) if len(number) else np.zeros(1, np.int64)
         step = max(1, CELLS // (8 * size))
@@ -156,23 +163,62 @@ def score_blocks(postings: DataFrame, blocks: DataFrame, asked, avgdl: float, qi
                 n = lengths[take]
                 at = np.repeat(starts[take] - np.cumsum(n) + n, n) + np.arange(n.sum())
                 target = np.repeat(line[first:last] * size, n) + places[at]
-                scores += np.bincount(target, np.repeat(weight[a + first:a + last], n) * parts[at], len(scores))
+                scores += np.bincount(target, np.repeat(weight[a + first:a + last], n) * parts(at), len(scores))
                 touched[target] = True
                 first = last
             # the same grid as `settle`: results must not depend on the order of summation
             scores, touched = (np.rint(scores * 1e9) / 1e9).reshape(-1, size), touched.reshape(-1, size)
             for i, q in enumerate(asking):
                 for group in groups:
-                    hit = choose(scores[i], np.flatnonzero(touched[i] & group))
+                    hit = self._choose(scores[i], np.flatnonzero(touched[i] & group))
                     out.append((np.full(len(hit), q), hit, scores[i][hit]))
         if not out:
-            return nothing
+            return self.schema.empty_table()
         q, at, score = (np.concatenate(c) for c in zip(*out))
-        return pa.table([qids.take(pa.array(q)), *[c.take(pa.array(at)) for c in columns], pa.array(score)], names=["qid", *named, "score"])
-
-    return postings.select("block", "term", "places", "tfs", "dls").groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(cell, ddl)
-
-
-def _flat(column: pa.ChunkedArray) -> pa.Array:
-    return pa.concat_arrays([c.flatten() for c in column.chunks])
-
+        return pa.table([qids.take(pa.array(q)), *[c.take(pa.array(at)) for c in columns], pa.array(score)], names=["qid", *self.named, "score"])
+
+    def in_place(self, blocks: DataFrame) -> DataFrame:
+        """Scores of blocks where they lie."""
+        me = self
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            terms = me.asked.value[1]
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    held, ends, places, tfs, dls = (batch.column(c).slice(i, 1).flatten() for c in range(1, 6))
+                    number = pc.index_in(held, value_set=terms)
+                    at = np.flatnonzero(number.is_valid().to_numpy(zero_copy_only=False))
+                    number = pc.fill_null(number, 0).to_numpy(zero_copy_only=False)[at]
+                    ends = ends.to_numpy().astype(np.int64)
+                    starts = np.append(0, ends[:-1])[at]
+                    places, tfs, dls = places.to_numpy(), tfs.to_numpy(), dls.to_numpy()
+                    parts = lambda p: part(tfs[p].astype(np.float64), dls[places[p]].astype(np.float64), me.avgdl)  # noqa: B023, E731
+                    columns = [batch.column(c).slice(i, 1).flatten() for c in range(6, 6 + len(me.named))]
+                    yield from me.score(number, starts, ends[at] - starts, places, parts, columns).to_batches()
+
+        return blocks.select("block", "terms", "ends", "places", "tfs", "dls", *[f"_{c}" for c in self.named]).mapInArrow(run, self.ddl)
+
+    def of_lists(self, lists: DataFrame, blocks: DataFrame) -> DataFrame:
+        """Scores from the lists of a stored index. Where blocks have a column `asking`, a block scores the queries with those numbers."""
+        me = self
+
+        def cell(rows: pa.Table, block: pa.Table) -> pa.Table:
+            if not rows.num_rows or not block.num_rows:
+                return me.schema.empty_table()
+            numbers = pc.index_in(rows["term"], value_set=me.asked.value[1]).to_numpy()
+            lengths = pc.list_value_length(rows["places"]).to_numpy().astype(np.int64)
+            places, tfs, dls = (_flat(rows[c]).to_numpy() for c in ("places", "tfs", "dls"))
+            parts = lambda p: part(tfs[p].astype(np.float64), dls[p].astype(np.float64), me.avgdl)
+            only = block["asking"][0].as_py() if "asking" in block.column_names else None
+            return me.score(numbers, np.cumsum(lengths) - lengths, lengths, places, parts, [_flat(block[f"_{c}"]) for c in me.named], only)
+
+        rows = lists.select("block", "term", "places", "tfs", "dls")
+        return rows.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(cell, self.ddl)
+
+
+def of_terms(lists: DataFrame, terms: list[str]) -> DataFrame:
+    """The lists of some terms. A short choice is pushed into the scan, where it selects buckets and row groups."""
+    if len(terms) <= PUSHED_TERMS:
+        return lists.filter(F.col("term").isin(terms))
+    wanted = lists.sparkSession.createDataFrame(pa.table({"term": pa.array(terms, pa.string())}))
+    return lists.join(F.broadcast(wanted), "term", "left_semi")  # as many as a task holds of the queries

@@ -1,8 +1,8 @@
 """Keyword (BM25) and vector search for many queries at once.
 
 The keyword index holds inverted postings in blocks of documents (operators.postings); texts and tokens never move.
-A search reads the lists of its terms. In a large index it bounds the scores of each block first, and blocks that
-cannot reach the k-th score are neither read nor scored. Every block passes on its best k only.
+A block is scored for all queries at once and passes on its best k. A stored index is read by term; a large one bounds
+the scores of each block first, and blocks that cannot reach the k-th score are neither read nor scored.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from bidweave.operators.keys import BROADCAST_ROWS, ROWS_PER_SALT, top_k, top_k_
 from bidweave.session import cut
 
 EPSILON = 0.25  # Okapi constant: the floor for terms in most documents
-PRUNE_BLOCKS = 64  # a larger index is searched in two rounds
+PRUNE_DOCS = 64_000  # a larger stored index is searched in two rounds
 FIRST_BLOCKS = 4  # blocks per query in the first round
 BROADCAST_BYTES = 64 * 1024 * 1024
 RESULT_CELLS = 4 * 1024 * 1024  # scores that a step holds at once: 32 MiB
@@ -78,21 +78,26 @@ EVERY = ""
 
 @dataclass
 class BM25Index:
-    """postings and blocks as in operators.postings, counts(term, df, length), and three numbers:
+    """blocks and, of a stored index, lists as in operators.postings, counts(term, df, length), and three numbers:
     documents, mean length, mean raw idf. keep: further columns of the documents."""
 
-    postings: DataFrame
     blocks: DataFrame
     counts: DataFrame
     n_docs: int
     avgdl: float
     mean_idf: float
     keep: tuple[str, ...] = ()
+    lists: DataFrame | None = None
 
     @property
     def docs(self) -> DataFrame:
         return P.documents(self.blocks, self.keep)
 
+    @property
+    def postings(self) -> DataFrame:
+        """(term, block, places, tfs, dls, best), one row per term and block."""
+        return P.lists_of(self.blocks, self.avgdl) if self.lists is None else self.lists
+
     @property
     def terms(self) -> DataFrame:
         """(term, df, idf). A negative idf (term in more than half of the documents) is replaced
@@ -106,12 +111,13 @@ def _raw_idf(n_docs: int) -> Column:
     return F.log(F.lit(float(n_docs)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
 
 
-def document_counts(rows: DataFrame) -> DataFrame:
-    """(term, df, length) from rows of postings: a row counts its documents, and the empty term that stands for
-    all documents carries the lengths."""
+def document_counts(blocks: DataFrame) -> DataFrame:
+    """(term, df, length): the blocks that hold a term add up its documents; the empty term that stands for all
+    documents carries the lengths."""
     length = F.aggregate("dls", F.lit(0).cast("long"), lambda n, x: n + x)
-    every = rows.select(F.coalesce("term", F.lit(EVERY)).alias("term"), F.size("dls").alias("n"), F.when(F.col("term").isNull(), length).alias("length"))
-    return every.groupBy("term").agg(F.sum("n").alias("df"), F.sum("length").alias("length"))
+    whole = blocks.agg(F.sum(F.size("dls")).alias("df"), F.sum(length).alias("length")).select(F.lit(EVERY).alias("term"), "df", "length")
+    terms = P.term_counts(blocks).groupBy("term").agg(F.sum("df").alias("df"))
+    return terms.withColumn("length", F.lit(None).cast("long")).unionByName(whole.filter("df > 0"))
 
 
 def corpus_stats(counts: DataFrame) -> DataFrame:
@@ -122,27 +128,25 @@ def corpus_stats(counts: DataFrame) -> DataFrame:
 
 def bm25_index(df: DataFrame, key: str, text: str = "text", mode: str | Callable[[Column], Column] = "words", keep: tuple[str, ...] = (),
                block_docs: int = P.BLOCK_DOCS) -> BM25Index:
-    """Index of a corpus. Documents are tokenised once, where they lie, and inverted block by block; postings and
+    """Index of a corpus. Documents are tokenised once, where they lie, and inverted block by block; the blocks and
     the term table are stored. Use write_index to keep them under a name."""
     rows = df.select(F.col(key).alias("doc_id"), *keep, tokens(text, mode).alias("_tokens"))
-    raw = cut(P.invert(rows, keep, block_docs))
-    counts = cut(document_counts(raw))
+    blocks = cut(P.invert(rows, keep, block_docs))
+    counts = cut(document_counts(blocks))
     whole = corpus_stats(counts).first()
     n, avgdl = (whole["n_docs"], whole["avgdl"]) if whole else (0, 0.0)
     mean = counts.filter(F.col("term") != EVERY).agg(F.avg(_raw_idf(n))).first()[0]
-    # columns of their own, as both tables come from one
-    blocks = raw.filter(F.col("term").isNull()).select(*[F.col(f"`{c}`").alias(c) for c in raw.columns if c not in ("term", "places", "tfs")])
-    postings = raw.filter(F.col("term").isNotNull()).select("block", "term", "places", "tfs", "dls")
-    return BM25Index(postings.withColumn("best", P.best_part(avgdl or 1.0)), blocks, counts, n, avgdl or 1.0, mean or 0.0, tuple(keep))
+    return BM25Index(blocks, counts, n, avgdl or 1.0, mean or 0.0, tuple(keep))
 
 
 def write_index(index: BM25Index, name: str, buckets: int) -> None:
     """Store the index as the tables `<name>_postings` and `<name>_counts`, bucketed and sorted by term, so that a search opens the
-    buckets of its terms only, `<name>_blocks` and the one-row table `<name>_numbers`."""
+    buckets of its terms only, `<name>_blocks` (ids and kept columns) and the one-row table `<name>_numbers`."""
     for part in ("postings", "counts"):
         rows = getattr(index, part).repartition(buckets, "term").sortWithinPartitions("term")
         rows.write.mode("overwrite").format("parquet").bucketBy(buckets, "term").sortBy("term").saveAsTable(f"{name}_{part}")
-    index.blocks.repartitionByRange(buckets, "block").sortWithinPartitions("block").write.mode("overwrite").format("parquet").saveAsTable(f"{name}_blocks")
+    slim = index.blocks.drop("terms", "ends", "places", "tfs").repartitionByRange(buckets, "block").sortWithinPartitions("block")
+    slim.write.mode("overwrite").format("parquet").saveAsTable(f"{name}_blocks")
     numbers = [(index.n_docs, index.avgdl, index.mean_idf, list(index.keep))]
     spark = index.counts.sparkSession
     spark.createDataFrame(numbers, "n_docs long, avgdl double, mean_idf double, keep array<string>").coalesce(1).write.mode(
@@ -153,7 +157,7 @@ def read_index(spark: SparkSession, name: str) -> BM25Index:
     """A stored index; search it any number of times."""
     n = spark.read.table(f"{name}_numbers").first()
     postings, blocks, counts = (spark.read.table(f"{name}_{part}") for part in ("postings", "blocks", "counts"))
-    return BM25Index(postings, blocks, counts, n["n_docs"], n["avgdl"], n["mean_idf"], tuple(n["keep"]))
+    return BM25Index(blocks, counts, n["n_docs"], n["avgdl"], n["mean_idf"], tuple(n["keep"]), postings)
 
 
 def _query_terms(queries: DataFrame, qid: str, text: str, mode: str | Callable[[Column], Column]) -> DataFrame:
@@ -161,12 +165,9 @@ def _query_terms(queries: DataFrame, qid: str, text: str, mode: str | Callable[[
     return tokenize(queries.select(F.col(qid).alias("qid"), F.col(text).alias("text")), "qid", "text", mode)
 
 
-def query_weights(index: BM25Index, queries: DataFrame, qid: str, text: str, mode: str | Callable[[Column], Column] = "words",
-                  terms: list[str] | None = None) -> DataFrame:
-    """(qid, term, weight, df): idf times how often the query names the term. `terms`, if the caller knows them, are pushed
-    into the scan of the term table."""
-    known = index.terms if terms is None else index.terms.filter(F.col("term").isin(terms))
-    return _query_terms(queries, qid, text, mode).join(known, "term").select("qid", "term", (F.col("tf") * F.col("idf")).alias("weight"), "df")
+def query_weights(index: BM25Index, queries: DataFrame, qid: str, text: str, mode: str | Callable[[Column], Column] = "words") -> DataFrame:
+    """(qid, term, weight, df): idf times how often the query names the term."""
+    return _query_terms(queries, qid, text, mode).join(index.terms, "term").select("qid", "term", (F.col("tf") * F.col("idf")).alias("weight"), "df")
 
 
 def _spread(postings: DataFrame, weights: DataFrame, rows_per_salt: int) -> tuple[DataFrame, DataFrame, list[str]]:
@@ -185,40 +186,37 @@ def _spread(postings: DataFrame, weights: DataFrame, rows_per_salt: int) -> tupl
 
 
 class _Asked:
-    """Weighted terms of some queries: as a stored table, and, if they fit, as a broadcast for the block scorer."""
+    """Weighted terms of some queries, as a broadcast for the scorer if they fit, else as a stored table."""
 
     def __init__(self, index: BM25Index, queries: DataFrame, qid: str, text: str, mode, broadcast_rows: int):
-        # one row per query term; stored, because it is used several times and its size decides the plan
-        self.weights = cut(query_weights(index, queries, qid, text, mode))
-        size = self.weights.agg(F.count("*").alias("n"), F.sum(F.octet_length("term")).alias("bytes")).first()
-        self.fits = size["n"] <= broadcast_rows and (size["bytes"] or 0) <= BROADCAST_BYTES
-        if self.fits:
-            self.hold(self.weights.sparkSession, self.weights.toArrow())
-
-    def hold(self, spark: SparkSession, table: pa.Table) -> _Asked:
-        numbers = pc.dictionary_encode(table["qid"].combine_chunks())
-        table = table.append_column("number", numbers.indices).sort_by("term")
-        terms, starts = np.unique(table["term"].to_numpy().astype(object), return_index=True) if table.num_rows else ([], [])
-        ends = [*starts[1:], table.num_rows]
-        number, weight = table["number"].to_numpy().astype(np.int64), table["weight"].to_numpy()
-        known = {t: (number[a:b], weight[a:b]) for t, a, b in zip(terms, starts, ends)}
-        self.qids, self.terms = numbers.dictionary, list(terms)
-        self.block = spark.sparkContext.broadcast((numbers.dictionary, known))
-        return self
+        weights = query_weights(index, queries, qid, text, mode)
+        self.kind = weights.schema["qid"].dataType.simpleString()
+        # one row more than fits: the size is checked by the job that fetches them
+        table = weights.select("qid", "term", "weight").limit(broadcast_rows + 1).toArrow()
+        self.fits = table.num_rows <= broadcast_rows and table.nbytes <= BROADCAST_BYTES
+        if not self.fits:
+            self.weights = cut(weights)
+            return
+        self.table = table
+        numbers, terms = (pc.dictionary_encode(table[c].combine_chunks()) for c in ("qid", "term"))
+        order = np.argsort(terms.indices.to_numpy(), kind="stable")
+        number, weight = numbers.indices.to_numpy().astype(np.int64)[order], table["weight"].to_numpy()[order]
+        cuts = np.searchsorted(terms.indices.to_numpy()[order], np.arange(len(terms.dictionary) + 1))
+        known = [(number[a:b], weight[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
+        self.qids, self.terms = numbers.dictionary, terms.dictionary.to_pylist()
+        self.block = index.counts.sparkSession.sparkContext.broadcast((numbers.dictionary, terms.dictionary, known))
 
 
-def _qid_type(weights: DataFrame) -> str:
-    return weights.schema["qid"].dataType.simpleString()
+def _scored(index: BM25Index, asked: _Asked, keep: tuple[str, ...], k: int | None = None, accept: str | None = None) -> DataFrame:
+    scorer = P.Scorer(asked.block, index.avgdl, asked.kind, index.blocks, keep, k, accept)
+    return scorer.in_place(index.blocks) if index.lists is None else scorer.of_lists(P.of_terms(index.lists, asked.terms), index.blocks)
 
 
 def bm25_scores(index: BM25Index, queries: DataFrame, qid: str, text: str = "text", mode: str | Callable[[Column], Column] = "words",
                 keep: tuple[str, ...] = (), broadcast_rows: int = BROADCAST_ROWS, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
     """(qid, doc_id, score) of every document that shares a term with the query."""
     asked = _Asked(index, queries, qid, text, mode, broadcast_rows)
-    if asked.fits:
-        lists = P.of_terms(index.postings, asked.terms, asked.weights)
-        return P.score_blocks(lists, index.blocks, asked.block, index.avgdl, _qid_type(asked.weights), keep)
-    return _joined_scores(index, asked.weights, keep, rows_per_salt)
+    return _scored(index, asked, keep) if asked.fits else _joined_scores(index, asked.weights, keep, rows_per_salt)
 
 
 def _joined_scores(index: BM25Index, weights: DataFrame, keep: tuple[str, ...], rows_per_salt: int) -> DataFrame:
@@ -233,38 +231,39 @@ def _joined_scores(index: BM25Index, weights: DataFrame, keep: tuple[str, ...],
 
 
 def bm25_best(index: BM25Index, queries: DataFrame, qid: str, text: str, k: int, mode: str | Callable[[Column], Column] = "words",
-              accept: str | None = None, prune_blocks: int = PRUNE_BLOCKS) -> DataFrame:
-    """(qid, doc_id, accepted, score): rows that hold the best k of the accepted and of the other documents of each query."""
+              accept: str | None = None, prune_docs: int = PRUNE_DOCS) -> DataFrame:
+    """(qid, doc_id, accepted, score): rows that hold the best k of the accepted and of the other documents of each query.
+    A stored index of more than `prune_docs` documents is searched in two rounds."""
     keep = (accept,) if accept else ()
     asked = _Asked(index, queries, qid, text, mode, BROADCAST_ROWS)
     if not asked.fits:
         return _joined_scores(index, asked.weights, keep, ROWS_PER_SALT)
-    lists = P.of_terms(index.postings, asked.terms, asked.weights)
-    kind = _qid_type(asked.weights)
-    if index.n_docs <= prune_blocks * P.BLOCK_DOCS:
-        return P.score_blocks(lists, index.blocks, asked.block, index.avgdl, kind, keep, k, accept)
-    return _pruned(index, asked, lists, kind, keep, k, accept)
+    if index.lists is None or index.n_docs <= prune_docs:
+        return _scored(index, asked, keep, k, accept)
+    return _pruned(index, asked, keep, k, accept)
 
 
-def block_bounds(lists: DataFrame, asked: _Asked) -> DataFrame:
+def block_bounds(index: BM25Index, asked: _Asked) -> DataFrame:
     """(qid, block, bound): the most that a document of the block can score. Reads the bounds of the lists, not the lists."""
-    rows = lists.select("term", "block", "best").join(F.broadcast(asked.weights), "term")
+    weights = F.broadcast(index.counts.sparkSession.createDataFrame(asked.table))
+    rows = P.of_terms(index.postings, asked.terms).select("term", "block", "best").join(weights, "term")
     # a margin for the order of summation and for the grid that scores are put on
     bound = F.sum(F.greatest(F.col("weight"), F.lit(0.0)) * F.col("best")) * (1 + 1e-9) + 1e-8
     return rows.groupBy("qid", "block").agg(bound.alias("bound"))
 
 
-def _pruned(index: BM25Index, asked: _Asked, lists: DataFrame, kind: str, keep: tuple[str, ...], k: int, accept: str | None) -> DataFrame:
+def _pruned(index: BM25Index, asked: _Asked, keep: tuple[str, ...], k: int, accept: str | None) -> DataFrame:
     """The blocks of highest bound are scored first; their k-th score then rules out blocks whose bound lies below it."""
-    numbers = F.broadcast(asked.weights.sparkSession.createDataFrame(
+    numbers = F.broadcast(index.counts.sparkSession.createDataFrame(
         pa.table({"qid": asked.qids, "number": pa.array(range(len(asked.qids)), pa.int32())})))
+    scorer, lists = P.Scorer(asked.block, index.avgdl, asked.kind, index.blocks, keep, k, accept), P.of_terms(index.lists, asked.terms)
 
     def score(pairs: DataFrame) -> DataFrame:
         asking = cut(pairs.join(numbers, "qid").groupBy("block").agg(F.collect_list("number").alias("asking")))
         some = lists.join(asking.select("block"), "block", "left_semi")
-        return P.score_blocks(some, index.blocks.join(asking, "block"), asked.block, index.avgdl, kind, keep, k, accept, only=True)
+        return scorer.of_lists(some, index.blocks.join(asking, "block"))
 
-    bounds = cut(block_bounds(lists, asked))
+    bounds = cut(block_bounds(index, asked))
     first = cut(top_k(bounds, FIRST_BLOCKS, [F.col("bound").desc(), F.col("block")], ["qid"]))
     hits = cut(score(first))
     good = hits.filter(F.coalesce(F.col(accept), F.lit(False))) if accept else hits
@@ -275,9 +274,9 @@ def _pruned(index: BM25Index, asked: _Asked, lists: DataFrame, kind: str, keep:
 
 
 def bm25_search(index: BM25Index, queries: DataFrame, qid: str, text: str = "text", k: int = 10,
-                mode: str | Callable[[Column], Column] = "words", prune_blocks: int = PRUNE_BLOCKS) -> DataFrame:
+                mode: str | Callable[[Column], Column] = "words", prune_docs: int = PRUNE_DOCS) -> DataFrame:
     """Top k documents per query with a positive score; ties by id. `rank` is 1-based."""
-    scores = bm25_best(index, queries, qid, text, k, mode, prune_blocks=prune_blocks).filter(F.col("score") > 0)
+    scores = bm25_best(index, queries, qid, text, k, mode, prune_docs=prune_docs).filter(F.col("score") > 0)
     return top_k_staged(scores, k, [F.col("score").desc(), F.col("doc_id")], ["qid"], "doc_id", "rank")
 
 
@@ -290,7 +289,8 @@ def bm25_request(index: BM25Index, text: str, k: int = 10, mode: str | Callable[
     if not known:
         return index.docs.select("doc_id", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
     weight = F.create_map(*[F.lit(x) for t, idf in zip(known["term"].to_pylist(), known["idf"].to_pylist()) for x in (t, asked[t] * idf)])
-    lists = index.postings.filter(F.col("term").isin(known["term"].to_pylist()))
+    # the lists of a block meet once; its documents are scored and the best of them chosen there
+    lists = index.postings.filter(F.col("term").isin(known["term"].to_pylist())).repartition("block")
     rows = lists.select("block", weight[F.col("term")].alias("weight"), F.explode(F.arrays_zip("places", "tfs", "dls")).alias("p"))
     parts = F.col("weight") * P.part(F.col("p.tfs"), F.col("p.dls"), float(index.avgdl))
     scores = rows.groupBy("block", F.col("p.places").alias("place")).agg(settle(F.sum(parts)).alias("score")).filter("score > 0")
@@ -302,7 +302,7 @@ def bm25_request(index: BM25Index, text: str, k: int = 10, mode: str | Callable[
 
 
 def _query_terms_of(spark: SparkSession, text: str, mode) -> dict[str, int]:
-    found = spark.createDataFrame([(text,)], "text string").select(tokens("text", mode).alias("t")).first()["t"]
+    found = spark.sql("SELECT :text AS text", {"text": text}).select(tokens("text", mode).alias("t")).first()["t"]
     return dict(Counter(t for t in found if t is not None))
 
 

@@ -1,5 +1,7 @@
 """Chunks, keyword search, vector search and their fusion."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from bidweave.functions.jsonx import metadata_json
@@ -86,6 +88,28 @@ def bm25_topk(t):
     return found.select("qid", "doc_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+def stored_index(t):
+    name = f"words_{uuid.uuid4().hex}"
+    SE.write_index(index(t), name, 8)
+    return SE.read_index(t.spark, name)
+
+
+@query("bm25_stored", f"""WITH {BM25} SELECT qid, doc_id, round(score, 4) AS score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank
+  FROM sc WHERE score > 0 QUALIFY rank <= 10""")
+def bm25_stored(t):
+    """The same search on an index kept by name: lists are read by term, and blocks below the k-th score are left out."""
+    found = SE.bm25_search(stored_index(t), t.benchmark, "item_id", "text", 10, prune_docs=0)
+    return found.select("qid", "doc_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("bm25_request", f"""WITH {BM25} SELECT doc_id, round(score, 4) AS score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank
+  FROM sc WHERE score > 0 AND qid = (SELECT min(item_id) FROM benchmark) QUALIFY rank <= 10""")
+def bm25_request(t):
+    """One text asked of a stored index."""
+    text = t.benchmark.orderBy("item_id").select("text").first()["text"]
+    return SE.bm25_request(stored_index(t), text, 10).select("doc_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query("vector_topk", f"WITH {vector_sql('SELECT vec_id FROM embeddings', 10, 'SELECT vec_id FROM embeddings')} SELECT qid, doc_id, round(score, 6) AS score, rank FROM vr")
 def vector_topk(t):
     every = t.embeddings.select(F.col("vec_id").alias("id"), "embedding")

@@ -82,20 +82,26 @@ def test_blocks_below_the_kth_score_are_left_out(spark, k):
     data = [(i, " ".join(rng.choice(WORDS) for _ in range(rng.randrange(1, 20))) + (" rare" if i in (7, 150, 390) else ""), i % 3 == 0) for i in range(400)]
     docs = spark.createDataFrame(data, "id int, text string, ok boolean").repartition(3)
     queries = spark.createDataFrame([(0, "rare alpha"), (1, "beta gamma 卫星"), (2, "rare"), (3, "nothing"), (4, "alpha")], "qid int, text string")
-    index = SE.bm25_index(docs, "id", keep=("ok",), block_docs=10)
+    built = SE.bm25_index(docs, "id", keep=("ok",), block_docs=10)
+    SE.write_index(built, f"pruned{k}", 4)
+    index = SE.read_index(spark, f"pruned{k}")
     for accept in (None, "ok"):
         channel = []
-        for blocks in (0, 10_000):
-            found = SE.bm25_best(index, queries, "qid", "text", k, accept=accept, prune_blocks=blocks).filter("score > 0")
+        for ix, most in ((index, 0), (index, 10_000), (built, 0)):
+            found = SE.bm25_best(ix, queries, "qid", "text", k, accept=accept, prune_docs=most).filter("score > 0")
             if accept:
                 found = found.filter("ok")
             channel.append(sorted(map(tuple, SE.top_k(found, k, [F.col("score").desc(), F.col("doc_id")], ["qid"], "rank").collect())))
-        assert channel[0] == channel[1] and channel[0]
+        assert channel[0] == channel[1] == channel[2] and channel[0]
     asked = SE._Asked(index, queries, "qid", "text", "words", 1000)
-    bounds = {(r.qid, r.block): r.bound for r in SE.block_bounds(index.postings, asked).collect()}
+    bounds = {(r.qid, r.block): r.bound for r in SE.block_bounds(index, asked).collect()}
     blocks = {r.doc_id: r.block for r in index.blocks.select("block", F.explode("_doc_id").alias("doc_id")).collect()}
-    for r in SE.bm25_scores(index, queries, "qid").collect():
-        assert r.score <= bounds[r.qid, blocks[r.doc_id]]
+    assert len(set(blocks.values())) >= 40
+    scores = SE.bm25_scores(index, queries, "qid").collect()
+    assert all(r.score <= bounds[r.qid, blocks[r.doc_id]] for r in scores)
+    if k == 1:  # what the first round leaves for the query with a rare term
+        best = max(r.score for r in scores if r.qid == 0)
+        assert sum(b >= best for (q, _), b in bounds.items() if q == 0) <= 3
 
 
 def test_char_tokens(spark):
