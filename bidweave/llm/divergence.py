@@ -3,10 +3,11 @@
 Every text is compared with the reference of its language: the histogram of its character classes and that of
 the language's common words are each held against the sums over all documents of the language, by
 Jensen-Shannon distance (base 2, 0 to 1). Short texts have noisy histograms, so each distance counts only from
-a minimum length on, and the word distance has a wider limit below `long_words` words. Where common words are a small share of
-the language, no text reaches that limit by lacking them; `short_reach` (off by default) sets it by what the language
-reaches. Common words are the most frequent words of up to four letters. Every value of lang has its own reference, kept in a table with a row
-per language. Basic rules come first: too few words, or too many words inside repeated five-word windows.
+a minimum length on, and the word distance has a wider limit below `long_words` words, at most `short_reach` of what a text
+without any common word reaches in the language. Common words are the most frequent words of up to four letters between blanks, so a script
+without blanks has no word histogram: only its characters are compared. Every value of lang has its own reference, kept in a table with a row
+per language. A language of fewer than `min_documents` documents would judge itself; it is held against the sums over all documents.
+Basic rules come first: too few words, or too many words inside repeated five-word windows.
 
 Windows are compared inside the row by 64-bit hashes of their words; nothing is exploded but the short words
 that are counted for the references.
@@ -77,21 +78,35 @@ def per_language(rows: DataFrame, table: DataFrame) -> DataFrame:
     return rows.join(table, F.col("lang").eqNullSafe(F.col("__lang")), "left").drop("__lang")
 
 
-def common_words(docs: DataFrame, top: int = 10) -> DataFrame:
-    """(lang, listed): the `top` most frequent short words of each language that has any, the most frequent first."""
+def word_lists(docs: DataFrame, top: int = 10, min_documents: int = 20) -> DataFrame:
+    """(lang, own, listed, counts): the `top` most frequent short words of each language, the most frequent first, and how often they
+    occur in the documents that they stand for. own: the language has a reference of its own; else the words are those of all documents."""
     words = docs.select("lang", F.explode(split_words(F.coalesce("text", F.lit("")))).alias("word")).filter(
         (F.length("word") <= 4) & F.col("word").rlike(r"^\p{L}+$"))
-    counts = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
-    best = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    ranked = counts.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
-    lists = ranked.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("rank", "word"))).alias("listed"))  # `top` words at most
-    return stored(lists.select("lang", F.col("listed.word").alias("listed")), "words")
+    counts = stored(words.groupBy("lang", "word").agg(F.count("*").alias("n")), "counts")
+
+    def lists(rows: DataFrame, key: list[str]) -> DataFrame:
+        best = Window.partitionBy(*key).orderBy(F.desc("n"), "word")
+        ranked = rows.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
+        held = ranked.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("rank", "word", "n"))).alias("held"))  # `top` words at most
+        return held.select(*key, F.col("held.word").alias("listed"), F.col("held.n").alias("counts"))
+    # a language is a row here; the words of all documents are added up before they are ranked, one row per part of the words and then one
+    spread = counts.groupBy("word").agg(F.sum("n").alias("n")).withColumn("part", F.pmod(F.xxhash64("word"), F.lit(64)))
+    first = Window.partitionBy("part").orderBy(F.desc("n"), "word")
+    every = lists(spread.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= top).drop("r", "part"), []).first()  # `top` words
+    every = every.asDict() if every else {"listed": [], "counts": []}
+    langs = docs.groupBy("lang").agg((F.count("*") >= min_documents).alias("own"))
+    rows = per_language(langs, lists(counts, ["lang"]))
+
+    def pick(name: str, kind: str) -> Column:
+        own = F.coalesce(name, F.array().cast(kind))
+        return F.when(F.col("own"), own).otherwise(F.array(*[F.lit(x) for x in every[name]]).cast(kind)).alias(name)
+    return stored(rows.select("lang", "own", pick("listed", "array<string>"), pick("counts", "array<bigint>")), "words")
 
 
 def measured(docs: DataFrame, words: DataFrame) -> DataFrame:
     """(doc_id, lang, counts of the basic rules, classes, common): the numbers of each text."""
-    rows = per_language(docs.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text")), words)
-    rows = rows.withColumn("listed", F.coalesce("listed", F.array().cast("array<string>")))
+    rows = per_language(docs.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text")), words.select("lang", "listed"))
     rows = rows.withColumn("words", split_words(F.col("text"))).withColumn("left0", F.regexp_replace("text", f"{SPACE}+", ""))
     for k, (_, pattern) in enumerate(CLASSES):
         rows = rows.withColumn(f"left{k + 1}", F.regexp_replace(f"left{k}", pattern, ""))
@@ -106,35 +121,33 @@ def measured(docs: DataFrame, words: DataFrame) -> DataFrame:
         let(chosen, lambda c: F.transform("listed", lambda r: F.size(F.filter(c, lambda w: w == r)).cast("long"))).alias("common"))
 
 
-def references(rows: DataFrame, top: int) -> DataFrame:
-    """(lang, by_class, by_word): the sums over all documents of each language; the last of by_word is all other words."""
-    sums = lambda column, width: [F.coalesce(F.sum(F.get(column, F.lit(i))), F.lit(0)).alias(f"{column}{i}") for i in range(width)]
-    whole = rows.groupBy("lang").agg(*sums("classes", len(CLASSES) + 1), *sums("common", top), F.sum("n_words").alias("n"),
-                                     F.max(F.size("common")).alias("width"))
-    listed = [F.col(f"common{i}") for i in range(top)]
-    other = F.col("n") - sum(listed, F.lit(0).cast("long"))
-    return stored(whole.select("lang", F.array(*[F.col(f"classes{i}") for i in range(len(CLASSES) + 1)]).alias("by_class"),
-                               F.concat(F.slice(F.array(*listed).cast("array<bigint>"), F.lit(1), F.col("width")), F.array(other)).alias("by_word")),
-                  "references")
+def references(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """(lang, by_class, by_word): the sums over all documents of each language, or over all documents where the language has no
+    reference of its own; the last of by_word is all other words."""
+    width = len(CLASSES) + 1
+    sums = [F.coalesce(F.sum(F.get("classes", F.lit(i))), F.lit(0)).alias(f"c{i}") for i in range(width)]
+    by_lang = stored(rows.groupBy("lang").agg(*sums, F.sum("n_words").alias("n")), "sums")  # a row per language
+    whole = by_lang.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in by_lang.columns if c != "lang"]).first()  # some numbers
+    table = per_language(by_lang, words)
+    of = lambda own, every: F.when(F.col("own"), own).otherwise(every)
+    listed = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
+    return stored(table.select("lang", of(F.array(*[F.col(f"c{i}") for i in range(width)]), F.array(*[F.lit(whole[f"c{i}"]) for i in range(width)])).alias("by_class"),
+                               F.concat("counts", F.array(of(F.col("n"), F.lit(whole["n"])) - listed)).alias("by_word")), "references")
 
 
 def divergence_rules(docs: DataFrame, top: int = 10, min_words: int = 10, repeat_percent: int = 20, min_chars: int = 100,
                      max_class_distance: float = 0.35, short_words: int = 25, long_words: int = 100, max_word_distance: float = 0.25,
-                     max_short_distance: float = 0.40, short_reach: float | None = None) -> DataFrame:
-    """Per row: (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept).
-
-    With `short_reach` the limit of short texts is at most this share of the distance of a text without any common word.
-    """
-    rows = stored(measured(docs, common_words(docs, top)), "measured")
-    rows = per_language(rows, references(rows, top))
+                     max_short_distance: float = 0.40, short_reach: float = 0.95, min_documents: int = 20) -> DataFrame:
+    """Per row: (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept)."""
+    words = word_lists(docs, top, min_documents)
+    rows = stored(measured(docs, words), "measured")
+    rows = per_language(rows, references(rows, words))
     rows = rows.withColumn("class_distance", distance(F.col("classes"), F.col("by_class")))
     counted = F.concat("common", F.array(F.col("n_words") - F.aggregate("common", F.lit(0).cast("long"), lambda a, x: a + x)))
     rows = rows.withColumn("word_distance", distance(counted, F.col("by_word")))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
-    short_limit = F.lit(max_short_distance)
-    if short_reach is not None:
-        without = F.transform("by_word", lambda _, i: F.when(i == F.size("by_word") - 1, 1).otherwise(0).cast("long"))
-        short_limit = F.least(short_limit, short_reach * distance(without, F.col("by_word")))
+    without = F.transform("by_word", lambda _, i: F.when(i == F.size("by_word") - 1, 1).otherwise(0).cast("long"))
+    short_limit = F.least(F.lit(max_short_distance), short_reach * distance(without, F.col("by_word")))
     limit = F.when(F.col("n_words") >= long_words, max_word_distance).otherwise(short_limit)
     strange = (((F.col("word_chars") >= min_chars) & (F.col("class_distance") > max_class_distance))
                | ((F.col("n_words") >= short_words) & (F.col("word_distance") > limit)))
@@ -143,11 +156,13 @@ def divergence_rules(docs: DataFrame, top: int = 10, min_words: int = 10, repeat
 
 
 SQL = r"""
-WITH docs AS (SELECT doc_id, coalesce(lang, chr(1)) AS lang, coalesce(text, '') AS text FROM documents),
+WITH docs AS (SELECT doc_id, CASE WHEN count(*) OVER (PARTITION BY lang) >= 20 THEN coalesce(lang, chr(1)) ELSE chr(2) END AS lang,
+    coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, lang, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM docs),
 pos AS (SELECT doc_id, lang, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w),
+every AS (SELECT lang, word FROM pos WHERE lang <> chr(2) UNION ALL SELECT chr(2), word FROM pos),
 top AS (SELECT lang, word FROM (
-  SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) AS r FROM pos
+  SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) AS r FROM every
   WHERE length(word) <= 4 AND regexp_full_match(word, '\p{L}+') GROUP BY lang, word) WHERE r <= 10),
 win AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, key) AS c FROM (
   SELECT doc_id, i, concat_ws(' ', word, lead(word, 1) OVER d, lead(word, 2) OVER d, lead(word, 3) OVER d, lead(word, 4) OVER d) AS key,
@@ -165,20 +180,23 @@ wflat AS (SELECT doc_id, lang, k, sum(x) AS x FROM (
     UNION ALL SELECT d.doc_id, d.lang, t.word, 0 FROM docs d JOIN top t ON d.lang = t.lang
     UNION ALL SELECT doc_id, lang, '', 0 FROM docs) GROUP BY ALL),
 cp AS (SELECT doc_id, lang, CAST(k AS VARCHAR) AS k, x / nullif(sum(x) OVER (PARTITION BY doc_id), 0) AS p FROM cflat),
-cq AS (SELECT lang, CAST(k AS VARCHAR) AS k, sum(x) / nullif(sum(sum(x)) OVER (PARTITION BY lang), 0) AS q FROM cflat GROUP BY lang, k),
+cq AS (SELECT lang, CAST(k AS VARCHAR) AS k, sum(x) / nullif(sum(sum(x)) OVER (PARTITION BY lang), 0) AS q
+  FROM (SELECT lang, k, x FROM cflat WHERE lang <> chr(2) UNION ALL SELECT chr(2), k, x FROM cflat) GROUP BY lang, k),
 wp AS (SELECT doc_id, lang, k, x / nullif(sum(x) OVER (PARTITION BY doc_id), 0) AS p FROM wflat),
-wq AS (SELECT lang, k, sum(x) / nullif(sum(sum(x)) OVER (PARTITION BY lang), 0) AS q FROM wflat GROUP BY lang, k),
+wq AS (SELECT lang, k, sum(x) / nullif(sum(sum(x)) OVER (PARTITION BY lang), 0) AS q
+  FROM (SELECT e.lang, coalesce(t.word, '') AS k, count(*) AS x FROM every e LEFT JOIN top t ON e.lang = t.lang AND e.word = t.word GROUP BY ALL) GROUP BY lang, k),
+lim AS (SELECT lang, least(0.40, 0.95 * sqrt(greatest(0, sum(CASE WHEN k <> '' THEN q ELSE log2(2 / (1 + q)) + q * log2(2 * q / (1 + q)) END) / 2))) AS d FROM wq GROUP BY lang),
 js AS (SELECT kind, doc_id, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END
     + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2)) AS d
   FROM (SELECT 'c' AS kind, doc_id, p, q FROM cp JOIN cq USING (lang, k) UNION ALL SELECT 'w', doc_id, p, q FROM wp JOIN wq USING (lang, k))
   GROUP BY kind, doc_id),
-base AS (SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(cls.n AS BIGINT) AS word_chars, CAST(cls.v[4] AS BIGINT) AS n_symbols,
+base AS (SELECT w.doc_id, lim.d AS short_limit, CAST(len(words) AS BIGINT) AS n_words, CAST(cls.n AS BIGINT) AS word_chars, CAST(cls.v[4] AS BIGINT) AS n_symbols,
     CAST(coalesce(lines.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
     coalesce(jc.d, 0) AS dc, coalesce(jw.d, 0) AS dw
-  FROM w JOIN cls USING (doc_id) LEFT JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id)
+  FROM w JOIN cls USING (doc_id) LEFT JOIN lim ON lim.lang = w.lang LEFT JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id)
   LEFT JOIN js jc ON jc.doc_id = w.doc_id AND jc.kind = 'c' LEFT JOIN js jw ON jw.doc_id = w.doc_id AND jw.kind = 'w'),
 judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT (word_chars >= 100 AND dc > 0.35)
-    AND NOT (n_words >= 25 AND dw > CASE WHEN n_words >= 100 THEN 0.25 ELSE 0.40 END) AS kept
+    AND NOT (n_words >= 25 AND dw > CASE WHEN n_words >= 100 THEN 0.25 ELSE short_limit END) AS kept
 FROM judged"""

@@ -79,6 +79,52 @@ def test_sharding_keeps_copies_together_and_splits_a_hot_group(spark):
     assert sum(by[i] == by[i + 1] for i in range(400, 500, 2)) >= 48
 
 
+@pytest.mark.parametrize("size,groups", [(5, 800), (2, 2000), (5, 160), (2, 400)])
+def test_sharding_joins_groups_where_no_document_is_unlinked(spark, size, groups):
+    rows = [(i, f"t{i // size}") for i in range(size * groups)]
+    got = dict(fetch(sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 16).select("doc_id", "shard")))
+    counts = Counter(got.values())
+    assert max(counts.values()) - min(counts.values()) <= 1 and len(counts) == 16
+    cut = sum(len({got[g * size + k] for k in range(size)}) > 1 for g in range(groups))
+    assert cut < 0.02 * groups
+
+
+def test_propagation_lowers_the_cut_of_links_that_overlap(spark):
+    """Communities of documents that share several links: the cut is held against an independent greedy propagation, which
+    moves a document to the shard of most of its neighbours as long as there is room."""
+    import random
+    rng = random.Random(12)
+    nodes, shards = 640, 8
+    links = [(n, f"{n // 20}-{rng.randrange(4)}") for n in range(nodes) for _ in range(2)] + [(rng.randrange(nodes), f"x{i % 40}") for i in range(80)]
+    links = sorted(set(links))
+    start = {n: n % shards for n in range(nodes)}
+    frame = spark.createDataFrame([(n, s, "kept") for n, s in start.items()], "node long, shard int, extra string")
+    got = {r.node: r.shard for r in sharding.propagate(frame, spark.createDataFrame(links, "node long, link string"), shards).collect()}
+    assert Counter(got.values()) == Counter(start.values())
+
+    def cut(where):
+        held = {}
+        for n, link in links:
+            held.setdefault(link, Counter())[where[n]] += 1
+        return sum(sum(c.values()) - max(c.values()) for c in held.values())
+    greedy, counts, of = dict(start), Counter(start.values()), {}
+    for n, link in links:
+        of.setdefault(link, []).append(n)
+    mine = {}
+    for n, link in links:
+        mine.setdefault(n, []).append(link)
+    for _ in range(8):
+        for n in range(nodes):
+            votes = Counter(greedy[m] for link in mine.get(n, []) for m in of[link] if m != n)
+            for s, _ in votes.most_common():
+                if s == greedy[n] or counts[s] < nodes // shards + 8:  # more room than a quota gives
+                    counts[greedy[n]] -= 1
+                    counts[s] += 1
+                    greedy[n] = s
+                    break
+    assert cut(got) < 0.75 * cut(start) and cut(got) <= 1.5 * cut(greedy)
+
+
 # ---- 2 divergence ------------------------------------------------------------------------------
 
 def brute_repeats(text, size=5):
@@ -132,7 +178,7 @@ def test_every_language_has_its_own_reference(spark):
     docs = spark.createDataFrame(rows + rare + junk, "doc_id long, text string, lang string")
     kept = {r["doc_id"] for r in divergence.divergence_rules(docs).filter("kept").collect()}
     assert kept == {r[0] for r in rows + rare}
-    lists = {r["lang"]: r["listed"] for r in divergence.common_words(docs).collect()}
+    lists = {r["lang"]: r["listed"] for r in divergence.word_lists(docs).collect()}
     assert set(lists) == {r[2] for r in rows + rare} and all(len(set(x)) == len(x) <= 10 for x in lists.values())
 
 
@@ -147,10 +193,24 @@ def test_short_texts_without_common_words(spark):
     short = [(100 + i, text(90), "en") for i in range(20)]
     salad = [(200 + i, " ".join(rng.choice(rare) for _ in range(n)), "en") for i, n in enumerate((25, 40, 60, 80, 99))]
     docs = spark.createDataFrame(clean + short + salad, "doc_id long, text string, lang string")
-    kept = {r["doc_id"] for r in divergence.divergence_rules(docs, short_reach=0.95).filter("kept").collect()}
+    kept = {r["doc_id"] for r in divergence.divergence_rules(docs).filter("kept").collect()}
     assert kept.isdisjoint(r[0] for r in salad) and {r[0] for r in clean} <= kept and sum(r[0] in kept for r in short) >= 18
 
 
+def test_a_language_of_few_documents_is_held_against_all(spark):
+    """Junk with a lang of its own would be its own reference; the limit for own references is a number of documents."""
+    import random
+    rng = random.Random(7)
+    letters = str.maketrans("0123456789", "abcdefghij")
+    rows = [(i, sentence(rng, 150).translate(letters), "en") for i in range(60)] + [(100 + i, sentence(rng, 150).translate(letters), "xx") for i in range(3)]
+    junk = [(200, " ".join("".join(rng.choice("#$%&*|") for _ in range(5)) for _ in range(120)), "zz"), (201, " ".join(f"q{i}zx".translate(letters) for i in range(60)), "yy")]
+    docs = spark.createDataFrame(rows + junk, "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in divergence.divergence_rules(docs).filter("kept").collect()}
+    assert kept == {r[0] for r in rows}
+    own = {r["lang"]: (r["own"], r["listed"]) for r in divergence.word_lists(docs).collect()}
+    assert own["en"][0] and not own["xx"][0] and own["xx"][1] == own["zz"][1] and len(own["zz"][1]) == 10
+
+
 # ---- 3 quality -----------------------------------------------------------------------------------
 
 def test_quality(spark, docs, rows_, empty):
@@ -333,6 +393,13 @@ def test_chat(spark):
                                  "<|user name=unknown|>\nwho<|end|>\n<|assistant|>\n<|end|>\n<|user name=Cy_b_|>\nlate<|end|>\n")
         if conv == 3:
             assert r["n_turns"] == 2 and said == ["x<|end|>", "x<|end|>"]
+    # roles that look alike are participants of their own, also beside a turn without a role
+    alike = spark.createDataFrame([(5, 1, "user 1", "a"), (5, 2, "user_1", "b"), (5, 3, "unknown", "c"), (5, 4, None, "d"), (5, 5, "user|1", "e" * 300_000)],
+                                  "conv_id long, turn long, role string, text string")
+    got = {r["speaker"]: r for r in chat.rotate(alike).collect()}
+    said = {s: [r["text"][m["start"]:m["end"]][:2] for m in r["mask"]] for s, r in got.items()}
+    assert said == {"user_1": ["a<"], "user_1 #2": ["b<"], "user_1 #3": ["ee"], "unknown #2": ["c<"]}
+    assert all(r["text"].count("name=unknown|>") == 1 for r in got.values()) and "name=user_1 #3|>\neee" in got["user_1"]["text"]
     # a conversation in parts
     long = spark.createDataFrame([(9, i, "ab"[i % 2], f"t{i}") for i in range(25)], "conv_id long, turn long, role string, text string")
     whole = {r["speaker"]: r["text"] for r in chat.rotate(long).collect()}
