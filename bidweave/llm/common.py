@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from bidweave.session import shared_dir
 
@@ -34,6 +35,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def packed(docs: DataFrame) -> Column:
+    """All columns of a row as one, so that helper columns cannot clash with any of them; `select("__all.*")` unpacks."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__all")
+
+
+def row_hash(docs: DataFrame) -> Column:
+    """64-bit hash of a whole row. Columns that hold maps, which have no hash, count by their JSON text."""
+    def holds_map(kind: DataType) -> bool:
+        if isinstance(kind, ArrayType):
+            return holds_map(kind.elementType)
+        return isinstance(kind, MapType) or (isinstance(kind, StructType) and any(holds_map(f.dataType) for f in kind.fields))
+    return F.xxhash64(*[F.to_json(F.struct(F.col(f"`{f.name}`"))) if holds_map(f.dataType) else F.col(f"`{f.name}`") for f in docs.schema.fields])
+
+
 def let(value: Column, use) -> Column:
     """`use(value)` with `value` computed once per row, also inside higher-order functions."""
     return F.get(F.transform(F.array(value), use), F.lit(0))

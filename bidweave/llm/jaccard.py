@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from bidweave.llm import words as W
 from bidweave.llm.bitfilter import bit_table, may_meet
-from bidweave.llm.common import components, partitions, stored
+from bidweave.llm.common import components, packed, partitions, row_hash, stored
 
 SKETCH_BITS = 22  # 16 MiB of counters, whatever the size of the input
 _BLOCK = 1 << 14  # counters in a block that is sent
@@ -136,10 +136,6 @@ def may_link(n_a, n_b, differing, percent: int):
     return (100 + percent) * (total - differing) >= 2 * percent * total
 
 
-def _row_hash(docs: DataFrame):
-    return F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-
-
 def set_rows(docs: DataFrame, counters: np.ndarray, size: int, percent: int, bits: int = SKETCH_BITS) -> DataFrame:
     """Per row (doc_id, hash, n, set, gid, prefix, bitmap); prefix and bitmap are null in repeats of a set within a task.
     `hash` is that of the whole row, `gid` that of prefix and size (equal ids of different prefixes would only add candidates)."""
@@ -175,7 +171,7 @@ def set_rows(docs: DataFrame, counters: np.ndarray, size: int, percent: int, bit
                     rows = []
             yield flush(batch.num_rows)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_hash(docs).alias("hash"), "text").mapInArrow(
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash(docs).alias("hash"), "text").mapInArrow(
         run, "doc_id long, hash long, n long, set binary, gid long, prefix binary, bitmap binary")
 
 
@@ -442,10 +438,9 @@ def drop_similar(docs: DataFrame, size: int = 5, percent: int = 80, bits: int =
     heads = rows.groupBy("component").agg(F.min(order).alias("first"), F.count("*").alias("rows")).filter("rows > 1")
     # rows of components of several rows, and whether they stay
     decided = stored(rows.join(heads, "component").select(F.col("hash").alias("__hash"), (order == F.col("first")).alias("__stays")).distinct(), "decided")
-    keyed = docs.withColumn("__row", _row_hash(docs))
+    keyed = docs.select(packed(docs), row_hash(docs).alias("__row"))
     meets = may_meet(keyed, F.col("__row"), bit_table(decided, "__hash"))  # the others have no similar document
     joined = keyed.filter(meets).join(decided, F.col("__row") == F.col("__hash"), "left")
     alone = joined.filter(F.col("__stays").isNull())
     first = joined.filter("__stays").dropDuplicates(["__row"])
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    return keyed.filter(~meets).select(*names).unionByName(alone.select(*names)).unionByName(first.select(*names))
+    return keyed.filter(~meets).select("__all.*").unionByName(alone.select("__all.*")).unionByName(first.select("__all.*"))

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bidweave.llm.common import WORD, bin_ranks, sorted_positions, stored
+from bidweave.llm.common import WORD, bin_ranks, packed, sorted_positions, stored
 
 KNAPSACK = 1 << 14  # the remaining budget that the exact program fills
 WEIGHTS = (5, 2, 1)
@@ -168,29 +168,34 @@ def plan(sizes: DataFrame, goals: DataFrame, most: float = 2.0) -> DataFrame:
             .applyInPandas(fit, "key string, size long, source_size long, target double, whole long, extra long"))
 
 
-def _placed(docs: DataFrame, size: Column, seed: int, weights, share: float, most: float) -> DataFrame:
-    """docs with __source, __size, the plan of its source and length, and __copies of the row."""
-    rows = docs.withColumn("__source", source_key(F.col("source"))).withColumn("__size", size)
+def _placed(docs: DataFrame, seed: int, weights, share: float, most: float) -> DataFrame:
+    """docs (doc_id, source, words, tie, and others) with __source, __size, the plan of its source and length, and __copies of the row."""
+    rows = docs.withColumn("__source", source_key(F.col("source"))).withColumnRenamed("words", "__size")
     sizes = stored(rows.select(F.col("source").cast("string").alias("source"), F.col("__source").alias("key"), F.col("__size").alias("size")), "sizes")
     plans = stored(plan(sizes, targets(sizes, weights, share, most), most), "plan")
     seeded = rows.withColumn("__seed", F.xxhash64(F.lit(seed), "doc_id"))
     chosen = plans.select(F.col("key").alias("__source"), F.col("size").alias("__size"), F.col("source_size").alias("__source_size"),
                           F.col("target").alias("__target"), F.col("whole").alias("__whole"), F.col("extra").alias("__extra"))
-    numbered = bin_ranks(seeded, ["__source", "__size"], ["__seed"], "__place", nulls=False, attach=chosen)
+    numbered = bin_ranks(seeded, ["__source", "__size"], ["__seed", "tie"], "__place", nulls=False, attach=chosen)
     return numbered.withColumn("__copies", (F.col("__whole") + (F.col("__place") < F.col("__extra")).cast("long")).cast("int"))
 
 
+def _measures() -> list[Column]:
+    """Words of a text, and its hash, which decides between rows of one doc_id or without one."""
+    return [word_count(F.col("text")).alias("words"), F.xxhash64("text").alias("tie")]
+
+
 def mix_report(docs: DataFrame, seed: int = 11, weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
     """Per row: (doc_id, size, source_size, target, taken)."""
     # sizes first, so that texts are read once and never shuffled
-    light = stored(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("words")), "words")
-    rows = _placed(light, F.col("words"), seed, weights, share, most)
+    light = stored(docs.select("doc_id", F.col("source").cast("string").alias("source"), *_measures()), "words")
+    rows = _placed(light, seed, weights, share, most)
     return rows.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"),
                        (F.col("__size") * F.col("__copies")).cast("long").alias("taken"))
 
 
 def mix(docs: DataFrame, seed: int = 11, weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
     """The mixed rows with all their columns; a row that is taken twice comes twice."""
-    rows = _placed(docs, word_count(F.col("text")), seed, weights, share, most).filter("__copies > 0")
-    rows = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = docs.select(packed(docs), "doc_id", F.col("source").cast("string").alias("source"), *_measures())
+    rows = _placed(whole, seed, weights, share, most).filter("__copies > 0")
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select("__all.*")

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bidweave.llm.bitfilter import bit_table, may_meet
-from bidweave.llm.common import partitions, stored
+from bidweave.llm.common import packed, partitions, row_hash, stored
 
 # a run that is one plain space already is left alone, which gives the same text with fewer matches
 _RUNS = r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]"
@@ -151,10 +151,9 @@ def repeated(values: DataFrame, column: str, expected: int, block_quotients: int
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    clean = normalised(F.col("text"))
-    return (docs.withColumn("__order", F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").cast("long").alias("id"),
-                                                F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("h")))
-            .withColumn("__text", clean).withColumn("__fp", F.xxhash64("__text")).withColumn("__sha", F.sha2("__text", 256)))
+    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").cast("long").alias("id"), row_hash(docs).alias("h"))
+    rows = docs.select(packed(docs), order.alias("__order"), normalised(F.col("text")).alias("__text"))
+    return rows.withColumn("__fp", F.xxhash64("__text")).withColumn("__sha", F.sha2("__text", 256))
 
 
 def copy_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -192,5 +191,4 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     joined = rows.filter(meets).join(groups, ["__fp", "__sha"], "left")
     alone = joined.filter(F.col("__size").isNull())
     first = joined.filter(F.col("__keep.__order") == F.col("__order")).dropDuplicates(["__fp", "__sha"])
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    return rows.filter(~meets).select(*names).unionByName(alone.select(*names)).unionByName(first.select(*names))
+    return rows.filter(~meets).select("__all.*").unionByName(alone.select("__all.*")).unionByName(first.select("__all.*"))

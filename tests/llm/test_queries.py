@@ -28,6 +28,30 @@ def test_operators_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
+def test_pipeline_on_odd_rows(spark, docs, rows_, empty):
+    """Null keys and texts, very long texts, ties, copies, columns named like helpers and columns of maps, through all stages."""
+    from pyspark.sql import functions as F
+    clash = {c: F.col("n_chars") for c in ["__size", "__source", "__copies", "__order", "__row", "__hash", "__all", "tie", "words", "row", "block"]}
+    odd = docs.withColumns({**clash, "tags": F.create_map(F.lit("k"), "lang"), "nested": F.struct(F.array(F.create_map(F.lit(1), "source")).alias("m"))})
+    frame, sizes = odd, []
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, frame, FOLDER).cache()
+        sizes.append(out.count())
+        if k < 4:
+            assert out.columns == odd.columns
+            frame = out
+    assert 0 < sizes[2] <= sizes[1] <= sizes[0] <= len(rows_) and sizes[4] >= sizes[3] > 0
+    assert frame.filter("doc_id is null").count() <= 4 and frame.select(F.max("n_chars")).first()[0] > 500_000
+    again = corpus_pipeline.mixed_sources(spark, corpus_pipeline.without_near_copies(spark, corpus_pipeline.without_copies(
+        spark, corpus_pipeline.good_documents(spark, odd.repartition(3), FOLDER), FOLDER), FOLDER), FOLDER)
+    key = ["doc_id", "text"]
+    assert sorted(map(str, again.select(*key).collect())) == sorted(map(str, frame.select(*key).collect()))  # also among rows without an id
+    none = empty
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        none = stage(spark, none, FOLDER)
+        assert none.count() == 0
+
+
 def test_pipeline(spark):
     """Every stage acts on what the one before kept."""
     import re
