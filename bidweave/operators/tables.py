@@ -30,6 +30,19 @@ def page(df: DataFrame, order: Sequence[Column], number: int = 1, size: int = 20
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+def write_lookup(df: DataFrame, key: str, path: str, group_bytes: int = 4 * 1024 * 1024) -> None:
+    """The rows sorted by key over range partitions, in small row groups with Bloom filters of the key: a request for one key opens the
+    row group that can hold it, and none for a key that is not there."""
+    ranged = df.repartitionByRange(key).sortWithinPartitions(key)
+    (ranged.write.mode("overwrite").option("parquet.bloom.filter.enabled", "false").option(f"parquet.bloom.filter.enabled#{key}", "true")
+     .option("parquet.block.size", str(group_bytes)).parquet(path))
+
+
+def rows_of(spark: SparkSession, path: str, key: str, *values) -> DataFrame:
+    """Rows of some keys from a lookup table; the keys are pushed into the scan."""
+    return spark.read.parquet(path).filter(F.col(key).isin(*values))
+
+
 CHUNK_ROWS = 100_000
 
 

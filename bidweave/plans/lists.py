@@ -43,6 +43,14 @@ def deep_page(t):
     return T.page_at(t.spark, path, 2000, 20, 5000).drop("l_partkey")
 
 
+@query("key_lookup", "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem WHERE l_orderkey IN (1, 7, 33, 1000000007)")
+def key_lookup(t):
+    """A few keys from a table sorted by key; other row groups are not read."""
+    path = f"{shared_dir(t.spark).rstrip('/')}/lookups/{uuid.uuid4().hex}"
+    T.write_lookup(t.lineitem.select("l_orderkey", "l_linenumber", "l_extendedprice"), "l_orderkey", path, 256 * 1024)
+    return T.rows_of(t.spark, path, "l_orderkey", 1, 7, 33, 1_000_000_007)
+
+
 @query("latest_notices", "SELECT o_orderkey AS tender_id FROM orders ORDER BY o_orderkey DESC LIMIT 100")
 def latest_notices(t):
     return T.latest(t.orders.select(F.col("o_orderkey").alias("tender_id")), 100, "tender_id")

@@ -8,6 +8,7 @@ from bidweave.functions.jsonx import metadata_json
 from bidweave.operators import chunks as CH
 from bidweave.operators import fusion as FU
 from bidweave.operators import search as SE
+from bidweave.operators import segment as SG
 from bidweave.operators.projects import project_events
 from bidweave.operators.stats import chunk_stats
 from bidweave.plans.projects import LIFECYCLE, projects
@@ -81,6 +82,19 @@ def tokenize_han(t):
     return SE.tokenize(t.orders.select("o_orderkey", F.concat(F.lit("采购"), "o_orderpriority", F.lit("公告")).alias("text")), "o_orderkey")
 
 
+@query("tokenize_words", """WITH n AS (SELECT o_orderkey, o_orderstatus AS s FROM orders)
+  SELECT o_orderkey, term, count(*) AS tf FROM (SELECT o_orderkey, unnest(list_concat(['p' || (o_orderkey % 3)], CASE s WHEN 'F' THEN ['中标公告', '采购']
+    WHEN 'O' THEN ['公开招标公告', '采购'] ELSE ['更正公告', '采', '购'] END)) AS term FROM n) GROUP BY ALL""")
+def tokenize_words(t):
+    """Titles cut by a dictionary that is learned from the titles; a word that it lacks falls apart into characters."""
+    words = SG.learn_words(t.notices.filter("project_name IS NOT NULL"), ["project_name"])
+    buying = t.orders.filter("o_orderstatus <> 'P'").select(F.lit("采购").alias("word"), F.lit(1).alias("n"))
+    cut = {True: SG.segmenter(words.unionByName(buying.groupBy("word").agg(F.sum("n").alias("n")))), False: SG.segmenter(words)}
+    rows = t.notices.select(F.col("tender_id").alias("o_orderkey"), F.concat("project_name", F.lit("采购")).alias("text"), (F.col("technical_requirements_summary") == "P").alias("rest"))
+    found = [SE.tokenize(rows.filter(F.col("rest") != known), "o_orderkey", "text", cut[known]) for known in cut]
+    return found[0].unionByName(found[1])
+
+
 @query("bm25_topk", f"""WITH {BM25} SELECT qid, doc_id, round(score, 4) AS score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank
   FROM sc WHERE score > 0 QUALIFY rank <= 10""")
 def bm25_topk(t):

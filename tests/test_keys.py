@@ -165,3 +165,32 @@ def test_scan_groups_with_null_keys(spark):
     df = spark.createDataFrame([(None, i) for i in range(20)] + [("a", i) for i in range(3)], "k string, id int")
     got = K.scan_groups(df, ["k"], ["id"], "n", split_rows=5).collect()
     assert sorted((r.k or "", r.id, r.n) for r in got) == sorted([("", i, i + 1) for i in range(20)] + [("a", i, i + 1) for i in range(3)])
+
+
+def _scanned(df):
+    """Rows that the file scan of a plan handed on."""
+    df.collect()
+    plan, found = df._jdf.queryExecution().executedPlan(), []
+    leaves = plan.collectLeaves()
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName().startswith("FileSourceScan"):
+            found.append(leaf.metrics().apply("numOutputRows").value())
+    return sum(found)
+
+
+def test_lookups_and_pages_read_only_their_part(spark, tmp_path):
+    from bidweave.operators import tables as T
+    rows = spark.range(0, 60_000).select((F.col("id") * 2).alias("key"), F.concat(F.lit("row"), F.col("id").cast("string")).alias("v"), F.xxhash64("id").alias("o"))
+    path = str(tmp_path / "keys")
+    T.write_lookup(rows, "key", path, 64 * 1024)
+    one = T.rows_of(spark, path, "key", 4242)
+    assert [tuple(r)[:2] for r in one.collect()] == [(4242, "row2121")] and 0 < _scanned(T.rows_of(spark, path, "key", 4242)) < 30_000
+    assert _scanned(T.rows_of(spark, path, "key", 4243)) == 0 and one.count() == 1  # a key between others: the Bloom filter tells
+    path = str(tmp_path / "pages")
+    T.write_positions(rows, [F.col("o")], path, 1000)
+    want = [r.key for r in rows.orderBy("o").offset(41_990).limit(20).collect()]
+    page = T.page_at(spark, path, 4200 // 2, 20, 1000)
+    assert [r.key for r in page.collect()] == [r.key for r in rows.orderBy("o").offset(2099 * 20).limit(20).collect()]
+    assert [r.key for r in T.page_at(spark, path, 1, 30, 1000).offset(0).collect()] == [r.key for r in rows.orderBy("o").limit(30).collect()]
+    assert len(want) == 20 and _scanned(page) <= 2000 and T.page_at(spark, path, 10_000, 20, 1000).collect() == []
