@@ -65,12 +65,6 @@ def clean_lines(c: Column | str) -> Column:
     return F.regexp_replace(text, r"^[ \n]+|[ \n]+$", "")
 
 
-def first_group(c: Column | str, patterns: Sequence[str], default: str = "") -> Column:
-    """Group 1 of the first pattern that matches with a non-empty value."""
-    hits = [blank_to_null(F.regexp_extract(col(c), p, 1)) for p in patterns]
-    return F.coalesce(*hits, F.lit(default))
-
-
 def contains_any(c: Column | str, words: Sequence[str]) -> Column:
     """True when one of the words occurs; null text contains nothing."""
     text = F.coalesce(col(c), F.lit(""))

@@ -41,9 +41,13 @@ def list_items(pages: DataFrame, key: str, html: str = "html", host: str = r"htt
         return F.coalesce(trim_blanks(F.regexp_replace(F.get(mine, F.lit(0)), f"^{label}[：:]", "")), F.lit(""))
 
     stamp = F.transform("_cells", lambda x: F.regexp_extract(x, r"\d{4}[./]\d{2}[./]\d{2}\s*\d{2}:\d{2}:\d{2}", 0))
-    shown = F.regexp_extract("_li", r'target="_blank">\s*([^\n<]+)', 1)
+    # anchors with the text that follows them
+    anchors = F.regexp_extract_all("_li", F.lit(r"(?i)<a\s[^>]*>[^<\n]*(?:\n[^<\n]*)*"), F.lit(0))
+    new_page = F.get(F.filter(anchors, lambda a: H.attribute(F.substring_index(a, ">", 1), "target") == "_blank"), F.lit(0))
+    shown = F.substring_index(F.regexp_replace(F.substring_index(new_page, ">", -1), r"^\s+", ""), "\n", 1)
+    linked = F.get(F.filter(F.transform(anchors, lambda a: H.attribute(F.substring_index(a, ">", 1), "href")), lambda u: F.rlike(u, F.lit(f"^{host}."))), F.lit(0))
     return (items.withColumns({"_cells": cells, "_told": told})
-            .withColumn("list_url", F.trim(F.regexp_extract("_li", f'href="({host}[^"]+)"', 1)))
+            .withColumn("list_url", F.trim(F.coalesce(linked, F.lit(""))))
             .filter(F.col("list_url") != "")
             .select(key, "pos", "list_url", trim_blanks(shown).alias("title"),
                     F.coalesce(F.get(F.filter(stamp, lambda x: x != ""), F.lit(0)), F.lit("")).alias("pub_date"),
@@ -127,7 +131,7 @@ def parse_reader(pages: DataFrame, text: str = "text", url: str = "url") -> Data
     return (pages.withColumn("title", H.reader_title(text))
             .select(canonical_url(url).alias("url"), "title", H.reader_time(H.reader_body(text)).alias("publish_date"),
                     H.title_type("title").alias("announce_type"),
-                    H.budget_raw(H.reader_body(text), rules.READER_BUDGET_PATTERNS).alias("budget"),
+                    H.budget_raw(H.reader_body(text), rules.READER_BUDGET_LABELS, rules.READER_BUDGET_UNIT).alias("budget"),
                     H.reader_text(text).alias("content")))
 
 

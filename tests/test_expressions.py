@@ -108,7 +108,7 @@ def test_types_and_blocks(rows):
 
 def test_reader_text(rows):
     text = "Title: Converted Content\n\nMarkdown Content:\n当前位置 招标公告\n## 某大学中标公告\n发布时间：2026年3月4日 9:05\n预算金额：90.5万元\n* 中标公告"
-    got = rows([(text,)], "x string", H.reader_title("x"), H.reader_time("x"), H.budget_raw("x", rules.READER_BUDGET_PATTERNS))
+    got = rows([(text,)], "x string", H.reader_title("x"), H.reader_time("x"), H.budget_raw("x", rules.READER_BUDGET_LABELS, rules.READER_BUDGET_UNIT))
     assert got == [("某大学中标公告", "2026-03-04 09:05", "90.5万元")]
     assert rows([("Title: 真标题\nMarkdown Content:\nx",), ("# 头\n正文",), ("a\nb",)], "x string", H.reader_title("x")) == ["真标题", "头", "a"]
 
