@@ -5,6 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from bidweave.functions.jsonx import metadata_json
+from bidweave.operators import balls as BA
 from bidweave.operators import chunks as CH
 from bidweave.operators import fusion as FU
 from bidweave.operators import search as SE
@@ -13,6 +14,7 @@ from bidweave.operators.projects import project_events
 from bidweave.operators.stats import chunk_stats
 from bidweave.plans.projects import LIFECYCLE, projects
 from bidweave.plans.registry import NOTICES, query
+from bidweave.session import shared_dir
 
 DIM = 64
 
@@ -131,6 +133,16 @@ def vector_topk(t):
     return found.select("qid", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query("vector_topk_balls", f"WITH {vector_sql('SELECT vec_id FROM embeddings', 10, 'SELECT vec_id FROM embeddings')} SELECT qid, doc_id, round(score, 6) AS score, rank FROM vr")
+def vector_topk_balls(t):
+    """The same search over a stored index of balls."""
+    path = f"{shared_dir(t.spark).rstrip('/')}/balls/{uuid.uuid4().hex}"
+    every = t.embeddings.select(F.col("vec_id").alias("id"), "embedding")
+    BA.write_ball_index(every, path, DIM)
+    found, _ = BA.ball_search(BA.read_ball_index(t.spark, path, DIM), every.withColumnRenamed("id", "qid"), 10)
+    return found.select("qid", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query("vector_table", f"WITH {UNIT} SELECT vec_id AS id, round(v[1], 6) AS first, round(list_inner_product(v, v), 6) AS norm FROM unit")
 def vector_table(t):
     norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)

@@ -227,3 +227,27 @@ def test_own_segmenter(spark):
     split = lambda c: F.split(c, "-")
     got = SE.tokenize(spark.createDataFrame([(1, "a b-c-a b")], "id int, t string"), "id", "t", split).collect()
     assert {(r.term, r.tf) for r in got} == {("a b", 2), ("c", 1)}
+
+
+@pytest.mark.parametrize("block", [SE.BROADCAST_BYTES, 8 * 6 * 20])
+def test_ball_search_equals_a_full_search(spark, tmp_path, block):
+    """Clusters, copies, a zero vector and equal scores; most balls are left out."""
+    from bidweave.operators import balls as BA
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(30, 6))
+    data = np.concatenate([c + rng.normal(scale=0.05, size=(40, 6)) for c in centres]).astype(np.float32)
+    data[17] = data[3]
+    data[500] = 0
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "id int, embedding array<float>").repartition(5)
+    asked = frame.filter("id % 13 = 0 or id = 500").withColumnRenamed("id", "qid")
+    path = str(tmp_path / "balls")
+    for balls in (None, 1, 60):
+        BA.write_ball_index(frame, path, 6, balls=balls)
+        found, left_out = BA.ball_search(BA.read_ball_index(spark, path, 6), asked, 7, block_bytes=block)
+        want = SE.vector_search(frame, asked, 6, 7)
+        assert sorted(map(tuple, found.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+        assert left_out == 0 if balls == 1 else left_out > 0.5
+    few, _ = BA.ball_search(BA.read_ball_index(spark, path, 6), asked.limit(3), 5000)
+    assert few.count() == 3 * len(data)
+    BA.write_ball_index(frame.limit(0), path, 6)
+    assert BA.ball_search(BA.read_ball_index(spark, path, 6), asked, 3)[0].count() == 0
