@@ -92,14 +92,16 @@ def scan_groups(df: DataFrame, group: Sequence[str], order: Sequence[str], posit
                 split_rows: int = SPLIT_ROWS) -> DataFrame:
     """Row number, running maxima and previous values per group, for groups of any size.
 
-    Groups are counted first. Those up to `split_rows` rows go through a window; the few larger
-    ones (at most rows / split_rows of them) are cut into range slices, see _scan_slices.
+    Groups up to `split_rows` rows go through a window; the few larger ones (at most rows / split_rows of them) are
+    cut into range slices, see _scan_slices. Groups are counted only if there are more rows than that at all.
     `order` must identify a row within its group.
     """
     running_max, previous = running_max or {}, previous or {}
     group, order = list(group), list(order)
     inputs = {f"_in_{name}": expr for name, expr in {**running_max, **previous}.items()}
     rows = df.withColumns(inputs) if inputs else df
+    if df.select(*group).limit(split_rows + 1).count() <= split_rows:
+        return _scan_window(rows, group, order, position, list(running_max), list(previous)).drop(*inputs)
     large = cut(df.groupBy(*group).count().filter(F.col("count") > split_rows).select(
         *[F.col(c).alias(f"_g_{c}") for c in group]))
     if large.isEmpty():

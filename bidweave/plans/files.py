@@ -10,7 +10,7 @@ from bidweave.operators import pages as G
 from bidweave.operators import tables as T
 from bidweave.plans.registry import LEADS, OPPORTUNITIES, query
 from bidweave.rules import LEAD_COLUMNS, OPPORTUNITY_COLUMNS
-from bidweave.session import shared_dir
+from bidweave.session import cut, shared_dir
 from bidweave.sources import crm as CRM
 from bidweave.sources import files as S
 from bidweave.streaming import notices as N
@@ -35,7 +35,7 @@ def _lines(t):
 @query("jsonl_rows", """SELECT CASE WHEN o_orderkey % 10 <> 0 THEN o_orderkey END AS o_orderkey, CASE WHEN o_orderkey % 10 <> 0 THEN o_totalprice END AS o_totalprice,
   CASE WHEN o_orderkey % 10 = 0 THEN '{broken ' || o_orderkey END AS bad FROM orders""")
 def jsonl_rows(t):
-    rows = S.read_jsonl(t.spark, _lines(t), ORDER).cache()  # Spark refuses to read the bad lines alone
+    rows = cut(S.read_jsonl(t.spark, _lines(t), ORDER))  # Spark refuses to read the bad lines alone
     return rows.select("o_orderkey", "o_totalprice", F.col("_bad").alias("bad"))
 
 

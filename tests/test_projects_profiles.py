@@ -202,6 +202,29 @@ def test_lookups_give_one_row_for_repeated_keys(spark):
     assert len(found) == 1 and found[0].crm_profile.lead_count == 2
 
 
+def test_joined_lookups_do_not_multiply_rows(spark):
+    from bidweave.operators import fusion as FU
+    from bidweave.operators import projects as P
+    from bidweave.streaming import notices as N
+    profiles = spark.createDataFrame([("b", 1, 5.0), ("b", 3, 2.0), (None, 9, 9.0)], "customer_name string, tender_count int, avg_opportunity_score double")
+    projects = spark.createDataFrame([("p", "b"), ("q", "x"), ("r", None)], "project_name_std string, buyer_name string")
+    got = {r.project_name_std: r.buyer_profile_summary for r in P.with_buyer_summary(projects, profiles).collect()}
+    assert len(got) == 3 and got["p"].tender_count == 3 and got["q"] is None and got["r"] is None
+    rows = spark.createDataFrame([(1, "b"), (2, None)], "id int, buyer_name_std string")
+    assert sorted((r.id, r.tender_count) for r in N.enrich_stream(rows, profiles).collect()) == [(1, 3), (2, None)]
+    hits = spark.createDataFrame([(0, 7), (0, 8)], "qid int, doc_id int")
+    pages = spark.createDataFrame([(7, "a"), (7, "b")], "doc_id int, url string")
+    assert sorted((r.doc_id, r.detail_url) for r in FU.with_detail_url(hits, pages).collect()) == [(7, "b"), (8, None)]
+
+
+def test_winning_rollup_counts_values_once(spark):
+    from bidweave.operators import stats as S
+    rows = [("t", "a", "x", 1.5), ("t", "a", "y", 2.0), ("t", None, "y", None), ("t", "b", None, 1.0), ("u", None, None, None)]
+    got = {r.tender_id: (r.packages, r.bidders, r.products, r.winning_amount) for r in S.winning_rollup(
+        spark.createDataFrame(rows, "tender_id string, winning_bidder string, winning_product string, amount double")).collect()}
+    assert got == {"t": (4, 2, 2, 4.5), "u": (1, 0, 0, None)}
+
+
 def test_upsert_with_numbers_and_one_model_call_per_miss(spark):
     from bidweave.operators import infer as I
     from bidweave.operators import tables as T
