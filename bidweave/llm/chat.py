@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bidweave.llm.common import sorted_positions
+from bidweave.llm.common import sorted_positions, stored
 
 END = "<|end|>\n"
 
@@ -46,9 +46,12 @@ def rotate(turns: DataFrame, system_roles: tuple[str, ...] = ("system",), part_t
     roles = numbered.filter("not system").select("conv_id", "role").distinct().withColumn("clean", clean)
     place = F.row_number().over(Window.partitionBy("conv_id", "clean").orderBy("role"))
     shown_as = F.when(place == 1, F.col("clean")).otherwise(F.concat("clean", F.lit(" #"), place.cast("string")))
-    people = roles.select(F.col("conv_id").alias("conv"), F.col("role").alias("who"), shown_as.alias("name"))
+    people = stored(roles.select(F.col("conv_id").alias("conv"), F.col("role").alias("who"), shown_as.alias("name"), (place > 1).alias("alike")), "people")
     same = lambda a: F.col("conv_id").eqNullSafe(F.col(a))
-    named = numbered.join(people, same("conv") & (F.col("role") == F.col("who")) & ~F.col("system"), "left").drop("conv", "who")
+    # few roles need a number; as a table of its own their size is known, and the turns need not move for them
+    alike = stored(people.filter("alike").select("conv", "who", F.col("name").alias("other")), "alike")
+    named = (numbered.join(alike, same("conv") & (F.col("role") == F.col("who")) & ~F.col("system"), "left")
+             .withColumn("name", F.coalesce("other", clean)).drop("conv", "who", "other"))
     speakers = people.filter("who <> ''").select(F.col("conv").alias("of"), F.col("who").alias("speaking"), F.col("name").alias("speaker"))
     seen = named.join(speakers, same("of")).drop("of")
     own = ~F.col("system") & (F.col("role") == F.col("speaking"))
