@@ -139,18 +139,21 @@ def bm25_index(df: DataFrame, key: str, text: str = "text", mode: str | Callable
     return BM25Index(blocks, counts, n, avgdl or 1.0, mean or 0.0, tuple(keep))
 
 
-def write_index(index: BM25Index, name: str, buckets: int) -> None:
-    """Store the index as the tables `<name>_postings` and `<name>_counts`, bucketed and sorted by term, so that a search opens the
+def write_index(index: BM25Index, name: str, buckets: int, path: str | None = None) -> None:
+    """Store the index, below `path` or in the warehouse, as the tables `<name>_postings` and `<name>_counts`, bucketed and sorted by term, so that a search opens the
     buckets of its terms only, `<name>_blocks` (ids and kept columns) and the one-row table `<name>_numbers`."""
+    def writer(rows: DataFrame, part: str):
+        out = rows.write.mode("overwrite").format("parquet")
+        return out if path is None else out.option("path", f"{path.rstrip('/')}/{name}_{part}")
+
     for part in ("postings", "counts"):
         rows = getattr(index, part).repartition(buckets, "term").sortWithinPartitions("term")
-        rows.write.mode("overwrite").format("parquet").bucketBy(buckets, "term").sortBy("term").saveAsTable(f"{name}_{part}")
+        writer(rows, part).bucketBy(buckets, "term").sortBy("term").saveAsTable(f"{name}_{part}")
     slim = index.blocks.drop("terms", "ends", "places", "tfs").repartitionByRange(buckets, "block").sortWithinPartitions("block")
-    slim.write.mode("overwrite").format("parquet").saveAsTable(f"{name}_blocks")
+    writer(slim, "blocks").saveAsTable(f"{name}_blocks")
     numbers = [(index.n_docs, index.avgdl, index.mean_idf, list(index.keep))]
     spark = index.counts.sparkSession
-    spark.createDataFrame(numbers, "n_docs long, avgdl double, mean_idf double, keep array<string>").coalesce(1).write.mode(
-        "overwrite").format("parquet").saveAsTable(f"{name}_numbers")
+    writer(spark.createDataFrame(numbers, "n_docs long, avgdl double, mean_idf double, keep array<string>").coalesce(1), "numbers").saveAsTable(f"{name}_numbers")
 
 
 def read_index(spark: SparkSession, name: str) -> BM25Index:

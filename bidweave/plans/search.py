@@ -106,7 +106,7 @@ def bm25_topk(t):
 
 def stored_index(t):
     name = f"words_{uuid.uuid4().hex}"
-    SE.write_index(index(t), name, 8)
+    SE.write_index(index(t), name, 8, f"{shared_dir(t.spark).rstrip('/')}/index")
     return SE.read_index(t.spark, name)
 
 
