@@ -111,8 +111,9 @@ def op6_rotate_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op11_repeated_passages", r"""
 WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(doc_id, 9223372036854775807) AS owner, hex(encode(coalesce(text, ''))) AS hex FROM documents),
-w AS MATERIALIZED (SELECT row, owner, i, sha256(substr(hex, CAST(2 * i + 1 AS BIGINT), 100)) AS part
-  FROM d, unnest(range(0, CAST(len(hex) // 2 - 49 AS BIGINT))) AS t(i) WHERE len(hex) >= 100),
+c AS (SELECT row, owner, k, substr(hex, CAST(2000 * k + 1 AS BIGINT), 2098) AS hex FROM d, unnest(range(0, CAST(len(hex) // 2000 + 1 AS BIGINT))) AS t(k)),
+w AS MATERIALIZED (SELECT row, owner, 1000 * k + j AS i, sha256(substr(hex, CAST(2 * j + 1 AS BIGINT), 100)) AS part
+  FROM c, unnest(range(0, least(1000, CAST(len(hex) // 2 - 49 AS BIGINT)))) AS t(j) WHERE len(hex) >= 100),
 m AS (SELECT part, min(owner) AS least FROM w GROUP BY part),
 hit AS MATERIALIZED (SELECT row, i FROM w JOIN m USING (part) WHERE least < owner),
 cut AS (SELECT *, i - lag(i, 1, -1000) OVER (PARTITION BY row ORDER BY i) > 50 AS new FROM hit),
