@@ -1,9 +1,12 @@
 """The state of projects as a stateful operator with expiry.
 
-Each (project, buyer) has one small value in the state. A project that is won leaves the state when event time has passed its latest
+Each (project, buyer) has one small entry in the state. A project that is won leaves the state when event time has passed its latest
 notice by `closed_delay`, any other one by `idle_delay`; its last row is sent once more, marked as finished. So the state holds the
 projects of the last while, not all there ever were.
 
+Spark keeps the state by groups of projects (the hash of project and buyer), whose entries are columns of one value: a call of Python and a
+timeout cost milliseconds, so they are made per group and batch, not per project. The notices of a group come in bounded parts.
+
 Late notices: one that is older than the watermark is not taken (Spark drops it and counts it). One that comes in time, but for a
 project that has left, opens a new episode of the project; `combined` adds up the episodes of a project, and its result is that of
 the batch aggregation over all notices taken.
@@ -11,88 +14,93 @@ the batch aggregation over all notices taken.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from bidweave import rules
 from bidweave.functions.names import normalize_project_name
 from bidweave.operators.keys import keep_last
 from bidweave.operators.projects import PROJECT_KEY, event_type
 
-STATE = ("episode long, won boolean, latest timestamp, events long, win_at timestamp, win_url string, win_amount double, "
-         "budget_at timestamp, budget_url string, budget double")
-ROWS = f"project_name_std string, buyer_name string, {STATE}, finished boolean"
-FIELDS = [f.split(" ")[0] for f in STATE.split(", ")]
+# times are microseconds here: plain numbers pass the state and Arrow as they are, in any time zone
+ENTRY = ("project_name_std string, buyer_name string, episode long, won boolean, latest long, events long, win_at long, win_url string, "
+         "win_amount double, budget_at long, budget_url string, budget double")
+TIMES = ("latest", "win_at", "budget_at")
+STATE = ", ".join("{} array<{}>".format(*f.split(" ")) for f in ENTRY.split(", "))
+COLUMNS = [*[f.split(" ")[0] for f in ENTRY.split(", ")], "finished"]
+EPISODE, WON, LATEST, EVENTS, WIN_AT, WIN_URL, WIN_AMOUNT, BUDGET_AT, BUDGET_URL, BUDGET = range(2, 12)
+GROUPS = 4096
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class ProjectProcessor(StatefulProcessor):
-    """Folds the notices of a project into its state; see the module."""
-
-    def __init__(self, closed_ms: int, idle_ms: int):
-        self.closed_ms, self.idle_ms = closed_ms, idle_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.project = handle.getValueState("project", STATE)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        old = self.project.get()
-        # an episode is named by the watermark at its begin, which moves on before the next one can begin
-        now = dict(zip(FIELDS, old)) if old is not None else dict.fromkeys(FIELDS) | {
-            "episode": timerValues.getCurrentWatermarkInMs(), "won": False, "events": 0}
-        for part in rows:
-            for row in part.itertuples(index=False):
-                at = row.publish_date
-                now["events"] += 1
-                now["latest"] = at if now["latest"] is None else max(now["latest"], at)
-                place = (at, row.source_url or "")
-                if row.win:
-                    now["won"] = True
-                    if now["win_at"] is None or place > (now["win_at"], now["win_url"]):
-                        now["win_at"], now["win_url"] = place
-                        now["win_amount"] = None if pd.isna(row.winning_amount) else float(row.winning_amount)
-                elif not pd.isna(row.budget_amount) and row.budget_amount != 0 and (now["budget_at"] is None or place > (now["budget_at"], now["budget_url"])):
-                    now["budget_at"], now["budget_url"] = place
-                    now["budget"] = float(row.budget_amount)
-        self.project.update(tuple(now[f] for f in FIELDS))
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
-        stay = self.closed_ms if now["won"] else self.idle_ms
-        self.handle.registerTimer(int(pd.Timestamp(now["latest"]).timestamp() * 1000) + stay)
-        yield self._row(key, now, False)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = dict(zip(FIELDS, self.project.get()))
-        self.project.clear()
-        yield self._row(key, now, True)
-
-    def close(self) -> None:
-        pass
-
-    @staticmethod
-    def _row(key, now: dict, finished: bool) -> pd.DataFrame:
-        return pd.DataFrame({"project_name_std": [key[0]], "buyer_name": [key[1]], **{f: pd.Series([now[f]], dtype=_KINDS.get(f)) for f in FIELDS}, "finished": [finished]})
-
-
-_KINDS = {"latest": "datetime64[us]", "win_at": "datetime64[us]", "budget_at": "datetime64[us]", "win_amount": "float64", "budget": "float64"}
-
-
-def project_episodes(df: DataFrame, delay: str = "1 day", closed_delay: str = "90 days", idle_delay: str = "730 days") -> DataFrame:
-    """Running rows of a stream of notices, one per touched project and batch. Use update mode."""
+def _fold(entry: list, at: int, url: str, win: bool, won_for: float, budget: float) -> None:
+    """One notice into the entry of its project."""
+    entry[EVENTS] += 1
+    entry[LATEST] = at if entry[LATEST] is None else max(entry[LATEST], at)
+    if win:
+        entry[WON] = True
+        if entry[WIN_AT] is None or (at, url) > (entry[WIN_AT], entry[WIN_URL]):
+            entry[WIN_AT], entry[WIN_URL] = at, url
+            entry[WIN_AMOUNT] = None if won_for != won_for else won_for
+    elif budget == budget and budget != 0 and (entry[BUDGET_AT] is None or (at, url) > (entry[BUDGET_AT], entry[BUDGET_URL])):
+        entry[BUDGET_AT], entry[BUDGET_URL], entry[BUDGET] = at, url, budget
+
+
+def fold_group(closed_ms: int, idle_ms: int) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    """Function that folds the notices of a group into the entries of its projects and lets those go whose time has come; see the module."""
+    def rows(entries: list[list], finished: bool) -> pd.DataFrame:
+        return pd.DataFrame([[*e, finished] for e in entries], columns=COLUMNS, dtype=object)
+
+    def due(entry: list) -> int:
+        return max(1, entry[LATEST] // 1000 + (closed_ms if entry[WON] else idle_ms))
+
+    def fold(_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        watermark = state.getCurrentWatermarkMs()
+        held = {e[:2]: list(e) for e in zip(*state.get)} if state.exists else {}
+        touched = {}
+        for part in parts if not state.hasTimedOut else ():
+            names = ("project_name_std", "buyer_name", "at", "source_url", "win", "winning_amount", "budget_amount")
+            for project, buyer, at, url, win, won_for, budget in zip(*(part[c].tolist() for c in names)):
+                entry = held.get((project, buyer))
+                if entry is None:
+                    # an episode is named by the watermark at its begin, which moves on before the next one can begin
+                    entry = held[project, buyer] = [project, buyer, watermark, False, None, 0, *[None] * 6]
+                touched[project, buyer] = entry
+                _fold(entry, at, url or "", win, won_for, budget)
+        if touched:
+            yield rows(list(touched.values()), False)
+        gone = [e for e in held.values() if due(e) < watermark]
+        if gone:
+            yield rows(gone, True)
+        kept = [e for e in held.values() if due(e) >= watermark]
+        if kept:
+            state.update(tuple(list(c) for c in zip(*kept)))
+            state.setTimeoutTimestamp(min(due(e) for e in kept))
+        elif state.exists:
+            state.remove()
+
+    return fold
+
+
+def project_episodes(df: DataFrame, delay: str = "1 day", closed_delay: str = "90 days", idle_delay: str = "730 days", groups: int = GROUPS) -> DataFrame:
+    """Running rows of a stream of notices, one per touched project and batch. Use update mode. The number of groups stays as it is
+    for the life of a checkpoint."""
     spark = df.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)  # the only store with timers
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)  # keeps the state on disk, not in the heap
+    number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c)
     rows = df.select(normalize_project_name("project_name").alias("project_name_std"), F.coalesce("buyer_name_std", F.lit("")).alias("buyer_name"),
                      F.col("publish_date").cast("timestamp").alias("publish_date"), "source_url", (event_type() == rules.EVENT_WIN).alias("win"),
-                     F.col("winning_amount").cast("double").alias("winning_amount"), F.col("budget_amount").cast("double").alias("budget_amount"))
-    rows = rows.filter("publish_date IS NOT NULL").withWatermark("publish_date", delay)
+                     number("winning_amount"), number("budget_amount"))
+    rows = rows.filter("publish_date IS NOT NULL").withWatermark("publish_date", delay).withColumn("at", F.unix_micros("publish_date"))
+    rows = rows.withColumn("_group", F.pmod(F.xxhash64(*PROJECT_KEY), F.lit(groups)))
     ms = lambda span: int(pd.Timedelta(span).total_seconds() * 1000)
-    return rows.groupBy(*PROJECT_KEY).transformWithStateInPandas(
-        ProjectProcessor(ms(closed_delay), ms(idle_delay)), outputStructType=ROWS, outputMode="Update", timeMode="EventTime")
+    found = rows.groupBy("_group").applyInPandasWithState(
+        fold_group(ms(closed_delay), ms(idle_delay)), f"{ENTRY}, finished boolean", STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    return found.select(*[F.timestamp_micros(c).alias(c) if c in TIMES else F.col(c) for c in COLUMNS])
 
 
 def combined(rows: DataFrame, order: str = "batch") -> DataFrame:

@@ -107,3 +107,22 @@ def test_projects_leave_the_state(spark, tmp_path):
     batch = N.project_state(spark.createDataFrame(kept, schema).withColumn("publish_date", F.col("publish_date").cast("timestamp")))
     assert got == {(r.project_name_std, r.buyer_name): (r.status, str(r.latest_publish_date)[:10], r.event_count, r.winning_amount, r.total_budget) for r in batch.collect()}
     assert got["A", "b"] == ("已中标", "2024-03-02", 3, 4.0, 9.0) and ("D", "b") not in got
+
+
+def test_projects_of_a_group_share_a_call(spark, tmp_path):
+    """Hundreds of projects in one group: Python is called per group and batch, and the sum of the episodes is that of the batch."""
+    from bidweave.streaming import projects as S
+    schema = StructType([StructField(n, StringType()) for n in ("project_name", "buyer_name_std", "source_url", "publish_date")]
+                        + [StructField(n, DoubleType()) for n in ("winning_amount", "budget_amount")])
+    out, source, place, seen = str(tmp_path / "out"), str(tmp_path / "in"), str(tmp_path / "cp"), []
+    for month in (1, 2, 3):
+        rows = [(None if i == 7 else f"N{i}{'中标公告' if i % 3 == month % 3 else '招标公告'}", None if i % 5 else f"b{i % 4}", f"u{month}-{i}-{j}", f"2024-0{month}-{10 + j:02}",
+                 float(i) if i % 3 == month % 3 else None, None if i % 2 else float(j)) for i in range(300) if i % 4 != month for j in range(3)]
+        spark.createDataFrame(rows, schema).repartition(3).write.mode("append").json(source)
+        N.run_to_parquet(S.project_episodes(N.notice_stream(spark, source, schema), "20 days", "10 days", "400 days", groups=1), out, place, "update")
+        seen += rows
+    sent = spark.read.parquet(out)
+    assert sent.filter("finished AND NOT won").count() == 0 and sent.filter("finished").count() > 20
+    fields = ("project_name_std", "buyer_name", "status", "event_count", "winning_amount", "total_budget")
+    batch = N.project_state(spark.createDataFrame(seen, schema).withColumn("publish_date", F.col("publish_date").cast("timestamp")))
+    assert sorted(map(str, S.combined(sent).select(*fields).collect())) == sorted(map(str, batch.select(*fields).collect()))
