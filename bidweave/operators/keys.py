@@ -4,6 +4,7 @@
   most k rows per key and task *before* the shuffle.
 - salted_join splits hot keys with known counts over several tasks; other joins rely on
   the adaptive skew join, which splits a hot side by measured size.
+- once adds columns that later filters and expressions do not compute again.
 - scan_groups numbers rows and carries running values; a group too large for one task is
   spread over range partitions.
 """
@@ -27,6 +28,13 @@ def _list(x) -> list:
     return list(x) if isinstance(x, (list, tuple)) else [x]
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are computed once per row, however often later steps name them. They come as the one generated row of each row:
+    a filter behind them is not pushed below the generator, so it does not repeat their expressions, as it does with withColumn."""
+    others = [f"`{c}`" for c in df.columns if c not in columns] if set(columns) & set(df.columns) else ["*"]
+    return df.select(*others, F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def top_k(df: DataFrame, k: int, by: Sequence[Column], group: Sequence[str], rank_col: str | None = None) -> DataFrame:
     """The first k rows of each group in the order `by`; rank_col keeps the 1-based rank."""
     name = rank_col or "_rank"
