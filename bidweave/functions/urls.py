@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from bidweave import rules
-from bidweave.functions.text import blank_to_null, col, contains_any, trim_blanks
+from bidweave.functions.text import blank_to_null, col, contains_any, let, trim_blanks
 
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 _AUTHORITY = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)"
@@ -39,22 +39,26 @@ def canonical_url(u: Column | str, site_aliases: dict[str, tuple[str, str]] = ru
     """One spelling per page: lower-case host, one scheme and host per known site, no
     fragment, no default port, no trailing slash. Text without a host stays as it is;
     a blank becomes null."""
-    u = trim_blanks(u)
-    host, scheme = url_host(u), F.coalesce(blank_to_null(url_scheme(u)), F.lit("http"))
-    port = F.regexp_extract(url_authority(u), _PORT, 1)
-    site_scheme, site_host = scheme, host
-    for name, (to_scheme, to_host) in site_aliases.items():
-        site_scheme = F.when(host == name, F.lit(to_scheme)).otherwise(site_scheme)
-        site_host = F.when(host == name, F.lit(to_host)).otherwise(site_host)
-    default_port = ((site_scheme == "http") & (port == "80")) | ((site_scheme == "https") & (port == "443"))
-    netloc = F.concat(site_host, F.when((port == "") | default_port, F.lit("")).otherwise(F.concat(F.lit(":"), port)))
-    path = F.regexp_replace(url_path(u), r";[^/]*$", "")
-    path = F.when(path == "", F.lit("/")).otherwise(path)
-    path = F.when(path == "/", path).otherwise(F.regexp_replace(path, "/+$", ""))
-    query = url_query(u)
-    full = F.concat(site_scheme, F.lit("://"), netloc, path,
-                    F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), query)))
-    return blank_to_null(F.when(host == "", u).otherwise(full))
+    # the parts are computed once; named again and again they would be the text of one very large expression
+    def parts(u: Column) -> Column:
+        return let(url_authority(u), lambda authority: F.struct(
+            u.alias("u"), F.lower(F.regexp_extract(authority, _HOST, 1)).alias("host"), F.regexp_extract(authority, _PORT, 1).alias("port"),
+            url_scheme(u).alias("scheme"), F.regexp_replace(url_path(u), r";[^/]*$", "").alias("path"), url_query(u).alias("query")))
+
+    def joined(p: Column) -> Column:
+        host, port, path, query = p["host"], p["port"], p["path"], p["query"]
+        site_scheme = F.when(p["scheme"] == "", F.lit("http")).otherwise(F.coalesce(p["scheme"], F.lit("http")))
+        site_host = host
+        for name, (to_scheme, to_host) in site_aliases.items():
+            site_scheme = F.when(host == name, F.lit(to_scheme)).otherwise(site_scheme)
+            site_host = F.when(host == name, F.lit(to_host)).otherwise(site_host)
+        default_port = ((site_scheme == "http") & (port == "80")) | ((site_scheme == "https") & (port == "443"))
+        netloc = F.concat(site_host, F.when((port == "") | default_port, F.lit("")).otherwise(F.concat(F.lit(":"), port)))
+        path = F.when(path.isin("", "/"), F.lit("/")).otherwise(F.regexp_replace(path, "/+$", ""))
+        full = F.concat(site_scheme, F.lit("://"), netloc, path, F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), query)))
+        return F.when(host == "", p["u"]).otherwise(full)
+
+    return let(let(let(trim_blanks(u), parts), joined), lambda v: F.when(v != "", v))
 
 
 def _without_dots(path: Column) -> Column:

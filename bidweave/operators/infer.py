@@ -24,7 +24,7 @@ from bidweave.functions import html as H
 from bidweave.functions import jsonx as J
 from bidweave.functions import names as N
 from bidweave.functions.text import clean_text, nonblank, strip_markers, text_truthy
-from bidweave.operators.keys import one_per_key
+from bidweave.operators.keys import once, one_per_key
 from bidweave.operators.tables import pending, split_cached, union_all
 from bidweave.session import cut
 
@@ -164,10 +164,12 @@ def _replies(df: DataFrame, key: str, prompt: str, model: Callable[[], Model], f
 
 def rule_extract(details: DataFrame, name: str = "title", content: str = "content") -> DataFrame:
     """Default extractor: labelled fields, standard names, money and score as column rules."""
-    fields = details.select("*", *[c.alias(f"_{n}") for n, c in zip(rules.FIELD_LABELS, H.labelled_fields(content))])
-    buyer, amount = N.standardize_org("_buyer"), N.parse_money("_amount")
-    is_win = H.title_type(name).isin("中标公告", "成交公告")
-    method = H.page_type(F.concat_ws(" ", F.col(name), F.col(content)))
+    labels = dict(zip(rules.FIELD_LABELS, H.labelled_fields(content)))
+    fields = once(details, _both=F.concat_ws(" ", F.col(name), F.col(content)), **{f"_{n}": labels[n] for n in ("buyer", "agency", "region", "amount")})
+    # names, amounts and the kind of page are found once; the score and both amounts ask for them many times
+    fields = once(fields, _org=N.standardize_org("_buyer"), _money=N.parse_money("_amount"), _method=H.page_type("_both"),
+                  _win=H.title_type(name).isin("中标公告", "成交公告"))
+    buyer, amount, is_win, method = (F.col(c) for c in ("_org", "_money", "_win", "_method"))
     return fields.select(
         F.col("url").alias("source_url"), F.col(name).alias("project_name"), buyer.alias("buyer_name_std"),
         N.standardize_org("_agency").alias("agency_name_std"), F.col("_region").alias("province"),

@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 from bidweave.functions.names import row_key
 from bidweave.functions.text import filled, text_truthy
 from bidweave.functions.urls import canonical_url
-from bidweave.operators.keys import keep_first, keep_last, one_per_key, union_all
+from bidweave.operators.keys import keep_first, keep_last, once, one_per_key, union_all
 from bidweave.operators.store import OLD, TIMES
 from bidweave.session import cut
 
@@ -112,14 +112,14 @@ def filter_options(df: DataFrame, column: str) -> DataFrame:
 # --- pending work -------------------------------------------------------------------
 
 def with_canonical(df: DataFrame, url: str, name: str = "canonical") -> DataFrame:
-    return df.withColumn(name, canonical_url(url))
+    return once(df, **{name: canonical_url(url)})
 
 
 def pending(listed: DataFrame, done: DataFrame, url: str, done_url: str | None = None,
             order: Sequence[str] = (), limit: int | None = None) -> DataFrame:
     """Listed rows (first per page) whose canonical URL has not been done yet."""
     todo = keep_first(with_canonical(listed, url), "canonical", [F.col(c) for c in order or [url]])
-    seen = done.select(canonical_url(done_url or url).alias("canonical"))
+    seen = with_canonical(done, done_url or url).select("canonical")
     todo = todo.join(seen, "canonical", "left_anti")
     return todo.orderBy(*(order or [url])).limit(limit) if limit else todo
 
