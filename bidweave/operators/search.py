@@ -12,11 +12,12 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from bidweave.functions.text import col, let
 from bidweave.operators import postings as P
@@ -30,6 +31,8 @@ FIRST_BLOCKS = 4  # blocks per query in the first round
 BROADCAST_BYTES = 64 * 1024 * 1024
 RESULT_CELLS = 4 * 1024 * 1024  # scores that a step holds at once: 32 MiB
 BLOCK_VECTORS = 8192
+PAIRS = 64 * 1024  # pairs of vectors that are scored one by one at once
+OUT_ROWS = 64 * 1024
 
 _HAN = r"一-鿿"
 WORDS = rf"[{_HAN}]|[\p{{L}}\p{{N}}&&[^{_HAN}]]+"
@@ -342,15 +345,15 @@ def vector_search(vectors: DataFrame, queries: DataFrame, dim: int, k: int = 10,
 
     Queries within the byte bound are copied to the tasks: vectors never move, each task
     multiplies its batches with slices of the query block and keeps k rows per query. Beyond the bound
-    both sides are cut into blocks that meet on a grid. Either way a product holds RESULT_CELLS scores at most.
+    both sides are cut into blocks that meet on a grid. Either way a product holds RESULT_CELLS scores at most, and so do the kept rows.
     """
     base = vector_table(vectors, dim, key, vector).select(F.col(key).alias("doc_id"), F.col(vector).alias("v"))
     asked = vector_table(queries, dim, qid, vector).select(F.col(qid).alias("qid"), F.col(vector).alias("q"))
     types = f"qid {asked.schema['qid'].dataType.simpleString()}, doc_id {base.schema['doc_id'].dataType.simpleString()}, score double"
-    block = max(1, broadcast_bytes // (dim * 8))
+    block = max(1, min(broadcast_bytes // (dim * 8), RESULT_CELLS // k))
     table = asked.limit(block + 1).toArrow()  # never more than one block comes to the driver
     local = (_search_copied(base, table, dim, k, types) if table.num_rows <= block
-             else _search_grid(base, asked, k, types))
+             else _search_grid(base, asked, dim, k, types, broadcast_bytes))
     return top_k_staged(local, k, [F.col("score").desc(), F.col("doc_id")], ["qid"], "doc_id", "rank")
 
 
@@ -361,62 +364,137 @@ def _products(questions: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return np.rint((questions @ docs.T) * 1e9) / 1e9
 
 
+class Best:
+    """The k best of each of some queries (unit vectors) so far; ties by id.
+
+    A product in single precision, whose error is bounded, tells which pairs can reach the k-th score; only those are scored in double
+    precision. `floor` holds scores that the k-th of a query is known to reach.
+    """
+
+    def __init__(self, questions: np.ndarray, k: int, floor: np.ndarray | None = None):
+        self.questions, self.narrow, self.k = questions, questions.astype(np.float32), k
+        self.error = (questions.shape[1] + 8) * 2.4e-7 + 1e-9
+        self.floor = np.full(len(questions), -np.inf) if floor is None else floor.astype(np.float64)
+        self.scores, self.ids = np.full((len(questions), k), -np.inf), None
+
+    def add(self, vectors: np.ndarray, ids: np.ndarray, asking: np.ndarray | None = None) -> None:
+        """Some more vectors, for all queries or for those with the numbers `asking`."""
+        if self.ids is None:
+            self.ids = np.empty((len(self.questions), self.k), ids.dtype)
+        narrow = vectors.astype(np.float32)
+        asking = np.arange(len(self.questions)) if asking is None else asking
+        step = max(1, RESULT_CELLS // max(1, len(vectors)))
+        for low in range(0, len(asking) if len(vectors) else 0, step):
+            self._some(asking[low:low + step], vectors, narrow, ids)
+
+    def _some(self, asking: np.ndarray, vectors: np.ndarray, narrow: np.ndarray, ids: np.ndarray) -> None:
+        k, near = self.k, self.narrow[asking] @ narrow.T
+        least = np.maximum(self.floor[asking], self.scores[asking, -1]) - self.error
+        new = np.flatnonzero(least == -np.inf)
+        if len(new) and len(vectors) > k:
+            least[new] = np.partition(near[new], len(vectors) - k, axis=1)[:, len(vectors) - k] - 2 * self.error
+        hit = near >= least.astype(np.float32)[:, None] - np.float32(1e-7)
+        many = np.count_nonzero(hit, axis=1)
+        full = np.flatnonzero(many > 4 * k + 64)  # many equal scores: a whole line costs less than its pairs
+        hit[full] = False
+        row, at = np.nonzero(hit)
+        found = [np.einsum("ij,ij->i", self.questions[asking[row[i:i + PAIRS]]], vectors[at[i:i + PAIRS]]) for i in range(0, len(row), PAIRS)]
+        score = np.rint(np.concatenate(found) * 1e9) / 1e9 if found else np.zeros(0)
+        if len(full):
+            exact = _products(self.questions[asking[full]], vectors)
+            held = _best(exact, ids, k)
+            line = np.repeat(np.arange(len(full)), [len(h) for h in held])
+            row, at = np.concatenate([row, full[line]]), np.concatenate([at, *held])
+            score = np.concatenate([score, exact[line, np.concatenate(held)]])
+        if len(row):
+            self._merge(asking[row], ids[at], score)
+
+    def _merge(self, row: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        touched = np.unique(row)
+        old = self.scores[touched] > -np.inf
+        row = np.concatenate([row, np.repeat(touched, old.sum(1))])
+        ids, score = np.concatenate([ids, self.ids[touched][old]]), np.concatenate([score, self.scores[touched][old]])
+        order = np.lexsort((np.unique(ids, return_inverse=True)[1] if ids.dtype == object else ids, -score, row))
+        row, ids, score = row[order], ids[order], score[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        kept = place < self.k
+        self.scores[touched] = -np.inf
+        self.scores[row[kept], place[kept]], self.ids[row[kept], place[kept]] = score[kept], ids[kept]
+
+    def rows(self, names: pa.Array) -> pa.Table:
+        """(qid, doc_id, score) with the names of the queries."""
+        row, place = np.nonzero(self.scores > -np.inf)
+        ids = pa.array(self.ids[row, place]) if self.ids is not None else pa.array([])
+        return pa.table([names.take(pa.array(row)), ids, pa.array(self.scores[row, place])], names=["qid", "doc_id", "score"])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], rows: int, dim: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of (doc_id, v) batches, gathered to blocks of up to `rows` rows."""
+    held: list[pa.RecordBatch] = []
+
+    def block():
+        table = pa.Table.from_batches(held).combine_chunks()
+        return table.column(0).to_numpy(), _matrix(table.column(1).combine_chunks(), dim)
+
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            part = batch.slice(low, rows)
+            if held and sum(b.num_rows for b in held) + part.num_rows > rows:
+                yield block()
+                held = []
+            held.append(part)
+    if held:
+        yield block()
+
+
 def _search_copied(base: DataFrame, table: pa.Table, dim: int, k: int, types: str) -> DataFrame:
     block = base.sparkSession.sparkContext.broadcast(
-        (table.column("qid").to_numpy(), _matrix(table.column("q").combine_chunks(), dim) if table.num_rows else None))
+        (table.column("qid").combine_chunks(), _matrix(table.column("q").combine_chunks(), dim) if table.num_rows else None))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, matrix = block.value
         if matrix is None:
             return
-        best_ids = [None] * len(qids)
-        best_scores: list = [None] * len(qids)
-        rows = min(BLOCK_VECTORS, RESULT_CELLS)
-        for batch in batches:
-            for low in range(0, batch.num_rows, rows):
-                part = batch.slice(low, rows)
-                ids, vectors = part.column(0).to_numpy(zero_copy_only=False), _matrix(part.column(1), dim)
-                step = max(1, RESULT_CELLS // part.num_rows)
-                for first in range(0, len(qids), step):
-                    scores = _products(matrix[first:first + step], vectors)
-                    for i, at in enumerate(_best(scores, ids, k)):
-                        new_ids, new_scores, q = ids[at], scores[i][at], first + i
-                        if best_ids[q] is not None:
-                            new_ids = np.concatenate([best_ids[q], new_ids])
-                            new_scores = np.concatenate([best_scores[q], new_scores])
-                            keep = np.lexsort((new_ids, -new_scores))[:k]
-                            new_ids, new_scores = new_ids[keep], new_scores[keep]
-                        best_ids[q], best_scores[q] = new_ids, new_scores
-        for i, ids in enumerate(best_ids):
-            if ids is not None:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([qids[i]] * len(ids)), pa.array(ids), pa.array(best_scores[i])],
-                    names=["qid", "doc_id", "score"])
+        best = Best(matrix, k)
+        for ids, vectors in _blocks(batches, min(BLOCK_VECTORS, RESULT_CELLS), dim):
+            best.add(vectors, ids)
+        if best.ids is not None:
+            yield from best.rows(qids).to_batches(max_chunksize=OUT_ROWS)
 
     return base.mapInArrow(scan, types)
 
 
-def _search_grid(base: DataFrame, asked: DataFrame, k: int, types: str) -> DataFrame:
-    # blocks are dealt by hash: half the bound on average, and a cell that is fuller is cut below
-    v_rows = max(1, min(BLOCK_VECTORS, RESULT_CELLS) // 2)
-    q_blocks = max(1, -(-asked.count() * v_rows * 2 // RESULT_CELLS))
-    v_blocks = max(1, -(-base.count() // v_rows))
-    left = base.withColumn("vb", F.pmod(F.xxhash64("doc_id", "v"), F.lit(v_blocks)).cast("int")).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+def _in_type(rows: pa.Table, schema: pa.Schema) -> pa.Table:
+    return rows.select(schema.names).cast(schema)
+
+
+def _search_grid(base: DataFrame, asked: DataFrame, dim: int, k: int, types: str, query_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    v_blocks = max(1, -(-base.count() // grid_rows(dim)))
+    left = base.withColumn("vb", F.pmod(F.xxhash64("doc_id", "v"), F.lit(v_blocks)).cast("int"))
+
+    def score(docs: pa.Table, questions: pa.Table) -> pa.Table:
+        best = Best(_matrix(questions["q"].combine_chunks(), dim), k)
+        for ids, vectors in _blocks(docs.select(["doc_id", "v"]).to_batches(), min(BLOCK_VECTORS, RESULT_CELLS), dim):
+            best.add(vectors, ids)
+        return best.rows(questions["qid"].combine_chunks())
+
+    return on_grid(left, asked, v_blocks, grid_rows(dim, k, query_bytes), score, types)
+
+
+def grid_rows(dim: int, k: int = 1, block_bytes: int = BROADCAST_BYTES) -> int:
+    """Rows of a block of a grid: a fourth of the byte bound, and no more kept rows than the bound."""
+    return max(1, min(block_bytes // (4 * dim * 8), RESULT_CELLS // k))
+
+
+def on_grid(left: DataFrame, asked: DataFrame, v_blocks: int, q_rows: int, score: Callable[[pa.Table, pa.Table], pa.Table], types: str) -> DataFrame:
+    """Rows of `score` of every block of vectors (numbered by `vb`) with every block of about q_rows queries, a task call each."""
+    q_blocks = max(1, -(-asked.count() // q_rows))
+    left = left.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
     right = asked.withColumn("qb", F.pmod(F.xxhash64("qid", "q"), F.lit(q_blocks)).cast("int")).withColumn(
         "vb", F.explode(F.sequence(F.lit(0), F.lit(v_blocks - 1))))
+    schema = to_arrow_schema(StructType.fromDDL(types))
+
+    def cell(docs: pa.Table, questions: pa.Table) -> pa.Table:
+        return _in_type(score(docs, questions), schema) if docs.num_rows and questions.num_rows else schema.empty_table()
 
-    def cell(docs: pd.DataFrame, questions: pd.DataFrame) -> pd.DataFrame:
-        if not len(docs) or not len(questions):
-            return pd.DataFrame({"qid": [], "doc_id": [], "score": []})
-        ids, rows = docs["doc_id"].to_numpy(), []
-        vectors, step = np.stack(docs["v"].to_list()), max(1, RESULT_CELLS // len(docs))
-        for low in range(0, len(questions), step):
-            part = questions.iloc[low:low + step]
-            scores = _products(np.stack(part["q"].to_list()), vectors)
-            rows += [(q, ids[at], scores[i][at]) for i, (q, at) in enumerate(zip(part["qid"], _best(scores, ids, k)))]
-        return pd.DataFrame({"qid": np.concatenate([[q] * len(d) for q, d, _ in rows]),
-                             "doc_id": np.concatenate([d for _, d, _ in rows]),
-                             "score": np.concatenate([s for _, _, s in rows])})
-
-    return left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInPandas(cell, types)
+    return left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInArrow(cell, types)
