@@ -2,9 +2,10 @@
 
 Unit vectors are dealt to the nearest of some pivots (the first vectors in the order of a hash, a bounded number). A ball knows its
 pivot, its radius (the largest distance of a member) and its size. A member v of a ball with pivot c and radius r scores
-q.v <= q.c + |q| r, so a ball whose bound lies below the k-th score of a query holds none of its best k. A search scores the balls of
-highest bound first, takes the k-th score from them, and then scores the balls whose bound reaches it. The result is that of a
-search over all vectors; how much is left out depends on how well the vectors cluster.
+q.v <= q.c + |q| r, so a ball whose bound lies below the k-th score of a query holds none of its best k. A search takes a lower bound of
+that score from some members (pilots) of the balls of highest bound, and then scores the balls whose bound reaches it. The result is that of a
+search over all vectors; how much is left out depends on how well the vectors cluster. Queries and vectors stay distributed; the
+driver and the tasks hold what belongs to the balls (MOST_BALLS pivots, PILOT_BYTES of pilots) and blocks of both sides.
 
 An index is a folder: `vectors`, sorted by ball, so a scan of some balls opens their row groups only, and `balls`, one row each.
 """
@@ -21,16 +22,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bidweave.operators import search as SE
-from bidweave.operators.keys import top_k_staged
+from bidweave.operators.keys import top_k, top_k_staged
+from bidweave.session import cut
 
 MOST_BALLS = 4096
-FIRST_BALLS = 2  # balls per query in the first round, more if they hold fewer than k vectors
+FIRST_BALLS = 2  # balls per query whose pilots are scored first, more if they hold fewer than k
+PILOT_BYTES = 32 * 1024 * 1024
 MARGIN = 1e-8  # for the grid of scores and the order of summation
 
 
 @dataclass
 class BallIndex:
-    vectors: DataFrame  # (ball, doc_id, v)
+    vectors: DataFrame | None  # (ball, doc_id, v)
     pivots: np.ndarray
     radius: np.ndarray
     sizes: np.ndarray
@@ -70,78 +73,87 @@ def read_ball_index(spark: SparkSession, path: str, dim: int) -> BallIndex:
     return BallIndex(spark.read.parquet(f"{path}/vectors").drop("far"), pivots, radius, balls["n"].to_numpy(), dim)
 
 
-def _scan(index: BallIndex, qids: pa.Array, questions: np.ndarray, pairs: np.ndarray, k: int, types: str) -> DataFrame:
-    """Best k per query and task over the marked (query, ball) pairs."""
-    wanted = np.flatnonzero(pairs.any(0))
-    asked = {int(b): np.flatnonzero(pairs[:, b]) for b in wanted}
-    block = index.vectors.sparkSession.sparkContext.broadcast((qids, questions, asked))
-    dim = index.dim
+def _pilots(index: BallIndex) -> tuple[np.ndarray, np.ndarray]:
+    """Some vectors of each ball, in the order of balls, and where those of a ball begin: a bounded number in all."""
+    most = max(1, PILOT_BYTES // (index.dim * 8) // max(1, len(index.sizes)))
+    rows = top_k(index.vectors.select("ball", "v", F.xxhash64("doc_id").alias("_h")), most, [F.col("_h")], ["ball"]).select("ball", "v").toArrow()
+    ball = rows["ball"].to_numpy()
+    vectors = SE._matrix(rows["v"].combine_chunks(), index.dim)[np.argsort(ball, kind="stable")] if rows.num_rows else np.zeros((0, index.dim))
+    return vectors, np.searchsorted(np.sort(ball), np.arange(len(index.sizes) + 1))
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, rows, balls = block.value
-        best: dict[int, tuple] = {}
+
+def _bounds(index: BallIndex, questions: np.ndarray) -> np.ndarray:
+    """The most that a member of each ball can score; empty balls reach nothing."""
+    bounds = questions @ index.pivots.T + np.linalg.norm(questions, axis=1)[:, None] * index.radius + MARGIN
+    bounds[:, index.sizes == 0] = -np.inf
+    return bounds
+
+
+def _prepared(index: BallIndex, asked: DataFrame, k: int) -> DataFrame:
+    """(qid, q, floor, scored): a score that the k-th of the query reaches, from pilots of its best balls, and how many balls can reach it."""
+    bare = BallIndex(None, index.pivots, index.radius, index.sizes, index.dim)
+    block = asked.sparkSession.sparkContext.broadcast((bare, *_pilots(index)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, pilots, starts = block.value
+        held = np.diff(starts)
         for batch in batches:
-            ball, ids = batch.column(0).to_numpy(), batch.column(1)
-            vectors = SE._matrix(batch.column(2), dim)
-            order = np.argsort(ball, kind="stable")
-            for part in np.split(order, np.flatnonzero(np.diff(ball[order])) + 1):
-                asking = balls.get(int(ball[part[0]])) if len(part) else None
-                step = max(1, SE.RESULT_CELLS // max(1, len(part)))
-                for low in range(0, 0 if asking is None else len(asking), step):
-                    some = asking[low:low + step]
-                    scores, numbers = SE._products(rows[some], vectors[part]), ids.take(pa.array(part)).to_numpy(zero_copy_only=False)
-                    for i, (q, at) in enumerate(zip(some.tolist(), SE._best(scores, numbers, k))):
-                        new = numbers[at], scores[i][at]
-                        if q in best:
-                            both = np.concatenate([best[q][0], new[0]]), np.concatenate([best[q][1], new[1]])
-                            keep = np.lexsort((both[0], -both[1]))[:k]
-                            new = both[0][keep], both[1][keep]
-                        best[q] = new
-        for q, (ids, scores) in best.items():
-            yield pa.RecordBatch.from_arrays([names.take(pa.array([q] * len(ids), pa.int64())), pa.array(ids), pa.array(scores)], names=["qid", "doc_id", "score"])
-
-    chosen = index.vectors.filter(F.col("ball").isin(*wanted.tolist())) if len(wanted) < len(index.sizes) else index.vectors
-    return chosen.select("ball", "doc_id", "v").mapInArrow(scan, types)
+            questions, floor = SE._matrix(batch.column(1), index.dim), np.full(batch.num_rows, -np.inf)
+            bounds = _bounds(index, questions)
+            for i, rank in enumerate(np.argsort(-bounds, axis=1, kind="stable")):
+                n = max(FIRST_BALLS, int(np.searchsorted(np.cumsum(held[rank]), k)) + 1)
+                some = np.concatenate([pilots[starts[b]:starts[b + 1]] for b in rank[:n]])
+                if len(some) >= k:
+                    floor[i] = np.partition(SE._products(questions[i:i + 1], some)[0], len(some) - k)[len(some) - k]
+            scored = (bounds >= floor[:, None]) & (index.sizes > 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(floor), pa.array(scored.sum(1))], names=["qid", "q", "floor", "scored"])
+
+    return asked.mapInArrow(run, f"qid {asked.schema['qid'].dataType.simpleString()}, q array<double>, floor double, scored long")
+
+
+def _placed(index: BallIndex, rows: int) -> tuple[DataFrame, int]:
+    """The vectors with a block of about `rows` rows each: neighbouring balls share a block, a larger ball spans several."""
+    before = np.cumsum(index.sizes) - index.sizes
+    first, last = before // rows, np.maximum(before, before + index.sizes - 1) // rows
+    table = pa.table({"ball": pa.array(range(len(first)), pa.int32()), "_first": pa.array(first, pa.int64()), "_many": pa.array(last - first + 1, pa.int64())})
+    where = F.broadcast(index.vectors.sparkSession.createDataFrame(table))  # MOST_BALLS rows at most
+    block = (F.col("_first") + F.pmod(F.xxhash64("doc_id"), F.col("_many"))).cast("int")
+    return index.vectors.join(where, "ball").select("ball", "doc_id", "v", block.alias("vb")), int(last.max()) + 1
 
 
 def ball_search(index: BallIndex, queries: DataFrame, k: int = 10, qid: str = "qid", vector: str = "embedding",
                 block_bytes: int = SE.BROADCAST_BYTES) -> tuple[DataFrame, float]:
-    """((qid, doc_id, score, rank), share of the (query, ball) pairs that were left out): the rows of vector_search. The queries come in
-    blocks of bounded size, one after the other."""
+    """((qid, doc_id, score, rank), share of the (query, ball) pairs that were left out): the rows of vector_search. Blocks of queries
+    and of balls, both of bounded size, meet on a grid; a query is held against the balls that can reach its k-th score."""
     asked = SE.vector_table(queries, index.dim, qid, vector).select(F.col(qid).alias("qid"), F.col(vector).alias("q"))
     types = (f"qid {asked.schema['qid'].dataType.simpleString()}, doc_id {index.vectors.schema['doc_id'].dataType.simpleString()}, score double")
-    blocks = max(1, math.ceil(asked.count() * index.dim * 8 / block_bytes))
-    order = [F.col("score").desc(), F.col("doc_id")]
-    found, scored, pairs_ = [], 0, 0
-    for b in range(blocks):
-        table = asked.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).toArrow()
-        if not table.num_rows or not len(index.sizes):
-            continue
-        qids, questions = table["qid"].combine_chunks(), SE._matrix(table["q"].combine_chunks(), index.dim)
-        bounds = questions @ index.pivots.T + np.linalg.norm(questions, axis=1)[:, None] * index.radius + MARGIN
-        bounds[:, index.sizes == 0] = -np.inf
-        rank = np.argsort(-bounds, axis=1, kind="stable")
-        held = np.cumsum(index.sizes[rank], axis=1)
-        first = np.zeros(bounds.shape, bool)
-        early = (np.arange(bounds.shape[1]) < FIRST_BALLS) | (held - index.sizes[rank] < k)
-        np.put_along_axis(first, rank, early, 1)
-        first &= index.sizes > 0
-        best = top_k_staged(_scan(index, qids, questions, first, k, types), k, order, ["qid"], "doc_id", "rank").drop("rank").toArrow()
-        kth = np.full(len(qids), -np.inf)
-        number = {q: i for i, q in enumerate(qids.to_pylist())}
-        scores: dict[int, list[float]] = {}
-        for q, s in zip(best["qid"].to_pylist(), best["score"].to_pylist()):
-            scores.setdefault(number[q], []).append(s)
-        for q, s in scores.items():
-            if len(s) >= k:
-                kth[q] = min(s)
-        rest = ~first & (bounds >= kth[:, None]) & (index.sizes > 0)
-        part = index.vectors.sparkSession.createDataFrame(best, types)
-        found.append(part.unionByName(_scan(index, qids, questions, rest, k, types)) if rest.any() else part)
-        scored, pairs_ = scored + int(first.sum() + rest.sum()), pairs_ + int((index.sizes > 0).sum()) * len(qids)
-    if not found:
-        return index.vectors.sparkSession.createDataFrame([], types + ", rank int"), 0.0
-    rows = found[0]
-    for more in found[1:]:
-        rows = rows.unionByName(more)
-    return top_k_staged(rows, k, order, ["qid"], "doc_id", "rank"), 1 - scored / max(1, pairs_)
+    spark, dim = index.vectors.sparkSession, index.dim
+    if not len(index.sizes) or not index.sizes.sum():
+        return spark.createDataFrame([], types + ", rank int"), 0.0
+    asked = cut(_prepared(index, asked, k))
+    whole = asked.agg(F.count("*").alias("n"), F.sum("scored").alias("scored")).first()
+    left_out = 1 - (whole["scored"] or 0) / max(1, whole["n"] * int((index.sizes > 0).sum()))
+    left, v_blocks = _placed(index, SE.grid_rows(dim))
+    block = spark.sparkContext.broadcast(BallIndex(None, index.pivots, index.radius, index.sizes, dim))
+
+    def score(docs: pa.Table, questions: pa.Table) -> pa.Table:
+        ball = docs["ball"].to_numpy()
+        order = np.argsort(ball, kind="stable")
+        held, starts = np.unique(ball[order], return_index=True)
+        ids, vectors = docs["doc_id"].to_numpy()[order], SE._matrix(docs["v"].combine_chunks(), dim)[order]
+        whole = block.value
+        some = BallIndex(None, whole.pivots[held], whole.radius[held], whole.sizes[held], dim)
+        best = SE.Best(SE._matrix(questions["q"].combine_chunks(), dim), k, questions["floor"].to_numpy())
+        step, most = max(1, SE.RESULT_CELLS // len(held)), min(SE.BLOCK_VECTORS, SE.RESULT_CELLS)
+        for low in range(0, questions.num_rows, step):  # some queries against the bounds of all balls of the block
+            part = np.arange(low, min(low + step, questions.num_rows))
+            bounds = _bounds(some, best.questions[part])
+            for i in np.argsort(-bounds.max(axis=0), kind="stable"):
+                asking = part[bounds[:, i] >= np.maximum(best.floor[part], best.scores[part, -1])]
+                end = starts[i + 1] if i + 1 < len(starts) else len(ids)
+                for at in range(starts[i], end if len(asking) else starts[i], most):
+                    best.add(vectors[at:min(at + most, end)], ids[at:min(at + most, end)], asking)
+        return best.rows(questions["qid"].combine_chunks())
+
+    found = SE.on_grid(left, asked.drop("scored"), v_blocks, SE.grid_rows(dim, k, block_bytes), score, types)
+    return top_k_staged(found, k, [F.col("score").desc(), F.col("doc_id")], ["qid"], "doc_id", "rank"), left_out
