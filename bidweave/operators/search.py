@@ -28,6 +28,7 @@ from bidweave.session import cut
 EPSILON = 0.25  # Okapi constant: the floor for terms in most documents
 PRUNE_DOCS = 64_000  # a larger stored index is searched in two rounds
 FIRST_BLOCKS = 4  # blocks per query in the first round
+TASK_POSTINGS, BUCKET_FILES = 2 * 1024 * 1024, 4  # of a stored index: what a task sorts and writes, and tasks per bucket
 BROADCAST_BYTES = 64 * 1024 * 1024
 RESULT_CELLS = 4 * 1024 * 1024  # scores that a step holds at once: 32 MiB
 BLOCK_VECTORS = 8192
@@ -144,13 +145,22 @@ def bm25_index(df: DataFrame, key: str, text: str = "text", mode: str | Callable
 
 def write_index(index: BM25Index, name: str, buckets: int, path: str | None = None) -> None:
     """Store the index, below `path` or in the warehouse, as the tables `<name>_postings` and `<name>_counts`, bucketed and sorted by term, so that a search opens the
-    buckets of its terms only, `<name>_blocks` (ids and kept columns) and the one-row table `<name>_numbers`."""
+    buckets of its terms only, `<name>_blocks` (ids and kept columns) and the one-row table `<name>_numbers`.
+
+    A task sorts about TASK_POSTINGS postings, however many there are: a larger index has more buckets than asked, and up to
+    BUCKET_FILES tasks share a bucket, by block, so that the lists of a frequent term do not lie in one task either."""
     def writer(rows: DataFrame, part: str):
         out = rows.write.mode("overwrite").format("parquet")
         return out if path is None else out.option("path", f"{path.rstrip('/')}/{name}_{part}")
 
-    for part in ("postings", "counts"):
-        rows = getattr(index, part).repartition(buckets, "term").sortWithinPartitions("term")
+    held = index.counts.filter(F.col("term") != EVERY).agg(F.sum("df")).first()[0] or 0
+    tasks = -(-held // TASK_POSTINGS)
+    buckets = max(buckets, -(-tasks // BUCKET_FILES))
+    files = max(1, -(-tasks // buckets))
+    bucket = F.pmod(F.hash("term"), F.lit(buckets))  # the bucket that the writer gives a term
+    spread = {"postings": [bucket, F.pmod(F.xxhash64("block"), F.lit(files))], "counts": [F.col("term")]}
+    for part, by in spread.items():
+        rows = getattr(index, part).repartition(buckets * (files if part == "postings" else 1), *by)
         writer(rows, part).bucketBy(buckets, "term").sortBy("term").saveAsTable(f"{name}_{part}")
     slim = index.blocks.drop("terms", "ends", "places", "tfs").repartitionByRange(buckets, "block").sortWithinPartitions("block")
     writer(slim, "blocks").saveAsTable(f"{name}_blocks")
@@ -395,7 +405,7 @@ class Best:
             least[new] = np.partition(near[new], len(vectors) - k, axis=1)[:, len(vectors) - k] - 2 * self.error
         hit = near >= least.astype(np.float32)[:, None] - np.float32(1e-7)
         many = np.count_nonzero(hit, axis=1)
-        full = np.flatnonzero(many > 4 * k + 64)  # many equal scores: a whole line costs less than its pairs
+        full = np.flatnonzero(many > min(4 * k + 64, max(8, len(vectors) // 16)))  # a whole line costs less than so many pairs
         hit[full] = False
         row, at = np.nonzero(hit)
         found = [np.einsum("ij,ij->i", self.questions[asking[row[i:i + PAIRS]]], vectors[at[i:i + PAIRS]]) for i in range(0, len(row), PAIRS)]
