@@ -8,7 +8,8 @@ A stored index holds one row per term and block: places, counts, lengths and `be
 document of the block. Lists are as long as a block at most, so a frequent term has many rows. The rows are bucketed and
 sorted by term: a search opens the buckets of its terms and reads nothing else, and it knows from `best` which blocks it can leave out.
 
-Scoring adds up the parts of all queries in one matrix of bounded size per block.
+Scoring adds up the parts of all queries in one matrix of bounded size per block. A task holds the best k of its blocks, so that a
+wide k, which no block can cut, does not pass on every document that shares a term with a query.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from pyspark.sql.types import StructType
 
 BLOCK_DOCS, BLOCK_TOKENS = 1000, 2_000_000  # a block ends with either
 CELLS = 4 * 1024 * 1024  # scores, or postings, that a step holds at once: 32 MiB
+HELD_ROWS = 1024 * 1024  # hits that a task holds before it passes them on
+OUT_ROWS = 64 * 1024
 PUSHED_TERMS = 500  # up to so many terms are pushed into the scan
 
 # Okapi constants: term saturation and length weight
@@ -110,11 +113,52 @@ def documents(blocks: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return blocks.select(F.explode(rows).alias("d")).select(*[F.col("d")[c].alias(c) for c in named], F.col("d")["dl"].cast("long").alias("dl"))
 
 
+class _Held:
+    """The best k hits per query and group of the blocks of a task so far; ties by id, nulls first.
+
+    Hits are (line, kept columns, score), a line per group and query. `floor` is the k-th score of a line, once it is known. What
+    exceeds HELD_ROWS goes on; the floors still hold then, as the k hits that reach them have gone on too.
+    """
+
+    def __init__(self, lines: int, k: int):
+        self.k, self.floor = k, np.full(lines, -np.inf)
+        self.hits, self.rows, self.least = [], 0, HELD_ROWS // 16
+
+    def add(self, hits: pa.Table) -> pa.Table | None:
+        """Some more hits. Returns hits that are held no longer."""
+        self.hits.append(hits)
+        self.rows += hits.num_rows
+        if self.rows <= self.least:
+            return None
+        best = self.take()
+        if best.num_rows <= HELD_ROWS // 2:
+            self.hits, self.rows = [best], best.num_rows
+            self.least = max(self.least, 2 * self.rows)
+            return None
+        return best
+
+    def take(self) -> pa.Table | None:
+        """The best of the hits, which are held no longer."""
+        if not self.hits:
+            return None
+        hits = pa.concat_tables(self.hits).combine_chunks()
+        self.hits, self.rows = [], 0
+        lines, score = hits["line"].to_numpy(), hits["score"].to_numpy()
+        place = np.empty(len(lines), np.int64)
+        place[pc.sort_indices(hits["doc_id"], null_placement="at_start").to_numpy()] = np.arange(len(lines))
+        order = np.lexsort((place, -score, lines))
+        line = lines[order]
+        rank = np.arange(len(line)) - np.searchsorted(line, line)
+        last = order[rank == self.k - 1]
+        self.floor[lines[last]] = np.maximum(self.floor[lines[last]], score[last])
+        return hits.take(pa.array(order[rank < self.k]))
+
+
 class Scorer:
     """Scores of the documents of a block for many queries: (qid, doc_id, kept columns, score) of those that share a term with a query.
 
-    asked: broadcast (qids, terms, numbers of the queries and weights per term). With k, a block passes on its best k per query, of the
-    accepted and of the other documents where `accept` names a kept boolean.
+    asked: broadcast (qids, terms, numbers of the queries and weights per term). With k, a block or a task passes on its best k per query,
+    of the accepted and of the other documents where `accept` names a kept boolean.
     """
 
     def __init__(self, asked, avgdl: float, qid_type: str, blocks: DataFrame, keep: tuple[str, ...] = (), k: int | None = None, accept: str | None = None):
@@ -132,13 +176,14 @@ class Scorer:
         return at
 
     def score(self, numbers: np.ndarray, starts: np.ndarray, lengths: np.ndarray, places: np.ndarray, parts: Callable[[np.ndarray], np.ndarray],
-              columns: list[pa.Array], only: list[int] | None = None) -> pa.Table:
-        """numbers: the asked terms that the block holds; their lists lie at starts in places and are lengths long."""
+              columns: list[pa.Array], only: list[int] | None = None, floor: np.ndarray | None = None) -> Iterator[pa.Table]:
+        """numbers: the asked terms that the block holds; their lists lie at starts in places and are lengths long. With the floors of _Held
+        the rows name lines in place of queries, and hits below the floor of their line are left out. One table per matrix."""
         qids, _, known = self.asked.value
         wanted = [known[n] for n in numbers.tolist()]
         size = len(columns[0])
         if not wanted or not size:
-            return self.schema.empty_table()
+            return
         row = np.repeat(np.arange(len(wanted)), [len(q) for q, _ in wanted])
         number, weight = (np.concatenate(c) for c in zip(*wanted))
         order = np.argsort(number, kind="stable")
@@ -149,7 +194,6 @@ class Scorer:
         if self.accept:
             ok = pc.fill_null(columns[self.named.index(self.accept)], False).to_numpy(zero_copy_only=False)
             groups = [ok, ~ok]
-        out = []
         heads = np.append(np.flatnonzero(np.append(True, np.diff(number) != 0)), len(number)) if len(number) else np.zeros(1, np.int64)
         step = max(1, CELLS // (8 * size))
         for low in range(0, len(heads) - 1, step):  # some queries, in a matrix of bounded size
@@ -168,21 +212,31 @@ class Scorer:
                 first = last
             # the same grid as `settle`: results must not depend on the order of summation
             scores, touched = (np.rint(scores * 1e9) / 1e9).reshape(-1, size), touched.reshape(-1, size)
-            for i, q in enumerate(asking):
-                for group in groups:
-                    hit = self._choose(scores[i], np.flatnonzero(touched[i] & group))
-                    out.append((np.full(len(hit), q), hit, scores[i][hit]))
-        if not out:
-            return self.schema.empty_table()
-        q, at, score = (np.concatenate(c) for c in zip(*out))
-        return pa.table([qids.take(pa.array(q)), *[c.take(pa.array(at)) for c in columns], pa.array(score)], names=["qid", *self.named, "score"])
+            for g, group in enumerate(groups):
+                lines = g * len(qids) + asking
+                good = touched & group if floor is None else touched & group & (scores >= floor[lines][:, None])
+                for i in np.flatnonzero(good.sum(1) > self.k) if self.k is not None else ():
+                    at = self._choose(scores[i], np.flatnonzero(good[i]))
+                    good[i] = False
+                    good[i, at] = True
+                i, at = np.nonzero(good)
+                first, name = (qids.take(pa.array(asking[i])), "qid") if floor is None else (pa.array(lines[i]), "line")
+                yield pa.table([first, *[c.take(pa.array(at)) for c in columns], pa.array(scores[i, at])], names=[name, *self.named, "score"])
+
+    def _named(self, hits: pa.Table | None) -> Iterator[pa.RecordBatch]:
+        """Held hits with their queries."""
+        if hits is not None:
+            qids = self.asked.value[0]
+            names = qids.take(pa.array(hits["line"].to_numpy() % max(1, len(qids))))
+            yield from hits.set_column(0, "qid", names).to_batches(max_chunksize=OUT_ROWS)
 
     def in_place(self, blocks: DataFrame) -> DataFrame:
         """Scores of blocks where they lie."""
         me = self
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            terms = me.asked.value[1]
+            qids, terms, _ = me.asked.value
+            best = _Held(len(qids) * (2 if me.accept else 1), me.k) if me.k is not None else None
             for batch in batches:
                 for i in range(batch.num_rows):
                     held, ends, places, tfs, dls = (batch.column(c).slice(i, 1).flatten() for c in range(1, 6))
@@ -194,7 +248,10 @@ class Scorer:
                     places, tfs, dls = places.to_numpy(), tfs.to_numpy(), dls.to_numpy()
                     parts = lambda p: part(tfs[p].astype(np.float64), dls[places[p]].astype(np.float64), me.avgdl)  # noqa: B023, E731
                     columns = [batch.column(c).slice(i, 1).flatten() for c in range(6, 6 + len(me.named))]
-                    yield from me.score(number, starts, ends[at] - starts, places, parts, columns).to_batches()
+                    for hits in me.score(number, starts, ends[at] - starts, places, parts, columns, floor=best.floor if best else None):
+                        yield from me._named(best.add(hits)) if best else hits.to_batches()
+            if best is not None:
+                yield from me._named(best.take())
 
         return blocks.select("block", "terms", "ends", "places", "tfs", "dls", *[f"_{c}" for c in self.named]).mapInArrow(run, self.ddl)
 
@@ -210,7 +267,8 @@ class Scorer:
             places, tfs, dls = (_flat(rows[c]).to_numpy() for c in ("places", "tfs", "dls"))
             parts = lambda p: part(tfs[p].astype(np.float64), dls[p].astype(np.float64), me.avgdl)
             only = block["asking"][0].as_py() if "asking" in block.column_names else None
-            return me.score(numbers, np.cumsum(lengths) - lengths, lengths, places, parts, [_flat(block[f"_{c}"]) for c in me.named], only)
+            hits = me.score(numbers, np.cumsum(lengths) - lengths, lengths, places, parts, [_flat(block[f"_{c}"]) for c in me.named], only)
+            return pa.concat_tables([me.schema.empty_table(), *(h.cast(me.schema) for h in hits)])
 
         rows = lists.select("block", "term", "places", "tfs", "dls")
         return rows.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(cell, self.ddl)
