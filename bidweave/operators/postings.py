@@ -83,9 +83,31 @@ def invert(rows: DataFrame, keep: tuple[str, ...] = (), block_docs: int = BLOCK_
 
 
 def term_counts(blocks: DataFrame) -> DataFrame:
-    """(term, df) rows of each block."""
-    sizes = F.transform("ends", lambda e, i: e - F.coalesce(F.get("ends", i - 1), F.lit(0)))
-    return blocks.select(F.explode(F.arrays_zip(F.col("terms").alias("term"), sizes.alias("df"))).alias("t")).select("t.term", "t.df")
+    """(term, df) rows; a task adds up what its blocks have in common, as far as HELD_ROWS terms reach."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, least = [], 0, HELD_ROWS // 8
+        for batch in batches:
+            for i in range(batch.num_rows):
+                terms, ends = (batch.column(c).slice(i, 1).flatten() for c in range(2))
+                held.append(pa.table([terms, pa.array(np.diff(ends.to_numpy().astype(np.int64), prepend=0))], names=["term", "df"]))
+                rows += len(terms)
+                if rows <= least:
+                    continue
+                whole = _added(held)
+                held, rows = [whole], whole.num_rows
+                least = max(least, 2 * rows)
+                if rows > HELD_ROWS // 2:
+                    yield from whole.to_batches(max_chunksize=OUT_ROWS)
+                    held, rows, least = [], 0, HELD_ROWS // 2
+        if held:
+            yield from _added(held).to_batches(max_chunksize=OUT_ROWS)
+
+    return blocks.select("terms", "ends").mapInArrow(run, "term string, df long")
+
+
+def _added(counts: list[pa.Table]) -> pa.Table:
+    whole = pa.concat_tables(counts).group_by("term", use_threads=False).aggregate([("df", "sum")])
+    return whole.select(["term", "df_sum"]).rename_columns(["term", "df"])
 
 
 def lists_of(blocks: DataFrame, avgdl: float) -> DataFrame:
