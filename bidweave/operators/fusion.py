@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bidweave import rules
@@ -112,15 +112,16 @@ def linear_search(index: BM25Index | None, vectors: DataFrame | None, queries: D
     if index is None:
         rows = v.withColumn("bm25_score", F.lit(None).cast("double")).withColumn("total", F.col("vector_score"))
     else:
-        scores = bm25_scores(index, queries, "qid", mode=mode)
-        if v is not None:
-            scores = scores.join(v.select("qid", "doc_id", F.lit(True).alias("_v")), ["qid", "doc_id"], "left")
+        best_first = [F.col("score").desc(), F.col("doc_id")]
+        if v is None:
+            part = top_k(bm25_best(index, queries, "qid", "text", 3 * k, mode), 3 * k, best_first, ["qid"])
         else:
-            scores = scores.withColumn("_v", F.lit(None).cast("boolean"))
-        # a document outside the vector list is ranked by its keyword score alone, so its best 3k suffice
-        part = top_k(scores, 3 * k, [F.col("score").desc(), F.col("doc_id")], ["qid", "_v"]).drop("_v")
-        top = part.groupBy("qid").agg(F.max("score").alias("_max"))
-        part = part.join(top, "qid").select("qid", "doc_id", (F.col("score") / F.when(F.col("_max") > 0, F.col("_max")).otherwise(1.0)).alias("bm25_score"))
+            scores = bm25_scores(index, queries, "qid", mode=mode).join(v.select("qid", "doc_id", F.lit(True).alias("_v")), ["qid", "doc_id"], "left")
+            # a document outside the vector list is ranked by its keyword score alone, so its best 3k suffice
+            part = top_k(scores, 3 * k, best_first, ["qid", "_v"])
+        top = F.max("score").over(Window.partitionBy("qid"))
+        part = part.filter(F.col("qid").isNotNull()).withColumn("_max", top).select(
+            "qid", "doc_id", (F.col("score") / F.when(F.col("_max") > 0, F.col("_max")).otherwise(1.0)).alias("bm25_score"))
         rows = part if v is None else part.join(v, ["qid", "doc_id"], "full")
         if v is None:
             rows = rows.withColumn("vector_score", F.lit(None).cast("double")).withColumn("total", F.col("bm25_score"))
@@ -128,21 +129,27 @@ def linear_search(index: BM25Index | None, vectors: DataFrame | None, queries: D
             rows = rows.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in ("vector_score", "bm25_score")})
             rows = rows.withColumn("total", vector_weight * F.col("vector_score") + bm25_weight * F.col("bm25_score"))
         if min_score <= 0:
-            rows = rows.unionByName(_no_evidence(index, queries, rows, k), allowMissingColumns=True)
+            rows = _with_free(index, queries, rows, k)
     best = top_k(rows.filter(F.col("total") >= min_score), k, [F.col("total").desc(), F.col("doc_id")], ["qid"], "rank")
     return best.select("qid", "doc_id", "rank", F.round("total", 6).alias("score"), F.round("vector_score", 6).alias("vector_score"),
                        F.round("bm25_score", 6).alias("bm25_score"))
 
 
-def _no_evidence(index: BM25Index, queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """Score-0 rows for the lowest ids that are no candidate yet. A candidate list holds at most
-    5k documents, so k free ids are always among the lowest 6k."""
-    lowest = index.docs.select("doc_id").orderBy("doc_id").limit(6 * k).agg(F.collect_list("doc_id").alias("ids"))
-    short = queries.select("qid").withColumn("_one", F.lit(1))
-    spread = short.join(F.broadcast(lowest.withColumn("_one", F.lit(1))), "_one").select("qid", F.explode("ids").alias("doc_id"))
-    free = spread.join(rows.select("qid", "doc_id"), ["qid", "doc_id"], "left_anti")
-    zero = [F.lit(0.0).alias(c) for c in ("vector_score", "bm25_score", "total")]
-    return free.select("qid", "doc_id", *zero).select(*rows.columns)
+def _with_free(index: BM25Index, queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """The rows and, for queries with fewer than k above 0, score-0 rows of the lowest ids that are no candidate yet. A candidate list holds at most
+    5k documents, so k free ids are always among the lowest 6k. Rows and queries meet once, by query."""
+    names = [c for c in rows.columns if c != "qid"]
+    found = rows.select("qid", F.struct(*names).alias("_row"))
+    asked = queries.select("qid", F.lit(None).cast(found.schema["_row"].dataType).alias("_row"))
+    groups = found.unionByName(asked).groupBy("qid").agg(F.collect_list("_row").alias("_rows"), F.count_if(F.col("_row").isNull()).alias("_asked"))
+    lowest = index.docs.select("doc_id").orderBy("doc_id").limit(6 * k).agg(F.array_sort(F.collect_list("doc_id")).alias("_ids"))
+    have = F.transform("_rows", lambda r: r["doc_id"])
+    free = F.filter("_ids", lambda i: ~F.coalesce(F.array_contains(have, i), F.lit(False)))
+    # a query that comes twice gets each of them twice
+    each = F.flatten(F.transform(free, lambda i: F.array_repeat(i, F.least("_asked", F.lit(k)).cast("int"))))
+    lacking = F.greatest(F.lit(k) - F.size(F.filter("_rows", lambda r: r["total"] > 0)), F.lit(0))
+    zero = F.transform(F.slice(each, F.lit(1), lacking), lambda i: F.struct(*[(i if c == "doc_id" else F.lit(0.0)).alias(c) for c in names]))
+    return groups.crossJoin(F.broadcast(lowest)).select("qid", F.inline(F.concat("_rows", zero)))
 
 
 # --- projects --------------------------------------------------------------------------

@@ -10,11 +10,16 @@ sorted by term: a search opens the buckets of its terms and reads nothing else,
 
 Scoring adds up the parts of all queries in one matrix of bounded size per block. A task holds the best k of its blocks, so that a
 wide k, which no block can cut, does not pass on every document that shares a term with a query.
+
+Where many queries ask a small index, the index goes to the queries: a query becomes the numbers of the terms that the index holds, and a
+task scores some queries at a time against all blocks. Neither texts nor pairs of a query and a document are moved.
 """
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Callable, Iterator
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +35,7 @@ CELLS = 4 * 1024 * 1024  # scores, or postings, that a step holds at once: 32 Mi
 HELD_ROWS = 1024 * 1024  # hits that a task holds before it passes them on
 OUT_ROWS = 64 * 1024
 PUSHED_TERMS = 500  # up to so many terms are pushed into the scan
+HELD_BYTES = 16 * 1024 * 1024  # rows of one query that a task gathers before it adds them up
 
 # Okapi constants: term saturation and length weight
 K1, B = 1.5, 0.75
@@ -45,7 +51,7 @@ def _ints(values: np.ndarray) -> pa.Array:
 
 
 def _flat(column: pa.ChunkedArray) -> pa.Array:
-    return pa.concat_arrays([c.flatten() for c in column.chunks])
+    return pa.concat_arrays([pa.array([], column.type.value_type), *[c.flatten() for c in column.chunks]])
 
 
 def invert(rows: DataFrame, keep: tuple[str, ...] = (), block_docs: int = BLOCK_DOCS) -> DataFrame:
@@ -135,6 +141,89 @@ def documents(blocks: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return blocks.select(F.explode(rows).alias("d")).select(*[F.col("d")[c].alias(c) for c in named], F.col("d")["dl"].cast("long").alias("dl"))
 
 
+class Catalogue:
+    """An index that a task holds whole: its terms, their idf, and per block the numbers of its terms, where their lists start in places and how
+    long they are, places, parts, and the columns of its documents.
+
+    terms: term, idf; lists as in a stored index; blocks: block and the columns.
+    """
+
+    def __init__(self, terms: pa.Table, lists: pa.Table, blocks: pa.Table, avgdl: float):
+        self.terms, self.idf = terms["term"].combine_chunks(), terms["idf"].to_numpy()
+        self.blocks, named = [], [c for c in blocks.column_names if c != "block"]
+        lists = lists.take(pc.sort_indices(lists["block"])).combine_chunks()
+        places, tfs, dls = (_flat(lists[c]).to_numpy() for c in ("places", "tfs", "dls"))
+        parts = part(tfs.astype(np.float64), dls.astype(np.float64), avgdl)
+        numbers = pc.index_in(lists["term"], value_set=self.terms).to_numpy().astype(np.int64)
+        lengths = pc.list_value_length(lists["places"]).to_numpy().astype(np.int64)
+        ends = np.append(0, np.cumsum(lengths))
+        block = lists["block"].to_numpy()
+        for i, name in enumerate(blocks["block"].to_numpy()):
+            low, high = np.searchsorted(block, [name, name + 1])
+            a, b = ends[low], ends[high]
+            columns = [_flat(blocks[c].slice(i, 1)) for c in named]
+            self.blocks.append((numbers[low:high], ends[low:high] - a, lengths[low:high], places[a:b], parts[a:b], columns))
+
+
+def _summed(qids: pa.Array, line: np.ndarray, terms: np.ndarray, tfs: np.ndarray | None = None) -> pa.RecordBatch:
+    """(qid, terms, tfs), one row per query that names a term; entry i says that query qids[line[i]] names terms[i] tfs[i] times, or once."""
+    found = pc.dictionary_encode(qids, null_encoding="encode")
+    codes, size = found.indices.to_numpy(), int(terms.max(initial=0)) + 1
+    keys = codes[line].astype(np.int64) * size + terms
+    if tfs is None:
+        keys, tfs = np.unique(keys, return_counts=True)
+    else:
+        keys, at = np.unique(keys, return_inverse=True)
+        tfs = np.bincount(at, tfs, len(keys))
+    asking, starts = np.unique(keys // size, return_index=True)
+    ends = pa.array(np.append(starts, len(keys)), pa.int32())
+    lists = [pa.ListArray.from_arrays(ends, pa.array(c.astype(np.int32))) for c in (keys % size, tfs)]
+    return pa.RecordBatch.from_arrays([found.dictionary.take(pa.array(asking)), *lists], names=["qid", "terms", "tfs"])
+
+
+def _sum_of(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """The rows of each query of (qid, terms, tfs) batches in one."""
+    rows = pa.Table.from_batches(batches).combine_chunks()
+    line = np.repeat(np.arange(rows.num_rows), pc.list_value_length(rows["terms"]).to_numpy())
+    return _summed(rows["qid"].combine_chunks(), line, *(_flat(rows[c]).to_numpy() for c in ("terms", "tfs")))
+
+
+def numbered(rows: DataFrame, catalogue) -> DataFrame:
+    """(qid, terms, tfs): the numbers of the terms of a catalogue (broadcast) that a query names, and how often. rows: qid, _tokens. The rows
+    of a query that lie in a batch are added up, so that a frequent query id is rare in what is passed on."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = batch.column(1)
+            lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy()
+            number = pc.index_in(tokens.flatten(), value_set=catalogue.value.terms)
+            known = number.is_valid().to_numpy(zero_copy_only=False)
+            yield _summed(batch.column(0), np.repeat(np.arange(batch.num_rows), lengths)[known], pc.fill_null(number, 0).to_numpy()[known])
+
+    kind = rows.schema["qid"].dataType.simpleString()
+    return rows.select("qid", "_tokens").mapInArrow(run, f"qid {kind}, terms array<int>, tfs array<int>")
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(qid, terms, tfs) with one row per query, of rows that come in the order of their queries."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        # what lies before the last query of the batch is complete
+        codes = pc.dictionary_encode(batch.column(0), null_encoding="encode").indices.to_numpy()
+        last = int(np.argmax(codes == codes[-1]))
+        if held and (last or batch.column(0)[0] != held[-1].column(0)[-1]):
+            yield _sum_of([*held, batch.slice(0, last)])
+            held = []
+        elif last:
+            yield _sum_of([batch.slice(0, last)])
+        held.append(batch.slice(last))
+        if len(held) > 1 and sum(b.nbytes for b in held) > HELD_BYTES:
+            held = [_sum_of(held)]
+    if held:
+        yield _sum_of(held)
+
+
 class _Held:
     """The best k hits per query and group of the blocks of a task so far; ties by id, nulls first.
 
@@ -295,6 +384,30 @@ class Scorer:
         rows = lists.select("block", "term", "places", "tfs", "dls")
         return rows.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(cell, self.ddl)
 
+    def of_queries(self, queries: DataFrame) -> DataFrame:
+        """Scores of the documents of a catalogue, the broadcast `asked`, for queries as in `numbered`: the best k per query."""
+        me = self
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            catalogue = me.asked.value
+            for batch in _gathered(batches):
+                qids, terms, tfs = batch.column(0), batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy()
+                order = np.argsort(terms, kind="stable")
+                line, weight = np.repeat(np.arange(len(qids)), pc.list_value_length(batch.column(1)).to_numpy())[order], (tfs * catalogue.idf[terms])[order]
+                asked, heads = np.unique(terms[order], return_index=True)
+                known = [(line[a:b], weight[a:b]) for a, b in zip(heads, np.append(heads[1:], len(terms)))]
+                some = copy.copy(me)
+                some.asked = SimpleNamespace(value=(qids, None, known))
+                best = _Held(len(qids) * (2 if me.accept else 1), me.k)
+                for numbers, starts, lengths, places, parts, columns in catalogue.blocks:
+                    _, here, at = np.intersect1d(asked, numbers, return_indices=True)
+                    for hits in some.score(here, starts[at], lengths[at], places, lambda p: parts[p], columns, floor=best.floor):  # noqa: B023
+                        yield from some._named(best.add(hits))
+                yield from some._named(best.take())
+
+        # rows of a query meet and follow each other
+        return queries.repartition("qid").sortWithinPartitions("qid").mapInArrow(run, self.ddl)
+
 
 def of_terms(lists: DataFrame, terms: list[str]) -> DataFrame:
     """The lists of some terms. A short choice is pushed into the scan, where it selects buckets and row groups."""

@@ -30,6 +30,7 @@ PRUNE_DOCS = 64_000  # a larger stored index is searched in two rounds
 FIRST_BLOCKS = 4  # blocks per query in the first round
 TASK_POSTINGS, BUCKET_FILES = 2 * 1024 * 1024, 4  # of a stored index: what a task sorts and writes, and tasks per bucket
 BROADCAST_BYTES = 64 * 1024 * 1024
+CATALOGUE_DOCS = 100_000  # a larger index is never copied to the queries
 RESULT_CELLS = 4 * 1024 * 1024  # scores that a step holds at once: 32 MiB
 BLOCK_VECTORS = 8192
 PAIRS = 64 * 1024  # pairs of vectors that are scored one by one at once
@@ -249,8 +250,10 @@ def _joined_scores(index: BM25Index, weights: DataFrame, keep: tuple[str, ...],
 def bm25_best(index: BM25Index, queries: DataFrame, qid: str, text: str, k: int, mode: str | Callable[[Column], Column] = "words",
               accept: str | None = None, prune_docs: int = PRUNE_DOCS) -> DataFrame:
     """(qid, doc_id, accepted, score): rows that hold the best k of the accepted and of the other documents of each query.
-    A stored index of more than `prune_docs` documents is searched in two rounds."""
+    A stored index of more than `prune_docs` documents is searched in two rounds; a small one goes to the queries where these are more."""
     keep = (accept,) if accept else ()
+    if _is_catalogue(index, queries):
+        return _catalogue_best(index, queries, qid, text, k, mode, keep, accept)
     asked = _Asked(index, queries, qid, text, mode, BROADCAST_ROWS)
     if not asked.fits:
         return _joined_scores(index, asked.weights, keep, ROWS_PER_SALT)
@@ -259,6 +262,25 @@ def bm25_best(index: BM25Index, queries: DataFrame, qid: str, text: str, k: int,
     return _pruned(index, asked, keep, k, accept)
 
 
+def _is_catalogue(index: BM25Index, queries: DataFrame) -> bool:
+    """Whether there are more queries than documents, and a task can hold all of these."""
+    if not 0 < index.n_docs <= CATALOGUE_DOCS or queries.limit(index.n_docs + 1).count() <= index.n_docs:
+        return False
+    held = F.col("df") * (F.octet_length("term") + 16)  # places, parts and lengths, and the term once per list at most
+    return (index.counts.filter(F.col("term") != EVERY).agg(F.sum(held)).first()[0] or 0) <= BROADCAST_BYTES
+
+
+def _catalogue_best(index: BM25Index, queries: DataFrame, qid: str, text: str, k: int, mode: str | Callable[[Column], Column],
+                    keep: tuple[str, ...], accept: str | None) -> DataFrame:
+    """Best documents of a small index for any number of queries: only the numbers of their known terms move, to meet the other rows of their id."""
+    named = [f"_{c}" for c in ("doc_id", *keep)]
+    tables = (df.toArrow() for df in (index.terms.select("term", "idf"), index.postings.select("term", "block", "places", "tfs", "dls"),
+                                      index.blocks.select("block", *named)))
+    catalogue = index.counts.sparkSession.sparkContext.broadcast(P.Catalogue(*tables, float(index.avgdl)))
+    asked = P.numbered(queries.select(F.col(qid).alias("qid"), tokens(text, mode).alias("_tokens")), catalogue)
+    return P.Scorer(catalogue, index.avgdl, asked.schema["qid"].dataType.simpleString(), index.blocks, keep, k, accept).of_queries(asked)
+
+
 def block_bounds(index: BM25Index, asked: _Asked) -> DataFrame:
     """(qid, block, bound): the most that a document of the block can score. Reads the bounds of the lists, not the lists."""
     weights = F.broadcast(index.counts.sparkSession.createDataFrame(asked.table))
